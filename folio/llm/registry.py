@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from folio.llm import exact_dedup, token_counts
+from folio.llm import byte_bpe, exact_dedup, packing, token_counts
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
+    "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
