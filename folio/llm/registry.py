@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from folio.llm import byte_bpe, exact_dedup, packing, token_counts
+from folio.llm import byte_bpe, exact_dedup, language_id, media, packing, quality, token_counts, url_filter
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
+    "op3_media": media.op3_media,
     "op4_packing": packing.op4_packing,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_language_id": language_id.op8_language_id,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
 ORACLES = {
+    "op5_url_filter": url_filter.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
