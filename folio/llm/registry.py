@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folio.llm import byte_bpe, exact_dedup, language_id, media, packing, quality, token_counts, url_filter
+from folio.llm import byte_bpe, exact_dedup, language_id, media, packing, pii, quality, token_counts, url_filter
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_quality": quality.op2_quality,
     "op3_media": media.op3_media,
     "op4_packing": packing.op4_packing,
