@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import byte_bpe, exact_dedup, language_id, media, packing, pii, quality, token_counts, url_filter
+from folio.llm import byte_bpe, exact_dedup, language_id, media, near_dup, packing, pii, quality, token_counts, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -14,9 +14,11 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_language_id": language_id.op8_language_id,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_near_dup": near_dup.op10_near_dup,
 }
 
 ORACLES = {
     "op5_url_filter": url_filter.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op10_near_dup": near_dup.ORACLE,
 }
