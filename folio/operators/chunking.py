@@ -1,0 +1,388 @@
+"""Parent-child chunks with source coordinates.
+
+A section becomes chunks of bounded token counts: whole where it fits, else runs of ordinary blocks packed greedily with
+overlap, and tables, lists and quotes split between their rows, items and children. A chunk's parent context is the
+section's body, or as many blocks around the match as fit.
+
+Token counters plug in; a counter gives the offsets of a text's tokens. Sections are chunked where they are parsed, in
+Arrow batches; for counters whose tokens are characters, ``character_windows`` does the window split as an expression.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from typing import Protocol
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from folio.functions.identity import CHUNKER_VERSION, chunk_hash, config_hash
+from folio.operators import markdown
+
+ATOMIC = ("table", "bullet_list", "ordered_list", "blockquote")
+WARNING = "oversized_atomic_unit_token_split"
+
+
+class TokenCounter(Protocol):
+    def offsets(self, text: str) -> list[tuple[int, int]]:
+        """Start and end of each token: in order, not empty, not overlapping, within the text."""
+
+
+class CharacterTokens:
+    def offsets(self, text: str) -> list[tuple[int, int]]:
+        return [(i, i + 1) for i in range(len(text))]
+
+    def count(self, text: str) -> int:
+        return len(text)
+
+
+class PairTokens:
+    """Two characters to a token."""
+
+    def offsets(self, text: str) -> list[tuple[int, int]]:
+        return [(i, min(i + 2, len(text))) for i in range(0, len(text), 2)]
+
+
+class VocabularyTokens:
+    """Tokens of a vocabulary file of the tokenizers library; special tokens are never added."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def offsets(self, text: str) -> list[tuple[int, int]]:
+        out, last = [], 0
+        for a, b in self.tokenizer.encode(text, add_special_tokens=False).offsets:
+            if b > max(a, last):  # parts of one character share its span: they count once
+                out.append((max(a, last), b))
+                last = b
+        return out
+
+
+def checked(counter: TokenCounter, text: str) -> list[tuple[int, int]]:
+    """The counter's offsets, or an error if they aren't offsets of the text."""
+    found, last = counter.offsets(text), 0
+    for a, b in found:
+        if a < last or b <= a or b > len(text):
+            raise ValueError("a token counter gave offsets that aren't those of its text")
+        last = b
+    return found
+
+
+def tokens(counter: TokenCounter, text: str) -> int:
+    return counter.count(text) if hasattr(counter, "count") else len(checked(counter, text))
+
+
+@dataclass(frozen=True)
+class Limits:
+    target: int = 400
+    soft: int = 600
+    overlap: int = 64
+    atomic: int = 800
+    parent: int = 1200
+
+    def __post_init__(self):
+        if not 0 < self.target <= self.soft <= self.atomic or not 0 <= self.overlap < self.target or self.parent <= 0:
+            raise ValueError("chunk limits must rise from target to atomic, with an overlap below the target")
+
+
+def config_identity(limits: Limits, model: str, revision: str, library: str, version: str, special: bool = False) -> str:
+    """The identity of everything that can move a chunk's boundary, but for the parser."""
+    return config_hash({
+        "chunker_version": CHUNKER_VERSION, "target_tokens": limits.target, "soft_max_tokens": limits.soft, "overlap_tokens": limits.overlap,
+        "atomic_max_tokens": limits.atomic, "parent_context_max_tokens": limits.parent, "tokenizer_model_name": model, "tokenizer_revision": revision,
+        "tokenizer_library_name": library, "tokenizer_library_version": version, "tokenizer_add_special_tokens": special,
+    })
+
+
+class Piece:
+    """Text with the number of the physical line that each part of it comes from."""
+
+    __slots__ = ("parts",)
+
+    def __init__(self, parts: list[tuple[int, str]]):
+        self.parts = [p for p in parts if p[1]]
+
+    @classmethod
+    def of(cls, raw: str, first: int) -> Piece:
+        return cls(list(enumerate(markdown.physical_lines(raw), first)))
+
+    @property
+    def text(self) -> str:
+        return "".join(t for _, t in self.parts)
+
+    def __add__(self, other: Piece) -> Piece:
+        return Piece(self.parts + other.parts)
+
+    def cut(self, lo: int, hi: int) -> Piece:
+        out, at = [], 0
+        for number, t in self.parts:
+            if at < hi and at + len(t) > lo:
+                out.append((number, t[max(0, lo - at) : hi - at]))
+            at += len(t)
+        return Piece(out)
+
+    def trimmed(self) -> Piece:
+        """Without lines of white space at either edge."""
+        parts = self.parts
+        while parts and not parts[0][1].strip():
+            parts = parts[1:]
+        while parts and not parts[-1][1].strip():
+            parts = parts[:-1]
+        return Piece(parts)
+
+    def lines(self) -> tuple[int, int]:
+        return min(n for n, _ in self.parts), max(n for n, _ in self.parts)
+
+
+@dataclass
+class Draft:
+    raw_text: str
+    search_text: str
+    token_count: int
+    line_start: int
+    line_end: int
+    warnings: list[tuple[str, int, int, str]] = field(default_factory=list)
+
+
+class Chunker:
+    def __init__(self, counter: TokenCounter, limits: Limits = Limits()):
+        self.counter, self.limits = counter, limits
+
+    def _fits(self, prefix: str, text: str, most: int) -> bool:
+        return tokens(self.counter, prefix + text) <= most
+
+    def split(self, path: list[str], body: str, rows: list[tuple]) -> list[Draft]:
+        """The chunks of a section, given its heading path, body and flat block rows."""
+        if not body.strip():
+            return []
+        prefix = "\n".join(path) + "\n" if path else ""
+        if self._fits(prefix, body, self.limits.soft):
+            return [self._draft(prefix, Piece.of(body, min(r[5] for r in rows)), lines=(min(r[5] for r in rows), max(r[6] for r in rows)))]
+        room = self.limits.target - tokens(self.counter, prefix)
+        limit = self.limits.target if room >= max(1, 2 * self.limits.overlap) else self.limits.soft
+        children: dict[int, list[tuple]] = {}
+        for r in rows:
+            children.setdefault(r[1], []).append(r)
+        out: list[Draft] = []
+        run: list[Piece] = []
+        gaps: list[Piece] = []
+
+        def flush() -> None:
+            if run:
+                out.extend(self._draft(prefix, p) for p in self._packed(prefix, run, limit))
+            run.clear()
+            gaps.clear()
+
+        for row in children.get(None, []):
+            piece = Piece.of(row[4], row[5])
+            if row[3] == "blank":
+                if run:
+                    gaps.append(piece)
+            elif row[3] in ATOMIC:
+                flush()
+                out += self._atomic(prefix, row, children)
+            else:
+                if gaps:
+                    if self._fits(prefix, "".join(p.text for p in (*run, *gaps, piece)), limit):
+                        run.extend(gaps)
+                        gaps.clear()
+                    else:
+                        flush()
+                run.append(piece)
+        flush()
+        return out
+
+    def _packed(self, prefix: str, run: list[Piece], limit: int) -> list[Piece]:
+        if len(run) == 1:
+            return self._windows(prefix, run[0], limit)
+        out, pending = [], Piece([])
+        for block in run:
+            if not pending.parts or self._fits(prefix, pending.text + block.text, limit):
+                pending = pending + block
+            else:
+                out.append(pending)
+                pending = self._suffix(pending) + block
+            if not self._fits(prefix, pending.text, self.limits.soft):
+                *full, pending = self._windows(prefix, pending, limit)
+                out += full
+        return [*out, pending]
+
+    def _suffix(self, piece: Piece) -> Piece:
+        found = checked(self.counter, piece.text)
+        n = min(self.limits.overlap, len(found) // 2)
+        return piece.cut(found[-n][0], len(piece.text)) if n else Piece([])
+
+    def _windows(self, prefix: str, piece: Piece, limit: int, overlap: int | None = None, soft: int | None = None) -> list[Piece]:
+        """Windows of at most ``limit`` tokens with the prefix; a last one may have ``soft``."""
+        overlap = self.limits.overlap if overlap is None else overlap
+        soft = self.limits.soft if soft is None else soft
+        text, own = piece.text, tokens(self.counter, prefix)
+        if soft - own <= 0:
+            raise ValueError("the heading path leaves no room for text")
+        found = checked(self.counter, text)
+        n = len(found)
+        edge = lambda k: 0 if k == 0 else len(text) if k >= n else found[k][0]
+        out, at, covered = [], 0, 0
+        while True:
+            left = n - at
+            if left <= soft - own and self._fits(prefix, text[edge(at) :], soft):
+                return [*out, piece.cut(edge(at), len(text))]
+            most = soft if left <= soft - own else limit
+            end = self._reach(prefix, text, edge, at, min(n, at + most - own), most)
+            if end <= covered:
+                at = covered
+                continue
+            out.append(piece.cut(edge(at), edge(end)))
+            covered = end
+            if end >= n:
+                return out
+            at = end - min(overlap, (end - at) // 2)
+
+    def _reach(self, prefix: str, text: str, edge, at: int, end: int, most: int) -> int:
+        """The furthest token at which a window that begins at ``at`` still fits: a counter may count a slice otherwise."""
+        if self._fits(prefix, text[edge(at) : edge(end)], most):
+            return end
+        lo, hi = at + 1, end - 1
+        if not self._fits(prefix, text[edge(at) : edge(lo)], most):
+            raise ValueError("a single token doesn't fit")
+        while lo < hi:
+            middle = (lo + hi + 1) // 2
+            lo, hi = (middle, hi) if self._fits(prefix, text[edge(at) : edge(middle)], most) else (lo, middle - 1)
+        return lo
+
+    def _atomic(self, prefix: str, row: tuple, children: dict[int, list[tuple]]) -> list[Draft]:
+        whole = Piece.of(row[4], row[5]).trimmed()
+        if not whole.parts:
+            return []
+        if self._fits(prefix, whole.text, self.limits.atomic):
+            return [self._draft(prefix, whole)]
+        units = children.get(row[0], [])
+        starts = [row[5], *(u[5] for u in units[1:])] if units else [row[5]]
+        ends = [*(s - 1 for s in starts[1:]), row[6]]
+        kinds = [u[3] for u in units] or [row[3]]
+        block, out, pending = Piece.of(row[4], row[5]), [], Piece([])
+
+        def flush() -> None:
+            if (done := pending.trimmed()).parts:
+                out.append(self._draft(prefix, done))
+
+        for kind, a, b in zip(kinds, starts, ends):
+            unit = Piece([p for p in block.parts if a <= p[0] <= b])
+            if self._fits(prefix, (pending + unit).text, self.limits.atomic):
+                pending = pending + unit
+                continue
+            flush()
+            pending = unit
+            if not self._fits(prefix, unit.text, self.limits.atomic):
+                pending = Piece([])
+                for window in self._windows(prefix, unit, self.limits.atomic, 0, self.limits.atomic):
+                    out.append(self._draft(prefix, window, [(kind, a, b, WARNING)]))
+        flush()
+        return out
+
+    def _draft(self, prefix: str, piece: Piece, warnings: list | None = None, lines: tuple[int, int] | None = None) -> Draft:
+        search = prefix + piece.text
+        return Draft(piece.text, search, tokens(self.counter, search), *(lines or piece.lines()), warnings or [])
+
+
+def parent_context(body: str, rows: list[tuple], counter: TokenCounter, first: int, last: int, raw: str | None = None, most: int = Limits.parent, occurrence: int | None = None) -> Draft:
+    """What surrounds a match on lines ``first`` to ``last``: the body, or the blocks nearest to it that fit.
+
+    ``rows``: the section's top-level block rows. A single block over the limit is cut around ``raw``; where ``raw``
+    stands several times in it, ``occurrence`` (from 0) says which is meant.
+    """
+    top = [r for r in rows if r[1] is None]
+    text = lambda a, b: "".join(r[4] for r in top[a:b])
+    if tokens(counter, body) <= most:
+        return Draft(body, body, tokens(counter, body), top[0][5], top[-1][6])
+    seeds = [i for i, r in enumerate(top) if r[5] <= last and r[6] >= first]
+    if not seeds:
+        raise ValueError("no block holds the match")
+    lo, hi = seeds[0], seeds[-1] + 1
+    if tokens(counter, text(lo, hi)) > most:
+        if hi - lo > 1:
+            raise ValueError("the matched blocks exceed the parent context")
+        return _around(top[lo], counter, raw, most, occurrence)
+    left, right = lo - 1, hi
+    while True:
+        for go_left in ((True, False) if left >= 0 and (right >= len(top) or seeds[0] - left <= right - seeds[-1]) else (False, True)):
+            if go_left and left >= 0 and tokens(counter, text(left, hi)) <= most:
+                lo, left = left, left - 1
+                break
+            if not go_left and right < len(top) and tokens(counter, text(lo, right + 1)) <= most:
+                hi, right = right + 1, right + 1
+                break
+        else:
+            break
+    own = text(lo, hi)
+    return Draft(own, own, tokens(counter, own), top[lo][5], top[hi - 1][6])
+
+
+def _around(row: tuple, counter: TokenCounter, raw: str | None, most: int, occurrence: int | None) -> Draft:
+    """The longest window of one block around the match; of equal ones the first."""
+    if not raw:
+        raise ValueError("a block over the limit needs the matched text")
+    places, at = [], row[4].find(raw)
+    while at >= 0:
+        places.append(at)
+        at = row[4].find(raw, at + 1)
+    if not places or (len(places) > 1 and occurrence is None):
+        raise ValueError("the matched text isn't there once")
+    begin = places[occurrence or 0]
+    found = checked(counter, row[4])
+    inside = [k for k, (a, b) in enumerate(found) if a < begin + len(raw) and b > begin]
+    if len(inside) > most:
+        raise ValueError("the match exceeds the parent context")
+    n = len(found)
+    start = min(max(0, inside[-1] + 1 - most), inside[0])
+    end = min(n, start + most)
+    piece = Piece.of(row[4], row[5]).cut(0 if start == 0 else found[start][0], len(row[4]) if end == n else found[end][0])
+    return Draft(piece.text, piece.text, tokens(counter, piece.text), *piece.lines())
+
+
+# --- on DataFrames ---
+
+CHUNKS = (
+    "doc_id bigint, section_ordinal int, ordinal int, raw_text string, search_text string, token_count int, line_start int, line_end int,"
+    " chunk_hash string, warnings array<struct<block_kind:string,line_start:int,line_end:int,code:string>>"
+)
+_WARNINGS = pa.list_(pa.struct([("block_kind", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("code", pa.string())]))
+
+
+def chunks(documents: DataFrame, counter: TokenCounter, config: str, limits: Limits = Limits(), text: str = "text", parser: str = markdown.PARSER_VERSION) -> DataFrame:
+    """A row for each chunk of each section; a chunk is known by its section and ordinal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunker = Chunker(counter, limits)
+        for batch in batches:
+            for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = [
+                    (
+                        key, s.ordinal, i, d.raw_text, d.search_text, d.token_count, d.line_start, d.line_end,
+                        chunk_hash(parser_version=parser, chunk_config_hash=config, heading_path=s.path, line_start=d.line_start, line_end=d.line_end, raw_text=d.raw_text, search_text=d.search_text),
+                        [dict(zip(("block_kind", "line_start", "line_end", "code"), w)) for w in d.warnings],
+                    )
+                    for s in markdown.parse(source or "")
+                    for i, d in enumerate(chunker.split(s.path, s.body, s.blocks))
+                ]
+                if rows:
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), _WARNINGS)
+                    names = [f.split()[0] for f in CHUNKS.split(", ")[:9]] + ["warnings"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return documents.select("doc_id", text).mapInArrow(run, CHUNKS)
+
+
+def character_windows(text: Column, limits: Limits = Limits()) -> Column:
+    """Start (from 0) and length of each window of one paragraph whose tokens are its characters."""
+    n, step = F.length(text), limits.target - limits.overlap
+    last = F.greatest(F.lit(0), F.ceil((n - limits.soft) / step).cast("int"))
+    windows = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.struct((i * step).alias("start"), F.when(i == last, n - i * step).otherwise(F.lit(limits.target)).alias("length")),
+    )
+    return F.when(F.regexp_like(text, F.lit(r"\S")), windows).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
