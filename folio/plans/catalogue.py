@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from folio.plans import retrieval, structure
+
+QUERIES = {**structure.QUERIES, **retrieval.QUERIES}
+ORACLES = {**structure.ORACLES, **retrieval.ORACLES}
