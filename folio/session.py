@@ -7,9 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
+def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g", conf: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("folio")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -18,8 +18,10 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
