@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.plans import retrieval, structure
+from folio.plans import retrieval, service, structure
 
-QUERIES = {**structure.QUERIES, **retrieval.QUERIES}
-ORACLES = {**structure.ORACLES, **retrieval.ORACLES}
+QUERIES = {**structure.QUERIES, **retrieval.QUERIES, **service.QUERIES}
+ORACLES = {**structure.ORACLES, **retrieval.ORACLES, **service.ORACLES}
