@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from folio.session import repo_root
 
 #: Bytes of text that one vectorised step handles; a longer text is handled alone.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+#: Where tables are written in sessions that name no shared folder, as in tests on one machine.
+UNSET_FOLDER = "/tmp/folio-checkpoints"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,15 +37,8 @@ def python_ready(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Sets one only where it is unset."""
-    context = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        at = "/tmp/folio-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(at)
-    return at
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session; one of its own only where it is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or UNSET_FOLDER
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -3,19 +3,21 @@
 Method: documents with equal sets form a class. Two sets whose Jaccard index reaches the threshold share a shingle among
 their first ones in any fixed order, so classes meet in tiles of one such shingle and one size band. Signatures are
 hashed bitmaps, as wide as their sets ask for: the bits in which two differ bound the overlap from above, and only pairs
-that pass are joined with their sorted arrays for the exact intersection. No link is missed and none is guessed.
+that pass have their sorted arrays intersected, exactly. No link is missed and none is guessed.
 
 What keeps tiles small: the order puts shingles that many documents hold last (a table of at most ``COMMON`` shingles,
-counted over all documents), and sizes and positions bound the overlap before any signature is read.
+counted over all documents). A pair need meet only at the first shingle that it shares, so sizes and positions there bound
+the overlap before any signature is read.
 
 What keeps hot groups cheap: in a first round a class meets only the first of its tile, its ``NEXT`` predecessors and, in
-tiles that a frequent shingle had dealt over several blocks, a few pivots, so a group of any size costs in proportion.
-The exact links of that round make components; in a second round only pairs of different components of the tiles that
-still hold several meet, in blocks of ``TILE`` classes. Members of one component need no further test.
+long tiles, a few pivots, so a group of any size costs in proportion. The exact links of that round make components. In a
+second round the classes of long tiles that still hold several components are marked where sizes and positions, and then
+signatures, leave them a partner in another component; only these bring their arrays, in blocks of ``TILE`` shingles, and
+are intersected where they meet, so what leaves a block is links that join components, never a row per pair.
 
-Scale: the tiles of the first round travel packed by ranges of hashes; arrays are made only for classes that a pair or an
-open tile names. Broadcast are the table of common shingles (bounded) and ids of named documents where a count shows
-that there are at most ``BROADCAST``; beyond it the join shuffles.
+Scale: the tiles of the first round travel packed by ranges of hashes; signatures and arrays are made only for classes
+that a pair or a mark names. Broadcast are the table of common shingles (bounded) and ids of named documents where a count shows that
+there are at most ``BROADCAST``; beyond it the join shuffles.
 
 Defined results: null and empty texts, and texts without a word, have no shingles and link with nothing; a text of fewer
 than five words is one shingle; rows without doc_id are returned with a null component and take no part; repeated rows
@@ -39,12 +41,13 @@ from folio.llm.shingles import distinct, mix, shingles
 NUMERATOR, DENOMINATOR = 4, 5
 COMMON = 1 << 20
 COMMON_IN_TASK = 3  # documents of a task that hold a shingle before the task reports it
-NEXT = 6
+NEXT = 16
 BLOCK = 1 << 13  # classes of a common shingle's tile in one block
 PIVOTS = 16
-TILE = 1 << 12
+TILE = 1 << 21  # shingles of a long tile's classes in one block
 BROADCAST = 1 << 20
-FLUSH = 1 << 20  # entries of tiles that a task packs at a time
+FLUSH = 1 << 18  # entries of tiles that a task packs at a time
+SLOTS = 1 << 23  # counters, of two bytes each, that tell a task which shingles it may have seen often enough
 
 _U = np.uint64
 _GATE_BITS = 22
@@ -60,11 +63,6 @@ def probe_length(s):
     return s - -(-s * NUMERATOR // DENOMINATOR) + 1
 
 
-def index_length(s):
-    """First shingles of a set among which it meets every partner that isn't smaller."""
-    return s - needed(s, s) + 1
-
-
 def class_of(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A hash of each row's set, the same for equal sets."""
     n = np.diff(begin)
@@ -87,22 +85,35 @@ def sized(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["common", "doc_id", "n", "hash"]
-        held, held_n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        slots, added = np.zeros(SLOTS, np.uint16), 0
+        often, often_n, new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            both, back = np.unique(np.concatenate([often, *new]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([often_n, np.ones(len(back) - len(often), np.int64)]), len(both)).astype(np.int64)
+            if len(both) > COMMON:  # of a very large task the most frequent stay
+                keep = np.argsort(-n, kind="stable")[: COMMON // 2]
+                keep.sort()
+                both, n = both[keep], n[keep]
+            return both, n
+
         for batch in batches:
             for lo, hi, values, begin in _sets(batch):
                 values, begin = distinct(values, begin)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(hi - lo, bool)), batch.column(0).slice(lo, hi - lo), pa.array(np.diff(begin)), pa.array(class_of(values, begin).view(np.int64))], names
                 )
-                own, count = np.unique(values, return_counts=True)
-                held, back = np.unique(np.append(held, own), return_inverse=True)
-                held_n = np.bincount(back, np.append(held_n, count), len(held)).astype(np.int64)
-                if len(held) > FLUSH:  # what one document holds is dropped: a common shingle comes again
-                    keep = held_n > 1
-                    held, held_n = held[keep], held_n[keep]
-        often = held_n >= COMMON_IN_TASK
+                at = (values % _U(SLOTS)).astype(np.int64)
+                np.add.at(slots, at, (slots[at] < COMMON_IN_TASK).astype(np.uint16))
+                new.append(values[slots[at] >= COMMON_IN_TASK])
+                added += len(values)
+                if sum(map(len, new)) > FLUSH:
+                    (often, often_n), new = counted(), []
+                if added > SLOTS // 2:  # so full that chance would fill more
+                    slots[:], added = 0, 0
+        often, often_n = counted()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(often.sum(), bool)), pa.nulls(int(often.sum()), pa.int64()), pa.array(held_n[often]), pa.array(held[often].view(np.int64))], names
+            [pa.array(np.ones(len(often), bool)), pa.nulls(len(often), pa.int64()), pa.array(often_n + COMMON_IN_TASK - 1), pa.array(often.view(np.int64))], names
         )
 
     return text_rows(docs).mapInArrow(run, "common boolean, doc_id bigint, n bigint, hash bigint")
@@ -120,7 +131,8 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 # --- second pass: tiles ---
 
-ENTRY = np.dtype([("tile", "<u8"), ("key", "<u8"), ("cls", "<u8"), ("size", "<i4"), ("at", "<i4"), ("blocks", "<i4")])
+#: A class in a tile: the shingle's key, the block, the class, its size, the key's place in it and the tile's blocks.
+ENTRY = np.dtype([("key", "<u8"), ("cls", "<u8"), ("block", "<i4"), ("size", "<i4"), ("at", "<i4"), ("blocks", "<i4")])
 _SPREAD = 1 << 62
 
 
@@ -181,26 +193,22 @@ def entries(values: np.ndarray, begin: np.ndarray, order: Order, seen: set[int])
     blocks = order.blocks(key)
     out = np.empty(len(row), ENTRY)
     out["key"], out["cls"], out["size"], out["at"], out["blocks"] = key, sets[row], n[row], at, blocks
-    out["tile"] = _tile(key, mix(out["cls"]) % blocks.astype(np.uint64))
+    out["block"] = mix(out["cls"]) % blocks.astype(np.uint64)
     parts = [out]
     wide = np.flatnonzero(blocks > 1)
     for i in wide[pivot(out["cls"][wide], blocks[wide] * BLOCK)].tolist():  # pivots stand in the other blocks too
         copies = np.repeat(out[i : i + 1], blocks[i])
-        copies["tile"] = _tile(copies["key"], np.arange(blocks[i], dtype=np.uint64))
-        parts.append(copies[copies["tile"] != out["tile"][i]])
+        copies["block"] = np.arange(blocks[i])
+        parts.append(copies[copies["block"] != out["block"][i]])
     return np.concatenate(parts)
 
 
-def _tile(key: np.ndarray, block: np.ndarray) -> np.ndarray:
-    return mix(key + block * _U(0x9E3779B97F4A7C15))
-
-
 def tiles(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
     """(range, entries): the entries of all tiles, packed by ranges of their tiles' hashes."""
 
     def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
         every = np.concatenate(parts) if parts else np.zeros(0, ENTRY)
-        of = (every["tile"] % _U(ranges)).astype(np.int64)
+        of = (mix(every["key"] + every["block"].astype(np.uint64) * _U(0x9E3779B97F4A7C15)) % _U(ranges)).astype(np.int64)
         by = np.argsort(of, kind="stable")
         every, counts = every[by], np.bincount(of, minlength=ranges)
         some, cuts = np.flatnonzero(counts), np.append(0, np.cumsum(counts))
@@ -224,25 +232,30 @@ def tiles(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
     return text_rows(docs).where("doc_id IS NOT NULL").mapInArrow(run, "range int, entries binary")
 
 
-def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sizes and the shared shingle's positions let the smaller ``a`` and the larger ``b`` reach the threshold."""
-    s, t, i, j = (x.astype(np.int64) for x in (a["size"], b["size"], a["at"], b["at"]))
-    most = np.minimum(i, j) + 1 + np.minimum(s - i - 1, t - j - 1)
-    return (s * DENOMINATOR >= t * NUMERATOR) & (i < index_length(s)) & (most >= needed(s, t)) & (a["cls"] != b["cls"])
+def may_link(s: np.ndarray, i: np.ndarray, t: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes ``s`` <= ``t`` may reach the threshold if what they share first is at ``i`` and ``j``.
+
+    A pair that doesn't share it first may be refused here: it meets at the shingle that it does share first.
+    """
+    return (s * DENOMINATOR >= t * NUMERATOR) & (np.minimum(s - i, t - j) >= needed(s, t))
+
+
+def _fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return may_link(*(x.astype(np.int64) for x in (a["size"], a["at"], b["size"], b["at"]))) & (a["cls"] != b["cls"])
 
 
 def first_round(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of classes to test, and the entries of tiles in which not every pair was among them."""
-    entry = entry[np.argsort(entry["tile"], kind="stable")]
-    start = np.flatnonzero(np.append(True, entry["tile"][1:] != entry["tile"][:-1])) if len(entry) else np.zeros(0, np.int64)
+    entry = entry[np.argsort(entry["key"], kind="stable")]
+    start = np.flatnonzero(np.append(True, entry["key"][1:] != entry["key"][:-1])) if len(entry) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(entry)))
     entry = entry[np.repeat((size > 1), size) | (entry["blocks"] > 1)]
     if not len(entry):
         return np.zeros((0, 2), np.uint64), entry
-    entry = entry[np.lexsort((entry["cls"], entry["size"], entry["key"], entry["tile"]))]
+    entry = entry[np.lexsort((entry["cls"], entry["size"], entry["block"], entry["key"]))]
     same = lambda *names: np.logical_and.reduce([entry[x][1:] == entry[x][:-1] for x in names])
-    entry = entry[np.append(True, ~same("tile", "key", "cls"))]
-    start = np.flatnonzero(np.append(True, ~same("tile", "key")))
+    entry = entry[np.append(True, ~same("key", "block", "cls"))]
+    start = np.flatnonzero(np.append(True, ~same("key", "block")))
     size = np.diff(np.append(start, len(entry)))
     mine, here = np.repeat(start, size), np.arange(len(entry))
     meetings = [(mine, here), *((here[:-d], here[d:]) for d in range(1, NEXT + 1) if d < len(here))]
@@ -250,7 +263,7 @@ def first_round(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for a, b in meetings:
         fits = (mine[a] == mine[b]) & (a != b)
         a, b = a[fits], b[fits]
-        fits = may_link(entry[a], entry[b])
+        fits = _fit(entry[a], entry[b])
         out.append(np.stack([entry["cls"][a[fits]], entry["cls"][b[fits]]], 1))
     open_ = np.repeat(size > NEXT + 2, size) | (entry["blocks"] > 1)
     for lo, n in zip(start.tolist(), size.tolist()):
@@ -260,7 +273,7 @@ def first_round(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for p in np.flatnonzero(pivot(tile["cls"], np.full(n, n))).tolist():
             other = np.arange(n)
             a, b = np.minimum(other, p), np.maximum(other, p)
-            fits = may_link(tile[a], tile[b])
+            fits = _fit(tile[a], tile[b])
             out.append(np.stack([tile["cls"][a[fits]], tile["cls"][b[fits]]], 1))
     found = np.concatenate(out)
     found = np.stack([found.min(axis=1), found.max(axis=1)], 1)
@@ -296,9 +309,9 @@ def meet(packed: DataFrame) -> DataFrame:
 # --- signatures, sorted arrays and the exact test ---
 
 
-def bitmap(values: np.ndarray) -> bytes:
-    """The set's low bits hashed into a bitmap of twice its size in bits, a power of two."""
-    width = max(256, 1 << int(2 * len(values) - 1).bit_length())
+def bitmap(values: np.ndarray, width: int = 0) -> bytes:
+    """The set's low bits hashed into a bitmap of ``width`` bits, a power of two; by default four times its size."""
+    width = width or max(256, 1 << int(4 * len(values) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(values & _U(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -317,32 +330,40 @@ def bound(n: int, x: bytes, m: int, y: bytes) -> int:
     return (n + m - apart.bit_count()) // 2
 
 
-def signed_sets(docs: DataFrame) -> DataFrame:
-    """(cls, n, bits, sets) of the documents' classes: bitmaps and sorted arrays."""
+def signed(docs: DataFrame, make) -> DataFrame:
+    """(cls, n, x) of the documents' classes, where ``make`` gives bytes ``x`` from a sorted array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, _, values, begin in _sets(batch):
                 values, begin = distinct(values, begin)
-                cls, n, rows = class_of(values, begin), np.diff(begin), []
-                for i in np.flatnonzero(n).tolist():
-                    if (c := int(cls[i])) not in seen:
+                cls, n, rows = class_of(values, begin).view(np.int64).tolist(), np.diff(begin).tolist(), []
+                for i, c in enumerate(cls):
+                    if n[i] and c not in seen:
                         seen.add(c)
-                        own = values[begin[i] : begin[i + 1]]
-                        rows.append((int(cls[i : i + 1].view(np.int64)[0]), int(n[i]), bitmap(own), own.tobytes()))
-                columns = list(zip(*rows)) or [()] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["cls", "n", "bits", "sets"]
-                )
+                        rows.append((c, n[i], make(values[begin[i] : begin[i + 1]])))
+                columns = list(zip(*rows)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], ["cls", "n", "x"])
+
+    return text_rows(docs).mapInArrow(run, "cls bigint, n int, x binary")
+
+
+def array(values: np.ndarray) -> bytes:
+    return values.tobytes()
 
-    return text_rows(docs).mapInArrow(run, "cls bigint, n int, bits binary, sets binary")
 
+def of_classes(docs: DataFrame, classes: DataFrame, leaders: DataFrame, make, name: str) -> DataFrame:
+    """``signed`` for some classes, from the documents that stand for them; ids are broadcast where a count allows it."""
+    ids = written(classes.select("cls").distinct().join(leaders, "cls").select(F.col("lead").alias("doc_id")).distinct(), "named")
+    named = text_rows(docs).join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", "left_semi")
+    return written(signed(named, make), name).dropDuplicates(["cls"])
 
-def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """Each pair with ``column`` (and the size) of either side."""
+
+def _beside(pairs: DataFrame, made: DataFrame) -> DataFrame:
+    """Each pair with the sizes and the signatures or arrays of both sides."""
     for side in ("a", "b"):
-        own = sets.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"x_{side}"))
+        own = made.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("x").alias(f"x_{side}"))
         pairs = pairs.join(own, side)
     return pairs.select("a", "b", "n_a", "n_b", "x_a", "x_b")
 
@@ -361,7 +382,8 @@ def within_bound(n: int, m: int, x: bytes, y: bytes) -> bool:
     return bound(n, x, m, y) >= needed(n, m)
 
 
-def linked(n: int, m: int, x: bytes, y: bytes) -> bool:
+def linked(n: int, m: int, x, y) -> bool:
+    """The exact test; ``x`` and ``y`` are sorted arrays or their bytes."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     if len(a) > len(b):
         a, b = b, a
@@ -369,72 +391,136 @@ def linked(n: int, m: int, x: bytes, y: bytes) -> bool:
     return int((b[at] == a).sum()) >= needed(n, m)
 
 
-def links(pairs: DataFrame, sets: DataFrame, name: str, bounded: bool = False) -> DataFrame:
+def links(pairs: DataFrame, docs: DataFrame, leaders: DataFrame) -> DataFrame:
     """The pairs that reach the threshold, exactly."""
-    if not bounded:
-        pairs = _tested(_beside(pairs, sets, "bits"), within_bound)
-    return written(_tested(_beside(pairs, sets, "sets"), linked).distinct(), name)
+    both = lambda p: p.select(F.explode(F.array("a", "b")).alias("cls"))
+    bits = of_classes(docs, both(pairs), leaders, bitmap, "bits")
+    bounded = written(_tested(_beside(pairs, bits), within_bound), "bounded")
+    return written(_tested(_beside(bounded, of_classes(docs, both(bounded), leaders, array, "arrays")), linked).distinct(), "links")
 
 
 # --- second round ---
 
 BAND = 1.26  # wider than the threshold's ratio of sizes, so that partners' bands differ by one at most
+MEMBER = "key bigint, cls bigint, size int, at int, root bigint"
 
 
-def second_round(open_: DataFrame, roots: DataFrame, sets: DataFrame, ranges: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in an open tile and pass their signatures' bound."""
-    owned = open_.join(roots, open_["cls"] == roots["node"], "left").select(
-        "cls", "key", "size", "at", F.coalesce("root", "cls").alias("root")
-    )
-    several = owned.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    signed = owned.join(several, "key", "left_semi").join(sets.select("cls", "bits"), "cls")
+def dealt(members: DataFrame, ranges: int) -> DataFrame:
+    """Members of tiles, each in its own size band and as a guest in the next; long tiles are dealt in pairs of blocks."""
     band = F.floor(F.log("size") / F.log(F.lit(BAND))).cast("int")
-    banded = signed.withColumn("where", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))).select(
-        "cls", "key", "size", "at", "root", "bits", "where.band", "where.home"
+    stands = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))
+    own = [c for c in members.columns]
+    banded = members.withColumn("stand", stands).select(*own, "stand.band", "stand.home")
+    long = banded.groupBy("key", "band").agg(F.sum("size").alias("n")).where(F.col("n") > TILE)
+    parts = long.select("key", "band", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
+    out = banded.join(parts, ["key", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    out = out.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    out = out.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+    return out.withColumn("range", F.pmod(F.xxhash64("key", "band", "lo", "hi"), F.lit(ranges)).cast("int")).select(
+        *own, "band", "home", "part", "lo", "hi", "range"
+    )
+
+
+class Tile:
+    """The members of one tile, or of two of its blocks, smallest first."""
+
+    def __init__(self, columns: dict[str, np.ndarray], rows: np.ndarray):
+        self.rows = rows
+        self.size, self.at = (columns[x][rows].astype(np.int64) for x in ("size", "at"))
+        self.cls, self.root, self.home, self.part = (columns[x][rows] for x in ("cls", "root", "home", "part"))
+        self.apart = columns["lo"][rows[0]] != columns["hi"][rows[0]]
+        self.reach = np.searchsorted(self.size * NUMERATOR, self.size * DENOMINATOR, side="right")
+
+    def partners(self, k: int) -> np.ndarray:
+        """The larger members of other components that member ``k`` may link with."""
+        j = np.arange(k + 1, self.reach[k])
+        fits = (self.root[j] != self.root[k]) & (self.home[j] | self.home[k])
+        if self.apart:
+            fits &= self.part[j] != self.part[k]
+        j = j[fits]
+        return j[may_link(self.size[k], self.at[k], self.size[j], self.at[j])]
+
+
+def _tiles_of(table: pa.Table) -> Iterator[Tile]:
+    columns = {x: table.column(x).to_numpy() for x in ("key", "cls", "size", "at", "root", "band", "home", "part", "lo", "hi")}
+    order = np.lexsort([columns[x] for x in ("cls", "size", "hi", "lo", "band", "key")])
+    change = np.append(True, np.logical_or.reduce([columns[x][order][1:] != columns[x][order][:-1] for x in ("key", "band", "lo", "hi")]))
+    cuts = [*np.flatnonzero(change).tolist(), len(order)]
+    for a, b in zip(cuts, cuts[1:]):
+        tile = Tile(columns, order[a:b])
+        if b - a > 1 and tile.home.any() and tile.root.min() != tile.root.max():
+            yield tile
+
+
+def marked(open_: DataFrame, roots: DataFrame, ranges: int) -> DataFrame:
+    """The members of open tiles that sizes and positions leave a partner of another component."""
+    owned = open_.join(roots, open_["cls"] == roots["node"], "left").select(
+        "key", "cls", "size", "at", F.coalesce("root", "cls").alias("root")
     )
-    wide = banded.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
-    parts = wide.select("key", "band", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
-    dealt = banded.join(parts, ["key", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
-    dealt = dealt.withColumn("range", F.pmod(F.xxhash64("key", "band", "lo", "hi"), F.lit(ranges)).cast("int"))
+    several = owned.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    return _marked(owned.join(several, "key", "left_semi"), ranges, None)
+
+
+def _marked(members: DataFrame, ranges: int, bits: DataFrame | None) -> DataFrame:
+    """The members of tiles that have a partner there; with ``bits``, one that their signatures allow as well."""
+    sign = bits is not None
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        get = lambda name: table.column(name).to_numpy()
-        cls, key, size, at, root, band, home, part, lo, hi = map(get, ("cls", "key", "size", "at", "root", "band", "home", "part", "lo", "hi"))
-        order = np.lexsort((cls, size, hi, lo, band, key))
-        change = np.zeros(len(order), bool)
-        change[0] = True
-        for x in (key, band, lo, hi):
-            change[1:] |= x[order][1:] != x[order][:-1]
-        cuts = [*np.flatnonzero(change).tolist(), len(order)]
-        bits, out = table.column("bits"), [np.zeros((0, 2), np.int64)]
-        for a, b in zip(cuts, cuts[1:]):
-            rows = order[a:b]
-            if b - a < 2 or root[rows].min() == root[rows].max() or not home[rows].any():
-                continue
-            own = [bits[i].as_py() for i in rows.tolist()]
-            least = min(map(len, own))
-            sign = np.frombuffer(b"".join(folded(x, least) for x in own), np.uint64).reshape(len(own), -1)
-            s, i, r, c, h, p = size[rows].astype(np.int64), at[rows].astype(np.int64), root[rows], cls[rows], home[rows], part[rows]
-            apart = lo[rows[0]] != hi[rows[0]]
-            reach = np.searchsorted(s * NUMERATOR, s * DENOMINATOR, side="right")
-            for k in np.flatnonzero(i < index_length(s)).tolist():
-                j = np.arange(k + 1, reach[k])
-                j = j[(r[j] != r[k]) & (h[j] | h[k]) & ((p[j] != p[k]) if apart else True)]
-                most = np.minimum(i[k], i[j]) + 1 + np.minimum(s[k] - i[k] - 1, s[j] - i[j] - 1)
-                need = needed(s[k], s[j])
-                j, need = j[most >= need], need[most >= need]
+        found, x = [np.zeros(0, np.int64)], table.column("x").combine_chunks() if sign else None
+        for tile in _tiles_of(table):
+            has = np.zeros(len(tile.rows), bool)
+            if sign:
+                own = [x[i].as_py() for i in tile.rows.tolist()]
+                least = min(map(len, own))
+                bits = np.stack([np.frombuffer(folded(b, least), np.uint64) for b in own])
+            for k in range(len(tile.rows) - 1):
+                j = tile.partners(k)
+                if len(j) and sign:
+                    j = j[_overlap(tile, bits, k, j) >= needed(tile.size[k], tile.size[j])]
                 if len(j):
-                    differ = np.bitwise_count(sign[j] ^ sign[k]).sum(axis=1, dtype=np.int64)
-                    j = j[(s[k] + s[j] - differ) // 2 >= need]
-                    out.append(np.stack([np.minimum(c[j], c[k]), np.maximum(c[j], c[k])], 1))
-        found = np.unique(np.concatenate(out), axis=0)
-        return pa.table([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+                    has[j] = has[k] = True
+            found.append(tile.rows[has])
+        return table.select(["key", "cls", "size", "at", "root"]).take(pa.array(np.concatenate(found)))
+
+    rows = dealt(members, ranges)
+    rows = rows.join(bits.select("cls", "x"), "cls") if sign else rows
+    return rows.groupBy("range").applyInArrow(run, MEMBER).distinct()
+
 
-    return dealt.groupBy("range").applyInArrow(run, "a bigint, b bigint").distinct()
+def _overlap(tile: Tile, bits: np.ndarray, k: int, j: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps of member ``k`` with members ``j``."""
+    return (tile.size[k] + tile.size[j] - np.bitwise_count(bits[j] ^ bits[k]).sum(axis=1, dtype=np.int64)) // 2
+
+
+def second_round(members: DataFrame, arrays: DataFrame, ranges: int) -> DataFrame:
+    """Links (a, b) that join components, found where the marked members meet with their arrays."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, out = table.column("x").combine_chunks(), []
+        for tile in _tiles_of(table):
+            own = [np.frombuffer(x[i].as_py(), np.uint64) for i in tile.rows.tolist()]
+            width = max(256, 1 << int(8 * len(own[-1]) - 1).bit_length())
+            bits = np.stack([np.frombuffer(bitmap(v, width), np.uint64) for v in own])
+            above: dict[int, int] = {}
+
+            def root(node: int) -> int:
+                while (up := above.get(node, node)) != node:
+                    node = up
+                return node
+
+            for k in range(len(own) - 1):
+                j = tile.partners(k)
+                for other in j[_overlap(tile, bits, k, j) >= needed(tile.size[k], tile.size[j])].tolist():
+                    a, b = root(int(tile.root[k])), root(int(tile.root[other]))
+                    if a != b and linked(len(own[k]), len(own[other]), own[k], own[other]):
+                        above[max(a, b)] = min(a, b)
+                        out.append((int(tile.cls[k]), int(tile.cls[other])))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = dealt(members, ranges).join(arrays.select("cls", "x"), "cls")
+    return written(rows.groupBy("range").applyInArrow(run, "a bigint, b bigint"), "more-links")
 
 
 # --- the join ---
@@ -451,15 +537,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = written(meet(tiles(docs, Order(*common_shingles(first)), ranges)), "meetings")
     pairs = met.where("b IS NOT NULL").select("a", "b").distinct()
     open_ = met.where("b IS NULL").select(F.col("a").alias("cls"), "key", "size", "at").distinct()
-    named = met.select(F.col("a").alias("cls")).union(met.where("b IS NOT NULL").select("b")).distinct()
-    ids = written(named.join(leaders, "cls").select(F.col("lead").alias("doc_id")).distinct(), "named")
-    if ids.count() <= BROADCAST:
-        ids = F.broadcast(ids)
-    sets = written(signed_sets(text_rows(docs).join(ids, "doc_id", "left_semi")), "sets")
-    near = links(pairs, sets, "links")
-    roots = components(near)
-    more = second_round(open_, roots, sets, ranges).join(pairs, ["a", "b"], "left_anti")
-    roots = components(near.unionByName(links(more, sets, "more-links", bounded=True)))
+    near = links(pairs, docs, leaders)
+    members = written(marked(open_, components(near), ranges), "marked")
+    members = written(_marked(members, ranges, of_classes(docs, members, leaders, bitmap, "more-bits")), "remarked")
+    roots = components(near.unionByName(second_round(members, of_classes(docs, members, leaders, array, "more-arrays"), ranges)))
     led = leaders.join(roots, leaders["cls"] == roots["node"], "left").select("cls", "lead", F.coalesce("root", "cls").alias("root"))
     lowest = led.groupBy("root").agg(F.min("lead").alias("component_id"))
     named_by = led.join(lowest, "root").select("cls", "component_id")
@@ -484,7 +565,8 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS words
   FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]

@@ -43,7 +43,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(21, int(size).bit_length()))
+    return _powers(1 << max(20, int(size).bit_length()))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
