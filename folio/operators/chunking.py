@@ -347,22 +347,22 @@ def _around(row: tuple, counter: TokenCounter, raw: str | None, most: int, occur
 # --- on DataFrames ---
 
 CHUNKS = (
-    "doc_id bigint, section_ordinal int, ordinal int, raw_text string, search_text string, token_count int, line_start int, line_end int,"
+    "section_ordinal int, ordinal int, raw_text string, search_text string, token_count int, line_start int, line_end int,"
     " chunk_hash string, warnings array<struct<block_kind:string,line_start:int,line_end:int,code:string>>"
 )
 _WARNINGS = pa.list_(pa.struct([("block_kind", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("code", pa.string())]))
 
 
-def chunks(documents: DataFrame, counter: TokenCounter, config: str, limits: Limits = Limits(), text: str = "text", parser: str = markdown.PARSER_VERSION) -> DataFrame:
+def chunks(documents: DataFrame, counter: TokenCounter, config: str, limits: Limits = Limits(), text: str = "text", parser: str = markdown.PARSER_VERSION, key: str = "doc_id") -> DataFrame:
     """A row for each chunk of each section; a chunk is known by its section and ordinal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunker = Chunker(counter, limits)
         for batch in batches:
-            for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for own, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = [
                     (
-                        key, s.ordinal, i, d.raw_text, d.search_text, d.token_count, d.line_start, d.line_end,
+                        own, s.ordinal, i, d.raw_text, d.search_text, d.token_count, d.line_start, d.line_end,
                         chunk_hash(parser_version=parser, chunk_config_hash=config, heading_path=s.path, line_start=d.line_start, line_end=d.line_end, raw_text=d.raw_text, search_text=d.search_text),
                         [dict(zip(("block_kind", "line_start", "line_end", "code"), w)) for w in d.warnings],
                     )
@@ -370,11 +370,11 @@ def chunks(documents: DataFrame, counter: TokenCounter, config: str, limits: Lim
                     for i, d in enumerate(chunker.split(s.path, s.body, s.blocks))
                 ]
                 if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), _WARNINGS)
-                    names = [f.split()[0] for f in CHUNKS.split(", ")[:9]] + ["warnings"]
+                    kinds = (batch.column(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), _WARNINGS)
+                    names = [key, *(f.split()[0] for f in CHUNKS.split(", ")[:8]), "warnings"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return documents.select("doc_id", text).mapInArrow(run, CHUNKS)
+    return documents.select(key, text).mapInArrow(run, f"{key} {documents.schema[key].dataType.simpleString()}, {CHUNKS}")
 
 
 def character_windows(text: Column, limits: Limits = Limits()) -> Column:

@@ -406,31 +406,31 @@ def parse(text: str) -> list[Section]:
 # --- on DataFrames ---
 
 BLOCKS = "array<struct<block_id:int,parent_block_id:int,depth:int,kind:string,raw_text:string,line_start:int,line_end:int>>"
-SECTIONS = f"doc_id bigint, ordinal int, parent_ordinal int, level int, heading string, heading_path array<string>, body string, line_start int, line_end int, blocks {BLOCKS}"
+SECTIONS = f"ordinal int, parent_ordinal int, level int, heading string, heading_path array<string>, body string, line_start int, line_end int, blocks {BLOCKS}"
 _BLOCK_TYPE = pa.list_(pa.struct([("block_id", pa.int32()), ("parent_block_id", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("raw_text", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())]))
 _BLOCK_NAMES = [f.name for f in _BLOCK_TYPE.value_type]
 
 
-def sections(documents: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each section of each document; a null or blank text has none."""
+def sections(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """A row for each section of each document (with its key); a null or blank text has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for own, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = parse(source or "")
                 if not found:
                     continue
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([key] * len(found), pa.int64()), pa.array([s.ordinal for s in found], pa.int32()), pa.array([s.parent for s in found], pa.int32()),
+                        pa.array([own] * len(found), batch.column(0).type), pa.array([s.ordinal for s in found], pa.int32()), pa.array([s.parent for s in found], pa.int32()),
                         pa.array([s.level for s in found], pa.int32()), pa.array([s.heading for s in found], pa.string()), pa.array([s.path for s in found], pa.list_(pa.string())),
                         pa.array([s.body for s in found], pa.string()), pa.array([s.line_start for s in found], pa.int32()), pa.array([s.line_end for s in found], pa.int32()),
                         pa.array([[dict(zip(_BLOCK_NAMES, b)) for b in s.blocks] for s in found], _BLOCK_TYPE),
                     ],
-                    ["doc_id", "ordinal", "parent_ordinal", "level", "heading", "heading_path", "body", "line_start", "line_end", "blocks"],
+                    [key, "ordinal", "parent_ordinal", "level", "heading", "heading_path", "body", "line_start", "line_end", "blocks"],
                 )
 
-    return documents.select("doc_id", text).mapInArrow(run, SECTIONS)
+    return documents.select(key, text).mapInArrow(run, f"{key} {documents.schema[key].dataType.simpleString()}, {SECTIONS}")
 
 
 def blocks(sectioned: DataFrame) -> DataFrame:

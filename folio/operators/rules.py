@@ -93,3 +93,21 @@ def foreign_violations(rows: DataFrame, key: str, columns: tuple[str, ...], targ
         whole = whole.where(F.col(column).isNotNull())
     named = target.select(*(F.col(t).alias(x) for x, t in zip(columns, target_columns)))
     return whole.join(named, list(columns), "left_anti").select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
+
+
+def database_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rule, key) of everything in the given tables that breaks a CHECK, a unique key or a reference among them."""
+    from functools import reduce
+
+    from folio.sources.schema import REFERENCES
+
+    found = []
+    for name, rows in tables.items():
+        key = "id" if "id" in rows.columns else rows.columns[0]
+        own = table_violations(name, rows, key)
+        found += [own.select(F.lit(name).alias("table"), "rule", "key")] if own is not None else []
+        for columns, target, names in REFERENCES.get(name, ()):
+            if target in tables:
+                broken = foreign_violations(rows, key, columns, tables[target], names, f"reference_{'_'.join(columns)}")
+                found.append(broken.select(F.lit(name).alias("table"), "rule", "key"))
+    return reduce(DataFrame.unionByName, found)

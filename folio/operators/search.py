@@ -123,6 +123,12 @@ def vector_top(rows: DataFrame, key: str, vector: str, queries: DataFrame, query
     return _ranked(rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint"), vector).mapInArrow(run, _SCORES), k)
 
 
+def check_descriptor(active: tuple[str, str, int], query: tuple[str, str, int]) -> None:
+    """Refuses a query whose embedder (model, revision, dimension) isn't the one that made the active vectors."""
+    if active != query or active[2] <= 0:
+        raise ValueError("the query's embedder isn't the active run's")
+
+
 def authorised(chunks: DataFrame, occurrences: DataFrame, profiles: DataFrame, grants: DataFrame, clients: DataFrame, client: str, now: str, scope: str = "current", prefixes: tuple[str, ...] = (), states: tuple[str, ...] = ()) -> DataFrame:
     """The chunks that a client may search, decided before anything is scored.
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.identity import content_hash_column
+from folio.functions import vectors
 from folio.functions.text import trigrams
-from folio.operators import markdown, search
+from folio.operators import chunking, indexing, markdown, search
 from folio.plans import corpus, retrieval, structure
 from folio.session import table
 
@@ -52,7 +53,20 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", F.to_json(F.struct("contents", "documents", "english", "total_bytes")).alias("stats"))
 
 
-QUERIES = {"search_service": search_service, "block_overlap": block_overlap, "trigram_index": trigram_index, "run_stats": run_stats}
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run over all documents as Markdown files: every occurrence with its content and what was made of that."""
+    files = corpus.occurrences(spark, sf_dir).select("doc_id", "source_path").join(corpus.markdown_documents(spark, sf_dir), "doc_id")
+    config = indexing.Config(
+        chunking.CharacterTokens(), lambda: vectors.hash_embedder(16), structure.CHUNK_CONFIG, "e" * 64, ("hash", "1", 16), include=corpus.INCLUDE, exclude=corpus.EXCLUDE
+    )
+    built = indexing.build(files.select("source_path", F.encode("text", "UTF-8").alias("content")), "run-1", config)
+    per_section = built["chunks"].join(built["chunk_embeddings"].select(F.col("chunk_id").alias("id"), "dimension"), "id").groupBy("section_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("n_tokens"))
+    per_parse = built["sections"].join(per_section, F.col("id") == F.col("section_id"), "left").groupBy("parse_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
+    per_content = built["document_parses"].join(per_parse, F.col("id") == F.col("parse_id")).select("content_id", "n_sections", "n_chunks", "n_tokens")
+    return built["document_occurrences"].join(per_content, "content_id").select("source_path", "content_id", "version_scope", "decision_state", "n_sections", "n_chunks", "n_tokens")
+
+
+QUERIES = {"index_build": index_build, "search_service": search_service, "block_overlap": block_overlap, "trigram_index": trigram_index, "run_stats": run_stats}
 
 _SEEN = "seen AS (SELECT DISTINCT doc_id FROM ({auth}) WHERE client_id = 'c2'), sd AS (SELECT d.* FROM documents d SEMI JOIN seen USING (doc_id)), se AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM sd))"
 ORACLES = {
