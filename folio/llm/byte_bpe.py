@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm.common import documents, python_ready, steps, text_rows, utf8
+from folio.llm.common import documents, lean, python_ready, steps, text_rows, utf8
 
 MODEL = "byte_bpe_multi_50k.tiktoken"
 #: Pieces that a worker's cache holds before it starts anew.
@@ -358,7 +358,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     python_ready(docs.sparkSession)
-    return text_rows(docs).mapInArrow(run, "doc_id bigint, ids array<int>, starts array<bigint>")
+    return text_rows(docs).mapInArrow(lean(run), "doc_id bigint, ids array<int>, starts array<bigint>")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -383,7 +383,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             )
 
     python_ready(docs.sparkSession)
-    return text_rows(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return text_rows(docs).mapInArrow(lean(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from folio.session import repo_root
 
 #: Bytes of text that one vectorised step handles; a longer text is handled alone.
 STEP_BYTES = 1 << 19
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Where tables are written in sessions that name no shared folder, as in tests on one machine.
 UNSET_FOLDER = "/tmp/folio-checkpoints"
 
@@ -49,6 +51,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def tidy() -> None:
+    """Gives what Arrow and the C library hold in reserve back to the system: workers share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def lean(run):
+    """``run`` over Arrow batches, tidied up after every batch."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            tidy()
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(each(batches))
+        tidy()
+
+    return tidied
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; null rows are empty. No copy without nulls."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.byte_bpe import LETTER, classes
-from folio.llm.common import crc_mod, documents, python_ready, steps, text_rows, utf8
+from folio.llm.common import crc_mod, documents, lean, python_ready, steps, text_rows, utf8
 
 SAMPLE, SAMPLE_CHARS, LANGUAGES = 1_500, 4_000, 200
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: tuple | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     python_ready(docs.sparkSession)
-    return text_rows(docs).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return text_rows(docs).mapInArrow(lean(run), "doc_id bigint, lang_pred string, score double")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

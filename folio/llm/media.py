@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm.common import documents, python_ready, text_rows, utf8
+from folio.llm.common import documents, lean, python_ready, text_rows, utf8
 
 UNIT = 64
 RATE = 8_000
@@ -128,7 +128,7 @@ def media_column(docs: DataFrame) -> DataFrame:
                 )
 
     python_ready(docs.sparkSession)
-    return text_rows(docs).mapInArrow(run, MEDIA)
+    return text_rows(docs).mapInArrow(lean(run), MEDIA)
 
 
 def media_features(docs: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def media_features(docs: DataFrame) -> DataFrame:
             )
 
     python_ready(docs.sparkSession)
-    return text_rows(docs).mapInArrow(run, FEATURES)
+    return text_rows(docs).mapInArrow(lean(run), FEATURES)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents, python_ready, steps, text_rows, utf8, written
+from folio.llm.common import documents, lean, python_ready, steps, text_rows, tidy, utf8, written
 from folio.llm.components import components
 from folio.llm.shingles import distinct, mix, shingles
 
@@ -116,7 +116,7 @@ def sized(docs: DataFrame) -> DataFrame:
             [pa.array(np.ones(len(often), bool)), pa.nulls(len(often), pa.int64()), pa.array(often_n + COMMON_IN_TASK - 1), pa.array(often.view(np.int64))], names
         )
 
-    return text_rows(docs).mapInArrow(run, "common boolean, doc_id bigint, n bigint, hash bigint")
+    return text_rows(docs).mapInArrow(lean(run), "common boolean, doc_id bigint, n bigint, hash bigint")
 
 
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +229,7 @@ def tiles(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
                     parts, held = [], 0
         yield packed(parts)
 
-    return text_rows(docs).where("doc_id IS NOT NULL").mapInArrow(run, "range int, entries binary")
+    return text_rows(docs).where("doc_id IS NOT NULL").mapInArrow(lean(run), "range int, entries binary")
 
 
 def may_link(s: np.ndarray, i: np.ndarray, t: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -293,6 +293,7 @@ def meet(packed: DataFrame) -> DataFrame:
         pairs, left = first_round(np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY))
         signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
         none = lambda n, kind: pa.nulls(n, kind)
+        tidy()
         n, m = len(pairs), len(left)
         columns = [
             (signed(pairs[:, 0]), signed(left["cls"])),
@@ -346,7 +347,7 @@ def signed(docs: DataFrame, make) -> DataFrame:
                 columns = list(zip(*rows)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], ["cls", "n", "x"])
 
-    return text_rows(docs).mapInArrow(run, "cls bigint, n int, x binary")
+    return text_rows(docs).mapInArrow(lean(run), "cls bigint, n int, x binary")
 
 
 def array(values: np.ndarray) -> bytes:
@@ -375,7 +376,7 @@ def _tested(rows: DataFrame, test) -> DataFrame:
             fits = [test(*x) for x in zip(*columns)]
             yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def within_bound(n: int, m: int, x: bytes, y: bytes) -> bool:
@@ -481,6 +482,7 @@ def _marked(members: DataFrame, ranges: int, bits: DataFrame | None) -> DataFram
                 if len(j):
                     has[j] = has[k] = True
             found.append(tile.rows[has])
+        tidy()
         return table.select(["key", "cls", "size", "at", "root"]).take(pa.array(np.concatenate(found)))
 
     rows = dealt(members, ranges)
@@ -516,6 +518,7 @@ def second_round(members: DataFrame, arrays: DataFrame, ranges: int) -> DataFram
                     if a != b and linked(len(own[k]), len(own[other]), own[k], own[other]):
                         above[max(a, b)] = min(a, b)
                         out.append((int(tile.cls[k]), int(tile.cls[other])))
+        tidy()
         a, b = zip(*out) if out else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.byte_bpe import Merges
-from folio.llm.common import documents, python_ready, steps, text_rows, utf8, written
+from folio.llm.common import documents, lean, python_ready, steps, text_rows, utf8, written
 
 LENGTH = 1024
 END = 2
@@ -94,7 +94,7 @@ def cut(docs: DataFrame, path: str, most: int, end: int) -> DataFrame:
                 )
 
     python_ready(docs.sparkSession)
-    return text_rows(docs).mapInArrow(run, PIECES)
+    return text_rows(docs).mapInArrow(lean(run), PIECES)
 
 
 def _pair(left: np.ndarray, total: int) -> tuple[int, int] | None:
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, path: str, most: int = LENGTH, end: int = END) -> Data
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank")
     )
     return ranked.mapInArrow(
-        run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+        lean(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     )
 
 

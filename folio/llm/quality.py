@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import crc_mod, documents, python_ready, steps, text_rows, utf8
+from folio.llm.common import crc_mod, documents, lean, python_ready, steps, text_rows, utf8
 
 SAMPLE = 2_000
 SAMPLE_CHARS = 50_000
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray] | None) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], ["doc_id", "score"])
 
     python_ready(docs.sparkSession)
-    return text_rows(docs).mapInArrow(run, "doc_id bigint, score double")
+    return text_rows(docs).mapInArrow(lean(run), "doc_id bigint, score double")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(features(np.diff(offsets), *size.T) @ model[2] >= 0))
 
     python_ready(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm.common import documents, python_ready, steps, text_rows, utf8
+from folio.llm.common import documents, lean, python_ready, steps, text_rows, utf8
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -89,7 +89,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             )
 
     python_ready(docs.sparkSession)
-    return text_rows(docs).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return text_rows(docs).mapInArrow(lean(run), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
