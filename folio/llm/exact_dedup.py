@@ -5,9 +5,10 @@ external sort puts equal texts next to each other, and the window operator compa
 with its neighbour's to find where a group ends. Splitters carry at most ``PREFIX`` characters of text, so sampling costs
 the driver the same whatever the texts' lengths.
 
-Hot groups: texts of which there are more than ``1 / SHARES`` of all rows are dealt over several ranges by a salt, in
-pieces of about that share; there are at most ``SHARES`` such texts and ``2 * SHARES`` pieces, and only the pieces'
-leaders meet in a second, small comparison. Only DataFrame functions run here.
+Hot groups: texts of which there are more than a share of all rows are dealt over several ranges by a salt, in pieces of
+about that share. A share is a quarter of what a shuffle partition gets, and at most one part in ``SHARES``, so there are
+at most as many such texts as shares, twice as many pieces, and only the pieces' leaders meet in a second, small
+comparison. Only DataFrame functions run here.
 
 Defined results: a null text counts as empty; empty texts are equal to each other and to texts of white space only;
 repeated rows are rows of their own, of which one stays; a null doc_id sorts before others; an empty table gives an empty
@@ -36,11 +37,12 @@ def content_sort(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "doc_id", "text", F.substring("norm", 1, PREFIX).alias("head"), F.xxhash64("norm").alias("hash")
     )
-    share = max(1, docs.count() // SHARES)
+    shares = max(SHARES, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = max(1, docs.count() // shares)
     hot = (
         rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share)
         .select("hash", F.ceil(F.col("n") / share).alias("pieces"))
-    )  # each has more than a SHARES-th of all rows: SHARES rows at most
+    )  # each has more than a share of all rows: as many rows as shares at most
     dealt = rows.join(F.broadcast(hot), "hash", "left").select(
         "doc_id", "text", "head", "hash", F.col("pieces").isNotNull().alias("hot"),
         F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).cast("int").alias("salt"),
@@ -68,7 +70,7 @@ def content_sort(docs: DataFrame) -> DataFrame:
         F.first("doc_id").over(best).alias("all_id"),
         F.sum("lead_n").over(alike).alias("all_n"),
         (F.row_number().over(best) == 1).alias("all_first"),
-    )  # a row for each piece of a hot text: 2 * SHARES at most, but for texts of one hash
+    )  # a row for each piece of a hot text: twice the shares at most, but for texts of one hash
     whole = local.join(
         F.broadcast(leaders),
         local.hot & (local.hash == leaders.hash) & (local.salt == leaders.salt) & (local.text_sha256 == leaders.sha),
