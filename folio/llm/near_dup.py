@@ -39,7 +39,7 @@ from folio.llm.shingles import distinct, mix, shingles
 
 #: The threshold is the fraction NUMERATOR / DENOMINATOR, so that every bound is exact in integers.
 NUMERATOR, DENOMINATOR = 4, 5
-COMMON = 1 << 20
+COMMON = 1 << 19
 COMMON_IN_TASK = 3  # documents of a task that hold a shingle before the task reports it
 NEXT = 16
 BLOCK = 1 << 13  # classes of a common shingle's tile in one block
@@ -47,7 +47,7 @@ PIVOTS = 16
 TILE = 1 << 21  # shingles of a long tile's classes in one block
 BROADCAST = 1 << 20
 FLUSH = 1 << 18  # entries of tiles that a task packs at a time
-SLOTS = 1 << 23  # counters, of two bytes each, that tell a task which shingles it may have seen often enough
+SLOTS = 1 << 24  # counters, of a byte each, that tell a task which shingles it may have seen often enough
 
 _U = np.uint64
 _GATE_BITS = 22
@@ -85,7 +85,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["common", "doc_id", "n", "hash"]
-        slots, added = np.zeros(SLOTS, np.uint16), 0
+        slots, added = np.zeros(SLOTS, np.uint8), 0
         often, often_n, new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
         def counted() -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def sized(docs: DataFrame) -> DataFrame:
                     [pa.array(np.zeros(hi - lo, bool)), batch.column(0).slice(lo, hi - lo), pa.array(np.diff(begin)), pa.array(class_of(values, begin).view(np.int64))], names
                 )
                 at = (values % _U(SLOTS)).astype(np.int64)
-                np.add.at(slots, at, (slots[at] < COMMON_IN_TASK).astype(np.uint16))
+                np.add.at(slots, at, (slots[at] < COMMON_IN_TASK).astype(np.uint8))
                 new.append(values[slots[at] >= COMMON_IN_TASK])
                 added += len(values)
                 if sum(map(len, new)) > FLUSH:
@@ -120,11 +120,21 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles, rarest first, and how many documents hold each: ``COMMON`` at most."""
-    top = (
-        rows.where("common").groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
-    )
-    value, n = np.asarray(top.column("hash").combine_chunks()).astype(np.int64), np.asarray(top.column("n").combine_chunks()).astype(np.int64)
+    """The most common shingles, rarest first, and how many documents hold each: ``COMMON`` at most.
+
+    A histogram of the counts, in steps of an eighth of their binary logarithm, says which counts are high enough, so no
+    task sorts or gathers what all tasks report.
+    """
+    counts = written(rows.where("common").groupBy("hash").agg(F.sum("n").alias("n")), "common")
+    step = F.floor(F.log2("n") * 8).cast("int")
+    least, total = None, 0
+    for at, n in sorted((tuple(r) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True):
+        total += n
+        if total > COMMON:
+            break
+        least = at
+    top = (counts.where(step >= least) if least is not None else counts.limit(0)).toArrow()
+    value, n = (np.asarray(top.column(x).combine_chunks()).astype(np.int64) for x in ("hash", "n"))
     order = np.lexsort((value, n))
     return value[order].view(np.uint64), n[order]
 
