@@ -27,7 +27,7 @@ from folio.llm.common import documents, lean, python_ready, steps, text_rows, ut
 
 MODEL = "byte_bpe_multi_50k.tiktoken"
 #: Pieces that a worker's cache holds before it starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 #: Longer pieces are merged with a heap, one by one.
 LONG_PIECE = 256
 BLOCK = 128
