@@ -109,7 +109,7 @@ def machines() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
     word = "|".join(sorted(SPELLED, key=len, reverse=True))
     run = re.compile(rf"(?<!\w)(?:plus[\x20-]{{1,2}})?(?:{word})(?:[\x20,.-]{{1,3}}(?:{word})){{{SPELLED_RUN - 1},}}(?!\w)", re.I)
     dot = r"(?:\x20{0,2}[\[({<]\x20{0,2}dot\x20{0,2}[\])}>]\x20{0,2}|\x20{1,2}dot\x20{1,2})"
-    at = r"(?:\x20{0,2}[\[({<]\x20{0,2}at\x20{0,2}[\])}>]\x20{0,2}|\x20{1,2}at\x20{1,2}|\x20{0,2}@\x20{0,2})"
+    at = r"(?:\x20{0,2}[\[({<]\x20{0,2}(?:at|@)\x20{0,2}[\])}>]\x20{0,2}|\x20{1,2}at\x20{1,2}|\x20{0,2}@\x20{0,2})"
     label = "[a-z0-9-]{1,63}"
     mail = re.compile(
         rf"(?P<at>{at})(?=(?P<host>{label}(?:(?:{dot}|\.){label}){{1,8}}))", re.I
@@ -147,7 +147,7 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     low = text.lower()
     odd = beyond_latin(text) and glyph.search(text) is not None
     spelled = sum(map(SPELLED.__contains__, low.replace(",", " ").replace(".", " ").replace("-", " ").split())) >= SPELLED_RUN
-    mails = "dot" in low and ("at" in low or "@" in low)
+    mails = "@" in low or "at" in low
     if not (odd or spelled or mails):
         return []
     at = np.arange(len(text))
@@ -160,11 +160,15 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
         hosts = []
 
         def sign(m: re.Match) -> str | None:
-            host, sure = m["host"], m["at"].strip()[:1] in "[({<@" and m["at"].strip() != ""
+            host, between = m["host"], m["at"].strip().lower()
+            plain_dots = not dot.search(host)
+            if m["at"] == "@" and plain_dots:
+                return None
+            sure = between[0] in "[({<" or (between == "@" and not plain_dots)
             labels = dot.sub(".", host).lower().split(".")
             while not sure and len(labels) > 1 and labels[-1] not in LABELS:
                 labels.pop()
-            if len(labels) < 2 or (m["at"].strip() == "@" and not dot.search(host)):
+            if len(labels) < 2:
                 return None
             hosts.append((m.start("host"), m.end("host")))
             return "@"

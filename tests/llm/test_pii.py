@@ -50,6 +50,27 @@ def test_disguises_map_back_to_the_source(text, found):
     assert set(base) <= set(spans)
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("write to john (at) example.com", "john (at) example.com"),
+        ("john [at] mail.example.org", "john [at] mail.example.org"),
+        ("john at example.com", "john at example.com"),
+        ("john @ example.com", "john @ example.com"),
+        ("john(@)example.com", "john(@)example.com"),
+        ("john ＠ example.com", "john ＠ example.com"),
+    ],
+)
+def test_a_disguised_at_needs_no_disguised_dot(text, found):
+    for around in (text, f"an anecdote: {text}"):
+        assert [around[a:b] for _, a, b in pii.spans_of(around)[1]] == [found]
+
+
+@pytest.mark.parametrize("text", ["look at home.Then go", "meet @ noon.Then go", "see at 3.5 and @ 4.5"])
+def test_plain_dots_after_a_plain_at_are_prose(text):
+    assert pii.spans_of(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["look at that dot on the wall", "one two three at dot com", "He arrived at noon. The dot is red.", "tres tristes tigres", ""])
 def test_clean_texts_stay_clean(text):
     assert pii.spans_of(text) == ([], [])
