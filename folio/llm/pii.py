@@ -2,7 +2,7 @@
 
 Method: plain identifiers are found in the text as it is. Then transducers rewrite what disguises them: look-alike
 characters to ASCII, invisible characters to nothing, spelled digits to digits, ``at`` and ``dot`` in brackets or between
-words to their signs. Each character of the rewritten text keeps the source span it came from, the same detectors run
+words to their signs (dots in hosts, in local parts and between digits). Each character of the rewritten text keeps the source span it came from, the same detectors run
 again, and a span that holds a rewritten character is mapped back and added, unless a plain one covers it.
 
 Defined results: a null or empty text has no spans; offsets are code points of the source, end exclusive; the counts
@@ -16,8 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +35,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
+_FIGURES = frozenset("0123456789")
+_BRACKETED = re.compile(r"[\[({<]\x20{0,2}\.")
 
 
 def luhn(digits: str) -> bool:
@@ -108,7 +109,7 @@ def machines() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
     glyph = re.compile("[" + "".join(map(re.escape, sorted(glyphs()))) + "]")
     word = "|".join(sorted(SPELLED, key=len, reverse=True))
     run = re.compile(rf"(?<!\w)(?:plus[\x20-]{{1,2}})?(?:{word})(?:[\x20,.-]{{1,3}}(?:{word})){{{SPELLED_RUN - 1},}}(?!\w)", re.I)
-    dot = r"(?:\x20{0,2}[\[({<]\x20{0,2}dot\x20{0,2}[\])}>]\x20{0,2}|\x20{1,2}dot\x20{1,2})"
+    dot = r"(?:\x20{0,2}[\[({<]\x20{0,2}(?:dot|\.)\x20{0,2}[\])}>]\x20{0,2}|\x20{1,2}dot\x20{1,2})"
     at = r"(?:\x20{0,2}[\[({<]\x20{0,2}(?:at|@)\x20{0,2}[\])}>]\x20{0,2}|\x20{1,2}at\x20{1,2}|\x20{0,2}@\x20{0,2})"
     label = "[a-z0-9-]{1,63}"
     mail = re.compile(
@@ -117,12 +118,14 @@ def machines() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
     return glyph, run, mail, re.compile(dot, re.I)
 
 
-def _rewritten(pattern: re.Pattern, make, text: str, starts: np.ndarray, ends: np.ndarray, new: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """One transducer: each match becomes ``make(match)``; positions follow. ``make`` gives None to leave one alone."""
+Edit = tuple[int, int, str]
+
+
+def _edited(edits: Iterable[Edit], text: str, starts: np.ndarray, ends: np.ndarray, new: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """One transducer: ``edits`` (start, end, instead; in order, an overlapping one is skipped) are made; positions follow."""
     out, s, e, n, last = [], [], [], [], 0
-    for m in pattern.finditer(text):
-        a, b = m.span()
-        if a < last or (instead := make(m)) is None:
+    for a, b, instead in edits:
+        if a < last:
             continue
         out += [text[last:a], instead]
         s += [starts[last:a], np.full(len(instead), starts[a])]
@@ -136,6 +139,39 @@ def _rewritten(pattern: re.Pattern, make, text: str, starts: np.ndarray, ends: n
     return "".join([*out, text[last:]]), *(np.concatenate([*x, y[last:]]) for x, y in ((s, starts), (e, ends), (n, new)))
 
 
+def _dotted(low: str) -> bool:
+    return "dot" in low or _BRACKETED.search(low) is not None
+
+
+def _signs(text: str, mail: re.Pattern, dot: re.Pattern) -> list[Edit]:
+    """Disguised signs of addresses, the dots in their hosts and local parts, and dots between digits."""
+    dots = {m.end(): m.start() for m in dot.finditer(text)} if _dotted(text.lower()) else {}
+    edits = {a: (b, ".") for b, a in dots.items() if a and text[a - 1] in _FIGURES and text[b : b + 1] in _FIGURES}
+    for m in mail.finditer(text):
+        host, between = m["host"], m["at"].strip().lower()
+        inner = list(dot.finditer(host))
+        if m["at"] != "@" or inner:
+            sure = between[0] in "[({<" or (between == "@" and inner)
+            labels = dot.sub(".", host).lower().split(".")
+            while not sure and len(labels) > 1 and labels[-1] not in LABELS:
+                labels.pop()
+            if len(labels) < 2:
+                continue
+            if m["at"] != "@":
+                edits[m.start()] = (m.end(), "@")
+            edits |= {m.start("host") + d.start(): (m.start("host") + d.end(), ".") for d in inner}
+        start = m.start()
+        while start > 0:  # the local part, back over its disguised dots
+            head = start
+            while head > 0 and start - head < 64 and text[head - 1] in _LOCAL:
+                head -= 1
+            if head == start or (at := dots.get(head)) is None:
+                break
+            edits[at] = (head, ".")
+            start = at
+    return [(a, b, instead) for a, (b, instead) in sorted(edits.items())]
+
+
 def _digits(m: re.Match) -> str:
     words = re.split(r"[\x20,.-]+", m.group().lower())
     return ("+" if words[0] == "plus" else "") + "".join(str(SPELLED[w]) for w in words if w != "plus")
@@ -148,47 +184,17 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     odd = beyond_latin(text) and glyph.search(text) is not None
     spelled = sum(map(SPELLED.__contains__, low.replace(",", " ").replace(".", " ").replace("-", " ").split())) >= SPELLED_RUN
     mails = "@" in low or "at" in low
-    if not (odd or spelled or mails):
+    dots = _dotted(low)
+    if not (odd or spelled or mails or dots):
         return []
     at = np.arange(len(text))
     now = (text, at, at + 1, np.zeros(len(text), bool))
     if odd:
-        now = _rewritten(glyph, lambda m: glyphs()[m.group()], now[0], *(x.copy() for x in now[1:]))
+        now = _edited(((*m.span(), glyphs()[m.group()]) for m in glyph.finditer(text)), now[0], *(x.copy() for x in now[1:]))
     if spelled:
-        now = _rewritten(run, _digits, *now)
-    if mails or odd:
-        hosts = []
-
-        def sign(m: re.Match) -> str | None:
-            host, between = m["host"], m["at"].strip().lower()
-            plain_dots = not dot.search(host)
-            if m["at"] == "@" and plain_dots:
-                return None
-            sure = between[0] in "[({<" or (between == "@" and not plain_dots)
-            labels = dot.sub(".", host).lower().split(".")
-            while not sure and len(labels) > 1 and labels[-1] not in LABELS:
-                labels.pop()
-            if len(labels) < 2:
-                return None
-            hosts.append((m.start("host"), m.end("host")))
-            return "@"
-
-        before = now[0]
-        after = _rewritten(mail, sign, *now)
-        if hosts:  # dots inside the hosts just found, at their places after the first rewriting
-            kept, moved, shift = dict(hosts), [], 0
-            for m in mail.finditer(before):
-                if m.start("host") in kept:
-                    shift += 1 - (m.end("at") - m.start("at"))
-                    moved.append((m.start("host") + shift, m.end("host") + shift))
-            firsts = [lo for lo, _ in moved]
-
-            def point(m: re.Match) -> str | None:
-                i = bisect_right(firsts, m.start()) - 1
-                return "." if i >= 0 and m.start() < moved[i][1] else None
-
-            after = _rewritten(dot, point, *after)
-        now = after
+        now = _edited(((*m.span(), _digits(m)) for m in run.finditer(now[0])), *now)
+    if mails or dots or odd:
+        now = _edited(_signs(now[0], mail, dot), *now)
     rewritten, starts, ends, new = now
     if not new.any():
         return []

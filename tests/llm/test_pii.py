@@ -66,6 +66,30 @@ def test_a_disguised_at_needs_no_disguised_dot(text, found):
         assert [around[a:b] for _, a, b in pii.spans_of(around)[1]] == [found]
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("write john dot doe at example dot com", "email", "john dot doe at example dot com"),
+        ("(john[dot]doe[at]example[dot]com)", "email", "john[dot]doe[at]example[dot]com"),
+        ("by john[.]q[.]doe@example[.]com", "email", "john[.]q[.]doe@example[.]com"),
+        ("by john (dot) doe@example.com", "email", "john (dot) doe@example.com"),
+        ("by john1 dot 2doe at example dot com", "email", "john1 dot 2doe at example dot com"),
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host 192 (dot) 168 (dot) 0 (dot) 1 is up", "ip", "192 (dot) 168 (dot) 0 (dot) 1"),
+        ("host 192[.]168[.]0[.]1 is up", "ip", "192[.]168[.]0[.]1"),
+        ("host 192.168 dot 0.1 is up", "ip", "192.168 dot 0.1"),
+    ],
+)
+def test_disguised_dots_in_local_parts_and_between_digits(text, kind, found):
+    assert (kind, text.index(found), text.index(found) + len(found)) in pii.spans_of(text)[1]
+    assert pii.redact(text, pii.spans_of(text)[1]) == text.replace(found, f"<{kind}>")
+
+
+@pytest.mark.parametrize("text", ["3 dot 5 dot 7", "300 dot 1 dot 1 dot 1", "a dot b dot c at noon", "1 dot at 2 dot"])
+def test_dots_alone_are_prose(text):
+    assert pii.spans_of(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["look at home.Then go", "meet @ noon.Then go", "see at 3.5 and @ 4.5"])
 def test_plain_dots_after_a_plain_at_are_prose(text):
     assert pii.spans_of(text) == ([], [])
