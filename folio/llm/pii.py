@@ -1,9 +1,10 @@
 """Personal data with offsets, also where it is disguised.
 
 Method: plain identifiers are found in the text as it is. Then transducers rewrite what disguises them: look-alike
-characters to ASCII, invisible characters to nothing, spelled digits to digits, ``at`` and ``dot`` in brackets or between
-words to their signs (dots in hosts, in local parts and between digits). Each character of the rewritten text keeps the source span it came from, the same detectors run
-again, and a span that holds a rewritten character is mapped back and added, unless a plain one covers it.
+characters to ASCII, invisible characters to nothing, ``at`` and ``dot`` in brackets or between words to their signs (dots
+in hosts, in local parts and between digits), and, for numbers only, spelled digits to digits. Each character of the
+rewritten text keeps the source span it came from, the same detectors run again, and a span that holds a rewritten
+character is mapped back and added, unless a plain one covers it. One spelled digit beside a whole number is prose.
 
 Defined results: a null or empty text has no spans; offsets are code points of the source, end exclusive; the counts
 n_email, n_ip, n_card and n_phone and base_sha256 are of the plain identifiers, spans and n_added hold those the
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -35,6 +37,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
+_TOKEN = re.compile(r"[^\W_]+")
 _FIGURES = frozenset("0123456789")
 _BRACKETED = re.compile(r"[\[({<]\x20{0,2}\.")
 
@@ -84,7 +87,6 @@ SPELLED = {
     "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
-SPELLED_RUN = 7  # fewer spelled digits in a row are prose
 #: The last labels of a host that make ``at`` and ``dot`` between plain words a disguise.
 LABELS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")
 
@@ -108,7 +110,8 @@ def glyphs() -> dict[str, str]:
 def machines() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
     glyph = re.compile("[" + "".join(map(re.escape, sorted(glyphs()))) + "]")
     word = "|".join(sorted(SPELLED, key=len, reverse=True))
-    run = re.compile(rf"(?<!\w)(?:plus[\x20-]{{1,2}})?(?:{word})(?:[\x20,.-]{{1,3}}(?:{word})){{{SPELLED_RUN - 1},}}(?!\w)", re.I)
+    figure = rf"(?:{word}|[0-9]++)(?!\w)"
+    run = re.compile(rf"(?<!\w)(?P<plus>plus[\x20-]{{1,2}})?{figure}(?:[\x20,.-]{{1,3}}{figure})*+", re.I)
     dot = r"(?:\x20{0,2}[\[({<]\x20{0,2}(?:dot|\.)\x20{0,2}[\])}>]\x20{0,2}|\x20{1,2}dot\x20{1,2})"
     at = r"(?:\x20{0,2}[\[({<]\x20{0,2}(?:at|@)\x20{0,2}[\])}>]\x20{0,2}|\x20{1,2}at\x20{1,2}|\x20{0,2}@\x20{0,2})"
     label = "[a-z0-9-]{1,63}"
@@ -172,41 +175,91 @@ def _signs(text: str, mail: re.Pattern, dot: re.Pattern) -> list[Edit]:
     return [(a, b, instead) for a, (b, instead) in sorted(edits.items())]
 
 
-def _digits(m: re.Match) -> str:
-    words = re.split(r"[\x20,.-]+", m.group().lower())
-    return ("+" if words[0] == "plus" else "") + "".join(str(SPELLED[w]) for w in words if w != "plus")
+def _figures(text: str, run: re.Pattern) -> Iterator[Edit]:
+    """Spelled digits, whatever their number, among spelled and written ones; what stands between two of them goes."""
+    for m in run.finditer(text):
+        first = m.end("plus") if m["plus"] else m.start()
+        tokens = [(t.start(), t.end(), SPELLED.get(t.group().lower())) for t in _TOKEN.finditer(text, first, m.end())]
+        if all(digit is None for *_, digit in tokens):
+            continue
+        if m["plus"]:
+            yield m.start(), first, "+"
+        gaps = [text[x:y] for (_, x, _), (y, _, _) in zip(tokens, tokens[1:])]
+        numeric = gaps.count(".") == 3  # an ip's dots
+        for i, (a, b, digit) in enumerate(tokens):
+            if i and not (numeric and gaps[i - 1] == ".") and not (digit is None and tokens[i - 1][2] is None):
+                if digit is not None and tokens[i - 1][2] is not None:
+                    a -= len(gaps[i - 1])
+                elif gaps[i - 1] not in (" ", "-"):
+                    yield a - len(gaps[i - 1]), a, " "
+            if digit is not None:
+                yield a, b, str(digit)
+
+
+def _few(low: str) -> bool:
+    """No spelled digit, or too few digits for any kind."""
+    spelled = sum(map(SPELLED.__contains__, _TOKEN.findall(low)))
+    return not spelled or spelled < 4 and spelled + len(_DIGITS.findall(low)) < 4
 
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
     """Spans that only the transducers find, in positions of the source."""
     glyph, run, mail, dot = machines()
-    low = text.lower()
-    odd = beyond_latin(text) and glyph.search(text) is not None
-    spelled = sum(map(SPELLED.__contains__, low.replace(",", " ").replace(".", " ").replace("-", " ").split())) >= SPELLED_RUN
-    mails = "@" in low or "at" in low
-    dots = _dotted(low)
-    if not (odd or spelled or mails or dots):
-        return []
     at = np.arange(len(text))
     now = (text, at, at + 1, np.zeros(len(text), bool))
-    if odd:
-        now = _edited(((*m.span(), glyphs()[m.group()]) for m in glyph.finditer(text)), now[0], *(x.copy() for x in now[1:]))
-    if spelled:
-        now = _edited(((*m.span(), _digits(m)) for m in run.finditer(now[0])), *now)
-    if mails or dots or odd:
-        now = _edited(_signs(now[0], mail, dot), *now)
+    if beyond_latin(text) and glyph.search(text) is not None:
+        now = _edited(((*m.span(), glyphs()[m.group()]) for m in glyph.finditer(text)), *now)
+    low = now[0].lower()
+    signs = "@" in low or "at" in low or _dotted(low)
+    spelled = not _few(low)
+    signed = _edited(_signs(now[0], mail, dot), *now) if signs else now
+    lists = [_by_kind(known)]
+    own = _found(signed, lists)
+    if spelled:  # emails keep their words
+        figures = _edited(_figures(now[0], run), *now)
+        figures = _edited(_signs(figures[0], mail, dot), *figures) if signs else figures
+        lists.append(_by_kind(own))
+        own += [s for s in _found(figures, lists) if s[0] != "email" and not _one_word_more(text, s, lists)]
+    return own
+
+
+#: Spans of each kind that don't overlap, in order.
+ByKind = dict[str, list[tuple[int, int]]]
+
+
+def _by_kind(spans: list[Span]) -> ByKind:
+    out: ByKind = {}
+    for kind, a, b in sorted(spans):
+        out.setdefault(kind, []).append((a, b))
+    return out
+
+
+def _one_word_more(text: str, span: Span, lists: list[ByKind]) -> bool:
+    """A number that is known and one spelled digit beside it, which is prose."""
+    kind, a, b = span
+    for spans in (known.get(kind, ()) for known in lists):
+        i = bisect_left(spans, (a, a))
+        if i < len(spans) and spans[i][1] <= b and len(_TOKEN.findall(text[a : spans[i][0]]) + _TOKEN.findall(text[spans[i][1] : b])) == 1:
+            return True
+    return False
+
+
+def _found(now: tuple[str, np.ndarray, np.ndarray, np.ndarray], lists: list[ByKind]) -> list[Span]:
+    """Spans that hold a rewritten character and that no known one covers."""
     rewritten, starts, ends, new = now
     if not new.any():
         return []
-    own, covered = [], {}
-    for kind, a, b in known:
-        covered.setdefault(kind, []).append((a, b))
+    own = []
     marks = np.append(0, np.cumsum(new))
     for kind, a, b in plain(rewritten):
         if marks[b] == marks[a]:
             continue
         lo, hi = int(starts[a]), int(ends[b - 1])
-        if not any(x <= lo and hi <= y for x, y in covered.get(kind, ())):
+        for spans in (known.get(kind, ()) for known in lists):
+            i = bisect_right(spans, (lo, len(starts) + hi)) - 1
+            if i >= 0 and hi <= spans[i][1]:
+                break
+        else:
             own.append((kind, lo, hi))
     return own
 

@@ -85,6 +85,32 @@ def test_disguised_dots_in_local_parts_and_between_digits(text, kind, found):
     assert pii.redact(text, pii.spans_of(text)[1]) == text.replace(found, f"<{kind}>")
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("call +1 988 five five five 2485 now", "phone", "+1 988 five five five 2485"),
+        ("call plus 1 988 555 two four eight five.", "phone", "plus 1 988 555 two four eight five"),
+        ("call plus one (nine eight eight) five five five 2485", "phone", "plus one (nine eight eight) five five five 2485"),
+        ("card 4532 0151 one two eight three 0366 ok", "card", "4532 0151 one two eight three 0366"),
+        ("at one two seven dot zero dot zero dot one", "ip", "one two seven dot zero dot zero dot one"),
+        ("at one two seven.zero.zero.one", "ip", "one two seven.zero.zero.one"),
+        ("at 127 dot zero dot 0 dot one", "ip", "127 dot zero dot 0 dot one"),
+        ("call plus on\u0435 nin\u0435 \u0435ight \u0435ight fiv\u0435 fiv\u0435 fiv\u0435 two four \u0435ight fiv\u0435", "phone", "plus on\u0435 nin\u0435 \u0435ight \u0435ight fiv\u0435 fiv\u0435 fiv\u0435 two four \u0435ight fiv\u0435"),
+    ],
+)
+def test_spelled_digits_among_written_ones(text, kind, found):
+    spans = pii.spans_of(text)[1]
+    assert [(k, text[a:b]) for k, a, b in spans] == [(kind, found)]
+
+
+@pytest.mark.parametrize(
+    "text", ["users one, two@example.com", "call +1 988 555 2485 one day", "one 4532 0151 1283 0366", "\u017feven 1234 \u017fix one", "5 plus 10 2020 2021", "in 2024, one of 1,234"]
+)
+def test_spelled_digits_in_prose_add_nothing(text):
+    base, spans = pii.spans_of(text)
+    assert base == spans
+
+
 @pytest.mark.parametrize("text", ["3 dot 5 dot 7", "300 dot 1 dot 1 dot 1", "a dot b dot c at noon", "1 dot at 2 dot"])
 def test_dots_alone_are_prose(text):
     assert pii.spans_of(text) == ([], [])
