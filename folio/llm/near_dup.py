@@ -1,12 +1,12 @@
 """Near duplicates: an exact Jaccard join of word shingles.
 
 Method: documents with equal sets form a class. Two sets whose Jaccard index reaches the threshold share a shingle among
-their first ones in any fixed order, so classes meet in tiles of one such shingle and one size band. Signatures are
+their first ones in any fixed order, so classes meet in tiles of one such shingle (and one size band in the second round). Signatures are
 hashed bitmaps, as wide as their sets ask for: the bits in which two differ bound the overlap from above, and only pairs
 that pass have their sorted arrays intersected, exactly. No link is missed and none is guessed.
 
 What keeps tiles small: the order puts shingles that many documents hold last (a table of at most ``COMMON`` shingles,
-counted over all documents). A pair need meet only at the first shingle that it shares, so sizes and positions there bound
+by counts over all documents that are lower bounds). A pair need meet only at the first shingle that it shares, so sizes and positions there bound
 the overlap before any signature is read.
 
 What keeps hot groups cheap: in a first round a class meets only the first of its tile, its ``NEXT`` predecessors and, in
