@@ -1,27 +1,33 @@
 """Near duplicates: an exact Jaccard join of word shingles.
 
 Method: documents with equal sets form a class. Two sets whose Jaccard index reaches the threshold share a shingle among
-their first ones in any fixed order, so classes meet in tiles of one such shingle (and one size band in the second round). Signatures are
-hashed bitmaps, as wide as their sets ask for: the bits in which two differ bound the overlap from above, and only pairs
-that pass have their sorted arrays intersected, exactly. No link is missed and none is guessed.
+their first ones in any fixed order, so classes meet in tiles of one such shingle and one size band: each stands in its own
+band and, where a partner may be in the next one, as a guest there. Signatures are hashed bitmaps, as wide as their sets
+ask for: the bits in which two differ bound the overlap from above, and only pairs that pass have their sorted arrays
+intersected, exactly. No link is missed and none is guessed.
 
 What keeps tiles small: the order puts shingles that many documents hold last (a table of at most ``COMMON`` shingles,
-by counts over all documents that are lower bounds). A pair need meet only at the first shingle that it shares, so sizes and positions there bound
-the overlap before any signature is read.
+by counts over all documents that are lower bounds; they set the order, and so the cost, not which links are found). A
+pair need meet only at the first shingle that it shares, so sizes and positions there bound the overlap before any
+signature is read.
 
 What keeps hot groups cheap: in a first round a class meets only the first of its tile, its ``NEXT`` predecessors and, in
 long tiles, a few pivots, so a group of any size costs in proportion. The exact links of that round make components. In a
-second round the classes of long tiles that still hold several components are marked where sizes and positions, and then
-signatures, leave them a partner in another component; only these bring their arrays, in blocks of ``TILE`` shingles, and
-are intersected where they meet, so what leaves a block is links that join components, never a row per pair.
+second round, tiles that still hold several components are dealt into blocks of about ``MEMBERS`` classes: a component
+that fills blocks of its own never meets itself again, and each pair of blocks is one small step of work, so no task's
+work grows with the square of a tile. In a pair of blocks only the classes that sizes and positions leave a partner in
+another component bring signatures, and only those that signatures leave one bring arrays; what leaves it is links that
+join components, never a row per pair.
 
-Scale: the tiles of the first round travel packed by ranges of hashes; signatures and arrays are made only for classes
-that a pair or a mark names. Broadcast are the table of common shingles (bounded) and ids of named documents where a count shows that
-there are at most ``BROADCAST``; beyond it the join shuffles.
+Scale: the tiles of the first round travel packed by ranges of hashes, of which there are as many as the corpus's shingles
+ask for (``RANGE`` entries each); the blocks of the second stream through a task one pair of blocks at a time. Broadcast
+are the table of common shingles (bounded) and ids of named documents where a count shows that there are at most
+``BROADCAST``; beyond it the join shuffles. Long texts are read in steps that end between words.
 
 Defined results: null and empty texts, and texts without a word, have no shingles and link with nothing; a text of fewer
 than five words is one shingle; rows without doc_id are returned with a null component and take no part; repeated rows
-and equal texts are one component; an empty table gives an empty result; other columns are ignored.
+and equal texts are one component; rows that share a doc_id but not a text belong each to their own text's component; a
+very long text is one set like any other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from folio.llm.common import documents, lean, python_ready, steps, text_rows, tidy, utf8, written
+from folio.llm.common import STEP_BYTES, documents, lean, python_ready, steps, text_rows, tidy, utf8, written
 from folio.llm.components import components
 from folio.llm.shingles import distinct, mix, shingles
 
@@ -44,7 +51,8 @@ COMMON_IN_TASK = 3  # documents of a task that hold a shingle before the task re
 NEXT = 16
 BLOCK = 1 << 13  # classes of a common shingle's tile in one block
 PIVOTS = 16
-TILE = 1 << 21  # shingles of a long tile's classes in one block
+MEMBERS = 256  # classes of a tile in one block of the second round
+RANGE = 1 << 20  # entries of the first round's tiles in one range, about
 BROADCAST = 1 << 20
 FLUSH = 1 << 18  # entries of tiles that a task packs at a time
 SLOTS = 1 << 24  # counters, of a byte each, that tell a task which shingles it may have seen often enough
@@ -141,9 +149,21 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 # --- second pass: tiles ---
 
-#: A class in a tile: the shingle's key, the block, the class, its size, the key's place in it and the tile's blocks.
-ENTRY = np.dtype([("key", "<u8"), ("cls", "<u8"), ("block", "<i4"), ("size", "<i4"), ("at", "<i4"), ("blocks", "<i4")])
+#: A class in a tile: the shingle's key, the class, the block, its size, the key's place in it, whether the tile is dealt
+#: over several blocks, and whether the class is at home in the band or a guest.
+ENTRY = np.dtype([("key", "<u8"), ("cls", "<u8"), ("block", "<i4"), ("size", "<i4"), ("at", "<i4"), ("dealt", "<i2"), ("home", "<i2")])
 _SPREAD = 1 << 62
+BAND_BITS = 2  # a band's sizes lie between two neighbouring powers of 2 ** BAND_BITS
+
+
+def band(size: np.ndarray) -> np.ndarray:
+    """The size band of each set."""
+    return (np.frexp(size)[1].astype(np.int64) - 1) // BAND_BITS
+
+
+def visits(size: np.ndarray) -> np.ndarray:
+    """Whether a larger partner may be in the next band."""
+    return band(size * DENOMINATOR // NUMERATOR) > band(size)
 
 
 class Order:
@@ -202,7 +222,7 @@ def entries(values: np.ndarray, begin: np.ndarray, order: Order, seen: set[int])
     key = keys[begin[:-1][row] + at]
     blocks = order.blocks(key)
     out = np.empty(len(row), ENTRY)
-    out["key"], out["cls"], out["size"], out["at"], out["blocks"] = key, sets[row], n[row], at, blocks
+    out["key"], out["cls"], out["size"], out["at"], out["dealt"], out["home"] = key, sets[row], n[row], at, blocks > 1, 1
     out["block"] = mix(out["cls"]) % blocks.astype(np.uint64)
     parts = [out]
     wide = np.flatnonzero(blocks > 1)
@@ -210,7 +230,15 @@ def entries(values: np.ndarray, begin: np.ndarray, order: Order, seen: set[int])
         copies = np.repeat(out[i : i + 1], blocks[i])
         copies["block"] = np.arange(blocks[i])
         parts.append(copies[copies["block"] != out["block"][i]])
-    return np.concatenate(parts)
+    every = np.concatenate(parts)
+    guests = every[visits(every["size"].astype(np.int64))]
+    guests["home"] = 0
+    return np.concatenate([every, guests])
+
+
+def bands(entry: np.ndarray) -> np.ndarray:
+    """The band in which each entry stands."""
+    return band(entry["size"]) + (entry["home"] == 0)
 
 
 def tiles(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
@@ -218,7 +246,8 @@ def tiles(docs: DataFrame, order: Order, ranges: int) -> DataFrame:
 
     def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
         every = np.concatenate(parts) if parts else np.zeros(0, ENTRY)
-        of = (mix(every["key"] + every["block"].astype(np.uint64) * _U(0x9E3779B97F4A7C15)) % _U(ranges)).astype(np.int64)
+        spot = every["block"].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + bands(every).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
+        of = (mix(every["key"] + spot) % _U(ranges)).astype(np.int64)
         by = np.argsort(of, kind="stable")
         every, counts = every[by], np.bincount(of, minlength=ranges)
         some, cuts = np.flatnonzero(counts), np.append(0, np.cumsum(counts))
@@ -251,7 +280,8 @@ def may_link(s: np.ndarray, i: np.ndarray, t: np.ndarray, j: np.ndarray) -> np.n
 
 
 def _fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return may_link(*(x.astype(np.int64) for x in (a["size"], a["at"], b["size"], b["at"]))) & (a["cls"] != b["cls"])
+    at_home = (a["home"] | b["home"]) > 0
+    return may_link(*(x.astype(np.int64) for x in (a["size"], a["at"], b["size"], b["at"]))) & (a["cls"] != b["cls"]) & at_home
 
 
 def first_round(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,13 +289,15 @@ def first_round(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     entry = entry[np.argsort(entry["key"], kind="stable")]
     start = np.flatnonzero(np.append(True, entry["key"][1:] != entry["key"][:-1])) if len(entry) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(entry)))
-    entry = entry[np.repeat((size > 1), size) | (entry["blocks"] > 1)]
+    entry = entry[np.repeat((size > 1), size) | (entry["dealt"] > 0)]
     if not len(entry):
         return np.zeros((0, 2), np.uint64), entry
-    entry = entry[np.lexsort((entry["cls"], entry["size"], entry["block"], entry["key"]))]
-    same = lambda *names: np.logical_and.reduce([entry[x][1:] == entry[x][:-1] for x in names])
-    entry = entry[np.append(True, ~same("key", "block", "cls"))]
-    start = np.flatnonzero(np.append(True, ~same("key", "block")))
+    entry = entry[np.lexsort((entry["cls"], entry["size"], bands(entry), entry["block"], entry["key"]))]
+    banded = bands(entry)
+    same = (entry["key"][1:] == entry["key"][:-1]) & (entry["block"][1:] == entry["block"][:-1]) & (banded[1:] == banded[:-1])
+    new = np.append(True, ~(same & (entry["cls"][1:] == entry["cls"][:-1])))
+    opens = np.append(True, ~same)  # an entry that comes again never opens a tile
+    entry, start = entry[new], np.flatnonzero(opens[new])
     size = np.diff(np.append(start, len(entry)))
     mine, here = np.repeat(start, size), np.arange(len(entry))
     meetings = [(mine, here), *((here[:-d], here[d:]) for d in range(1, NEXT + 1) if d < len(here))]
@@ -275,7 +307,7 @@ def first_round(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = a[fits], b[fits]
         fits = _fit(entry[a], entry[b])
         out.append(np.stack([entry["cls"][a[fits]], entry["cls"][b[fits]]], 1))
-    open_ = np.repeat(size > NEXT + 2, size) | (entry["blocks"] > 1)
+    open_ = np.repeat(size > NEXT + 2, size) | (entry["dealt"] > 0)
     for lo, n in zip(start.tolist(), size.tolist()):
         if n <= NEXT + 2:
             continue
@@ -293,26 +325,28 @@ def first_round(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[new], entry[open_]
 
 
-ROUND = "a bigint, b bigint, key bigint, size int, at int"
+ROUND = "a bigint, b bigint, key bigint, size int, at int, band int, home boolean"
 
 
 def meet(packed: DataFrame) -> DataFrame:
-    """Rows of pairs (a, b), and of entries of open tiles (b null: a is a class, with key, size and at)."""
+    """Rows of pairs (a, b), and of entries of open tiles (b null: a is a class, with key, size, at, band and home)."""
 
     def run(table: pa.Table) -> pa.Table:
         pairs, left = first_round(np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY))
         signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-        none = lambda n, kind: pa.nulls(n, kind)
+        plain = lambda x, kind: pa.array(np.ascontiguousarray(x).astype(kind))
         tidy()
         n, m = len(pairs), len(left)
         columns = [
             (signed(pairs[:, 0]), signed(left["cls"])),
-            (signed(pairs[:, 1]), none(m, pa.int64())),
-            (none(n, pa.int64()), signed(left["key"])),
-            (none(n, pa.int32()), pa.array(np.ascontiguousarray(left["size"]))),
-            (none(n, pa.int32()), pa.array(np.ascontiguousarray(left["at"]))),
+            (signed(pairs[:, 1]), pa.nulls(m, pa.int64())),
+            (pa.nulls(n, pa.int64()), signed(left["key"])),
+            (pa.nulls(n, pa.int32()), plain(left["size"], np.int32)),
+            (pa.nulls(n, pa.int32()), plain(left["at"], np.int32)),
+            (pa.nulls(n, pa.int32()), plain(bands(left), np.int32)),
+            (pa.nulls(n, pa.bool_()), plain(left["home"], bool)),
         ]
-        return pa.table([pa.concat_arrays(c) for c in columns], names=["a", "b", "key", "size", "at"])
+        return pa.table([pa.concat_arrays(c) for c in columns], names=["a", "b", "key", "size", "at", "band", "home"])
 
     return packed.groupBy("range").applyInArrow(run, ROUND)
 
@@ -412,164 +446,231 @@ def links(pairs: DataFrame, docs: DataFrame, leaders: DataFrame) -> DataFrame:
 
 # --- second round ---
 
-BAND = 1.26  # wider than the threshold's ratio of sizes, so that partners' bands differ by one at most
-MEMBER = "key bigint, cls bigint, size int, at int, root bigint"
-
-
-def dealt(members: DataFrame, ranges: int) -> DataFrame:
-    """Members of tiles, each in its own size band and as a guest in the next; long tiles are dealt in pairs of blocks."""
-    band = F.floor(F.log("size") / F.log(F.lit(BAND))).cast("int")
-    stands = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home"))))
-    own = [c for c in members.columns]
-    banded = members.withColumn("stand", stands).select(*own, "stand.band", "stand.home")
-    long = banded.groupBy("key", "band").agg(F.sum("size").alias("n")).where(F.col("n") > TILE)
-    parts = long.select("key", "band", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
-    out = banded.join(parts, ["key", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    out = out.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    out = out.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
-    return out.withColumn("range", F.pmod(F.xxhash64("key", "band", "lo", "hi"), F.lit(ranges)).cast("int")).select(
-        *own, "band", "home", "part", "lo", "hi", "range"
-    )
-
-
-class Tile:
-    """The members of one tile, or of two of its blocks, smallest first."""
-
-    def __init__(self, columns: dict[str, np.ndarray], rows: np.ndarray):
-        self.rows = rows
-        self.size, self.at = (columns[x][rows].astype(np.int64) for x in ("size", "at"))
-        self.cls, self.root, self.home, self.part = (columns[x][rows] for x in ("cls", "root", "home", "part"))
-        self.apart = columns["lo"][rows[0]] != columns["hi"][rows[0]]
-        self.reach = np.searchsorted(self.size * NUMERATOR, self.size * DENOMINATOR, side="right")
-
-    def partners(self, k: int) -> np.ndarray:
-        """The larger members of other components that member ``k`` may link with."""
-        j = np.arange(k + 1, self.reach[k])
-        fits = (self.root[j] != self.root[k]) & (self.home[j] | self.home[k])
-        if self.apart:
-            fits &= self.part[j] != self.part[k]
-        j = j[fits]
-        return j[may_link(self.size[k], self.at[k], self.size[j], self.at[j])]
-
-
-def _tiles_of(table: pa.Table) -> Iterator[Tile]:
-    columns = {x: table.column(x).to_numpy() for x in ("key", "cls", "size", "at", "root", "band", "home", "part", "lo", "hi")}
-    order = np.lexsort([columns[x] for x in ("cls", "size", "hi", "lo", "band", "key")])
-    change = np.append(True, np.logical_or.reduce([columns[x][order][1:] != columns[x][order][:-1] for x in ("key", "band", "lo", "hi")]))
-    cuts = [*np.flatnonzero(change).tolist(), len(order)]
-    for a, b in zip(cuts, cuts[1:]):
-        tile = Tile(columns, order[a:b])
-        if b - a > 1 and tile.home.any() and tile.root.min() != tile.root.max():
-            yield tile
-
-
-def marked(open_: DataFrame, roots: DataFrame, ranges: int) -> DataFrame:
-    """The members of open tiles that sizes and positions leave a partner of another component."""
-    owned = open_.join(roots, open_["cls"] == roots["node"], "left").select(
-        "key", "cls", "size", "at", F.coalesce("root", "cls").alias("root")
-    )
-    several = owned.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    return _marked(owned.join(several, "key", "left_semi"), ranges, None)
+#: A class in a pair of blocks (lo, hi) of a tile, and the block that it is of.
+MEMBER = "key bigint, cls bigint, size int, at int, root bigint, band int, home boolean, block int, lo int, hi int"
+COLUMNS = [c.split()[0] for c in MEMBER.split(", ")]
+PLACE = ["key", "band", "lo", "hi"]
 
 
-def _marked(members: DataFrame, ranges: int, bits: DataFrame | None) -> DataFrame:
-    """The members of tiles that have a partner there; with ``bits``, one that their signatures allow as well."""
-    sign = bits is not None
+def dealt(open_: DataFrame, roots: DataFrame) -> DataFrame:
+    """The classes of tiles that hold several components, in every pair of blocks in which they may meet another one's.
 
-    def run(table: pa.Table) -> pa.Table:
-        found, x = [np.zeros(0, np.int64)], table.column("x").combine_chunks() if sign else None
-        for tile in _tiles_of(table):
-            has = np.zeros(len(tile.rows), bool)
-            if sign:
-                own = [x[i].as_py() for i in tile.rows.tolist()]
-                least = min(map(len, own))
-                bits = np.stack([np.frombuffer(folded(b, least), np.uint64) for b in own])
-            for k in range(len(tile.rows) - 1):
-                j = tile.partners(k)
-                if len(j) and sign:
-                    j = j[_overlap(tile, bits, k, j) >= needed(tile.size[k], tile.size[j])]
-                if len(j):
-                    has[j] = has[k] = True
-            found.append(tile.rows[has])
-        tidy()
-        return table.select(["key", "cls", "size", "at", "root"]).take(pa.array(np.concatenate(found)))
+    A component with more than ``MEMBERS`` classes in a tile fills blocks of its own there; the others share blocks.
+    """
+    owned = written(
+        open_.join(roots, open_["cls"] == roots["node"], "left").select("key", "cls", "size", "at", F.coalesce("root", "cls").alias("root"), "band", "home"), "open"
+    )
+    held = owned.groupBy("key", "band", "root").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home"))
+    pieces = F.when(F.col("n") > MEMBERS, F.ceil(F.col("n") / MEMBERS))
+    held = written(held.select("key", "band", "root", "n", "home", pieces.cast("int").alias("pieces")), "held")
+    several = (
+        held.groupBy("key", "band")
+        .agg(F.count(F.lit(1)).alias("roots"), F.max("home").alias("home"), F.sum(F.when(F.col("pieces").isNull(), F.col("n")).otherwise(0)).alias("pooled"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("own"))
+        .where("roots > 1 AND home")
+        .select("key", "band", F.ceil(F.col("pooled") / MEMBERS).cast("int").alias("shared"), F.col("own").cast("int").alias("own"))
+    )
+    before = Window.partitionBy("key", "band").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)  # a row for MEMBERS classes at least
+    large = held.where("pieces IS NOT NULL").select("key", "band", "root", "pieces", F.coalesce(F.sum("pieces").over(before), F.lit(0)).cast("int").alias("past"))
+    rows = owned.join(several, ["key", "band"]).join(large, ["key", "band", "root"], "left")
+    first = F.col("shared") + F.col("past")
+    spot = F.pmod(F.xxhash64("cls"), F.coalesce("pieces", "shared")).cast("int")
+    rows = rows.select("*", F.coalesce(first, F.lit(0)).alias("first"), (F.coalesce(first, F.lit(0)) + spot).alias("block"))
+    others = F.filter(
+        F.sequence(F.lit(0), F.col("shared") + F.col("own") - 1),
+        lambda x: F.col("pieces").isNull() | (x < F.col("first")) | (x >= F.col("first") + F.col("pieces")),
+    )
+    rows = rows.select("*", F.explode(others).alias("other"))
+    return rows.select("key", "cls", "size", "at", "root", "band", "home", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+
+class Blocks:
+    """Some pairs of blocks, one after another, each one's classes by size."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+        self.of = {x: table.column(x).to_numpy() for x in COLUMNS}
+        n = len(table)
+        change = np.logical_or.reduce([self.of[x][1:] != self.of[x][:-1] for x in PLACE]) if n > 1 else np.zeros(0, bool)
+        self.start = np.append(0, np.flatnonzero(change) + 1)[: 1 if n == 0 else None]
+        self.end = np.append(self.start[1:], n)
+
+    def worth(self) -> Iterator[tuple[int, int]]:
+        """Where the pairs of blocks with several components lie, and with a class at home."""
+        if not len(self.table):
+            return
+        root, home = self.of["root"], self.of["home"]
+        some = (np.minimum.reduceat(root, self.start) < np.maximum.reduceat(root, self.start)) & np.logical_or.reduceat(home, self.start)
+        yield from zip(self.start[some].tolist(), self.end[some].tolist())
+
+    def pairs(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows a to b, of different components, that sizes and positions allow; the smaller set first."""
+        size, at = (self.of[x][a:b].astype(np.int64) for x in ("size", "at"))
+        root, home, block = (self.of[x][a:b] for x in ("root", "home", "block"))
+        fits = may_link(size[:, None], at[:, None], size, at) & (root[:, None] != root) & (home[:, None] | home)
+        if self.of["lo"][a] != self.of["hi"][a]:
+            fits &= block[:, None] != block
+        i, j = np.nonzero(np.triu(fits, 1))
+        return i + a, j + a
+
+    def bound(self, bits: list[bytes], a: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs the signatures of rows from ``a`` on allow; a few at a time."""
+        least = min(map(len, bits))
+        signs = np.stack([np.frombuffer(folded(x, least), np.uint64) for x in bits])
+        size, out = self.of["size"].astype(np.int64), np.zeros(len(i), bool)
+        step = max(1, STEP_BYTES // least)
+        for lo in range(0, len(i), step):
+            x, y = i[lo : lo + step], j[lo : lo + step]
+            apart = np.bitwise_count(signs[x - a] ^ signs[y - a]).sum(axis=1, dtype=np.int64)
+            out[lo : lo + step] = (size[x] + size[y] - apart) // 2 >= needed(size[x], size[y])
+        return out
 
-    rows = dealt(members, ranges)
-    rows = rows.join(bits.select("cls", "x"), "cls") if sign else rows
-    return rows.groupBy("range").applyInArrow(run, MEMBER).distinct()
 
+def _streamed(work):
+    """``work`` (from Blocks to a table) over rows that come sorted by pairs of blocks: a step holds whole pairs of blocks."""
 
-def _overlap(tile: Tile, bits: np.ndarray, k: int, j: np.ndarray) -> np.ndarray:
-    """Upper bounds of the overlaps of member ``k`` with members ``j``."""
-    return (tile.size[k] + tile.size[j] - np.bitwise_count(bits[j] ^ bits[k]).sum(axis=1, dtype=np.int64)) // 2
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            if held and all(held[-1].column(x)[-1] == batch.column(x)[-1] for x in PLACE):
+                held.append(batch)  # the last pair of blocks goes on
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            cut = int(Blocks(table).start[-1])
+            if cut:
+                yield from work(Blocks(table.slice(0, cut))).to_batches()
+            held = table.slice(cut).to_batches()
+        if held:
+            yield from work(Blocks(pa.Table.from_batches(held))).to_batches()
+
+    return run
+
+
+def _met(members: DataFrame, made: DataFrame | None, ranges: int, work, schema: str) -> DataFrame:
+    rows = members if made is None else members.join(made.select("cls", "x"), "cls").select(*COLUMNS, "x")
+    return rows.repartition(ranges, *PLACE).sortWithinPartitions(*PLACE, "size", "cls").mapInArrow(lean(_streamed(work)), schema)
+
+
+def _marks(signs: bool):
+    """The rows that have a partner in their pair of blocks, by sizes and positions and, with ``signs``, by signatures."""
+
+    def work(blocks: Blocks) -> pa.Table:
+        has = np.zeros(len(blocks.table), bool)
+        for a, b in blocks.worth():
+            i, j = blocks.pairs(a, b)
+            if signs and len(i):
+                fits = blocks.bound(blocks.table.column("x").slice(a, b - a).to_pylist(), a, i, j)
+                i, j = i[fits], j[fits]
+            has[i] = has[j] = True
+        return blocks.table.select(COLUMNS).filter(pa.array(has))
+
+    return work
+
+
+def _joins(blocks: Blocks) -> pa.Table:
+    """Links (a, b), exact ones, that join components within a pair of blocks."""
+    out = []
+    for a, b in blocks.worth():
+        own = [np.frombuffer(x, np.uint64) for x in blocks.table.column("x").slice(a, b - a).to_pylist()]
+        i, j = blocks.pairs(a, b)
+        if not len(i):
+            continue
+        width = max(256, 1 << int(8 * max(map(len, own)) - 1).bit_length())
+        fits = blocks.bound([bitmap(v, width) for v in own], a, i, j)
+        above: dict[int, int] = {}
 
+        def root(node: int) -> int:
+            while (up := above.get(node, node)) != node:
+                node = up
+            return node
 
-def second_round(members: DataFrame, arrays: DataFrame, ranges: int) -> DataFrame:
-    """Links (a, b) that join components, found where the marked members meet with their arrays."""
+        cls, of = blocks.of["cls"], blocks.of["root"]
+        for x, y in zip(i[fits].tolist(), j[fits].tolist()):
+            r, s = root(int(of[x])), root(int(of[y]))
+            if r != s and linked(len(own[x - a]), len(own[y - a]), own[x - a], own[y - a]):
+                above[max(r, s)] = min(r, s)
+                out.append((int(cls[x]), int(cls[y])))
+    a, b = zip(*out) if out else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def run(table: pa.Table) -> pa.Table:
-        x, out = table.column("x").combine_chunks(), []
-        for tile in _tiles_of(table):
-            own = [np.frombuffer(x[i].as_py(), np.uint64) for i in tile.rows.tolist()]
-            width = max(256, 1 << int(8 * len(own[-1]) - 1).bit_length())
-            bits = np.stack([np.frombuffer(bitmap(v, width), np.uint64) for v in own])
-            above: dict[int, int] = {}
-
-            def root(node: int) -> int:
-                while (up := above.get(node, node)) != node:
-                    node = up
-                return node
-
-            for k in range(len(own) - 1):
-                j = tile.partners(k)
-                for other in j[_overlap(tile, bits, k, j) >= needed(tile.size[k], tile.size[j])].tolist():
-                    a, b = root(int(tile.root[k])), root(int(tile.root[other]))
-                    if a != b and linked(len(own[k]), len(own[other]), own[k], own[other]):
-                        above[max(a, b)] = min(a, b)
-                        out.append((int(tile.cls[k]), int(tile.cls[other])))
-        tidy()
-        a, b = zip(*out) if out else ((), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = dealt(members, ranges).join(arrays.select("cls", "x"), "cls")
-    return written(rows.groupBy("range").applyInArrow(run, "a bigint, b bigint"), "more-links")
+def second_round(open_: DataFrame, roots: DataFrame, docs: DataFrame, leaders: DataFrame, ranges: int) -> DataFrame:
+    """Links (a, b) that join components of open tiles."""
+    members = written(_met(dealt(open_, roots), None, ranges, _marks(False), MEMBER), "marked")
+    members = written(_met(members, of_classes(docs, members, leaders, bitmap, "more-bits"), ranges, _marks(True), MEMBER), "remarked")
+    return written(_met(members, of_classes(docs, members, leaders, array, "more-arrays"), ranges, _joins, "a bigint, b bigint"), "more-links")
 
 
 # --- the join ---
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, cls (a hash of the set) and component_id for every row of ``docs``."""
     spark = docs.sparkSession
     python_ready(spark)
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = written(sized(docs), "sizes")
     rows = first.where("NOT common").select("doc_id", F.col("n").alias("n_shingles"), F.col("hash").alias("cls"))
     leaders = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("lead"))
+    most = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    ranges = max(4 * partitions, -(-most * (DENOMINATOR - NUMERATOR) // (DENOMINATOR * RANGE)))
     met = written(meet(tiles(docs, Order(*common_shingles(first)), ranges)), "meetings")
     pairs = met.where("b IS NOT NULL").select("a", "b").distinct()
-    open_ = met.where("b IS NULL").select(F.col("a").alias("cls"), "key", "size", "at").distinct()
+    open_ = met.where("b IS NULL").select(F.col("a").alias("cls"), "key", "size", "at", "band", "home").distinct()
     near = links(pairs, docs, leaders)
-    members = written(marked(open_, components(near), ranges), "marked")
-    members = written(_marked(members, ranges, of_classes(docs, members, leaders, bitmap, "more-bits")), "remarked")
-    roots = components(near.unionByName(second_round(members, of_classes(docs, members, leaders, array, "more-arrays"), ranges)))
+    more = second_round(open_, components(near), docs, leaders, partitions)
+    roots = components(near.unionByName(more))
     led = leaders.join(roots, leaders["cls"] == roots["node"], "left").select("cls", "lead", F.coalesce("root", "cls").alias("root"))
     lowest = led.groupBy("root").agg(F.min("lead").alias("component_id"))
     named_by = led.join(lowest, "root").select("cls", "component_id")
     return rows.join(named_by, "cls", "left").select(
         "doc_id",
         "n_shingles",
+        "cls",
         F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    return joined(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _with_class(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` with the hash of each one's set in a column ``name``."""
+    fields = [f.name for f in docs.schema.fields]
+    at = fields.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(at)] * 2, ["doc_id", "text"])
+            own = [class_of(*distinct(values, begin)).view(np.int64) for _, _, values, begin in _sets(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], [*fields, name])
+
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that stay: of each component the one with the smallest doc_id, with all columns."""
-    gone = written(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    if gone.count() <= BROADCAST:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that stay: of each component those with the smallest doc_id, with all columns; rows without doc_id stay.
+
+    A doc_id whose rows all go is left out by its id; where rows of one doc_id have different texts and only some go, the
+    hash of each row's set tells which.
+    """
+    all_of = joined(docs).where("doc_id IS NOT NULL")
+    fates = written(all_of.groupBy("doc_id", "cls").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("goes")), "fates")
+    each = fates.groupBy("doc_id").agg(F.max("goes").alias("some"), F.min("goes").alias("all"))
+    gone = written(each.where("some").select("doc_id", "all"), "gone")
+    named = F.broadcast(gone) if gone.count() <= BROADCAST else gone
+    stay = docs.join(named, "doc_id", "left_anti").select(*docs.columns)
+    if gone.where("NOT all").isEmpty():
+        return stay
+    name = "cls"
+    while name in docs.columns:
+        name += "_"
+    mixed = _with_class(docs.join(gone.where("NOT all"), "doc_id", "left_semi").select(*docs.columns), name)
+    left = fates.where("NOT goes").select("doc_id", F.col("cls").alias(name))
+    return stay.unionByName(mixed.join(left, ["doc_id", name], "left_semi").select(*docs.columns))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

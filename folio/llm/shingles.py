@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 WORDS = 5
+LONG = 1 << 20  # bytes of a long text that are read in one step
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -46,10 +47,24 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(20, int(size).bit_length()))
 
 
+def _between_words(data: np.ndarray) -> list[int]:
+    """Where a long text is cut: every ``LONG`` bytes, at the next white space."""
+    cuts = [0]
+    while cuts[-1] < len(data):
+        at = cuts[-1] + LONG
+        while at < len(data) and not (white := _WHITE[data[at : at + LONG]]).any():
+            at += LONG
+        cuts.append(at + int(white.argmax()) if at < len(data) else len(data))
+    return cuts
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and each text's first word."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    if len(offsets) == 2 and len(data) > 2 * LONG and len(cuts := _between_words(data)) > 2:
+        parts = [words(data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, cuts[1:])]
+        return np.concatenate(parts), np.array([0, sum(map(len, parts))])
     white = _WHITE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -71,6 +86,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     begin = np.append(0, np.cumsum(count))
     if not begin[-1]:
         return np.zeros(0, np.uint64), begin
+    if len(n) == 1 and n[0] >= WORDS:  # one text: no positions are needed
+        out = np.full(count[0], WORDS, np.uint64)
+        for j in range(WORDS):
+            out += word[j : j + count[0]] * _PLACE[j]
+        return mix(out), begin
     at = np.repeat(first[:-1] - begin[:-1], count) + np.arange(begin[-1])
     padded = np.append(word, np.zeros(WORDS, np.uint64))
     have = np.repeat(np.minimum(n, WORDS), count)

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from folio.llm import components, exact_dedup, near_dup
+from folio.llm import components, exact_dedup, near_dup, shingles
 from tests.duck import same
 
 
@@ -83,7 +83,7 @@ def test_a_group_around_the_threshold_in_many_blocks(spark, monkeypatch):
     """Many variants of one text, about half of which link, with a passage that all share, in tiles dealt over blocks."""
     import random
 
-    for name, value in (("BLOCK", 16), ("TILE", 600), ("NEXT", 2), ("PIVOTS", 3), ("FLUSH", 200)):
+    for name, value in (("BLOCK", 16), ("MEMBERS", 9), ("RANGE", 64), ("NEXT", 2), ("PIVOTS", 3), ("FLUSH", 200)):
         monkeypatch.setattr(near_dup, name, value)
     pick = random.Random(4)
     base = [f"w{i}" for i in range(60)]
@@ -98,11 +98,77 @@ def test_a_group_around_the_threshold_in_many_blocks(spark, monkeypatch):
     assert sorted(repr(tuple(r)) for r in near_dup.near_duplicates(docs).collect()) == near_brute(rows)
 
 
-def test_near_stage(spark, odd, small):
-    gone = {r.doc_id for r in near_dup.near_duplicates(odd).collect() if r.doc_id != r.component_id}
+def test_a_large_group_of_short_variants(spark):
+    """Under the constants as they are: thousands of variants of one short text, most of which link with few others."""
+    import random
+
+    pick = random.Random(8)
+    base = [f"w{i}" for i in range(14)]
+    rows = [(i, " ".join([*base, *(f"x{pick.randrange(40)}" for _ in range(pick.randint(0, 3)))])) for i in range(3_000)]
+    rows += [(i, " ".join(["a" if pick.random() < 0.1 else w for w in base])) for i in range(3_000, 4_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    least = {}
+    for i, text in rows:
+        least.setdefault(frozenset(shingle_set(text)), i)
+    one = near_brute([(i, text) for i, text in rows if least[frozenset(shingle_set(text))] == i])
+    of = {eval(r)[0]: eval(r)[1:] for r in one}
+    expected = sorted((i, *of[least[frozenset(shingle_set(text))]]) for i, text in rows)
+    assert sorted(map(tuple, near_dup.near_duplicates(docs).collect())) == expected
+
+
+def test_blocks_of_large_components_never_meet_themselves(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "MEMBERS", 4)
+    rows = [(1, c, 50, 0, 0, True) for c in range(30)] + [(2, c, 50, 0, 0, True) for c in range(3)]
+    open_ = spark.createDataFrame(rows, "key bigint, cls bigint, size int, at int, band int, home boolean")
+    roots = spark.createDataFrame([(c, 0) for c in range(21)], "node bigint, root bigint")
+    got = near_dup.dealt(open_, roots).collect()
+    assert {r.key for r in got} == {1}  # the other tile holds one component
+    pairs = {}
+    for r in got:
+        pairs.setdefault((r.lo, r.hi), []).append(r)
+    met = set()
+    for (lo, hi), own in pairs.items():
+        met |= {frozenset((x.cls, y.cls)) for x in own for y in own if x.cls != y.cls and (lo == hi or x.block != y.block)}
+    assert {frozenset((x, y)) for x in range(30) for y in range(30) if x < y and y > 20} <= met
+    assert not {p for p in met if max(p) <= 20}
+
+
+def test_pairs_meet_at_home_in_either_band():
+    import numpy as np
+
+    size = np.arange(1, 3_000)
+    assert (near_dup.band(size) == (np.floor(np.log2(size)) // near_dup.BAND_BITS)).all()
+    for s in range(1, 600):
+        for t in range(s, s * 5 // 4 + 1):
+            a, b = near_dup.band(np.array([s, t])).tolist()
+            assert a == b or (b == a + 1 and near_dup.visits(np.array([s]))[0])
+
+
+def test_long_texts_are_read_in_steps(monkeypatch):
+    import numpy as np
+
+    text = (" ".join(f"wört{i % 700}" for i in range(20_000)) + " " * 5_000 + "x" * 9_000 + " end of it").encode()
+    data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = [x.copy() for x in shingles.shingles(data, at)]
+    monkeypatch.setattr(shingles, "LONG", 1_000)
+    assert all((x == y).all() for x, y in zip(whole, shingles.shingles(data, at)))
+
+
+def test_near_stage(spark, odd, odd_rows, small):
     kept = near_dup.stage(spark, odd, small)
     assert kept.columns == odd.columns
-    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(r.doc_id) for r in odd.collect() if r.doc_id is None or r.doc_id not in gone)
+    goes = {(eval(r)[0], eval(r)[1]) for r in near_brute([r[:2] for r in odd_rows]) if eval(r)[0] != eval(r)[2]}
+    expected = [r[:2] for r in odd_rows if r[0] is None or (r[0], len(shingle_set(r[1]))) not in goes]
+    assert sorted(map(repr, (tuple(r)[:2] for r in kept.collect()))) == sorted(map(repr, expected))
+
+
+def test_near_stage_tells_texts_of_one_id_apart(spark, small):
+    one, other = "a text of some words that come again here", "quite another text of as many words as that"
+    rows = [(1, one, 7, "x"), (5, one, 7, "y"), (5, other, 8, "z"), (6, other, 8, None), (None, one, 9, "n"), (9, None, None, "e"), (9, None, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, cls int, cls_ string")
+    kept = near_dup.stage(spark, docs, small)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, (rows[i] for i in (0, 2, 4, 5, 6))))
 
 
 def test_components(spark):
