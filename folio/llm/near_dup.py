@@ -399,10 +399,12 @@ def array(values: np.ndarray) -> bytes:
 
 
 def of_classes(docs: DataFrame, classes: DataFrame, leaders: DataFrame, make, name: str) -> DataFrame:
-    """``signed`` for some classes, from the documents that stand for them; ids are broadcast where a count allows it."""
+    """``signed`` for some classes, one row each, from the documents that stand for them; ids are broadcast where a count allows it."""
     ids = written(classes.select("cls").distinct().join(leaders, "cls").select(F.col("lead").alias("doc_id")).distinct(), "named")
     named = text_rows(docs).join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", "left_semi")
-    return written(signed(named, make), name).dropDuplicates(["cls"])
+    made = written(signed(named, make), name)
+    rows, classes = made.agg(F.count(F.lit(1)), F.countDistinct("cls")).first()
+    return made if rows == classes else written(made.dropDuplicates(["cls"]), name)  # repeated rows of one doc_id
 
 
 def _beside(pairs: DataFrame, made: DataFrame) -> DataFrame:
