@@ -5,14 +5,15 @@ external sort puts equal texts next to each other, and the window operator compa
 with its neighbour's to find where a group ends. Splitters carry at most ``PREFIX`` characters of text, so sampling costs
 the driver the same whatever the texts' lengths.
 
-Hot groups: texts of which there are more than a share of all rows are dealt over several ranges by a salt, in pieces of
-about that share. A share is a quarter of what a shuffle partition gets, and at most one part in ``SHARES``, so there are
+Hot groups: texts of which there are more than a share of all rows are dealt over several ranges by a salt (a hash of the
+row's place, so that rows without ids, or with one id, are dealt too), in pieces of about that share. A share is a quarter of what a shuffle partition gets, and at most one part in ``SHARES``, so there are
 at most as many such texts as shares, twice as many pieces, and only the pieces' leaders meet in a second, small
 comparison. Only DataFrame functions run here.
 
-Defined results: a null text counts as empty; empty texts are equal to each other and to texts of white space only;
-repeated rows are rows of their own, of which one stays; a null doc_id sorts before others; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+Defined results: of equal texts the row with the most code points in the text as it stands stays, then the one with the
+smallest doc_id; a null text counts as empty; empty texts are equal to each other and to texts of white space only;
+repeated rows are rows of their own, of which one stays; a null doc_id sorts before others; very long texts are hashed and
+compared whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from folio.llm.common import documents, text_rows, written
 
 PREFIX = 32
 SHARES = 512
+BROADCAST = 1 << 20  # ids of rows that go, beyond which the join shuffles
 
 
 def normalised(text):
@@ -35,7 +37,8 @@ def content_sort(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
     rows = text_rows(docs).select("doc_id", "text", normalised(F.col("text")).alias("norm"))
     rows = rows.select(
-        "doc_id", "text", F.substring("norm", 1, PREFIX).alias("head"), F.xxhash64("norm").alias("hash")
+        "doc_id", "text", F.substring("norm", 1, PREFIX).alias("head"), F.xxhash64("norm").alias("hash"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("spot"),
     )
     shares = max(SHARES, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     share = max(1, docs.count() // shares)
@@ -45,7 +48,7 @@ def content_sort(docs: DataFrame) -> DataFrame:
     )  # each has more than a share of all rows: as many rows as shares at most
     dealt = rows.join(F.broadcast(hot), "hash", "left").select(
         "doc_id", "text", "head", "hash", F.col("pieces").isNotNull().alias("hot"),
-        F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).cast("int").alias("salt"),
+        F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.col("spot"), F.col("pieces"))).cast("int").alias("salt"),
     )
     ranged = dealt.repartitionByRange("head", "hash", "salt").withColumns(
         {"norm": normalised(F.col("text")), "chars": F.coalesce(F.char_length("text"), F.lit(0))}
@@ -86,14 +89,30 @@ def content_sort(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that stay, with all their columns. Rows alike in doc_id and text are one row afterwards."""
-    kept = content_sort(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__sha", F.sha2(normalised(docs["text"]), 256))
-    kept = kept.withColumnRenamed("__sha", "__kept_sha")
-    joined = marked.join(
-        kept, marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__sha"] == kept["__kept_sha"]), "left_semi"
+    """The rows that stay, one of each text, with all their columns.
+
+    A doc_id whose rows all go is left out by its id. Only rows without an id, and rows that share an id of which some go,
+    have their texts hashed again: of those that have the id and the text of the one that stays, the longest is taken, and
+    of these the first by text; which of rows alike in both is taken isn't defined.
+    """
+    sorted_ = written(content_sort(docs).select("doc_id", "kept", "text_sha256"), "exact-kept")
+    each = sorted_.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(~F.col("kept")).alias("some"), F.min(~F.col("kept")).alias("all"))
+    gone = written(each.where("some").select("doc_id", "all"), "exact-gone")
+    named = F.broadcast(gone) if gone.count() <= BROADCAST else gone
+    stay = docs.where("doc_id IS NOT NULL").join(named, "doc_id", "left_anti").select(*docs.columns)
+    mixed, nameless = gone.where("NOT all"), sorted_.where("doc_id IS NULL")
+    if mixed.isEmpty() and nameless.isEmpty():
+        return stay
+    own = docs.where("doc_id IS NULL").unionByName(docs.join(mixed, "doc_id", "left_semi").select(*docs.columns))
+    row = own.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select(
+        "row", F.sha2(normalised(F.col("row.text")), 256).alias("sha"),
+        F.struct((-F.coalesce(F.char_length("row.text"), F.lit(0))).alias("chars"), F.col("row.text").alias("text")).alias("order"),
     )
-    return joined.dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
+    kept = sorted_.where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("sha"))
+    kept = kept.join(mixed, kept["keep_id"] == mixed["doc_id"], "left_semi").unionByName(kept.where("keep_id IS NULL"))
+    among = row.join(kept, (row["sha"] == kept["sha"]) & row["row.doc_id"].eqNullSafe(kept["keep_id"]), "left_semi")
+    one = among.groupBy("sha").agg(F.min_by("row", "order").alias("row"))
+    return stay.unionByName(one.select("row.*"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

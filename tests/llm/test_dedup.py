@@ -42,6 +42,23 @@ def test_exact_stage(spark, odd, small):
     assert len(norms) == len(set(norms)) == len({re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in odd.collect()})
 
 
+def test_exact_stage_of_rows_that_share_an_id(spark, small):
+    rows = [
+        (5, "a b", "s", "x"), (5, "a   b", "t", "y"), (7, "ab", "u", "z"), (5, "c", "v", "w"), (8, "d ", "v", "w"), (8, "d", "v", "w"), (9, "d", "v", "w"),
+        (None, "e", "v", "w"), (None, "e ", "q", "w"), (1, "e", "v", "w"), (None, None, "v", "w"), (None, " ", "r", "w"), (4, "f", "1", "2"), (4, "f", "1", "2"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __sha string, __id string").repartition(3)
+    kept = exact_dedup.stage(spark, docs, small)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, (rows[i] for i in (1, 3, 4, 8, 11, 12))))
+
+
+def test_a_hot_text_without_ids_is_dealt(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 10_000 + [(i, f"text {i}") for i in range(200)], "doc_id bigint, text string").repartition(4)
+    got = exact_dedup.content_sort(docs).where("doc_id IS NULL").groupBy("group_size", "kept").count().collect()
+    assert sorted(map(tuple, got)) == [(10_000, False, 9_999), (10_000, True, 1)]
+
+
 def shingle_set(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
