@@ -13,20 +13,27 @@ from pyspark.sql import functions as F
 from folio.llm.common import written
 
 ROUNDS = 64
+BROADCAST = 1 << 20  # edges up to which the table of least neighbours is broadcast
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """Each row with its node's least neighbour. A hub's rows aren't gathered: the small side is broadcast where the count
+    of edges bounds it, else written, so that both sides of the join come from shuffles that can be split."""
+    return rows.join(F.broadcast(least) if edges <= BROADCAST else written(least, "least"), "a")
+
+
+def _large(edges: DataFrame, n: int) -> DataFrame:
     """Each node's larger neighbours are tied to its smallest neighbour, itself included."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return _with_least(both.where("b > a"), least, n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     """Each node's smaller neighbours, and itself, are tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    tied = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    tied = _with_least(down, least, n).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b")
 
 
@@ -41,7 +48,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         if not state[0]:
             break
-        now = written(_small(_large(now).distinct()).distinct(), "stars")
+        tied = written(_large(now, state[0]).distinct(), "tied")
+        now = written(_small(tied, state[0]).distinct(), "stars")
         new = _state(now)
         if new == state:
             break

@@ -465,12 +465,13 @@ def dealt(open_: DataFrame, roots: DataFrame) -> DataFrame:
     held = owned.groupBy("key", "band", "root").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("home"))
     pieces = F.when(F.col("n") > MEMBERS, F.ceil(F.col("n") / MEMBERS))
     held = written(held.select("key", "band", "root", "n", "home", pieces.cast("int").alias("pieces")), "held")
-    several = (
+    several = written(
         held.groupBy("key", "band")
         .agg(F.count(F.lit(1)).alias("roots"), F.max("home").alias("home"), F.sum(F.when(F.col("pieces").isNull(), F.col("n")).otherwise(0)).alias("pooled"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("own"))
         .where("roots > 1 AND home")
-        .select("key", "band", F.ceil(F.col("pooled") / MEMBERS).cast("int").alias("shared"), F.col("own").cast("int").alias("own"))
-    )
+        .select("key", "band", F.ceil(F.col("pooled") / MEMBERS).cast("int").alias("shared"), F.col("own").cast("int").alias("own")),
+        "several",
+    )  # written, so that a hot tile's rows meet it in a join that can be split
     before = Window.partitionBy("key", "band").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)  # a row for MEMBERS classes at least
     large = held.where("pieces IS NOT NULL").select("key", "band", "root", "pieces", F.coalesce(F.sum("pieces").over(before), F.lit(0)).cast("int").alias("past"))
     rows = owned.join(several, ["key", "band"]).join(large, ["key", "band", "root"], "left")
@@ -623,8 +624,8 @@ def joined(docs: DataFrame) -> DataFrame:
     near = links(pairs, docs, leaders)
     more = second_round(open_, components(near), docs, leaders, partitions)
     roots = components(near.unionByName(more))
-    led = leaders.join(roots, leaders["cls"] == roots["node"], "left").select("cls", "lead", F.coalesce("root", "cls").alias("root"))
-    lowest = led.groupBy("root").agg(F.min("lead").alias("component_id"))
+    led = written(leaders.join(roots, leaders["cls"] == roots["node"], "left").select("cls", "lead", F.coalesce("root", "cls").alias("root")), "led")
+    lowest = written(led.groupBy("root").agg(F.min("lead").alias("component_id")), "lowest")  # for a join that can be split
     named_by = led.join(lowest, "root").select("cls", "component_id")
     return rows.join(named_by, "cls", "left").select(
         "doc_id",
