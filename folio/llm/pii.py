@@ -6,10 +6,15 @@ in hosts, in local parts and between digits), and, for numbers only, spelled dig
 rewritten text keeps the source span it came from, the same detectors run again, and a span that holds a rewritten
 character is mapped back and added, unless a plain one covers it. One spelled digit beside a whole number is prose.
 
+A plain ``at`` between words is a disguise only before a host with a disguised dot ("look at example.com" is prose); in
+brackets, or as a sign between spaces, it is one before any host. A host whose labels were disguised ends with its last
+known label (and a country's two letters after it), so a sentence that goes on after it isn't swallowed.
+
 Defined results: a null or empty text has no spans; offsets are code points of the source, end exclusive; the counts
 n_email, n_ip, n_card and n_phone and base_sha256 are of the plain identifiers, spans and n_added hold those the
-transducers added too; every detector reads a text once, so very long texts cost in proportion; repeated rows and other
-columns change nothing.
+transducers added too; every detector reads a text once and single characters are rewritten by array, so very long texts
+cost in proportion, whatever their script; repeated rows and other columns change nothing; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -106,9 +111,20 @@ def glyphs() -> dict[str, str]:
     return table | SIGNS | dict.fromkeys(INVISIBLE, "")
 
 
+GONE = 0xFFFFFFFF
+
+
+@lru_cache(1)
+def points() -> np.ndarray:
+    """For every code point, the one it is rewritten to, or GONE."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    for ch, instead in glyphs().items():
+        table[ord(ch)] = ord(instead) if instead else GONE
+    return table
+
+
 @lru_cache(1)
-def machines() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
-    glyph = re.compile("[" + "".join(map(re.escape, sorted(glyphs()))) + "]")
+def machines() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     word = "|".join(sorted(SPELLED, key=len, reverse=True))
     figure = rf"(?:{word}|[0-9]++)(?!\w)"
     run = re.compile(rf"(?<!\w)(?P<plus>plus[\x20-]{{1,2}})?{figure}(?:[\x20,.-]{{1,3}}{figure})*+", re.I)
@@ -118,13 +134,31 @@ def machines() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
     mail = re.compile(
         rf"(?P<at>{at})(?=(?P<host>{label}(?:(?:{dot}|\.){label}){{1,8}}))", re.I
     )
-    return glyph, run, mail, re.compile(dot, re.I)
+    return run, mail, re.compile(dot, re.I)
 
 
 Edit = tuple[int, int, str]
+#: A rewritten text; of each of its characters, where in the source it begins and ends, and whether it is rewritten.
+Now = tuple[str, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _edited(edits: Iterable[Edit], text: str, starts: np.ndarray, ends: np.ndarray, new: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+def _drawn(text: str) -> Now:
+    """The transducer of single characters, over the whole text at once."""
+    at = np.arange(len(text))
+    if not beyond_latin(text):
+        return text, at, at + 1, np.zeros(len(text), bool)
+    raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    drawn = points()[raw]
+    new, gone = drawn != raw, drawn == GONE
+    if gone.any():  # what precedes something invisible, or else follows it, holds a rewritten character too
+        before = np.append(new[1:] & gone[1:], False)
+        new |= before
+        new[: int(gone.argmin()) + 1] |= gone[0]
+        at, drawn, new = at[~gone], drawn[~gone], new[~gone]
+    return drawn.tobytes().decode("utf-32-le"), at, at + 1, new
+
+
+def _edited(edits: Iterable[Edit], text: str, starts: np.ndarray, ends: np.ndarray, new: np.ndarray) -> Now:
     """One transducer: ``edits`` (start, end, instead; in order, an overlapping one is skipped) are made; positions follow."""
     out, s, e, n, last = [], [], [], [], 0
     for a, b, instead in edits:
@@ -134,8 +168,6 @@ def _edited(edits: Iterable[Edit], text: str, starts: np.ndarray, ends: np.ndarr
         s += [starts[last:a], np.full(len(instead), starts[a])]
         e += [ends[last:a], np.full(len(instead), ends[b - 1])]
         n += [new[last:a], np.ones(len(instead), bool)]
-        if not instead and a:  # what follows or precedes something invisible holds a rewritten character too
-            (n[-2] if len(n[-2]) else n[-1])[-1:] = True
         last = b
     if not out:
         return text, starts, ends, new
@@ -146,6 +178,18 @@ def _dotted(low: str) -> bool:
     return "dot" in low or _BRACKETED.search(low) is not None
 
 
+def _host_end(host: str, dot: re.Pattern, sure: bool) -> int | None:
+    """Where a disguised host ends: after its last known label; without one it is whole if it is ``sure`` to be a host."""
+    joints = [(m.start(), m.end()) for m in re.finditer(f"{dot.pattern}|\\.", host, re.I)]
+    begin, ends = [0, *(b for _, b in joints)], [*(a for a, _ in joints), len(host)]
+    labels = [host[a:b].lower() for a, b in zip(begin, ends)]
+    known = [i for i, label in enumerate(labels) if i and label in LABELS]
+    if not known:
+        return len(host) if sure else None
+    last = known[-1]
+    return ends[last + 1] if last + 1 < len(labels) and re.fullmatch("[a-z]{2}", host[begin[last + 1] : ends[last + 1]]) else ends[last]
+
+
 def _signs(text: str, mail: re.Pattern, dot: re.Pattern) -> list[Edit]:
     """Disguised signs of addresses, the dots in their hosts and local parts, and dots between digits."""
     dots = {m.end(): m.start() for m in dot.finditer(text)} if _dotted(text.lower()) else {}
@@ -155,14 +199,16 @@ def _signs(text: str, mail: re.Pattern, dot: re.Pattern) -> list[Edit]:
         inner = list(dot.finditer(host))
         if m["at"] != "@" or inner:
             sure = between[0] in "[({<" or (between == "@" and inner)
-            labels = dot.sub(".", host).lower().split(".")
-            while not sure and len(labels) > 1 and labels[-1] not in LABELS:
-                labels.pop()
-            if len(labels) < 2:
+            if between == "at" and not inner:
+                continue
+            end = _host_end(host, dot, sure)
+            if end is None:
                 continue
             if m["at"] != "@":
                 edits[m.start()] = (m.end(), "@")
-            edits |= {m.start("host") + d.start(): (m.start("host") + d.end(), ".") for d in inner}
+            edits |= {m.start("host") + d.start(): (m.start("host") + d.end(), ".") for d in inner if d.end() < end}
+            if end < len(host):  # the sentence goes on
+                edits[m.start("host") + end] = (m.start("host") + end, "\n")
         start = m.start()
         while start > 0:  # the local part, back over its disguised dots
             head = start
@@ -204,11 +250,8 @@ def _few(low: str) -> bool:
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
     """Spans that only the transducers find, in positions of the source."""
-    glyph, run, mail, dot = machines()
-    at = np.arange(len(text))
-    now = (text, at, at + 1, np.zeros(len(text), bool))
-    if beyond_latin(text) and glyph.search(text) is not None:
-        now = _edited(((*m.span(), glyphs()[m.group()]) for m in glyph.finditer(text)), *now)
+    run, mail, dot = machines()
+    now = _drawn(text)
     low = now[0].lower()
     signs = "@" in low or "at" in low or _dotted(low)
     spelled = not _few(low)
