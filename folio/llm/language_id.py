@@ -2,15 +2,18 @@
 
 Method: character n-grams of one to three letters are hashed to ``BUCKETS`` buckets; their shares of a text times inverse
 document frequencies feed a multinomial logistic regression, trained by follow-the-regularised-leader with an
-elastic-net penalty, so most weights are zero. A temperature, fitted on labelled texts that trained no weight, calibrates
-the probabilities.
+elastic-net penalty, so most weights are zero; the others are kept and applied as sparse rows. A temperature, fitted on
+labelled texts that trained no weight, calibrates the probabilities.
 
-Bounds: about ``SAMPLE`` labelled texts of each of at most ``LANGUAGES`` languages are learnt from, chosen by a hash of
-their ids, and ``SAMPLE_CHARS`` characters of each. Every whole text is judged; its n-grams are read in steps, so memory
-doesn't grow with texts.
+Bounds: the regression learns from about ``SAMPLE`` labelled texts of each language (fewer where there are so many
+languages that these would be over ``SAMPLE_ALL``, but ``SAMPLE_LEAST``), chosen by a hash of their ids. Their whole texts
+are read where they lie; the shares of a text's buckets are what reaches the driver. Every language is learnt. Document
+frequencies are counted over all texts that may be learnt from. Every whole text is judged; n-grams are read in steps, so
+memory grows neither with texts nor with the number of languages times characters.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without any labelled text all are; ties
-between languages go to the first by name; columns other than doc_id and text are read for learning only (lang).
+between languages go to the first by name; repeated rows are judged each, alike; very long texts are read in steps; an
+empty table gives an empty result; columns other than doc_id and text are read for learning only (lang).
 """
 
 from __future__ import annotations
@@ -26,12 +29,15 @@ from pyspark.sql import functions as F
 from folio.llm.byte_bpe import LETTER, classes
 from folio.llm.common import crc_mod, documents, lean, python_ready, steps, text_rows, utf8
 
-SAMPLE, SAMPLE_CHARS, LANGUAGES = 1_500, 4_000, 200
+SAMPLE, SAMPLE_ALL, SAMPLE_LEAST = 1_500, 12_000, 30
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
 FOLDS, HELD_OUT, TUNING = 4, 2, 3
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.002, 2
 GAIN = 10.0  # the features' scale
-STEP_CHARS = 1 << 19
+STEP_BYTES = 1 << 18
+TERMS = 1 << 20  # weights that are gathered at a time
+TEXTS = 64  # texts whose buckets are told apart at a time
+COOLEST, HOTTEST = 1e-3, 1e3  # temperatures tried
 NONE = "und"
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -59,25 +65,122 @@ def grams(points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield n, (mixed >> np.uint32(16)).astype(np.int32)
 
 
-def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and shares of each text."""
-    out = []
-    for text in texts:
-        points = lowered()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-        found = [b for _, b in grams(points)]
-        all_of = np.concatenate(found) if found else np.zeros(0, np.int32)
-        bucket, n = np.unique(all_of, return_counts=True)
-        out.append((bucket, n / max(1, n.sum())))
-    return out
+def _pieces(data: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """A long text's code points in steps, each with those that its last n-grams need, and how many are its own."""
+    lo = 0
+    while lo < len(data):
+        cuts, hi = [], lo + STEP_BYTES
+        for _ in ORDERS:  # the ends of the step and of the characters after it
+            while hi < len(data) and data[hi] & 0xC0 == 0x80:
+                hi += 1
+            cuts.append(min(hi, len(data)))
+            hi += 1
+        own = len(data[lo : cuts[0]].tobytes().decode())
+        yield np.frombuffer(data[lo : cuts[-1]].tobytes().decode().encode("utf-32-le"), np.uint32), own
+        lo = cuts[0]
+
+
+def read(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Over ranges of texts (lo, hi), perhaps several times over one long text: whether each has letters there, and the
+    buckets and the texts (from 0) of all their n-grams."""
+    for lo, hi in steps(offsets, STEP_BYTES):
+        own = data[offsets[lo] : offsets[hi]]
+        if hi - lo == 1 and len(own) > STEP_BYTES:
+            for points, n in _pieces(own):
+                found = np.concatenate([b[:n] for _, b in grams(lowered()[points])])
+                yield lo, hi, np.array([(classes()[points[:n]] == LETTER).any()]), found, np.zeros(len(found), np.int64)
+            continue
+        raw = np.frombuffer(own.tobytes().decode().encode("utf-32-le"), np.uint32)
+        at = np.append(0, np.cumsum((own & 0xC0) != 0x80))[offsets[lo : hi + 1] - offsets[lo]]
+        letters = np.append(0, np.cumsum(classes()[raw] == LETTER))
+        text = np.repeat(np.arange(hi - lo), np.diff(at))
+        buckets, texts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for order, bucket in grams(lowered()[raw]):
+            inside = text[: len(bucket)] == text[order - 1 :]
+            buckets.append(bucket[inside])
+            texts.append(text[: len(bucket)][inside])
+        yield lo, hi, letters[at[1:]] > letters[at[:-1]], np.concatenate(buckets), np.concatenate(texts)
+
+
+# --- learning ---
+
+
+def usable(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lang and fold of the rows that may be learnt from."""
+    return docs.select("doc_id", "text", "lang").where(
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    ).withColumn("fold", crc_mod(F.col("doc_id"), FOLDS).cast("int")).where(F.col("fold") != HELD_OUT)
+
+
+def frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """How many texts there are, and how many of them have an n-gram in each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = 0, np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            total += len(batch)
+            long: tuple[int, np.ndarray] | None = None  # a long text comes in several steps
+            for lo, hi, _, bucket, text in read(data, offsets):
+                if long is not None and long[0] != lo:
+                    seen += long[1]
+                    long = None
+                if hi - lo == 1:
+                    mark = long[1] if long is not None else np.zeros(BUCKETS, bool)
+                    mark[bucket] = True
+                    long = (lo, mark)
+                    continue
+                order = np.argsort(text, kind="stable")
+                bucket, text = bucket[order], text[order]
+                for a in range(0, hi - lo, TEXTS):
+                    x, y = np.searchsorted(text, [a, a + TEXTS])
+                    mark = np.zeros((TEXTS, BUCKETS), bool)
+                    mark[text[x:y] - a, bucket[x:y]] = True
+                    seen += mark.sum(axis=0)
+            if long is not None:
+                seen += long[1]
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some)), pa.array(np.append(total, seen[some]))], ["bucket", "n"])
+
+    counted = rows.select("text").mapInArrow(lean(run), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    seen, total = np.zeros(BUCKETS, np.int64), 0
+    for bucket, n in counted.collect():  # a row for each bucket at most
+        if bucket < 0:
+            total = n
+        else:
+            seen[bucket] = n
+    return total, seen
+
+
+BAG = "lang string, fold int, bucket binary, share binary"
+
+
+def bags(rows: DataFrame) -> DataFrame:
+    """For each text, its language, fold, buckets and their shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            out, cuts = [], offsets.tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                n = np.zeros(BUCKETS, np.int64)
+                for _, _, _, bucket, _ in read(data[a:b], np.array([0, b - a])):
+                    n += np.bincount(bucket, minlength=BUCKETS)
+                some = np.flatnonzero(n)
+                out.append((some.astype("<u2").tobytes(), (n[some] / max(1, n.sum())).astype("<f4").tobytes()))
+            x, y = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["lang", "fold", "bucket", "share"])
+
+    return rows.select("lang", "fold", "text").mapInArrow(lean(run), BAG)
 
 
 def follow_leader(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int) -> np.ndarray:
     """Weights (bucket, class) by FTRL-proximal with L1 and L2 penalties."""
-    z, n = np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k))
+    z, n = np.zeros((BUCKETS, k), np.float32), np.zeros((BUCKETS, k), np.float32)
 
     def weights(at) -> np.ndarray:
         zz = z[at]
-        return np.where(np.abs(zz) <= L1, 0.0, -(zz - np.sign(zz) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
+        return np.where(np.abs(zz) <= L1, np.float32(0), -(zz - np.sign(zz) * np.float32(L1)) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
@@ -89,107 +192,106 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: i
             p /= p.sum()
             p[y[i]] -= 1
             g = x[:, None] * p
-            z[bucket] += g - (np.sqrt(n[bucket] + g * g) - np.sqrt(n[bucket])) / ALPHA * w
-            n[bucket] += g * g
+            before = n[bucket]
+            z[bucket] += g - (np.sqrt(before + g * g) - np.sqrt(before)) / ALPHA * w
+            n[bucket] = before + g * g
     return weights(slice(None))
 
 
-def temperature(m: np.ndarray, y: np.ndarray) -> float:
-    """The divisor of the margins that gives the tuning texts the least log loss."""
-    def loss(t: float) -> float:
-        s = m / t
-        top = s.max(axis=1)
-        return float(np.mean(np.log(np.exp(s - top[:, None]).sum(axis=1)) + top - s[np.arange(len(y)), y]))
-
-    return min(np.geomspace(0.01, 100, 161).tolist(), key=loss) if len(y) else 1.0
+def smoothed_loss(m: np.ndarray, y: np.ndarray) -> float:
+    """The mean log loss where each text counts as wrongly labelled with a chance of 1 / (texts + 2), so that texts that
+    all are told apart don't ask for certainty."""
+    n, k = m.shape
+    top = m.max(axis=1)
+    logs = m - top[:, None] - np.log(np.exp(m - top[:, None]).sum(axis=1))[:, None]
+    own, wrong = logs[np.arange(n), y], 1 / (n + 2)
+    return float(-np.mean((1 - wrong) * own + wrong * (logs.sum(axis=1) - own) / max(k - 1, 1)))
 
 
-def sample(docs: DataFrame) -> DataFrame:
-    """fold, lang and text of those to learn from."""
-    usable = docs.select("doc_id", "text", "lang").where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-    ).withColumn("fold", crc_mod(F.col("doc_id"), FOLDS)).where(F.col("fold") != HELD_OUT)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    spot = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30))
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, SAMPLE / r["count"]) * (1 << 30)))).otherwise(share)
-    return usable.where(spot < share).select("fold", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-
-
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray] | None:
-    """Languages, weights with the idf folded in, over the temperature; None without labelled texts."""
-    rows = sorted((r.text, r.lang, int(r.fold)) for r in sample(docs).collect())
-    if not rows:
+def temperature(m: np.ndarray, y: np.ndarray) -> float:
+    """The divisor of the margins that gives the tuning texts the least loss."""
+    return min(np.geomspace(COOLEST, HOTTEST, 241).tolist(), key=lambda t: smoothed_loss(m / t, y)) if len(y) else 1.0
+
+
+class Model:
+    """Languages, and the weights that aren't zero: for each bucket a stretch of classes and weights."""
+
+    def __init__(self, names: list[str], dense: np.ndarray, cooled: float):
+        self.names, self.temperature = names, cooled
+        bucket, self.cls = np.nonzero(dense)
+        self.weight = dense[bucket, self.cls].astype(np.float32)
+        self.start = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+
+    def add(self, total: np.ndarray, bucket: np.ndarray, text: np.ndarray) -> None:
+        """Adds the n-grams' weights to their texts' rows of ``total``."""
+        k, n = len(self.names), self.start[bucket + 1] - self.start[bucket]
+        some = np.flatnonzero(n)
+        bucket, text, n = bucket[some], text[some], n[some]
+        ends = np.cumsum(n)
+        lo = 0
+        while lo < len(bucket):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TERMS, side="right")))
+            size = n[lo:hi]
+            at = np.repeat(self.start[bucket[lo:hi]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            a, b = int(text[lo:hi].min()), int(text[lo:hi].max()) + 1
+            key = np.repeat(text[lo:hi] - a, size) * k + self.cls[at]
+            total[a:b] += np.bincount(key, self.weight[at], (b - a) * k).reshape(b - a, k)
+            lo = hi
+
+
+def fit(docs: DataFrame) -> Model | None:
+    """The model; None without labelled texts."""
+    spark = docs.sparkSession
+    python_ready(spark)
+    rows = usable(docs)
+    counts = rows.groupBy("lang").count().collect()  # a row for each language
+    if not counts:
+        return None
+    most = min(SAMPLE, max(SAMPLE_LEAST, SAMPLE_ALL // len(counts)))
+    parts = 1 << 30
+    shares = spark.createDataFrame([(r["lang"], int(min(1.0, most / r["count"]) * parts)) for r in counts], "lang string, share bigint")
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(parts)) < F.col("share"))
+    sample = sorted(tuple(map(bytes, r[2:])) + (r[0], r[1]) for r in bags(chosen).collect())
+    if not sample:
         return None
-    names = sorted({r[1] for r in rows})
-    y = np.array([names.index(r[1]) for r in rows])
-    of = bags([r[0] for r in rows])
-    seen = np.zeros(BUCKETS)
-    for bucket, _ in of:
-        seen[bucket] += 1
-    idf = np.log((1 + len(of)) / (1 + seen)) + 1
-    scaled = [(b, GAIN * s * idf[b]) for b, s in of]
-    tune = np.array([r[2] == TUNING for r in rows])
+    names = sorted({r[2] for r in sample})
+    y = np.array([names.index(r[2]) for r in sample])
+    total, seen = frequencies(rows)
+    idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
+    scaled = []
+    for bucket, share, *_ in sample:
+        at = np.frombuffer(bucket, "<u2").astype(np.int64)
+        scaled.append((at, np.float32(GAIN) * np.frombuffer(share, "<f4") * idf[at]))
+    tune = np.array([r[3] == TUNING for r in sample])
     if tune.all() or not len(set(y[~tune].tolist())) == len(names):
         tune[:] = False
-    learn = np.flatnonzero(~tune)
+    learn, held = np.flatnonzero(~tune), np.flatnonzero(tune)
     w = follow_leader([scaled[i] for i in learn], y[learn], len(names))
-    held = np.flatnonzero(tune)
     m = np.array([scaled[i][1] @ w[scaled[i][0]] for i in held]).reshape(-1, len(names))
     t = temperature(m, y[held])
-    return names, (GAIN * idf[:, None] * w / t).astype(np.float32), idf
-
-
-def margins(points: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Sums of the n-grams' weights over each text (rows of ``offsets``) divided by their number."""
-    n = len(offsets) - 1
-    total, count = np.zeros((n, weights.shape[1])), np.zeros(n)
-    for order, bucket in grams(points):
-        ends = np.maximum(offsets[1:] - order + 1, offsets[:-1])
-        sums = np.zeros((len(points) + 1, weights.shape[1]))
-        np.cumsum(weights[bucket], axis=0, out=sums[1 : len(bucket) + 1], dtype=np.float64)
-        a, b = np.minimum(offsets[:-1], len(bucket)), np.minimum(ends, len(bucket))
-        total += sums[b] - sums[a]
-        count += b - a
-    return total / np.maximum(count, 1)[:, None]
-
-
-def long_margins(points: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """As ``margins`` for one text, in steps that overlap by what an n-gram needs."""
-    total, count = np.zeros(weights.shape[1]), 0
-    for lo in range(0, len(points), STEP_CHARS):
-        for order, bucket in grams(points[lo : lo + STEP_CHARS + max(ORDERS) - 1]):
-            bucket = bucket[:STEP_CHARS]
-            total += np.bincount(bucket, minlength=BUCKETS) @ weights
-            count += len(bucket)
-    return total / max(count, 1)
-
-
-def identify(docs: DataFrame, model: tuple | None) -> DataFrame:
+    return Model(names, np.float32(GAIN) * idf[:, None] * w / np.float32(t), t)
+
+
+# --- judging ---
+
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            names, scores = [], []
-            for lo, hi in steps(offsets, STEP_CHARS):
-                raw = np.frombuffer(data[offsets[lo] : offsets[hi]].tobytes().decode().encode("utf-32-le"), np.uint32)
-                chars = np.append(0, np.cumsum((data[offsets[lo] : offsets[hi]] & 0xC0) != 0x80))
-                at = chars[offsets[lo : hi + 1] - offsets[lo]]
-                letters = np.append(0, np.cumsum(classes()[raw] == LETTER))
-                some = letters[at[1:]] > letters[at[:-1]]
-                if model is None:
-                    names += [NONE] * (hi - lo)
-                    scores += [0.0] * (hi - lo)
-                    continue
-                points = lowered()[raw]
-                m = long_margins(points, model[1])[None] if hi - lo == 1 and len(points) > STEP_CHARS else margins(points, at, model[1])
-                p = np.exp(m - m.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                best = p.argmax(axis=1)
-                names += [model[0][b] if s else NONE for b, s in zip(best.tolist(), some.tolist())]
-                scores += np.where(some, p.max(axis=1), 0.0).tolist()
+            n, k = len(batch), len(model.names) if model else 1
+            total, count, some = np.zeros((n, k)), np.zeros(n), np.zeros(n, bool)
+            for lo, hi, letters, bucket, text in read(data, offsets) if model else ():
+                some[lo:hi] |= letters
+                count[lo:hi] += np.bincount(text, minlength=hi - lo)
+                model.add(total[lo:hi], bucket, text)
+            m = total / np.maximum(count, 1)[:, None]
+            p = np.exp(m - m.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            names = [model.names[b] if s else NONE for b, s in zip(p.argmax(axis=1).tolist(), some.tolist())]
+            scores = np.where(some, p.max(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     python_ready(docs.sparkSession)

@@ -46,12 +46,102 @@ def test_odd_languages(spark, odd, nothing, small):
     assert language_id.fit(odd) is not None
 
 
-def test_long_texts_are_judged_alike(spark, small, monkeypatch):
-    model = language_id.fit(spark.read.parquet(f"{small}/documents.parquet"))
+def _buckets(text):
+    """The n-grams' buckets, one character at a time, with integers of its own."""
+    import unicodedata
+
+    points = []
+    for c in text:
+        low = c.lower() if unicodedata.category(c)[0] == "L" else " "
+        points.append(ord(low) if len(low) == 1 else ord(c))
+    f, m = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), (1 << 32) - 1
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            h = points[i] * f[0] & m
+            for k in range(1, n):
+                h = ((h ^ h >> 15) * f[k] + points[i + k] * f[0]) & m
+            yield ((h ^ h >> 13) * f[2] & m) >> 16
+
+
+def test_predictions_equal_a_loop_over_characters(spark, odd, small):
+    """Counts, sums of weights and probabilities by dictionaries and plain loops, for the model that was fitted."""
+    from collections import Counter
+    from math import exp
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_id.fit(docs)
+    weights = {}
+    for b in range(language_id.BUCKETS):
+        for i in range(model.start[b], model.start[b + 1]):
+            weights.setdefault(b, []).append((int(model.cls[i]), float(model.weight[i])))
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()[:60]] + [(r.doc_id, r.text) for r in odd.collect()]
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in language_id.identify(table, model).collect()}
+    for i, (_, text) in enumerate(rows):
+        found = Counter(_buckets(text or ""))
+        sums = [0.0] * len(model.names)
+        for b, n in found.items():
+            for c, w in weights.get(b, ()):
+                sums[c] += n * w
+        m = [x / max(1, sum(found.values())) for x in sums]
+        p = [exp(x - max(m)) for x in m]
+        best = max(range(len(p)), key=lambda c: p[c])
+        if any(c.isalpha() for c in text or ""):
+            assert got[i].lang_pred == model.names[best] and abs(got[i].score - p[best] / sum(p)) < 1e-6
+        else:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+
+
+def test_document_frequencies_count_every_text(spark, odd, odd_rows):
     import numpy as np
 
-    text = "the cat and the dog are in the house of the man " * 400
-    points = language_id.lowered()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-    whole = language_id.margins(points, np.array([0, len(points)]), model[1])[0]
-    monkeypatch.setattr(language_id, "STEP_CHARS", 1000)
-    assert np.allclose(language_id.long_margins(points, model[1]), whole, atol=1e-6)
+    total, seen = language_id.frequencies(odd.where("text IS NOT NULL"))
+    expected = np.zeros(language_id.BUCKETS, int)
+    texts = [r[1] for r in odd_rows if r[1] is not None]
+    for t in texts:
+        expected[list(set(_buckets(t)))] += 1
+    assert total == len(texts) and (seen == expected).all()
+
+
+def test_long_texts_are_read_alike_in_steps(monkeypatch):
+    import numpy as np
+
+    text = "the cat und der Hund 漢字 sont dans la maison ééé ".encode() * 400
+    data = np.frombuffer(text, np.uint8)
+    whole = [np.bincount(x[3], minlength=language_id.BUCKETS) for x in language_id.read(data, np.array([0, len(data)]))]
+    assert len(whole) == 1
+    for size in (1000, 1001, 1002, 1003):
+        monkeypatch.setattr(language_id, "STEP_BYTES", size)
+        parts = [np.bincount(x[3], minlength=language_id.BUCKETS) for x in language_id.read(data, np.array([0, len(data)]))]
+        assert len(parts) > 10 and (sum(parts) == whole[0]).all()
+
+
+def test_two_hundred_and_fifty_languages(spark):
+    """Every language is learnt, whatever their number; each has words of its own letters' order."""
+    import random
+
+    pick = random.Random(5)
+    of = {f"l{i:03}": ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(pick.randint(3, 6))) for _ in range(12)] for i in range(250)}
+    rows = [(40 * i + j, " ".join(pick.choice(words) for _ in range(30)), lang) for i, (lang, words) in enumerate(of.items()) for j in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    model = language_id.fit(docs)
+    assert model.names == sorted(of)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    held = [got[i] == lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(held) / len(held) > 0.95
+
+
+def test_calibration(spark):
+    """Held-out texts, also of few words, where scores say how often the prediction holds; the temperature is no bound of its search."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(docs)
+    assert language_id.COOLEST < model.temperature < language_id.HOTTEST
+    held = [r for r in docs.collect() if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    short = [(8 * i + k, " ".join((r.text or "").split()[3 * k : 3 * k + 2]), r.lang) for i, r in enumerate(held) for k in range(4)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(short, "doc_id bigint, text string, lang string"), model).collect()}
+    pairs = [(got[i].score, got[i].lang_pred == lang) for i, _, lang in short if got[i].lang_pred != "und"]
+    right = sum(ok for _, ok in pairs) / len(pairs)
+    print("accuracy on two words", right, "mean score", sum(s for s, _ in pairs) / len(pairs), "temperature", model.temperature)
+    sure = [ok for s, ok in pairs if s > 0.9]
+    assert sum(sure) / len(sure) > 0.85
