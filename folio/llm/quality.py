@@ -1,15 +1,17 @@
 """Quality scores by compression.
 
 Method: one zstandard dictionary is built from good labelled texts and one from bad ones. A text is cut into blocks and
-each block compressed with either; the normalised difference of the two sizes says which kind it resembles. A logistic
-calibration, fitted on labelled texts that built neither dictionary, turns the difference, with how far the text
-compresses at all, into a score from 0 to 1.
+each block compressed with either and with none; the normalised differences of these sizes (of the two, and of each from
+none) say which kind it resembles. A logistic calibration, fitted on labelled texts that built neither dictionary, turns
+them into a score from 0 to 1; how much a difference says may depend on a text's length.
 
-Bounds: at most ``SAMPLE`` labelled texts of either kind build dictionaries and as many calibrate, taken in the order of
-a hash of their ids; texts over ``SAMPLE_CHARS`` characters are not learnt from. Every whole text is scored.
+Bounds: at most ``SAMPLE`` labelled texts of either kind build dictionaries and ``CALIBRATE`` calibrate, taken in the order
+of a hash of their ids; where a kind was sampled, its texts count as many times as all of its labels ask for. Of a text that builds a dictionary, at most ``BLOCKS`` blocks are taken, spread evenly over the whole
+text; texts that calibrate are compressed whole, where they lie. Every whole text is scored.
 
 Defined results: null and empty texts are scored like any text, from sizes of nothing; if the labels lack one of the two
-kinds, every score is 0.5; labels with a null or other value are left out; columns other than doc_id and text are never
+kinds, every score is 0.5; labels with a null or other value are left out; repeated rows are scored each, alike; very long
+texts are compressed block by block; an empty table gives an empty result; columns other than doc_id and text are never
 read.
 """
 
@@ -19,13 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import crc_mod, documents, lean, python_ready, steps, text_rows, utf8
+from folio.llm.common import crc_mod, documents, lean, python_ready, text_rows, utf8
 
-SAMPLE = 2_000
-SAMPLE_CHARS = 50_000
+SAMPLE, CALIBRATE = 4_000, 20_000
+BLOCKS = 8
 DICTIONARY_BYTES = 1 << 16
 BLOCK_BYTES = 1 << 12
 LEVEL = 3
@@ -33,49 +35,59 @@ FOLDS, HELD_OUT = 3, 1
 
 
 class Compressors:
-    """The two dictionaries at work."""
+    """The two dictionaries at work, and none."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard
 
-        self.of = []
-        for content in (good, bad):
-            held = zstandard.ZstdCompressionDict(content)
-            held.precompute_compress(level=LEVEL)
-            self.of.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
+        held = [zstandard.ZstdCompressionDict(content) for content in (good, bad)]
+        for h in held:
+            h.precompute_compress(level=LEVEL)
+        self.of = [zstandard.ZstdCompressor(level=LEVEL, dict_data=h, write_content_size=False, write_checksum=False, write_dict_id=False) for h in (*held, None)]
 
-    def sizes(self, text: memoryview) -> tuple[int, int]:
-        """Bytes that all blocks of the text take with the good and with the bad dictionary."""
-        good, bad = (c.compress for c in self.of)
-        a = b = 0
+    def sizes(self, text: memoryview) -> tuple[int, int, int]:
+        """Bytes that all blocks of the text take with the good dictionary, with the bad one and with none."""
+        good, bad, none = (c.compress for c in self.of)
+        a = b = c = 0
         for lo in range(0, len(text), BLOCK_BYTES):
             block = text[lo : lo + BLOCK_BYTES]
             a += len(good(block))
             b += len(bad(block))
-        return a, b
+            c += len(none(block))
+        return a, b, c
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; of texts too few to train on, the texts' own last bytes."""
+def blocks(text: memoryview) -> list[bytes]:
+    """At most ``BLOCKS`` blocks, spread evenly over the text."""
+    n = -(-len(text) // BLOCK_BYTES)
+    chosen = range(n) if n <= BLOCKS else (i * (n - 1) // (BLOCKS - 1) for i in range(BLOCKS))
+    return [bytes(text[i * BLOCK_BYTES : (i + 1) * BLOCK_BYTES]) for i in chosen]
+
+
+def dictionary(samples: list[bytes]) -> bytes:
+    """A trained dictionary; of blocks too few to train on, their own last bytes."""
     import zstandard
 
-    blocks = [t[lo : lo + BLOCK_BYTES] for t in texts for lo in range(0, len(t), BLOCK_BYTES)]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, blocks, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(texts)[-DICTIONARY_BYTES:] or b"\n" * 8
+        return b"\n".join(samples)[-DICTIONARY_BYTES:] or b"\n" * 8
 
 
-def features(raw: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """The normalised difference of sizes, the compression ratio and their shapes, for a logistic calibration."""
-    difference = (bad - good) / np.maximum(good + bad, 1)
-    ratio = np.minimum(good, bad) / np.maximum(raw, 1)
+def features(raw: np.ndarray, good: np.ndarray, bad: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """The normalised differences of sizes, and some as they count in short texts, for a logistic calibration."""
+    at_least = lambda x: np.maximum(x, 1)
+    between, of_raw = (bad - good) / at_least(good + bad), (bad - good) / at_least(raw)
+    from_good, from_bad = (none - good) / at_least(none), (none - bad) / at_least(none)
     short = 1 / np.sqrt(1 + raw / 64)
-    return np.stack([np.ones(len(raw)), difference, difference * short, np.minimum(ratio, 1), np.minimum(ratio, 1) ** 2, short], 1)
+    return np.stack([np.ones(len(raw)), between, of_raw, from_good, from_bad, between * short, from_good * short], 1)
+
 
+def calibrated(x: np.ndarray, y: np.ndarray, of: np.ndarray, ridge: float = 0.1, rounds: int = 100) -> np.ndarray:
+    """Logistic weights by Newton's method with halved steps, on standardised features; these are folded back in.
 
-def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 100) -> np.ndarray:
-    """Logistic weights by Newton's method with halved steps, on standardised features; these are folded back in."""
+    Each row counts as ``of`` rows: where one kind was sampled, its share stays as it is among all labels.
+    """
     middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     middle[0], spread[0] = 0, 1
     z, w = (x - middle) / spread, np.zeros(x.shape[1])
@@ -84,12 +96,12 @@ def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 1
 
     def loss(v: np.ndarray) -> float:
         m = z @ v
-        return float(np.sum(np.logaddexp(0, m) - y * m) + v @ penalty @ v / 2)
+        return float(np.sum(of * (np.logaddexp(0, m) - y * m)) + v @ penalty @ v / 2)
 
     at = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((z * (of * p * (1 - p))[:, None]).T @ z + penalty, z.T @ (of * (y - p)) - penalty @ w)
         while (new := loss(w + step)) > at and np.abs(step).max() > 1e-9:
             step = step / 2
         if at - new < 1e-9:
@@ -100,33 +112,68 @@ def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 1
     return w
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts to learn from: fold (0 or 2), quality, text; ``4 * SAMPLE`` rows at most."""
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(
-        "doc_id", "quality", crc_mod(F.col("doc_id"), FOLDS).alias("fold")
+def usable(labels: DataFrame) -> DataFrame:
+    """doc_id, quality (0 or 1) and fold (0 or 2) of the labels that may be learnt from."""
+    return labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(
+        "doc_id", F.col("quality").cast("int"), crc_mod(F.col("doc_id"), FOLDS).cast("int").alias("fold")
     ).where(F.col("fold") != HELD_OUT)
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts to learn from: doc_id, fold, quality, text, of at most ``CALIBRATE`` labels of each fold and kind."""
     chosen = None
     for quality in (0, 1):
         for fold in (0, 2):
-            some = usable.where((F.col("quality") == quality) & (F.col("fold") == fold)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+            some = usable(labels).where((F.col("quality") == quality) & (F.col("fold") == fold)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATE)
+            some = some.withColumn("place", F.row_number().over(Window.partitionBy("fold").orderBy(F.xxhash64("doc_id"), "doc_id")))
             chosen = some if chosen is None else chosen.unionByName(some)
-    return text_rows(docs).join(F.broadcast(chosen), "doc_id").where(F.length("text").between(1, SAMPLE_CHARS)).select(
-        "fold", "quality", "text"
-    )
+    bounded = F.broadcast(chosen)  # 4 * CALIBRATE rows of numbers at most
+    return text_rows(docs).join(bounded, "doc_id").where(F.length("text") > 0).select("doc_id", "fold", "quality", "text", "place")
+
+
+def _views(column: pa.Array) -> list[memoryview]:
+    data, offsets = utf8(column)
+    view, cuts = memoryview(np.ascontiguousarray(data)), offsets.tolist()
+    return [view[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, np.ndarray] | None:
     """Both dictionaries and the weights; None if a kind is missing."""
-    rows = sorted((int(r.fold), int(r.quality), r.text.encode()) for r in labelled(docs, labels).collect())
-    by = {(fold, q): [t for f, k, t in rows if (f, k) == (fold, q)] for fold in (0, 2) for q in (0, 1)}
-    if not all(by[0, q] or by[2, q] for q in (0, 1)):
+    python_ready(docs.sparkSession)
+    texts = labelled(docs, labels)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [blocks(t) for t in _views(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.list_(pa.binary()))], ["doc_id", "fold", "quality", "blocks"])
+
+    there = {tuple(r) for r in texts.select("fold", "quality").distinct().collect()}
+    if not all({(0, q), (2, q)} & there for q in (0, 1)):
         return None
-    good, bad = (dictionary(by[0, q] or by[2, q]) for q in (1, 0))
-    at = Compressors(good, bad)
-    held = [(t, q) for q in (0, 1) for t in by[2, q] or by[0, q]]
-    size = np.array([(len(t), *at.sizes(memoryview(t))) for t, _ in held], float)
-    y = np.array([q for _, q in held], float)
-    return good, bad, calibrated(features(*size.T), y)
+    builds = [(0 if (0, q) in there else 2, q) for q in (0, 1)]
+    calibrates = [(2 if (2, q) in there else 0, q) for q in (0, 1)]
+    among = lambda kinds: (F.struct("fold", "quality")).isin([F.struct(F.lit(f).alias("fold"), F.lit(q).alias("quality")) for f, q in kinds])
+    here = texts.where(F.col("place") <= SAMPLE).where(among(builds)).mapInArrow(lean(sampled), "doc_id bigint, fold int, quality int, blocks array<binary>")
+    rows = sorted((r.quality, r.doc_id, [bytes(b) for b in r.blocks]) for r in here.collect())
+    good, bad = (dictionary([b for k, _, own in rows if k == q for b in own]) for q in (1, 0))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = Compressors(good, bad)
+        for batch in batches:
+            size = np.array([(len(t), *at.sizes(t)) for t in _views(batch.column(3))], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, np.ascontiguousarray(size.T))], ["doc_id", "fold", "quality", "raw", "good", "bad", "none"])
+
+    sizes = texts.where(among(calibrates)).mapInArrow(lean(measured), "doc_id bigint, fold int, quality int, raw bigint, good bigint, bad bigint, none bigint")
+    held = sorted((r.quality, r.doc_id, r.raw, r.good, r.bad, r.none) for r in sizes.collect())
+    size, y = np.array([r[2:] for r in held], float), np.array([r[0] for r in held], float)
+    there = {r.quality: r["n"] for r in usable(labels).groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return good, bad, calibrated(features(*size.T), y, np.array([there[q] / max(1, int((y == q).sum())) for q in y]) * len(y) / sum(there.values()))
+
+
+def scored(at: Compressors, weights: np.ndarray, column: pa.Array) -> np.ndarray:
+    """The score of each text of a column."""
+    size = np.array([(len(t), *at.sizes(t)) for t in _views(column)], float).reshape(-1, 4)
+    return 1 / (1 + np.exp(-np.clip(features(*size.T) @ weights, -30, 30)))
 
 
 def score(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray] | None) -> DataFrame:
@@ -135,12 +182,7 @@ def score(docs: DataFrame, model: tuple[bytes, bytes, np.ndarray] | None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = Compressors(*model[:2]) if model else None
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            value = np.full(len(batch), 0.5)
-            if at:
-                view, cuts = memoryview(np.ascontiguousarray(data)), offsets.tolist()
-                size = np.array([at.sizes(view[a:b]) for a, b in zip(cuts, cuts[1:])], float).reshape(-1, 2)
-                value = 1 / (1 + np.exp(-np.clip(features(np.diff(offsets), *size.T) @ model[2], -30, 30)))
+            value = scored(at, model[2], batch.column(1)) if at else np.full(len(batch), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], ["doc_id", "score"])
 
     python_ready(docs.sparkSession)
@@ -168,10 +210,7 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = Compressors(*model[:2])
         for batch in batches:
-            data, offsets = utf8(batch.column(at_text))
-            view, cuts = memoryview(np.ascontiguousarray(data)), offsets.tolist()
-            size = np.array([at.sizes(view[a:b]) for a, b in zip(cuts, cuts[1:])], float).reshape(-1, 2)
-            yield batch.filter(pa.array(features(np.diff(offsets), *size.T) @ model[2] >= 0))
+            yield batch.filter(pa.array(scored(at, model[2], batch.column(at_text)) >= 0.5))
 
     python_ready(docs.sparkSession)
     return docs.mapInArrow(lean(run), docs.schema)

@@ -32,3 +32,40 @@ def test_stage_keeps_what_scores_at_least_half(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     scores = {r.doc_id: r.predicted for r in quality.op2_quality(spark, small).collect()}
     assert {r.doc_id for r in quality.stage(spark, docs, small).collect()} == {i for i, p in scores.items() if p}
+
+
+def test_scores_equal_a_plain_loop(spark, odd, small):
+    """The model that was fitted, applied text by text with zstandard's own calls and plain arithmetic."""
+    import math
+
+    import zstandard
+
+    labels, docs = spark.read.parquet(f"{small}/labels.parquet"), spark.read.parquet(f"{small}/documents.parquet")
+    good, bad, w = model = quality.fit(docs, labels)
+    make = lambda **held: zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, **held)
+    with_ = [make(dict_data=zstandard.ZstdCompressionDict(x)) for x in (good, bad)] + [make()]
+    rows = [(i, r.text) for i, r in enumerate([*docs.collect(), *odd.collect()])]
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    for i, text in rows:
+        raw = (text or "").encode()
+        a, b, c = (sum(len(z.compress(raw[k : k + 4096])) for k in range(0, len(raw), 4096)) for z in with_)
+        short = (1 + len(raw) / 64) ** -0.5
+        d, e, f, g = (b - a) / max(1, a + b), (b - a) / max(1, len(raw)), (c - a) / max(1, c), (c - b) / max(1, c)
+        m = sum(x * y for x, y in zip(w.tolist(), (1, d, e, f, g, d * short, f * short)))
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, m))))) < 1e-9
+
+
+def test_texts_of_any_length_are_learnt_from(spark):
+    """Labelled texts that are all very long: blocks from all over them build the dictionaries."""
+    import random
+
+    pick = random.Random(2)
+    words = {q: ["".join(pick.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(300)] for q in (0, 1)}
+    texts = [(i, " ".join(pick.choices(words[i % 2], k=9_000)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in texts], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
+    assert min(len(t) for _, t, _ in texts) > 50_000
+    assert all(r.predicted == i % 2 for i, r in got.items())
+    parts = quality.blocks(memoryview(texts[0][1].encode()))
+    assert len(parts) == quality.BLOCKS and texts[0][1].encode().endswith(parts[-1])
