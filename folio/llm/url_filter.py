@@ -1,14 +1,16 @@
 """URL filters: host and path rules, then a weighted vocabulary.
 
-Method: an Aho-Corasick automaton finds the vocabulary's terms in the lower-cased host and path; a hit counts only where
-neither neighbour is a letter or digit of ASCII. Terms have weights; each distinct term counts once, and a url is
+Method: an Aho-Corasick automaton finds the vocabulary's terms in the whole lower-cased url, its query and fragment
+included; a hit counts only where neither neighbour is a letter or digit of ASCII. A term is a word, its plural too, or
+two words that stand together or joined by one sign. Terms have weights; each distinct term counts once, and a url is
 rejected when the weights reach ``REJECT``: one strict term does, soft terms do when several distinct ones are there.
-Query strings and fragments, which name campaigns and anchors, aren't searched.
+Words that are as common in harmless addresses are in no list, alone.
 
 Rules come first: a rule fits its host and all subdomains where the url's path starts with the rule's; the longest wins.
 
-Defined results: a null url, and one without ``://``, has an empty host and path and is allowed; repeated rows are judged
-each; other columns are ignored.
+Defined results: a null url has an empty host and path and is allowed; one without ``://`` has both empty and is searched
+as it stands; repeated rows are judged each; very long urls are searched whole; without any term none is rejected but by
+a rule; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,22 +25,43 @@ from pyspark.sql import functions as F
 from folio.llm.common import python_ready
 
 REJECT = 2
-# The vocabulary.
-STRICT = ("casino", "escort", "gambling", "malware", "phishing", "porn", "spam", "viagra", "warez", "xxx")
-SOFT = ("adult", "bet", "bonus", "cheap", "crack", "dating", "farm", "free", "hot", "jackpot", "loan", "nude", "pills", "poker", "sex", "torrent", "win", "x")
-WEIGHTS = dict.fromkeys(SOFT, 1) | dict.fromkeys(STRICT, REJECT)
+# The vocabulary. Words with their plurals, and pairs of words.
+STRICT = (
+    "blackjack", "bookmaker", "camgirl", "casino", "cialis", "cumshot", "escort", "gambling", "hardcore", "hentai", "keygen", "milf", "onlyfans", "porn", "porno",
+    "pornography", "pornstar", "roulette", "sportsbook", "striptease", "viagra", "warez", "xxx",
+)
+SOFT = (
+    "adult", "betting", "clickbait", "crack", "cracked", "dating", "doorway", "erotic", "fetish", "hookup", "jackpot", "lottery", "malware", "naked", "nude", "nsfw",
+    "payday", "phishing", "pill", "poker", "replica", "sex", "sexy", "spam", "spyware", "steroid", "swinger", "torrent", "webcam", "wager",
+)
+PAIRS = (
+    ("ad", "server"), ("ad", "tracker"), ("ads", "track"), ("ads", "tracking"), ("adult", "chat"), ("adult", "content"), ("adult", "dating"), ("adult", "movies"),
+    ("adult", "only"), ("adult", "video"), ("adult", "videos"), ("adult", "x"), ("bet", "bonus"), ("casino", "bonus"), ("cheap", "loans"), ("cheap", "meds"),
+    ("cheap", "pills"), ("click", "farm"), ("crack", "serial"), ("diet", "pills"), ("free", "bet"), ("free", "bets"), ("free", "nudes"), ("free", "sex"),
+    ("free", "spins"), ("hot", "girls"), ("link", "farm"), ("live", "sex"), ("loan", "shark"), ("online", "slots"), ("payday", "loan"), ("payday", "loans"),
+    ("sex", "cam"), ("sex", "chat"), ("sex", "shop"), ("slot", "machines"), ("spam", "farm"), ("win", "cash"), ("x", "rated"),
+)
+SIGNS = ("", "-", "_", ".", "+", "%20")
+WEIGHTS = dict.fromkeys(SOFT, 1) | dict.fromkeys(STRICT, REJECT) | {f"{a} {b}": REJECT for a, b in PAIRS}
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def spellings(term: str) -> list[str]:
+    """How a term may stand: a word and its plural, or two words with a sign between them or none."""
+    words = term.split(" ")
+    return [term, f"{term}s"] if len(words) == 1 else [sign.join(words) for sign in SIGNS]
+
+
 @lru_cache(4)
 def automaton(weights: tuple[tuple[str, int], ...]):
     import ahocorasick
 
     out = ahocorasick.Automaton()
     for term, weight in weights:
-        out.add_word(term, (term, weight))
+        for own in spellings(term):
+            out.add_word(own, (term, weight, len(own)))
     out.make_automaton()
     return out
 
@@ -51,8 +74,8 @@ def _open(text: str, at: int) -> bool:
 def hits(machine, text: str) -> dict[str, int]:
     """The distinct terms at boundaries and their weights."""
     found = {}
-    for end, (term, weight) in machine.iter(text):
-        if term not in found and _open(text, end + 1) and _open(text, end - len(term)):
+    for end, (term, weight, size) in machine.iter(text):
+        if term not in found and _open(text, end + 1) and _open(text, end - size):
             found[term] = weight
     return found
 
@@ -69,9 +92,9 @@ def parts(url) -> tuple:
 
 def judge(pages: DataFrame, rules=RULES, weights: dict[str, int] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, weight (of distinct terms) for every row of ``pages``."""
-    weights = tuple(sorted((weights or WEIGHTS).items()))
+    weights = tuple(sorted((WEIGHTS if weights is None else weights).items()))
     host, path = parts(F.col("url"))
-    cut = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
+    cut = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"), F.translate(F.coalesce("url", F.lit("")), UPPER, LOWER).alias("seen"))
     rule = ruled = F.lit(None).cast("string")
     for verdict, at, start in sorted(rules, key=lambda r: (len(r[1] + r[2]), r), reverse=False):
         fits = ((F.col("host") == at) | F.endswith(F.col("host"), F.lit(f".{at}"))) & F.startswith(F.col("path"), F.lit(start))
@@ -79,11 +102,10 @@ def judge(pages: DataFrame, rules=RULES, weights: dict[str, int] | None = None)
         ruled = F.when(fits, F.lit(verdict)).otherwise(ruled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(weights)
+        machine = automaton(weights) if weights else None
         for batch in batches:
             ruled = batch.column(4).to_pylist()
-            texts = (h + p for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            weight = [sum(hits(machine, t.translate(_LOWERED)).values()) for t in texts]
+            weight = [sum(hits(machine, t).values()) if machine else 0 for t in batch.column(5).to_pylist()]
             verdict = [r or ("block" if w >= REJECT else "allow") for r, w in zip(ruled, weight)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:4], pa.array(verdict, pa.string()), pa.array(weight, pa.int64())],
@@ -91,21 +113,20 @@ def judge(pages: DataFrame, rules=RULES, weights: dict[str, int] | None = None)
             )
 
     python_ready(pages.sparkSession)
-    return cut.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled")).mapInArrow(
+    return cut.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled"), "seen").mapInArrow(
         run, "page_id bigint, host string, path string, rule string, verdict string, weight bigint"
     )
 
 
-_LOWERED = str.maketrans(UPPER, LOWER)
-
-
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def _oracle() -> str:
+    sign = "(" + "|".join(x.replace(".", "[.]").replace("+", "[+]") for x in SIGNS[1:]) + ")?"
+    term = lambda t: t.replace(" ", sign) if " " in t else f"{t}s?"
     found = " + ".join(
-        f"CASE WHEN regexp_matches(seen, '(^|[^a-z0-9]){t}($|[^a-z0-9])') THEN {w} ELSE 0 END" for t, w in sorted(WEIGHTS.items())
+        f"CASE WHEN regexp_matches(seen, '(^|[^a-z0-9]){term(t)}($|[^a-z0-9])') THEN {w} ELSE 0 END" for t, w in sorted(WEIGHTS.items())
     )
     fits = lambda at, start: f"(host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '{start}')"
     ordered = sorted(RULES, key=lambda r: (len(r[1] + r[2]), r), reverse=True)
@@ -113,14 +134,14 @@ def _oracle() -> str:
     ruled = " ".join(f"WHEN {fits(a, p)} THEN '{v}'" for v, a, p in ordered)
     return f"""
 WITH r AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), h AS (
-  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS authority FROM r
+  SELECT page_id, url, rest, regexp_extract(rest, '^[^/?#]*') AS authority FROM r
 ), p AS (
-  SELECT page_id, translate(authority, '{UPPER}', '{LOWER}') AS host,
+  SELECT page_id, url, translate(authority, '{UPPER}', '{LOWER}') AS host,
          regexp_extract(substr(rest, length(authority) + 1), '^[^?#]*') AS path FROM h
 ), s AS (
-  SELECT *, translate(host || path, '{UPPER}', '{LOWER}') AS seen FROM p
+  SELECT *, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS seen FROM p
 ), w AS (
   SELECT *, {found} AS weight FROM s
 )
