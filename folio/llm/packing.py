@@ -2,15 +2,17 @@
 
 Method: a histogram of piece lengths is all that the plan needs. Lengths are taken from the longest down; each one's gap is
 looked up among single lengths, pair sums and triple sums of what is still there, and a combination that fills the gap
-exactly is consumed as often as the counts allow. What no combination fills is packed best fit, longest first. The plan
-names runs of sequences of one make-up, so its size depends on the sequence length and never on the number of pieces.
+exactly is consumed as often as the counts allow. What no combination fills is packed best fit, longest first. Triples
+can use up short lengths that later gaps need, so plans that look up triples, pairs, singles or nothing are compared, and
+that of the fewest sequences is taken. A plan names runs of sequences of one make-up, so its size depends on the sequence
+length and never on the number of pieces.
 
 Each piece's place follows from its rank among pieces of its length: a counter in the task that encodes it, plus the
 counts of the tasks before. No task sees all pieces.
 
 Defined results: a null text is empty and packs as its end token; a text longer than a sequence is cut so that only its
-first piece may be shorter; repeated rows are packed as often as they come; an empty table gives no pieces; other columns
-are ignored.
+first piece may be shorter; very long texts are encoded in steps; repeated rows are packed as often as they come; an empty
+table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from folio.llm.common import documents, lean, python_ready, steps, text_rows, ut
 LENGTH = 1024
 END = 2
 #: The rank file of the tokenizer's vocabulary, its one special token, which texts may contain, and its id.
+#: ``vocabulary_agrees`` holds them against the tokenizer's .json file.
 RANKS, SPECIAL, SPECIAL_ID = "byte_bpe_50k.tiktoken", b"<|endoftext|>", 50256
 
 
@@ -59,6 +62,19 @@ def token_ids(model: Merges, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
     return ids, np.append(0, np.cumsum(size))
 
 
+def vocabulary_agrees(json_path: str, rank_path: str) -> bool:
+    """Whether the tokenizer's .json names the same pieces, ids and special token as the rank file that is read here."""
+    import json
+
+    with open(json_path, encoding="utf-8") as file:
+        held = json.load(file)
+    drawn = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in such files
+    letter = {chr(b): b for b in drawn} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in drawn)}
+    special = [(t["content"].encode(), t["id"]) for t in held["added_tokens"]]
+    pieces = {bytes(letter[c] for c in piece): i for piece, i in held["model"]["vocab"].items() if (piece.encode(), i) not in special}
+    return special == [(SPECIAL, SPECIAL_ID)] and pieces == merges(rank_path).ranks
+
+
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, place bigint"
 
 
@@ -107,10 +123,36 @@ def _pair(left: np.ndarray, total: int) -> tuple[int, int] | None:
     return (int(total - x[best]), int(x[best])) if n[best] > 0 else None
 
 
-def plan(histogram: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences), for ``histogram[length]`` pieces of each length."""
+Runs = list[tuple[tuple[int, ...], int]]
+
+
+def best_fit(items: list[tuple[int, int]], most: int) -> Runs:
+    """Best fit of (length, how many), longest first: a gap's bins are filled before a wider one's."""
+    bins: dict[int, Runs] = {}
+    for length, n in items:
+        while n:
+            gap = min((g for g in bins if g >= length), default=None)
+            if gap is None:
+                each = min(most // length, n)
+                k = n // each
+                bins.setdefault(most - each * length, []).append(((length,) * each, k))
+                n -= k * each
+                continue
+            lengths, k = bins[gap].pop()
+            if not bins[gap]:
+                del bins[gap]
+            took = min(n, k)
+            bins.setdefault(gap - length, []).append(((*lengths, length), took))
+            if k > took:
+                bins.setdefault(gap, []).append((lengths, k - took))
+            n -= took
+    return [x for some in bins.values() for x in some]
+
+
+def complemented(histogram: np.ndarray, most: int, depth: int) -> Runs:
+    """The plan in which each gap is looked up among sums of up to ``depth`` lengths; best fit for the rest."""
     left = histogram.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
+    out: Runs = []
 
     def use(lengths: tuple[int, ...]) -> bool:
         of, need = np.unique(lengths, return_counts=True)
@@ -120,6 +162,20 @@ def plan(histogram: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
             out.append((lengths, n))
         return n > 0
 
+    def triple(gap: int) -> tuple[int, ...] | None:
+        nonlocal sums, there
+        now = left[:most] > 0
+        if sums is None or not (now == there).all():
+            there, sums = now, np.convolve(now.astype(np.float32), now.astype(np.float32)) > 0.5
+        x = np.arange(1, gap)
+        for one in x[now[x] & sums[gap - x]][::-1]:
+            left[one] -= 1
+            two = _pair(left, gap - int(one))
+            left[one] += 1
+            if two is not None:
+                return int(one), *two
+        return None
+
     if left[most]:
         use((most,))
     stuck = []
@@ -127,47 +183,24 @@ def plan(histogram: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
     for length in range(most - 1, 0, -1):
         gap = most - length
         while left[length]:
-            if gap < len(left) and left[gap] and (gap != length or left[length] > 1) and use((length, gap)):
+            if depth and gap < len(left) and left[gap] and (gap != length or left[length] > 1) and use((length, gap)):
                 continue
             left[length] -= 1  # what it may be combined with is looked up without it
-            found: tuple[int, ...] | None = _pair(left, gap)
-            if found is None:
-                now = left[:most] > 0
-                if sums is None or not (now == there).all():
-                    there, sums = now, np.convolve(now.astype(np.float32), now.astype(np.float32)) > 0.5
-                x = np.arange(1, gap)
-                for one in x[now[x] & sums[gap - x]][::-1]:
-                    left[one] -= 1
-                    two = _pair(left, gap - int(one))
-                    left[one] += 1
-                    if two is not None:
-                        found = (int(one), *two)
-                        break
+            found = _pair(left, gap) if depth > 1 else None
+            if found is None and depth > 2:
+                found = triple(gap)
             left[length] += 1
             if found is None:
                 stuck.append((length, int(left[length])))
                 left[length] = 0
             else:
                 use((length, *found))
-    bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for length, n in stuck:  # longest first; a gap's bins are filled before a wider one's
-        while n:
-            gap = min((g for g in bins if g >= length), default=None)
-            if gap is None:
-                each = min(most // length, n)
-                k = n // each
-                bins.setdefault(most - each * length, []).append(((length,) * each, k))
-                n -= k * each
-                continue
-            lengths, k = bins[gap].pop()
-            if not bins[gap]:
-                del bins[gap]
-            took = min(n, k)
-            bins.setdefault(gap - length, []).append(((*lengths, length), took))
-            if k > took:
-                bins.setdefault(gap, []).append((lengths, k - took))
-            n -= took
-    return out + [x for some in bins.values() for x in some]
+    return out + best_fit(stuck, most)
+
+
+def plan(histogram: np.ndarray, most: int) -> Runs:
+    """(lengths of a sequence, how many such sequences), for ``histogram[length]`` pieces of each length: the least of four."""
+    return min((complemented(histogram, most, depth) for depth in (3, 2, 1, 0)), key=lambda runs: sum(n for _, n in runs))
 
 
 def places(runs: list[tuple[tuple[int, ...], int]], most: int) -> tuple[np.ndarray, ...]:
@@ -206,7 +239,7 @@ def pack(docs: DataFrame, path: str, most: int = LENGTH, end: int = END) -> Data
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = pieces.join(base, ["part", "length"]).select(
+    ranked = pieces.join(base, ["part", "length"]).select(  # a row for each task and length
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank")
     )
     return ranked.mapInArrow(

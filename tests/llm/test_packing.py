@@ -24,6 +24,24 @@ def test_plans_use_each_piece_once_and_nearly_fill_sequences():
     assert packing.plan(np.zeros(1025, int), 1024) == []
 
 
+def test_no_plan_is_beaten_by_best_fit_alone():
+    for seed, lengths in enumerate([np.random.default_rng(1).integers(1, 1025, 20_000), np.random.default_rng(2).integers(200, 700, 5_000), np.random.default_rng(3).integers(1, 60, 3_000)]):
+        histogram = np.bincount(lengths, minlength=1025)
+        size = lambda runs: sum(n for _, n in runs)
+        bins: list[int] = []
+        import bisect
+
+        for length in sorted(lengths.tolist(), reverse=True):  # piece by piece
+            at = bisect.bisect_left(bins, length)
+            gap = bins.pop(at) if at < len(bins) else 1024
+            bisect.insort(bins, gap - length)
+        assert size(packing.plan(histogram, 1024)) <= len(bins), seed
+
+
+def test_the_vocabulary_is_that_of_the_json_file():
+    assert packing.vocabulary_agrees(public_tokenizers.path("byte_bpe_50k.json"), PATH)
+
+
 def checked(rows, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces, space = defaultdict(list), defaultdict(list)
