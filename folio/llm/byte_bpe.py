@@ -7,8 +7,9 @@ states, then the marks. No regular expression runs. The pieces, slices of the te
 pieces; those it lacks are merged together in arrays, each merging its lowest-ranked leftmost pair at a time. Every
 token keeps its byte offsets, so decoding is a gather.
 
-Defined results: a null text is empty and has no tokens; any text, however long, is encoded whole; other columns are
-ignored.
+Defined results: a null text is empty and has no tokens; any text, however long, is encoded whole (for digests in parts
+that begin where a piece does: at a single space between two visible characters of ASCII); repeated rows are encoded each,
+alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ CACHE_PIECES = 250_000
 #: Longer pieces are merged with a heap, one by one.
 LONG_PIECE = 256
 BLOCK = 128
+LONG_TEXT = 1 << 20  # bytes of a long text that are encoded at a time
 
 # The pattern's character classes; its contractions are an apostrophe and one of these endings.
 LETTER, NUMBER, OTHER, SPACE, BLANK = range(5)  # BLANK: the space U+0020; SPACE: other white space
@@ -340,6 +342,33 @@ def merges(path: str) -> Merges:
         return Merges({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines) })
 
 
+def parts(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A long text in parts of at least ``most`` bytes, each of which begins where a piece of the whole text does."""
+    lo, at = 0, most
+    while at < len(data) - 1:
+        window = data[at - 1 : at + most + 1]
+        seen = (window > 0x20) & (window < 0x7F)
+        fits = seen[:-2] & (window[1:-1] == 0x20) & seen[2:]
+        if not fits.any():
+            at += most
+            continue
+        at += int(fits.argmax())
+        yield data[lo:at]
+        lo, at = at, at + most
+    yield data[lo:]
+
+
+def digest(model: Merges, data: np.ndarray) -> tuple[int, str, str]:
+    """The number of tokens of one long text and the digests of its ids and of what they decode to."""
+    n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+    for part in parts(data, LONG_TEXT):
+        ids, _ = model.encode(part, np.array([0, len(part)]))
+        n += len(ids)
+        of_ids.update(ids.astype("<u4").tobytes())
+        of_text.update(model.decode(ids)[0])
+    return n, of_ids.hexdigest(), of_text.hexdigest()
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array), starts (byte offset of each token) for every row: the operator's general output."""
 
@@ -370,6 +399,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             data, offsets = utf8(batch.column(1))
             n, of_ids, of_text = [], [], []
             for lo, hi in steps(offsets):
+                if hi - lo == 1 and offsets[hi] - offsets[lo] > 2 * LONG_TEXT:
+                    one = digest(model, data[offsets[lo] : offsets[hi]])
+                    n.append(np.array(one[:1]))
+                    of_ids.append(one[1])
+                    of_text.append(one[2])
+                    continue
                 ids, at = model.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 text, token_at = model.decode(ids)
                 stored, text_at = memoryview(ids.astype("<u4").tobytes()), token_at[at].tolist()

@@ -9,7 +9,8 @@ Memory is bounded by ``BLOCK_FRAMES`` frames of spectrogram whatever a payload's
 either side, so their seams don't show.
 
 Defined results: a null text is empty; an empty text is 64 zero bytes, whose spectrum is flat and has no peaks; equal
-texts give equal values; other columns are ignored.
+texts give equal values, so repeated rows do; a very long text is one file, read in blocks of frames; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,12 +1,16 @@
 """Token counts of a piece model.
 
 Method: Arrow batches of texts go to the library's batch encoding in slices balanced by bytes, and only lengths return.
-A text longer than a slice is cut at safe boundaries: a single space between two characters that aren't white space. No
-piece of the model has a space mark after another character, so no merge crosses such a space, and the mark that the
-library puts before a text stands for the space that the cut took away. The operator proves this of the model when it
-loads it, and cuts nothing if it doesn't hold.
+A text longer than a slice is cut at safe boundaries: a single space between two characters that aren't white space.
 
-Defined results: null and empty texts have 0 tokens and 0 bytes; other columns are ignored.
+Why these are safe: the model file says how texts are normalised and what its pieces are. If it maps no characters, keeps
+white space as it is, puts a mark before a text, merges pieces pairwise (BPE) and has no piece with a space mark after
+another character, then no merge can cross such a space, whatever stands on its sides; and the mark that the library puts
+before the next part stands for the space that the cut took away. ``may_cut`` reads just these conditions from the file;
+where one doesn't hold, texts aren't cut.
+
+Defined results: null and empty texts have 0 tokens and 0 bytes; repeated rows are counted each, alike; very long texts
+are encoded in slices; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,25 +30,35 @@ SLICE_BYTES = 1 << 18
 MARK = "▁"
 
 
+def may_cut(path: str) -> bool:
+    """Whether the model's own description makes single spaces safe boundaries."""
+    from sentencepiece import sentencepiece_model_pb2 as described
+
+    model = described.ModelProto()
+    with open(path, "rb") as file:
+        model.ParseFromString(file.read())
+    rule, trained = model.normalizer_spec, model.trainer_spec
+    as_is = not rule.precompiled_charsmap and not rule.normalization_rule_tsv and not rule.remove_extra_whitespaces and rule.escape_whitespaces
+    marked = rule.add_dummy_prefix and not trained.treat_whitespace_as_suffix
+    pairwise = trained.model_type == described.TrainerSpec.BPE
+    return as_is and marked and pairwise and not any(MARK in p.piece.lstrip(MARK) for p in model.pieces)
+
+
 @lru_cache(4)
 def loaded(path: str):
     """The processor, and whether texts may be cut at single spaces."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    whole = any(MARK in p.lstrip(MARK) for p in pieces)
-    probe = "a  b \n c½ Ａ"  # what a normaliser would change
-    plain = model.decode(model.encode(probe)) == probe
-    return model, not whole and plain
+    return sentencepiece.SentencePieceProcessor(model_file=path), may_cut(path)
 
 
-def cuts(text: str, most: int) -> list[str]:
-    """Parts of at least ``most`` characters, cut at safe boundaries. Their counts add up to the text's."""
+def cuts(text: bytes, most: int) -> list[bytes]:
+    """Parts of at least ``most`` bytes, cut at safe boundaries. Their counts add up to the text's."""
     parts, lo, at = [], 0, most
-    while (at := text.find(" ", at)) > 0:
-        before, after = text[at - 1], text[at + 1 : at + 2]
-        if after and not before.isspace() and not after.isspace() and MARK not in (before, after):
+    mark = MARK.encode()
+    while (at := text.find(b" ", at)) > 0:
+        before, after = text[max(0, at - 4) : at].decode(errors="ignore")[-1:], text[at + 1 : at + 5].decode(errors="ignore")[:1]
+        if before and after and not before.isspace() and not after.isspace() and MARK not in (before, after):
             parts.append(text[lo:at])
             lo = at + 1
             at = lo + most
@@ -53,20 +67,20 @@ def cuts(text: str, most: int) -> list[str]:
     return [*parts, text[lo:]]
 
 
-def counts(model, may_cut: bool, texts: list[str], most: int = SLICE_BYTES) -> np.ndarray:
+def counts(model, cut: bool, texts: list[bytes], most: int = SLICE_BYTES) -> np.ndarray:
     parts, owner = [], []
     for i, text in enumerate(texts):
-        own = cuts(text, most) if may_cut and len(text) > 2 * most else [text]
+        own = cuts(text, most) if cut and len(text) > 2 * most else [text]
         parts += own
         owner += [i] * len(own)
     out = np.zeros(len(texts), np.int64)
     lo = 0
-    while lo < len(parts):  # slices of some most characters: no encoded batch is larger than a part or a slice
+    while lo < len(parts):  # slices of some most bytes: no encoded batch is larger than a part or a slice
         hi, size = lo, 0
         while hi < len(parts) and (hi == lo or size + len(parts[hi]) <= most):
             size += len(parts[hi])
             hi += 1
-        got = [len(x) for x in model.encode(parts[lo:hi], num_threads=1)]
+        got = [len(x) for x in model.encode([p.decode() for p in parts[lo:hi]], num_threads=1)]
         np.add.at(out, np.asarray(owner[lo:hi]), np.asarray(got, np.int64))
         lo = hi
     return out
@@ -76,13 +90,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, may_cut = loaded(path)
+        model, cut = loaded(path)
         for batch in batches:
-            text = batch.column(1)
-            _, offsets = utf8(text)
+            data, offsets = utf8(batch.column(1))
             n = np.zeros(len(batch), np.int64)
             for lo, hi in steps(offsets):
-                n[lo:hi] = counts(model, may_cut, [x or "" for x in text.slice(lo, hi - lo).to_pylist()])
+                ends = offsets[lo : hi + 1].tolist()
+                n[lo:hi] = counts(model, cut, [data[a:b].tobytes() for a, b in zip(ends, ends[1:])])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],

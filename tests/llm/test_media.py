@@ -45,3 +45,31 @@ def test_rows(odd, odd_rows, nothing):
     assert media.media_features(nothing).count() == 0
     stored = media.media_column(odd).collect()
     assert len(stored) == len(odd_rows) and all(len(r.codes) == len(r.times) for r in stored)
+
+
+def test_fingerprints_equal_a_loop_over_frames(odd, odd_rows):
+    """Frames, peaks and pairs one at a time, the transform by numpy; features of the query from these."""
+    got = {(r.doc_id, r.n_bytes): r.feature for r in media.media_features(odd).collect()}
+    for row in odd_rows:
+        raw = (row[1] or "").encode()
+        if len(raw) > 4_000:
+            continue
+        held = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        samples = [b - 128 for b in held]
+        m = []
+        for lo in range(0, max(1, len(samples) - media.FRAME + media.HOP), media.HOP):
+            frame = np.array((samples[lo : lo + media.FRAME] + [0] * media.FRAME)[: media.FRAME], np.float32)
+            m.append(np.abs(np.fft.rfft(frame * np.hanning(media.FRAME).astype(np.float32))).astype(np.float32))
+            m[-1][0] = 0
+        tops = []
+        for t, own in enumerate(m):
+            for f in range(len(own)):
+                left, right = own[max(0, f - media.NEAR) : f], own[f + 1 : f + 1 + media.NEAR]
+                if own[f] > media.ABOVE * own.mean() and all(own[f] > left) and all(own[f] >= right) and (t == 0 or own[f] > m[t - 1][f]) and (t + 1 == len(m) or own[f] >= m[t + 1][f]):
+                    tops.append((t, f))
+        pairs = []
+        for i, (t, f) in enumerate(tops):
+            pairs += [(t, f << 16 | g << 8 | u - t) for u, g in tops[i + 1 : i + 1 + media.FAN] if u - t <= media.SPAN]
+        pairs.sort()
+        shape = hashlib.sha256(np.array([c for _, c in pairs], "<i4").tobytes() + np.array([t for t, _ in pairs], "<i4").tobytes()).hexdigest()
+        assert got[row[0], len(raw)] == f"pairs={len(pairs)};sha256={shape}", row[0]

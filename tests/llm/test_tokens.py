@@ -56,6 +56,19 @@ def test_bpe_rows(odd, odd_rows, nothing, library):
     assert len(full) == len(odd_rows) and all(len(r.ids) == len(r.starts) for r in full)
 
 
+def test_long_texts_are_encoded_in_parts(library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LONG_TEXT", 50)
+    pick, model = random.Random(7), byte_bpe.merges(PATH)
+    for _ in range(100):
+        text = "".join(pick.choice(["a", "b", " ", " ", "\n", "'s", "'", "é", "\u3000", "12", "!", " x"]) for _ in range(400))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert b"".join(p.tobytes() for p in byte_bpe.parts(raw, 50)) == raw.tobytes()
+        ids = library.encode_ordinary(text)
+        expected = len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(raw.tobytes()).hexdigest()
+        assert byte_bpe.digest(model, raw) == expected
+    assert len(list(byte_bpe.parts(np.frombuffer(b"ab cd " * 100, np.uint8), 50))) > 5
+
+
 def test_counts(odd, odd_rows, nothing):
     path = public_tokenizers.path(token_counts.MODEL)
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -69,9 +82,31 @@ def test_cuts_keep_counts():
     assert may_cut
     pick = random.Random(2)
     for _ in range(300):
-        text = "".join(pick.choice(["ab", "c ", " ", "\n", " d", "é", "▁", ".", "字"]) for _ in range(200))
-        assert token_counts.counts(model, True, [text], 10)[0] == len(model.encode(text)), text
-        assert "".join(token_counts.cuts(text, 10)).replace(" ", "") == text.replace(" ", "")
+        text = "".join(pick.choice(["ab", "c ", " ", "\n", " d", "é", "▁", ".", "字", "\u00a0", "😀 x"]) for _ in range(200))
+        raw = text.encode()
+        assert token_counts.counts(model, True, [raw], 10)[0] == len(model.encode(text)), text
+        assert b"".join(token_counts.cuts(raw, 10)).replace(b" ", b"") == raw.replace(b" ", b"")
+
+
+def test_a_model_of_another_kind_is_not_cut(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as described
+
+    with open(public_tokenizers.path(token_counts.MODEL), "rb") as file:
+        raw = file.read()
+
+    def changed(change):
+        model = described.ModelProto()
+        model.ParseFromString(raw)
+        change(model)
+        at = tmp_path / "m.model"
+        at.write_bytes(model.SerializeToString())
+        return token_counts.may_cut(str(at))
+
+    assert changed(lambda m: None)
+    assert not changed(lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True))
+    assert not changed(lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"x"))
+    assert not changed(lambda m: setattr(m.trainer_spec, "model_type", 1))
+    assert not changed(lambda m: setattr(m.pieces[100], "piece", "a▁b"))
 
 
 def test_steps_cover_all_rows():
