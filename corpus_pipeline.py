@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import exact_dedup, near_dup, packing, pii, quality
-from folio.llm.common import documents, written
+from folio.llm.common import documents, released, scratch, written
 
 STAGES = [
     ("quality", quality.stage),
@@ -30,5 +30,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; the rows of the last."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what a stage wrote on its way goes when its rows are written
+            docs = released(written(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,40 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or UNSET_FOLDER
 
 
+#: Paths of written tables by scope; the innermost scope is last.
+_SCOPES: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a parquet table in the shared folder, read again: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     at = f"{shared_folder(spark).rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(at)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    table = spark.read.schema(df.schema).parquet(at)
+    table._folio_at = at
+    return table
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are removed at the end, but for those that were released."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for at in _SCOPES.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(table: DataFrame) -> DataFrame:
+    """``table``, which stays when the scope that wrote it ends: it passes to the scope around it, if there is one."""
+    _SCOPES[-1].remove(table._folio_at)
+    if len(_SCOPES) > 1:
+        _SCOPES[-2].append(table._folio_at)
+    return table
 
 
 def tidy() -> None:

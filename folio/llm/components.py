@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import written
+from folio.llm.common import released, scratch, written
 
 ROUNDS = 64
 BROADCAST = 1 << 20  # edges up to which the table of least neighbours is broadcast
@@ -43,18 +43,22 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge to another; ``edges`` has columns a and b of one type."""
+    with scratch(edges.sparkSession):
+        now = released(_stars(edges))
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     for _ in range(ROUNDS):
         if not state[0]:
-            break
+            return now
         tied = written(_large(now, state[0]).distinct(), "tied")
         now = written(_small(tied, state[0]).distinct(), "stars")
         new = _state(now)
         if new == state:
-            break
+            return now
         state = new
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    raise RuntimeError("components did not settle")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import documents, text_rows, written
+from folio.llm.common import documents, released, scratch, text_rows, written
 
 PREFIX = 32
 SHARES = 512
@@ -95,7 +95,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     have their texts hashed again: of those that have the id and the text of the one that stays, the longest is taken, and
     of these the first by text; which of rows alike in both is taken isn't defined.
     """
-    sorted_ = written(content_sort(docs).select("doc_id", "kept", "text_sha256"), "exact-kept")
+    with scratch(spark):
+        sorted_ = released(written(content_sort(docs).select("doc_id", "kept", "text_sha256"), "exact-kept"))
     each = sorted_.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(~F.col("kept")).alias("some"), F.min(~F.col("kept")).alias("all"))
     gone = written(each.where("some").select("doc_id", "all"), "exact-gone")
     named = F.broadcast(gone) if gone.count() <= BROADCAST else gone

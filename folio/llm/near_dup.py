@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from folio.llm.common import STEP_BYTES, documents, lean, python_ready, steps, text_rows, tidy, utf8, written
+from folio.llm.common import STEP_BYTES, documents, lean, python_ready, released, scratch, steps, text_rows, tidy, utf8, written
 from folio.llm.components import components
 from folio.llm.shingles import distinct, mix, shingles
 
@@ -440,6 +440,11 @@ def linked(n: int, m: int, x, y) -> bool:
 
 def links(pairs: DataFrame, docs: DataFrame, leaders: DataFrame) -> DataFrame:
     """The pairs that reach the threshold, exactly."""
+    with scratch(docs.sparkSession):
+        return released(_links(pairs, docs, leaders))
+
+
+def _links(pairs: DataFrame, docs: DataFrame, leaders: DataFrame) -> DataFrame:
     both = lambda p: p.select(F.explode(F.array("a", "b")).alias("cls"))
     bits = of_classes(docs, both(pairs), leaders, bitmap, "bits")
     bounded = written(_tested(_beside(pairs, bits), within_bound), "bounded")
@@ -600,6 +605,11 @@ def _joins(blocks: Blocks) -> pa.Table:
 
 def second_round(open_: DataFrame, roots: DataFrame, docs: DataFrame, leaders: DataFrame, ranges: int) -> DataFrame:
     """Links (a, b) that join components of open tiles."""
+    with scratch(docs.sparkSession):
+        return released(_second_round(open_, roots, docs, leaders, ranges))
+
+
+def _second_round(open_: DataFrame, roots: DataFrame, docs: DataFrame, leaders: DataFrame, ranges: int) -> DataFrame:
     members = written(_met(dealt(open_, roots), None, ranges, _marks(False), MEMBER), "marked")
     members = written(_met(members, of_classes(docs, members, leaders, bitmap, "more-bits"), ranges, _marks(True), MEMBER), "remarked")
     return written(_met(members, of_classes(docs, members, leaders, array, "more-arrays"), ranges, _joins, "a bigint, b bigint"), "more-links")
@@ -610,8 +620,22 @@ def second_round(open_: DataFrame, roots: DataFrame, docs: DataFrame, leaders: D
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, cls (a hash of the set) and component_id for every row of ``docs``."""
+    python_ready(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        rows, led, lowest = (released(x) for x in _components_of(docs))
+    rows = rows.where("NOT common").select("doc_id", F.col("n").alias("n_shingles"), F.col("hash").alias("cls"))
+    named_by = led.join(lowest, "root").select("cls", "component_id")
+    return rows.join(named_by, "cls", "left").select(
+        "doc_id",
+        "n_shingles",
+        "cls",
+        F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: the rows of ``sized``; each class with its first doc_id and its root; each root's least doc_id."""
     spark = docs.sparkSession
-    python_ready(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = written(sized(docs), "sizes")
     rows = first.where("NOT common").select("doc_id", F.col("n").alias("n_shingles"), F.col("hash").alias("cls"))
@@ -626,13 +650,7 @@ def joined(docs: DataFrame) -> DataFrame:
     roots = components(near.unionByName(more))
     led = written(leaders.join(roots, leaders["cls"] == roots["node"], "left").select("cls", "lead", F.coalesce("root", "cls").alias("root")), "led")
     lowest = written(led.groupBy("root").agg(F.min("lead").alias("component_id")), "lowest")  # for a join that can be split
-    named_by = led.join(lowest, "root").select("cls", "component_id")
-    return rows.join(named_by, "cls", "left").select(
-        "doc_id",
-        "n_shingles",
-        "cls",
-        F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    return first, led, lowest
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -660,8 +678,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A doc_id whose rows all go is left out by its id; where rows of one doc_id have different texts and only some go, the
     hash of each row's set tells which.
     """
-    all_of = joined(docs).where("doc_id IS NOT NULL")
-    fates = written(all_of.groupBy("doc_id", "cls").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("goes")), "fates")
+    with scratch(spark):
+        all_of = joined(docs).where("doc_id IS NOT NULL")
+        fates = released(written(all_of.groupBy("doc_id", "cls").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("goes")), "fates"))
     each = fates.groupBy("doc_id").agg(F.max("goes").alias("some"), F.min("goes").alias("all"))
     gone = written(each.where("some").select("doc_id", "all"), "gone")
     named = F.broadcast(gone) if gone.count() <= BROADCAST else gone
