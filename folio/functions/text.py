@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +36,34 @@ def trigrams(text: Column) -> Column:
 
 def sha_shape(value: Column, digits: int = 64) -> Column:
     return F.rlike(value, F.lit(f"^[0-9a-f]{{{digits}}}\\z"))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, also where it is used for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def pieces(text: Column, size: int) -> Column:
+    """The text in pieces of ``size`` characters, the last one shorter; one pass, whatever its length."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def cut(parts: Column, size: int, start: Column, length: Column, longest: int) -> Column:
+    """What ``substr`` gives of the text of ``pieces``, from ``start`` (from 0), for lengths up to ``longest``."""
+    first = F.floor(start / size).cast("int")
+    return F.substr(F.array_join(F.slice(parts, first + 1, F.lit(longest // size + 2)), ""), start - first * size + 1, length)
+
+
+def running(values: Column, group: int = 256) -> Column:
+    """For each of an array's integers, the sum of those before it. In groups, so the work isn't the square of their number."""
+    none = F.array().cast("array<int>")
+
+    def before(each: Column) -> Column:
+        state = F.struct(none.alias("sums"), F.lit(0).alias("sum"))
+        return F.aggregate(each, state, lambda s, x: F.struct(F.array_append(s["sums"], s["sum"]).alias("sums"), (s["sum"] + x).alias("sum")))["sums"]
+
+    count = F.ceil(F.size(values) / group).cast("int")
+    groups = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda k: F.slice(values, k * group + 1, group)))
+    totals = lambda own: before(F.transform(own, lambda g: F.aggregate(g, F.lit(0), lambda s, x: s + x)))
+    whole = let(groups, lambda own: F.flatten(F.zip_with(own, totals(own), lambda g, past: F.transform(before(g), lambda x: x + past))))
+    return F.coalesce(whole, none)

@@ -10,15 +10,17 @@ Arrow batches; for counters whose tokens are characters, ``character_windows`` d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.identity import CHUNKER_VERSION, chunk_hash, config_hash
+from folio.functions.text import let
 from folio.operators import markdown
 
 ATOMIC = ("table", "bullet_list", "ordered_list", "blockquote")
@@ -72,6 +74,25 @@ def checked(counter: TokenCounter, text: str) -> list[tuple[int, int]]:
     return found
 
 
+def most(n: int, fits: Callable[[int], bool], guess: int = 0) -> int:
+    """The largest k up to ``n`` that fits, where what is more than it doesn't and 0 does: a search outward from a guess,
+    so few and small probes are made where the guess is near."""
+    lo, hi, step = 0, n + 1, 1  # lo fits, hi doesn't
+    at = min(max(guess, 1), n)
+    while lo < at < hi:
+        if fits(at):
+            lo, at = at, min(at + step, n)
+        else:
+            hi, at = at, max(at - step, 1)
+        step *= 2
+        if at >= hi or at <= lo:
+            break
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        lo, hi = (middle, hi) if fits(middle) else (lo, middle)
+    return lo
+
+
 def tokens(counter: TokenCounter, text: str) -> int:
     return counter.count(text) if hasattr(counter, "count") else len(checked(counter, text))
 
@@ -168,44 +189,59 @@ class Chunker:
         for r in rows:
             children.setdefault(r[1], []).append(r)
         out: list[Draft] = []
-        run: list[Piece] = []
-        gaps: list[Piece] = []
+        groups: list[tuple[list[Piece], list[Piece]]] = []  # blank blocks, and the ordinary ones that follow them
 
         def flush() -> None:
-            if run:
+            for run in self._runs(prefix, groups, limit):
                 out.extend(self._draft(prefix, p) for p in self._packed(prefix, run, limit))
-            run.clear()
-            gaps.clear()
+            groups.clear()
 
+        blank: list[Piece] = []
         for row in children.get(None, []):
             piece = Piece.of(row[4], row[5])
             if row[3] == "blank":
-                if run:
-                    gaps.append(piece)
+                blank.append(piece)
             elif row[3] in ATOMIC:
                 flush()
                 out += self._atomic(prefix, row, children)
+                blank = []
             else:
-                if gaps:
-                    if self._fits(prefix, "".join(p.text for p in (*run, *gaps, piece)), limit):
-                        run.extend(gaps)
-                        gaps.clear()
-                    else:
-                        flush()
-                run.append(piece)
+                if blank or not groups:
+                    groups.append((blank if groups else [], []))
+                    blank = []
+                groups[-1][1].append(piece)
         flush()
         return out
 
+    def _runs(self, prefix: str, groups: list[tuple[list[Piece], list[Piece]]], limit: int) -> Iterator[list[Piece]]:
+        """Groups with the blanks between them, as long as a run and the next group's first block fit the limit."""
+        lo = 0
+        while lo < len(groups):
+            def fits(k: int, lo: int = lo) -> bool:  # the first block of group lo + k, after the groups before it
+                before = [p for j in range(lo, lo + k) for p in ((*groups[j][0], *groups[j][1]) if j > lo else groups[j][1])]
+                return self._fits(prefix, "".join(p.text for p in (*before, *groups[lo + k][0], groups[lo + k][1][0])), limit)
+
+            n = most(len(groups) - lo - 1, fits)
+            yield [p for k, (blank, own) in enumerate(groups[lo : lo + n + 1]) for p in ((*blank, *own) if k else own)]
+            lo += n + 1
+
     def _packed(self, prefix: str, run: list[Piece], limit: int) -> list[Piece]:
         if len(run) == 1:
             return self._windows(prefix, run[0], limit)
-        out, pending = [], Piece([])
-        for block in run:
-            if not pending.parts or self._fits(prefix, pending.text + block.text, limit):
-                pending = pending + block
-            else:
+        out, pending, i = [], Piece([]), 0
+        while i < len(run):
+            if pending.parts:
+                own = pending.text
+                n = most(len(run) - i, lambda k: self._fits(prefix, "".join([own, *(b.text for b in run[i : i + k])]), limit))
+                if n:
+                    pending = Piece([p for b in (pending, *run[i : i + n]) for p in b.parts])
+                    i += n
+                    continue
                 out.append(pending)
-                pending = self._suffix(pending) + block
+                pending = self._suffix(pending) + run[i]
+            else:
+                pending = run[i]
+            i += 1
             if not self._fits(prefix, pending.text, self.limits.soft):
                 *full, pending = self._windows(prefix, pending, limit)
                 out += full
@@ -289,39 +325,63 @@ class Chunker:
         return Draft(piece.text, search, tokens(self.counter, search), *(lines or piece.lines()), warnings or [])
 
 
-def parent_context(body: str, rows: list[tuple], counter: TokenCounter, first: int, last: int, raw: str | None = None, most: int = Limits.parent, occurrence: int | None = None) -> Draft:
+STEPS = 24  # blocks up to which a context grows one by one
+
+
+def parent_context(body: str, rows: list[tuple], counter: TokenCounter, first: int, last: int, raw: str | None = None, limit: int = Limits.parent, occurrence: int | None = None) -> Draft:
     """What surrounds a match on lines ``first`` to ``last``: the body, or the blocks nearest to it that fit.
 
     ``rows``: the section's top-level block rows. A single block over the limit is cut around ``raw``; where ``raw``
-    stands several times in it, ``occurrence`` (from 0) says which is meant.
+    stands several times in it, ``occurrence`` (from 0) says which is meant. Blocks are taken from either side in turn,
+    the nearer first, until one doesn't fit, and then from the other side. Of few blocks every step is counted; of many
+    the last that fits is searched for from where the body's own tokens say that it lies, so the calls of the counter grow
+    with the logarithm of the blocks, and each reads about as much as the context holds.
     """
     top = [r for r in rows if r[1] is None]
-    text = lambda a, b: "".join(r[4] for r in top[a:b])
-    if tokens(counter, body) <= most:
-        return Draft(body, body, tokens(counter, body), top[0][5], top[-1][6])
+    found = checked(counter, body) if not hasattr(counter, "count") else None
+    if (tokens(counter, body) if found is None else len(found)) <= limit:
+        return Draft(body, body, tokens(counter, body) if found is None else len(found), top[0][5], top[-1][6])
     seeds = [i for i, r in enumerate(top) if r[5] <= last and r[6] >= first]
     if not seeds:
         raise ValueError("no block holds the match")
     lo, hi = seeds[0], seeds[-1] + 1
-    if tokens(counter, text(lo, hi)) > most:
+    raws = [r[4] for r in top]
+    fits = lambda a, b: tokens(counter, "".join(raws[a:b])) <= limit
+    if not fits(lo, hi):
         if hi - lo > 1:
             raise ValueError("the matched blocks exceed the parent context")
-        return _around(top[lo], counter, raw, most, occurrence)
-    left, right = lo - 1, hi
-    while True:
-        for go_left in ((True, False) if left >= 0 and (right >= len(top) or seeds[0] - left <= right - seeds[-1]) else (False, True)):
-            if go_left and left >= 0 and tokens(counter, text(left, hi)) <= most:
-                lo, left = left, left - 1
-                break
-            if not go_left and right < len(top) and tokens(counter, text(lo, right + 1)) <= most:
-                hi, right = right + 1, right + 1
-                break
+        return _around(top[lo], counter, raw, limit, occurrence)
+    grown = _in_turn(lo, hi, len(top))
+    if len(grown) <= STEPS:
+        n = next((k for k, (a, b) in enumerate(grown) if not fits(a, b)), len(grown))
+    else:
+        ends = np.append(0, np.cumsum([len(r) for r in raws]))
+        starts = np.array([a for a, _ in (found if found is not None else checked(counter, body))])
+        inside = [int(np.searchsorted(starts, ends[b])) - int(np.searchsorted(starts, ends[a])) for a, b in grown]
+        n = most(len(grown), lambda k: fits(*grown[k - 1]), sum(x <= limit for x in inside))
+    refused = grown[n] if n < len(grown) else None
+    lo, hi = grown[n - 1] if n else (lo, hi)
+    if refused is not None:  # the side that doesn't fit stays; the other may go on
+        if refused[0] < lo:
+            hi += most(len(top) - hi, lambda k: fits(lo, hi + k))
         else:
-            break
-    own = text(lo, hi)
+            lo -= most(lo, lambda k: fits(lo - k, hi))
+    own = "".join(raws[lo:hi])
     return Draft(own, own, tokens(counter, own), top[lo][5], top[hi - 1][6])
 
 
+def _in_turn(lo: int, hi: int, n: int) -> list[tuple[int, int]]:
+    """The ranges of blocks as one that begins as (lo, hi) grows: towards its nearer end, to the left of equals."""
+    out, left, right = [], 0, 0
+    while lo - left > 0 or hi + right < n:
+        if lo - left > 0 and (left <= right or hi + right >= n):
+            left += 1
+        else:
+            right += 1
+        out.append((lo - left, hi + right))
+    return out
+
+
 def _around(row: tuple, counter: TokenCounter, raw: str | None, most: int, occurrence: int | None) -> Draft:
     """The longest window of one block around the match; of equal ones the first."""
     if not raw:
@@ -379,10 +439,12 @@ def chunks(documents: DataFrame, counter: TokenCounter, config: str, limits: Lim
 
 def character_windows(text: Column, limits: Limits = Limits()) -> Column:
     """Start (from 0) and length of each window of one paragraph whose tokens are its characters."""
-    n, step = F.length(text), limits.target - limits.overlap
-    last = F.greatest(F.lit(0), F.ceil((n - limits.soft) / step).cast("int"))
-    windows = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct((i * step).alias("start"), F.when(i == last, n - i * step).otherwise(F.lit(limits.target)).alias("length")),
-    )
-    return F.when(F.regexp_like(text, F.lit(r"\S")), windows).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
+    step = limits.target - limits.overlap
+
+    def windows(n: Column, last: Column) -> Column:
+        length = lambda i: F.when(i == last, n - i * step).otherwise(F.lit(limits.target))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), length(i).alias("length")))
+
+    past = lambda n: F.greatest(F.lit(0), F.ceil((n - limits.soft) / step).cast("int"))
+    made = let(F.length(text), lambda n: let(past(n), lambda last: windows(n, last)))
+    return F.when(F.regexp_like(text, F.lit(r"\S")), made).otherwise(F.array().cast("array<struct<start:int,length:int>>"))

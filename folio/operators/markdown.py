@@ -380,23 +380,24 @@ def parse(text: str) -> list[Section]:
     """The sections of a document: one per top-level heading, and a preamble where text stands before the first."""
     lines = physical_lines(text)
     blocks = top_blocks(lines)
-    heads = [b for b in blocks if b.kind == "heading"]
+    places = [i for i, b in enumerate(blocks) if b.kind == "heading"]
+    heads = [blocks[i] for i in places]
     out: list[Section] = []
     if not text.strip():
         return out
     first = heads[0].start if heads else len(lines)
     preamble = "".join(lines[:first])
     if preamble.strip():
-        out.append(Section(0, None, 0, None, [], preamble, 1, first, _rows(blocks, lines, 0, first)))
+        out.append(Section(0, None, 0, None, [], preamble, 1, first, _rows(blocks[: places[0]] if places else blocks, lines, 0, first)))
     stack: list[Section] = []
-    for head, following in zip(heads, [*heads[1:], None]):
+    for place, next_place, head, following in zip(places, [*places[1:], len(blocks)], heads, [*heads[1:], None]):
         end = following.start if following else len(lines)
         while stack and stack[-1].level >= head.level:
             stack.pop()
         parent = stack[-1] if stack else None
         own = Section(
             len(out), parent.ordinal if parent else None, head.level, head.title, [*(parent.path if parent else []), head.title],
-            "".join(lines[head.end : end]), head.start + 1, max(end, head.end), _rows(blocks, lines, head.end, end),
+            "".join(lines[head.end : end]), head.start + 1, max(end, head.end), _rows(blocks[place + 1 : next_place], lines, head.end, end),
         )
         out.append(own)
         stack.append(own)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.identity import config_hash_column, content_hash_column
 from folio.functions.paths import canonical_path, compiled, path_error, selected
-from folio.functions.text import physical_lines
+from folio.functions.text import cut, let, physical_lines, pieces, running
 from folio.operators import chunking, markdown, metadata
 from folio.plans import corpus
 from folio.session import table
@@ -69,11 +69,30 @@ def metadata_general(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNK_CONFIG = chunking.config_identity(chunking.Limits(), "characters", "1", "folio", "1")
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+STEP = chunking.Limits.target - chunking.Limits.overlap
+
+
+def _windows(spark: SparkSession, sf_dir: str, context: bool = False) -> DataFrame:
+    """The windows of each document, cut from its pieces of ``STEP`` characters, so no row carries more than its window
+    (and its context): a document costs in proportion to its length."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    each = docs.select("doc_id", "source", "text", F.posexplode(chunking.character_windows(F.col("text"))).alias("ordinal", "w"))
-    raw = F.substr("text", F.col("w.start") + 1, F.col("w.length"))
-    return each.select("doc_id", "source", "ordinal", F.col("w.start").alias("start"), F.col("w.length").alias("token_count"), raw.alias("raw_text"), "text")
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    most = chunking.Limits.parent
+
+    def around(w, parts, n):
+        start = F.when(n <= most, F.lit(0)).otherwise(F.least(F.greatest(F.lit(0), w["start"] + w["length"] - most), w["start"]))
+        return F.struct(start.alias("start"), cut(parts, STEP, start, F.least(n - start, F.lit(most)), most).alias("text"))
+
+    def window(w, i, parts, known):
+        raw = cut(parts, STEP, w["start"], w["length"], chunking.Limits.soft)
+        more = [around(w, parts, known).alias("context")] if context else [F.get(known, i).alias("lines_before")]
+        return F.struct(w["start"].alias("start"), w["length"].alias("token_count"), raw.alias("raw_text"), *more)
+
+    each = lambda parts, known: F.transform(chunking.character_windows(F.col("text")), lambda w, i: window(w, i, parts, known))
+    known = lambda parts: F.length("text") if context else running(F.transform(parts, newlines))
+    made = let(pieces(F.col("text"), STEP), lambda parts: let(known(parts), lambda x: each(parts, x)))
+    rows = docs.select("doc_id", "source", F.posexplode(made).alias("ordinal", "w")).select("doc_id", "source", "ordinal", "w.*")
+    return rows.withColumn("lines_within", newlines(F.col("raw_text")) - F.endswith("raw_text", F.lit("\n")).cast("int"))
 
 
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +101,9 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _windows(spark, sf_dir)
-    line = lambda end: (F.length(F.regexp_replace(F.substr("text", F.lit(1), end), "[^\n]", "")) + 1).cast("int")
     columns = {
         "parser_version": F.lit(markdown.PARSER_VERSION), "chunk_config_hash": F.lit(CHUNK_CONFIG), "heading_path": F.array(F.col("source")),
-        "line_start": line(F.col("start")), "line_end": line(F.col("start") + F.col("token_count") - 1),
+        "line_start": 1 + F.col("lines_before"), "line_end": 1 + F.col("lines_before") + F.col("lines_within"),
         "raw_text": F.col("raw_text"), "search_text": F.concat(F.col("source"), F.lit("\n"), F.col("raw_text")),
     }
     return rows.select("doc_id", "ordinal", columns["line_start"].alias("line_start"), columns["line_end"].alias("line_end"), config_hash_column(**columns).alias("chunk_hash"))
@@ -93,11 +111,8 @@ def chunk_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parent_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of each window of a one-paragraph document whose tokens are characters."""
-    rows, most = _windows(spark, sf_dir), chunking.Limits.parent
-    n, end = F.length("text"), F.col("start") + F.col("token_count")
-    start = F.when(n <= most, F.lit(0)).otherwise(F.least(F.greatest(F.lit(0), end - most), F.col("start")))
-    size = F.when(n <= most, n).otherwise(F.least(n - start, F.lit(most)))
-    return rows.select("doc_id", "ordinal", start.alias("context_start"), size.alias("context_tokens"), content_hash_column(F.substr("text", start + 1, size)).alias("context_hash"))
+    rows = _windows(spark, sf_dir, True)
+    return rows.select("doc_id", "ordinal", F.col("context.start").alias("context_start"), F.length("context.text").alias("context_tokens"), content_hash_column(F.col("context.text")).alias("context_hash"))
 
 
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
