@@ -36,14 +36,18 @@ def vector_error(vector: Column, dimension: int) -> Column:
 
 
 def hash_embedder(dimension: int) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic embedder for tests and offline runs: signed counts of hashed words, of unit norm."""
+    """A deterministic embedder for tests and offline runs: signed counts of hashed words, of unit norm.
+
+    Words are runs of what isn't ASCII white space, with A-Z lowered; the first two bytes of a word's MD5 say where it
+    counts and the next bit with which sign.
+    """
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimension))
         for row, text in zip(out, texts):
-            for word in text.lower().split() or [""]:
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                row[h % dimension] += 1 if h >> 63 else -1
+            for word in text.encode().lower().split():
+                h = hashlib.md5(word, usedforsecurity=False).digest()
+                row[int.from_bytes(h[:2], "big") % dimension] += 1 if h[2] >> 7 else -1
             if not row.any():
                 row[0] = 1.0
         return (out / np.linalg.norm(out, axis=1, keepdims=True)).astype(np.float32)

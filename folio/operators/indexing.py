@@ -1,7 +1,8 @@
 """A run of the index: from a snapshot's files to the stored tables, reusing what earlier runs made.
 
 Contents, parses and embeddings are known by natural keys; ids are digests of these, so a run that is made again makes the
-same rows. Only what ``stored`` lacks is parsed, chunked and embedded. One invalid document fails the run: its tables are
+same rows. Only what ``stored`` lacks is parsed, chunked and embedded; under another embedding configuration the chunks
+that are stored get new vectors, and nothing is parsed. One invalid document fails the run: its tables are
 built but its status is ``failed``, and nothing that is active changes.
 """
 
@@ -36,7 +37,8 @@ def digest(*parts: Column | str) -> Column:
 
 
 def build(files: DataFrame, run_id: str, config: Config, stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Tables by name. ``files``: source_path and content (binary); ``stored``: document_parses and chunk_embeddings so far.
+    """Tables by name. ``files``: source_path and content (binary); ``stored``: document_parses, sections, chunks and
+    chunk_embeddings so far.
 
     Rows of sections, chunks and embeddings are the new ones; occurrences are all of the run.
     """
@@ -53,6 +55,7 @@ def build(files: DataFrame, run_id: str, config: Config, stored: dict[str, DataF
         "version_scope", "document_date", "document_version", "decision_state", "owner_domain",
     )
     parses = contents.select(F.col("id").alias("content_id"), F.lit(markdown.PARSER_VERSION).alias("parser_version"), F.lit(config.chunk_config_hash).alias("chunk_config_hash"))
+    every = parses.select(digest("parse", F.col("content_id"), F.col("parser_version"), F.col("chunk_config_hash")).alias("parse_id"))
     if "document_parses" in stored:
         parses = parses.join(stored["document_parses"], ["content_id", "parser_version", "chunk_config_hash"], "left_anti")
     parses = parses.select(digest("parse", F.col("content_id"), F.col("parser_version"), F.col("chunk_config_hash")).alias("id"), "content_id", "parser_version", "chunk_config_hash")
@@ -66,10 +69,13 @@ def build(files: DataFrame, run_id: str, config: Config, stored: dict[str, DataF
     chunks = made.withColumn("section_id", section_id("section_ordinal")).select(
         digest("chunk", F.col("section_id"), F.col("ordinal")).alias("id"), "section_id", "ordinal", "raw_text", "search_text", "token_count", "line_start", "line_end", "chunk_hash"
     )
-    wanted = chunks
+    wanted = chunks.select("id", "search_text")
+    if "sections" in stored and "chunks" in stored:  # chunks of this run's parses that were made before
+        own = stored["sections"].join(every, "parse_id", "left_semi").select(F.col("id").alias("section_id"))
+        wanted = wanted.unionByName(stored["chunks"].join(own, "section_id", "left_semi").select("id", "search_text"))
     if "chunk_embeddings" in stored:
         done = stored["chunk_embeddings"].where(F.col("embedding_config_hash") == config.embedding_config_hash).select(F.col("chunk_id").alias("id"))
-        wanted = chunks.join(done, "id", "left_anti")
+        wanted = wanted.join(done, "id", "left_anti")
     name, revision, dimension = config.model
     embeddings = vectors.embedded(wanted, "id", "search_text", config.embedder).select(
         digest("embedding", F.col("id"), config.embedding_config_hash).alias("id"), F.col("id").alias("chunk_id"), F.lit(config.embedding_config_hash).alias("embedding_config_hash"),

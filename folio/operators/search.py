@@ -1,7 +1,9 @@
 """Keyword and vector candidates, their fusion, and evidence.
 
-Queries are a stated, bounded set; everything else is a table of any size. A task scores its rows against all queries in
-arrays and keeps its best ``k`` per query, so what is shuffled is ``k`` rows per task and query, never a row per pair.
+Keyword candidates come from postings: rows and queries meet on their shared trigrams, in plain DataFrame operations.
+Postings are dealt by row, so a row's counts are made where its trigrams lie, and a rank limit before the shuffle lets each
+task send only its best ``k`` of each query. Vectors are scored in arrays, a block of queries at a time, and each task keeps
+its best ``k`` too: what is shuffled is never a row per pair.
 """
 
 from __future__ import annotations
@@ -10,31 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions.auth import with_hmac
+from folio.functions.text import trigrams
+
 TOP = 50
 RRF_K, KEYWORD_WEIGHT, VECTOR_WEIGHT = 60, 1.0, 1.0
 RESULTS, MOST_RESULTS = 5, 20
-MOST_QUERIES = 10_000
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
-
-
-def word_grams(word: str) -> list[str]:
-    padded = f"  {word} "
-    return [padded[i : i + 3] for i in range(len(padded) - 2)]
-
-
-def grams(text: str) -> set[str]:
-    return {g for w in set(_WORD.findall(text.lower())) for g in word_grams(w)}
-
-
-def _stated(queries: DataFrame, key: str, value: str) -> list[tuple]:
-    rows = queries.select(key, value).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"a search takes at most {MOST_QUERIES} queries at a time")
-    return sorted((r[0], r[1]) for r in rows)
+BLOCK_QUERIES = 4_096  # query vectors that a task holds at a time
+SCORES = 1 << 20  # scores that a task holds at a time
+BROADCAST = 1 << 20  # trigrams of all queries up to which they are broadcast; beyond, the join shuffles
 
 
 class _Best:
@@ -72,52 +61,56 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def keyword_top(rows: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int = TOP) -> DataFrame:
-    """(query_id, row_id, score, rank): trigram similarity of every row with every query, the best ``k`` of each."""
-    stated = _stated(queries, query_key, query_text)
-    sets = [grams(t or "") for _, t in stated]
-    number = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
-    matrix = np.zeros((len(number) + 1, len(sets)), np.int32)
-    for q, own in enumerate(sets):
-        matrix[[number[g] for g in own], q] = 1
-    sizes = np.array([len(s) for s in sets], np.int64)
-    keys = [i for i, _ in stated]
+def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(row_id, n, gram): a row for each distinct trigram of each text, with how many its text has."""
+    grams = rows.select(F.col(key).cast("bigint").alias("row_id"), trigrams(F.coalesce(text, F.lit(""))).alias("grams")).repartition("row_id")
+    return grams.select("row_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, of_word = _Best(len(keys), k), {}
-        for batch in batches:
-            shared, total = np.zeros((len(batch), len(keys)), np.int64), np.zeros(len(batch), np.int64)
-            for row, t in enumerate(batch.column(1).to_pylist()):
-                own: set[str] = set()
-                for w in set(_WORD.findall((t or "").lower())):
-                    if (found := of_word.get(w)) is None:
-                        if len(of_word) > 200_000:
-                            of_word.clear()
-                        found = of_word[w] = word_grams(w)
-                    own.update(found)
-                total[row] = len(own)
-                known = [i for g in own if (i := number.get(g)) is not None]
-                shared[row] = matrix[known].sum(axis=0)
-            union = total[:, None] + sizes[None] - shared
-            best.add(np.asarray(batch.column(0)), np.where(union > 0, shared / np.maximum(union, 1), 0.0))
-        yield best.batch(keys)
 
-    return _ranked(rows.select(F.col(key).cast("bigint"), text).mapInArrow(run, _SCORES), k)
+def keyword_top(rows: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int = TOP) -> DataFrame:
+    """(query_id, row_id, score, rank): trigram similarity of every row with every query, the best ``k`` of each.
+
+    ``key`` tells rows apart. Queries of which fewer than ``k`` rows share a trigram are filled up with the first others,
+    at score 0; ties go to the lower id.
+    """
+    asked = queries.select(F.col(query_key).cast("bigint").alias("query_id"), trigrams(F.coalesce(query_text, F.lit(""))).alias("grams"))
+    wanted = asked.select("query_id", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    shared = postings(rows, key, text).join(wanted, "gram").groupBy("row_id", "query_id", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
+    found = _ranked(shared.select("query_id", "row_id", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("score")), k)
+    first = [r[0] for r in rows.select(F.col(key).cast("bigint").alias("row_id")).orderBy("row_id").limit(k).collect()]
+    fill = asked.select("query_id", F.explode(F.array(*(F.lit(i).cast("bigint") for i in first)).cast("array<bigint>")).alias("row_id"), F.lit(0.0).alias("score"))
+    few = found.drop("rank").unionByName(fill).groupBy("query_id", "row_id").agg(F.max("score").alias("score"))
+    return _ranked(few, k)
 
 
 def vector_top(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = TOP) -> DataFrame:
-    """(query_id, row_id, score, rank): exact cosine of every row with every query, the best ``k`` of each."""
-    stated = _stated(queries, query_key, query_vector)
+    """(query_id, row_id, score, rank): exact cosine of every row with every query, the best ``k`` of each.
+
+    Queries are asked in blocks of about ``BLOCK_QUERIES``, a scan of the rows for each block.
+    """
+    asked = queries.select(F.col(query_key).cast("bigint").alias("query_id"), F.col(query_vector).alias("vector"))
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    out = None
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else asked
+        found = _vector_block(rows, key, vector, sorted((r[0], r[1]) for r in own.collect()), k)  # a block of vectors
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _vector_block(rows: DataFrame, key: str, vector: str, stated: list[tuple], k: int) -> DataFrame:
     wanted = np.array([v for _, v in stated], float).reshape(len(stated), -1)
     wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
     keys = [i for i, _ in stated]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(len(keys), k)
+        best, step = _Best(len(keys), k), max(1, SCORES // max(1, len(keys)))
         for batch in batches:
-            if len(batch):
-                own = np.asarray(batch.column(1).flatten()).astype(float).reshape(len(batch), -1)
-                best.add(np.asarray(batch.column(0)), (own @ wanted.T) / np.linalg.norm(own, axis=1, keepdims=True))
+            for lo in range(0, len(batch), step):
+                part = batch.slice(lo, step)
+                own = np.asarray(part.column(1).flatten()).astype(float).reshape(len(part), -1)
+                best.add(np.asarray(part.column(0)), (own @ wanted.T) / np.linalg.norm(own, axis=1, keepdims=True))
         yield best.batch(keys)
 
     return _ranked(rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint"), vector).mapInArrow(run, _SCORES), k)
@@ -172,6 +165,18 @@ def evidence(matches: DataFrame, parent: str, limit: int = RESULTS) -> DataFrame
     return items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
+def served(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """Evidence of every request of ``asked`` (query_id and more): one without any is a row with status ``no_evidence``."""
+    return asked.join(found, "query_id", "left").withColumn("status", F.when(F.col("place").isNull(), "no_evidence").otherwise("ok"))
+
+
+def audited(answers: DataFrame, key: bytes, requests: tuple[str, ...], text: str, returned: str) -> DataFrame:
+    """One audit row for each request: the HMAC of its query and what it got, never the query's text."""
+    ids = F.array_compact(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col(returned).alias("id")))), lambda x: x["id"]))
+    events = answers.groupBy(*requests, text).agg(ids.alias("returned_ids"), F.count("place").cast("int").alias("result_count"), F.max("status").alias("status"))
+    return with_hmac(events, text, key).drop(text)
+
+
 def precedence(occurrences: DataFrame) -> DataFrame:
     """Which occurrence of a content speaks for it: owner, then decision, then version scope and date; all are kept."""
     owner = F.when(F.col("owner_domain") == "docs", 0).when(F.col("owner_domain") == "uiux", 1).otherwise(2)

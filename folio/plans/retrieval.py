@@ -119,7 +119,9 @@ def incremental_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = lambda d: d.select(content_hash_column(F.col("text")).alias("content_hash"), F.lit("p1").alias("parser_version"), F.lit("c1").alias("chunk_config_hash"))
     contents = lifecycle.to_build(keyed(second), keyed(first), "contents").select(F.lit("contents").alias("kind"), "content_hash")
     parses = lifecycle.to_build(keyed(second).withColumn("chunk_config_hash", F.lit("c2")), keyed(first), "parses").select(F.lit("parses").alias("kind"), "content_hash")
-    return contents.unionByName(parses)
+    chunked = lambda d, model: d.select(content_hash_column(F.substring("text", 1, 400)).alias("chunk_hash"), F.lit(model).alias("embedding_config_hash"))
+    vectors_of = lambda kind, model: lifecycle.to_build(chunked(second, model), chunked(first, "e1"), "embeddings").select(F.lit(kind).alias("kind"), F.col("chunk_hash").alias("content_hash"))
+    return contents.unionByName(parses).unionByName(vectors_of("embeddings", "e1")).unionByName(vectors_of("embeddings_of_a_new_model", "e2"))
 
 
 RUNS = (
@@ -193,7 +195,9 @@ def audit_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deterministic_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = vectors.embedded(table(spark, sf_dir, "documents"), "doc_id", "text", lambda: vectors.hash_embedder(DIMENSION))
-    return made.select("doc_id", F.coalesce(vectors.vector_error(F.col("embedding"), DIMENSION), F.lit("ok")).alias("state"), "embedding")
+    signs = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0")), "")
+    largest = F.array_position(F.transform("embedding", lambda x: F.abs(x)), F.array_max(F.transform("embedding", lambda x: F.abs(x)))).cast("int")
+    return made.select("doc_id", F.coalesce(vectors.vector_error(F.col("embedding"), DIMENSION), F.lit("ok")).alias("state"), signs.alias("signs"), largest.alias("largest"))
 
 
 QUERIES = {
@@ -276,10 +280,20 @@ WITH meta AS ({meta}), m AS (SELECT o.source_path, o.content_hash, meta.* EXCLUD
   SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY CASE owner_domain WHEN 'docs' THEN 0 WHEN 'uiux' THEN 1 ELSE 2 END, CASE decision_state WHEN 'confirmed' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END,
     CASE version_scope WHEN 'current' THEN 0 ELSE 1 END, coalesce(document_date, '0001-01-01') DESC, source_path) AS place, count(*) OVER (PARTITION BY content_hash) AS n FROM m)
 SELECT k.source_path, k.content_hash, k.n AS n_occurrences, b.source_path AS canonical_path, b.source_path = k.source_path AS canonical FROM k JOIN k b ON b.content_hash = k.content_hash AND b.place = 1""",
+        "deterministic_embed": f"""
+WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS word FROM documents),
+h AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 4) AS INTEGER) % {DIMENSION} AS dim, CASE WHEN substr(md5(word), 5, 1) >= '8' THEN 1 ELSE -1 END AS sign FROM w),
+n AS (SELECT doc_id, dim, sum(sign) AS n FROM h GROUP BY 1, 2),
+v AS (SELECT d.doc_id, list(coalesce(n, 0) ORDER BY i) AS v FROM documents d CROSS JOIN range({DIMENSION}) r(i) LEFT JOIN n ON n.doc_id = d.doc_id AND n.dim = i GROUP BY 1),
+f AS (SELECT doc_id, CASE WHEN list_max(list_transform(v, lambda x: abs(x))) = 0 THEN list_prepend(1, v[2:]) ELSE v END AS v FROM v)
+SELECT doc_id, 'ok' AS state, array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '+' WHEN x < 0 THEN '-' ELSE '0' END), '') AS signs,
+  CAST(list_position(list_transform(v, lambda x: abs(x)), list_max(list_transform(v, lambda x: abs(x)))) AS INTEGER) AS largest FROM f""",
         "incremental_reuse": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), a AS (SELECT DISTINCT sha256(text) AS h FROM d),
-b AS (SELECT DISTINCT sha256(CASE WHEN doc_id % 10 = 0 THEN text || ' v2' ELSE text END) AS h FROM d)
-SELECT 'contents' AS kind, h AS content_hash FROM b WHERE h NOT IN (SELECT h FROM a) UNION ALL SELECT 'parses', h FROM b""",
+b AS (SELECT DISTINCT sha256(CASE WHEN doc_id % 10 = 0 THEN text || ' v2' ELSE text END) AS h FROM d),
+ca AS (SELECT DISTINCT sha256(substr(text, 1, 400)) AS h FROM d), cb AS (SELECT DISTINCT sha256(substr(CASE WHEN doc_id % 10 = 0 THEN text || ' v2' ELSE text END, 1, 400)) AS h FROM d)
+SELECT 'contents' AS kind, h AS content_hash FROM b WHERE h NOT IN (SELECT h FROM a) UNION ALL SELECT 'parses', h FROM b
+UNION ALL SELECT 'embeddings', h FROM cb WHERE h NOT IN (SELECT h FROM ca) UNION ALL SELECT 'embeddings_of_a_new_model', h FROM cb""",
         "activation_state": f"""
 WITH r AS ({RUNS}), n AS (SELECT source_key, run_id AS new_id FROM r WHERE status = 'ready' AND source_key NOT LIKE '%3')
 SELECT r.source_key, r.run_id, CASE WHEN new_id IS NULL THEN status WHEN r.run_id = new_id THEN 'active' WHEN status = 'active' THEN 'previous' WHEN status = 'previous' THEN 'ready' ELSE status END AS status,

@@ -7,29 +7,46 @@ from pyspark.sql import functions as F
 
 from folio.functions.identity import content_hash_column
 from folio.functions import vectors
-from folio.functions.text import trigrams
 from folio.operators import chunking, indexing, markdown, search
 from folio.plans import corpus, retrieval, structure
 from folio.session import table
 
-CLIENT = "c2"
+CLIENTS = ("c2", "c5")  # one that may see something, one that is disabled
+DESCRIPTOR = ("driver-table", "1", retrieval.DIMENSION)
+AUDIT_KEY = b"folio-audit"
 
 
-def search_service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What one client gets for every benchmark item: nothing that it may not see is scored, equal contents are one item."""
-    seen = retrieval.authorized_candidates(spark, sf_dir).where(F.col("client_id") == CLIENT).select("doc_id").distinct()
-    documents = table(spark, sf_dir, "documents").join(seen, "doc_id", "left_semi")
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each client gets for every benchmark item: nothing that it may not see is scored, equal contents are one item."""
+    search.check_descriptor(DESCRIPTOR, ("driver-table", "1", retrieval.DIMENSION))
     rows, items = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
     queries = items.join(rows, F.col("item_id") == F.col("vec_id")).select("item_id", "embedding")
-    own = rows.join(documents.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    fused = search.fused(
-        search.keyword_top(documents, "doc_id", "text", items, "item_id", "text"), search.vector_top(own, "vec_id", "embedding", queries, "item_id", "embedding")
-    )
-    content = documents.select(F.col("doc_id").alias("row_id"), content_hash_column(F.coalesce("text", F.lit(""))).alias("content_hash"))
-    matches = fused.join(content, "row_id").select("query_id", "content_hash", "row_id", F.round("rrf", 9).alias("rrf"))
-    found = search.evidence(matches, "content_hash", search.RESULTS)
-    origins = documents.select(content_hash_column(F.coalesce("text", F.lit(""))).alias("content_hash")).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_origins"))
-    return found.join(origins, "content_hash").select("query_id", "place", "content_hash", "score", "n_matches", "matches", "n_origins", F.lit("ok").alias("status"))
+    candidates, places = retrieval.authorized_candidates(spark, sf_dir), corpus.occurrences(spark, sf_dir)
+    out = None
+    for client in CLIENTS:
+        seen = candidates.where(F.col("client_id") == client).select("doc_id").distinct()
+        documents = places.join(seen, "doc_id", "left_semi").withColumn("content_hash", content_hash_column(F.coalesce("text", F.lit(""))))
+        own = rows.join(documents.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+        fused = search.fused(
+            search.keyword_top(documents, "doc_id", "text", items, "item_id", "text"), search.vector_top(own, "vec_id", "embedding", queries, "item_id", "embedding")
+        )
+        matches = fused.join(documents.select(F.col("doc_id").alias("row_id"), "content_hash"), "row_id").select("query_id", "content_hash", "row_id", F.round("rrf", 9).alias("rrf"))
+        found = search.evidence(matches, "content_hash", search.RESULTS)
+        shown = documents.join(found.select("content_hash").distinct(), "content_hash", "left_semi")
+        origins = shown.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_origins"), F.array_join(F.sort_array(F.collect_list("source_path")), ",").alias("origins"))
+        asked = items.select(F.col("item_id").alias("query_id"), F.lit(client).alias("client_id"), F.col("text").alias("query"))
+        answer = search.served(found.join(origins, "content_hash"), asked)
+        out = answer if out is None else out.unionByName(answer)
+    return out
+
+
+def search_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir).select("client_id", "query_id", "place", "content_hash", "score", "n_matches", "matches", "n_origins", "origins", "status")
+
+
+def search_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.audited(_answers(spark, sf_dir), AUDIT_KEY, ("client_id", "query_id"), "query", "content_hash")
+    return found.select("client_id", "query_id", F.lower(F.hex("query_hmac")).alias("query_hmac"), F.array_join("returned_ids", ",").alias("returned"), "result_count", "status")
 
 
 def block_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +58,10 @@ def block_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The postings of every trigram, summed up: in how many documents it stands, and the first and last of them."""
-    postings = table(spark, sf_dir, "documents").select("doc_id", F.explode(trigrams(F.coalesce("text", F.lit("")))).alias("gram"))
-    return postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    """The postings of every trigram that keyword search reads, summed up: in how many documents it stands, and the first
+    and last of them."""
+    rows = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"), F.min("row_id").alias("first_doc"), F.max("row_id").alias("last_doc"))
 
 
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,16 +84,24 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built["document_occurrences"].join(per_content, "content_id").select("source_path", "content_id", "version_scope", "decision_state", "n_sections", "n_chunks", "n_tokens")
 
 
-QUERIES = {"index_build": index_build, "search_service": search_service, "block_overlap": block_overlap, "trigram_index": trigram_index, "run_stats": run_stats}
+QUERIES = {"index_build": index_build, "search_service": search_service, "search_audit": search_audit, "block_overlap": block_overlap, "trigram_index": trigram_index, "run_stats": run_stats}
 
 _SEEN = "seen AS (SELECT DISTINCT doc_id FROM ({auth}) WHERE client_id = 'c2'), sd AS (SELECT d.* FROM documents d SEMI JOIN seen USING (doc_id)), se AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM sd))"
-ORACLES = {
-    "search_service": f"""
-WITH {_SEEN.format(auth=retrieval.ORACLES["authorized_candidates"])}, {retrieval._RRF.replace("FROM q, embeddings", "FROM q, se").replace("AS g FROM documents", "AS g FROM sd")},
-c AS (SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM sd), o AS (SELECT content_hash, count(*) AS n_origins FROM c GROUP BY 1),
+_ANSWERS = f"""
+{_SEEN.format(auth=retrieval.ORACLES["authorized_candidates"])}, {retrieval._RRF.replace("FROM q, embeddings", "FROM q, se").replace("AS g FROM documents", "AS g FROM sd")},
+c AS (SELECT doc_id, {corpus.PATH} AS source_path, sha256(coalesce(text, '')) AS content_hash FROM sd),
+o AS (SELECT content_hash, count(*) AS n_origins, string_agg(source_path, ',' ORDER BY source_path) AS origins FROM c GROUP BY 1),
 items AS (SELECT query_id, content_hash, max(rrf) AS score, count(*) AS n_matches, string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY rrf DESC, row_id) AS matches FROM rr JOIN c ON c.doc_id = rr.row_id GROUP BY 1, 2),
-p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, content_hash) AS INTEGER) AS place FROM items)
-SELECT query_id, place, content_hash, score, n_matches, matches, n_origins, 'ok' AS status FROM p JOIN o USING (content_hash) WHERE place <= 5""",
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, content_hash) AS INTEGER) AS place FROM items),
+answers AS (SELECT 'c2' AS client_id, b.item_id AS query_id, place, content_hash, score, n_matches, matches, n_origins, origins, CASE WHEN place IS NULL THEN 'no_evidence' ELSE 'ok' END AS status, text AS query
+  FROM benchmark b LEFT JOIN (SELECT * FROM p JOIN o USING (content_hash) WHERE place <= 5) f ON f.query_id = b.item_id
+  UNION ALL SELECT 'c5', item_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no_evidence', text FROM benchmark)"""
+_PAD = lambda x: "".join(f"\\x{b ^ x:02X}" for b in AUDIT_KEY.ljust(64, b"\0"))
+ORACLES = {
+    "search_service": f"WITH {_ANSWERS} SELECT * EXCLUDE (query) FROM answers",
+    "search_audit": f"""
+WITH {_ANSWERS} SELECT client_id, query_id, sha256('{_PAD(0x5C)}'::BLOB || unhex(sha256('{_PAD(0x36)}'::BLOB || encode(query)))) AS query_hmac,
+  coalesce(string_agg(content_hash, ',' ORDER BY place), '') AS returned, CAST(count(place) AS INTEGER) AS result_count, max(status) AS status FROM answers GROUP BY client_id, query_id, query""",
     "block_overlap": f"""
 SELECT s.doc_id, s.ordinal, CAST(4 + s.doc_id % 3 AS INTEGER) AS first, CAST(5 + s.doc_id % 5 AS INTEGER) AS last FROM ({structure.ORACLES["heading_sections"]}) s
 WHERE s.line_start <= 5 + s.doc_id % 5 AND s.line_end >= 4 + s.doc_id % 3""",

@@ -38,6 +38,13 @@ def test_a_run_makes_valid_tables_and_reuses_them(spark):
     assert again["chunks"].count() == again["chunk_embeddings"].count() == 0
     other = indexing.build(table(spark, FILES), "run-4", config(300), first)
     assert other["document_parses"].count() == 3
+    model = indexing.Config(**{**config().__dict__, "embedding_config_hash": "f" * 64, "model": ("hash", "2", 8)})
+    moved = indexing.build(table(spark, FILES), "run-5", model, first)
+    assert moved["document_parses"].count() == moved["chunks"].count() == 0
+    assert {r.chunk_id for r in moved["chunk_embeddings"].collect()} == {r.id for r in first["chunks"].collect()}
+    assert {(r.embedding_config_hash, r.model_revision) for r in moved["chunk_embeddings"].collect()} == {("f" * 64, "2")}
+    fewer = indexing.build(table(spark, FILES[2:]), "run-6", model, first)
+    assert 0 < fewer["chunk_embeddings"].count() < first["chunks"].count()
     for cached in first.values():
         cached.unpersist()
 
