@@ -21,17 +21,15 @@ def not_blank(text: Column) -> Column:
     return F.coalesce(F.rlike(text, F.lit(rf"[^\p{{IsWhite_Space}}\x1c-\x1f]")), F.lit(False))
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+#: Every trigram of words that stand between blanks, two before each and one behind; a match may begin anywhere but
+#: within a character.
+GRAMS = r"(?![\uDC00-\uDFFF])(?=([ ]{2}[^ ]|[ ][^ ]{2}|[^ ]{3}|[^ ]{2}[ ]|[ ][^ ][ ]))"
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct trigrams of each word, padded with two blanks before and one behind."""
-    grams = F.transform(
-        F.array_distinct(words(text)),
-        lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))),
-    )
-    return F.array_distinct(F.flatten(grams))
+    """Distinct trigrams of each word, padded with two blanks before and one behind; one pass over the text."""
+    apart = F.concat(F.lit("  "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "   "), F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(apart, F.lit(GRAMS), F.lit(1)))
 
 
 def sha_shape(value: Column, digits: int = 64) -> Column:

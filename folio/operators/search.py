@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.auth import with_hmac
-from folio.functions.text import trigrams
+from folio.functions.text import let, trigrams
 
 TOP = 50
 RRF_K, KEYWORD_WEIGHT, VECTOR_WEIGHT = 60, 1.0, 1.0
@@ -63,8 +63,9 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(row_id, n, gram): a row for each distinct trigram of each text, with how many its text has."""
-    grams = rows.select(F.col(key).cast("bigint").alias("row_id"), trigrams(F.coalesce(text, F.lit(""))).alias("grams")).repartition("row_id")
-    return grams.select("row_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    dealt = rows.select(F.col(key).cast("bigint").alias("row_id"), F.coalesce(text, F.lit("")).alias("text")).repartition("row_id")
+    each = let(trigrams(F.col("text")), lambda grams: F.transform(grams, lambda g: F.struct(F.size(grams).alias("n"), g.alias("gram"))))
+    return dealt.select("row_id", F.explode(each).alias("p")).select("row_id", "p.n", "p.gram")
 
 
 def keyword_top(rows: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int = TOP) -> DataFrame:
