@@ -23,7 +23,8 @@ UNCONFIRMED_MARKERS = ("미확정", "불확정", "확정 전")
 DRAFT_MARKERS = ("초안", "제안안", "가설", "진행메모")
 OWNERS = ("docs", "uiux")
 
-VERSION = r"v([0-9]+(?:\.[0-9]+)*)"
+#: Digits of any script, as Python and Java write them.
+VERSION, VERSION_JAVA = r"v(\d+(?:\.\d+)*)", r"v(\p{Nd}+(?:\.\p{Nd}+)*)"
 
 
 @dataclass(slots=True)
@@ -127,8 +128,8 @@ def _valid_date(text: Column) -> Column:
 
 def expressions(path: Column, lines: Column) -> dict[str, Column]:
     stem = _stem(path)
-    stated = F.regexp_extract(F.coalesce(line_value(lines, VERSION_KEY), F.lit("")), f"^{VERSION}\\z", 1)
-    named = F.regexp_extract(stem, rf"(?:^|[-_]){VERSION}(?=\z|[-_])", 1)
+    stated = F.regexp_extract(F.coalesce(line_value(lines, VERSION_KEY), F.lit("")), f"^{VERSION_JAVA}\\z", 1)
+    named = F.regexp_extract(stem, rf"(?:^|[-_]){VERSION_JAVA}(?=\z|[-_])", 1)
     version = F.when(stated != "", stated).when(named != "", named)
     states = [line_value(lines, k).isin(*STATE_VALUES) for k in STATE_KEYS]
     structured = F.lit(False)

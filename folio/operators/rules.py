@@ -5,6 +5,8 @@ A CHECK passes on null, as in SQL; unique keys ignore rows with a null in the ke
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +20,30 @@ CLIENTS, SEARCHES = ("active", "disabled", "revoked"), ("ok", "no_evidence")
 c = F.col
 
 
+def _object(name: str) -> Column:
+    """A column that holds a JSON object as text."""
+    return F.startswith(F.ltrim(c(name)), F.lit("{")) & F.get_json_object(name, "$").isNotNull()
+
+
+def _array(name: str) -> Column:
+    """A column that is an array, or holds one as JSON text."""
+    return F.startswith(F.ltrim(c(name).cast("string")), F.lit("["))
+
+
+def _not_negative(*names: str) -> dict[str, Callable[[], Column]]:
+    return {f"{name}_not_negative": (lambda name=name: c(name) >= 0) for name in names}
+
+
 def _lines() -> Column:
     return (c("line_start") >= 1) & (c("line_end") >= c("line_start"))
 
 
 #: table: {rule: what holds}
 CHECKS = {
-    "source_profiles": {"key_not_blank": lambda: not_blank(c("source_key"))},
-    "index_configs": {"config_hash_shape": lambda: sha_shape(c("config_hash"))},
-    "index_runs": {"commit_shape": lambda: sha_shape(c("commit_sha"), 40), "status": lambda: c("status").isin(*RUNS)},
+    "source_profiles": {"key_not_blank": lambda: not_blank(c("source_key")), "include_is_array": lambda: _array("include_patterns"), "exclude_is_array": lambda: _array("exclude_patterns")},
+    "index_configs": {"config_hash_shape": lambda: sha_shape(c("config_hash"))}
+    | {f"{kind}_config_is_object": (lambda kind=kind: _object(f"{kind}_config")) for kind in ("parser", "chunk", "tokenizer", "embedding", "rrf")},
+    "index_runs": {"commit_shape": lambda: sha_shape(c("commit_sha"), 40), "status": lambda: c("status").isin(*RUNS), "stats_is_object": lambda: _object("stats")},
     "document_contents": {
         "content_hash_shape": lambda: sha_shape(c("content_hash")),
         "size_not_negative": lambda: c("byte_size") >= 0,
@@ -45,16 +62,25 @@ CHECKS = {
         "dimension_positive": lambda: c("dimension") > 0,
         "dimension_matches": lambda: F.size("embedding") == c("dimension"),
         "model_not_blank": lambda: not_blank(c("model_name")),
+        "revision_not_blank": lambda: not_blank(c("model_revision")),
+        "config_hash_shape": lambda: sha_shape(c("embedding_config_hash")),
         "status": lambda: c("status") == "ready",
     },
-    "document_relations": {"relation_type": lambda: c("relation_type").isin(*RELATIONS), "lines": lambda: (c("evidence_line_start") >= 1) & (c("evidence_line_end") >= c("evidence_line_start"))},
-    "api_clients": {"key_length": lambda: F.length("key_id") == 16, "token_length": lambda: F.octet_length("token_hash") == 32, "status": lambda: c("status").isin(*CLIENTS)},
+    "document_relations": {
+        "relation_type": lambda: c("relation_type").isin(*RELATIONS),
+        "evidence_path_not_blank": lambda: not_blank(c("evidence_source_path")),
+        "lines": lambda: (c("evidence_line_start") >= 1) & (c("evidence_line_end") >= c("evidence_line_start")),
+    },
+    "api_clients": {"name_not_blank": lambda: not_blank(c("name")), "key_length": lambda: F.length("key_id") == 16, "token_length": lambda: F.octet_length("token_hash") == 32, "status": lambda: c("status").isin(*CLIENTS)},
     "search_audit_events": {
         "hmac_length": lambda: F.octet_length("query_hmac") == 32,
         "result_count": lambda: c("result_count") >= 0,
         "status": lambda: c("status").isin(*SEARCHES),
-        "times": lambda: F.least("embedding_ms", "keyword_ms", "vector_ms", "rrf_ms", "total_ms") >= 0,
-    },
+        "request_not_blank": lambda: not_blank(c("request_id")),
+        "filters_is_object": lambda: _object("filters"),
+        "commit_shape": lambda: sha_shape(c("commit_sha"), 40),
+    }
+    | _not_negative("embedding_ms", "keyword_ms", "vector_ms", "rrf_ms", "total_ms"),
 }
 UNIQUE = {
     "source_profiles": (("source_key",),), "index_configs": (("config_hash",),), "document_contents": (("content_hash",),),
@@ -63,6 +89,23 @@ UNIQUE = {
     "api_clients": (("key_id",),), "client_source_grants": (("client_id", "source_profile_id"),),
 }
 
+#: What a row's columns name in another table. Two columns keep both ends within one run, parse or source.
+REFERENCES = {
+    "chunk_embeddings": [("chunk_id", "chunks", "id")],
+    "chunks": [("section_id", "sections", "id")],
+    "sections": [("parse_id", "document_parses", "id"), ("parse_id parent_section_id", "sections", "parse_id id")],
+    "document_parses": [("content_id", "document_contents", "id")],
+    "document_occurrences": [("content_id", "document_contents", "id"), ("run_id", "index_runs", "id")],
+    "document_relations": [
+        ("run_id", "index_runs", "id"), ("run_id from_occurrence_id", "document_occurrences", "run_id id"), ("run_id to_occurrence_id", "document_occurrences", "run_id id"),
+        ("run_id evidence_source_path", "document_occurrences", "run_id source_path"),
+    ],
+    "index_runs": [("index_config_id", "index_configs", "id"), ("source_profile_id", "source_profiles", "id")],
+    "source_profiles": [("id active_index_run_id", "index_runs", "source_profile_id id")],
+    "client_source_grants": [("client_id", "api_clients", "id"), ("source_profile_id", "source_profiles", "id")],
+    "search_audit_events": [("client_id", "api_clients", "id"), ("source_profile_id", "source_profiles", "id")],
+}
+
 
 def check_violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(rule, key) of every row for which a rule is false."""
@@ -71,14 +114,28 @@ def check_violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> Dat
 
 
 def table_violations(name: str, rows: DataFrame, key: str = "id") -> DataFrame:
-    """All CHECK violations of one of the stored tables, and the keys that are there more than once."""
-    out = check_violations(rows, key, {rule: holds() for rule, holds in CHECKS.get(name, {}).items()}) if name in CHECKS else None
-    for columns in UNIQUE.get(name, ()):
+    """All CHECK violations of one of the stored tables, and the keys, the primary one included, that are there more than once.
+
+    Rules whose columns the given rows lack are left out.
+    """
+    there = {rule: holds() for rule, holds in CHECKS.get(name, {}).items() if _has(rows, holds())}
+    out = check_violations(rows, key, there) if there else None
+    for columns in ((key,), *(u for u in UNIQUE.get(name, ()) if set(u) <= set(rows.columns))):
         own = unique_violations(rows, columns, "unique_" + "_".join(columns))
         out = own if out is None else out.unionByName(own)
     return out
 
 
+def _has(rows: DataFrame, rule: Column) -> bool:
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows.select(rule)
+    except AnalysisException:
+        return False
+    return True
+
+
 def unique_violations(rows: DataFrame, columns: tuple[str, ...], rule: str) -> DataFrame:
     whole = rows
     for column in columns:
@@ -99,8 +156,6 @@ def database_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, rule, key) of everything in the given tables that breaks a CHECK, a unique key or a reference among them."""
     from functools import reduce
 
-    from folio.sources.schema import REFERENCES
-
     found = []
     for name, rows in tables.items():
         key = "id" if "id" in rows.columns else rows.columns[0]
@@ -108,6 +163,6 @@ def database_violations(tables: dict[str, DataFrame]) -> DataFrame:
         found += [own.select(F.lit(name).alias("table"), "rule", "key")] if own is not None else []
         for columns, target, names in REFERENCES.get(name, ()):
             if target in tables:
-                broken = foreign_violations(rows, key, columns, tables[target], names, f"reference_{'_'.join(columns)}")
+                broken = foreign_violations(rows, key, tuple(columns.split()), tables[target], tuple(names.split()), f"reference_{columns.replace(' ', '_')}")
                 found.append(broken.select(F.lit(name).alias("table"), "rule", "key"))
     return reduce(DataFrame.unionByName, found)

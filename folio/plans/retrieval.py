@@ -144,6 +144,14 @@ def rollback_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.rolled_back(_runs(spark, sf_dir))
 
 
+AUDITS = (
+    "SELECT event_id AS id, CASE WHEN event_id % 101 = 0 THEN ' ' ELSE 'r' || event_id END AS request_id, CASE WHEN event_id % 103 = 0 THEN '[1]' ELSE chr(123) || chr(34) || 'scope' || chr(34) || ':1' || chr(125) END AS filters,"
+    " CASE WHEN event_id % 107 = 0 THEN 'abc' ELSE repeat('a', 40) END AS commit_sha, CAST(event_id % 7 AS INTEGER) - CASE WHEN event_id % 109 = 0 THEN 9 ELSE 0 END AS result_count,"
+    " CASE event_id % 113 WHEN 0 THEN 'failed' WHEN 1 THEN 'no_evidence' ELSE 'ok' END AS status, value * CASE WHEN event_id % 127 = 0 THEN -1 ELSE 1 END AS embedding_ms, value AS keyword_ms,"
+    " CASE WHEN event_id % 131 = 0 THEN NULL ELSE value END AS vector_ms, value AS rrf_ms, value * CASE WHEN event_id % 137 = 0 THEN -1 ELSE 1 END AS total_ms FROM events"
+)
+
+
 def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     content = docs.select(
@@ -151,6 +159,8 @@ def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("content"), (F.octet_length(F.coalesce("text", F.lit(""))) + (F.col("doc_id") % 37 == 0).cast("int")).alias("byte_size"),
     )
     found = rules.table_violations("document_contents", content)
+    events = spark.sql(AUDITS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    found = found.unionByName(rules.table_violations("search_audit_events", events))
     labels = table(spark, sf_dir, "labels")
     return found.unionByName(rules.foreign_violations(docs, "doc_id", ("doc_id",), labels, ("doc_id",), "label"))
 
@@ -305,7 +315,16 @@ SELECT source_key, run_id, CASE WHEN NOT possible THEN status WHEN status = 'act
 WITH c AS (SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN 'XYZ' ELSE sha256(coalesce(text, '')) END AS h FROM documents)
 SELECT 'content_hash_shape' AS rule, CAST(doc_id AS VARCHAR) AS key FROM c WHERE h = 'XYZ' UNION ALL SELECT 'size_matches', CAST(doc_id AS VARCHAR) FROM c WHERE doc_id % 37 = 0
 UNION ALL SELECT 'unique_content_hash', h FROM c GROUP BY h HAVING count(*) > 1
-UNION ALL SELECT 'label', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+UNION ALL SELECT 'label', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT rule, CAST(id AS VARCHAR) FROM ("""
+        + " UNION ALL ".join(
+            f"SELECT id, '{rule}' AS rule FROM ({AUDITS}) WHERE {broken}"
+            for rule, broken in {
+                "request_not_blank": "trim(request_id) = ''", "filters_is_object": "NOT starts_with(filters, '{')", "commit_shape": "NOT regexp_full_match(commit_sha, '[0-9a-f]{40}')",
+                "result_count": "result_count < 0", "status": "status NOT IN ('ok', 'no_evidence')", **{f"{m}_ms_not_negative": f"{m}_ms < 0" for m in ("embedding", "keyword", "vector", "rrf", "total")},
+            }.items()
+        )
+        + ")",
         "provenance_check": f"""
 WITH o AS ({_OCC}), t AS (SELECT source_path AS p, content_hash AS h FROM o), a AS (SELECT CASE WHEN doc_id % 41 = 0 THEN source_path || '.moved' ELSE source_path END AS p, CASE WHEN doc_id % 47 = 0 THEN 'changed' ELSE content_hash END AS h FROM o)
 SELECT coalesce(t.p, a.p) AS source_path, CASE WHEN a.p IS NULL THEN 'missing' WHEN t.p IS NULL THEN 'extra' ELSE 'changed' END AS state FROM t FULL JOIN a ON t.p = a.p WHERE a.p IS NULL OR t.p IS NULL OR a.h <> t.h""",
