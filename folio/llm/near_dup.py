@@ -51,7 +51,7 @@ COMMON_IN_TASK = 3  # documents of a task that hold a shingle before the task re
 NEXT = 16
 BLOCK = 1 << 13  # classes of a common shingle's tile in one block
 PIVOTS = 16
-MEMBERS = 256  # classes of a tile in one block of the second round
+MEMBERS = 128  # classes of a tile in one block of the second round
 RANGE = 1 << 20  # entries of the first round's tiles in one range, about
 BROADCAST = 1 << 20
 FLUSH = 1 << 18  # entries of tiles that a task packs at a time
