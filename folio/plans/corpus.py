@@ -26,6 +26,24 @@ MARKDOWN = (
     " || CASE WHEN doc_id % 3 = 0 THEN '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) WHEN doc_id % 3 = 1 THEN '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10)"
     " ELSE '- one' || chr(10) || '- two' || chr(10) END || chr(10) || '## tail' || chr(10) || 'end' || chr(10)"
 )
+
+
+def part(k: int, all_of: str = "") -> str:
+    """Some letters and digits of a document's own text; ``all_of`` is what an engine needs to replace every match."""
+    return f"('w' || trim(regexp_replace(substr(coalesce(text, ''), {1 + 60 * k}, 60), '[^a-zA-Z0-9À-ɏ ]', ''{all_of})))"
+
+
+def rich(all_of: str = "") -> str:
+    """A document's own text in titles, a paragraph, lists, a quote, a fence and a table."""
+    p = [part(k, all_of) for k in range(8)]
+    parts = [
+        "# ", p[0], "\n", f"'w' || {FLAT}", "\n\n## ", p[1], "\n- ", p[2], "\n- ", p[3], "\n\n> ", p[4], "\n\n### ", p[5], "\n```\n# ", p[6], "\n```\n\n| ", p[7],
+        " | b |\n|---|---|\n| 1 | ", p[0], " |\n\n## ", p[2], "\n1. ", p[3], "\n2. ", p[4], "\n",
+    ]
+    literal = lambda x: " || ".join(" || chr(10) || ".join(f"'{y}'" for y in x.split("\n")).split(" || "))
+    return " || ".join(x if i % 2 else literal(x) for i, x in enumerate(parts))
+
+
 INCLUDE = ["docs/research/**/*.md", "docs/planning/**/*.md", "uiux/**/*.md"]
 EXCLUDE = ["docs/raw/**", "**/src1/**", "**/[s]rc?/versions/**"]
 
@@ -39,3 +57,7 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(MARKDOWN).alias("text"))
+
+
+def rich_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(rich()).alias("text"))

@@ -73,7 +73,7 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run over all documents as Markdown files: every occurrence with its content and what was made of that."""
-    files = corpus.occurrences(spark, sf_dir).select("doc_id", "source_path").join(corpus.markdown_documents(spark, sf_dir), "doc_id")
+    files = corpus.occurrences(spark, sf_dir).select("doc_id", "source_path").join(corpus.rich_documents(spark, sf_dir), "doc_id")
     config = indexing.Config(
         chunking.CharacterTokens(), lambda: vectors.hash_embedder(16), structure.CHUNK_CONFIG, "e" * 64, ("hash", "1", 16), include=corpus.INCLUDE, exclude=corpus.EXCLUDE
     )
@@ -98,6 +98,14 @@ answers AS (SELECT 'c2' AS client_id, b.item_id AS query_id, place, content_hash
   UNION ALL SELECT 'c5', item_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no_evidence', text FROM benchmark)"""
 _PAD = lambda x: "".join(f"\\x{b ^ x:02X}" for b in AUDIT_KEY.ljust(64, b"\0"))
 ORACLES = {
+    "index_build": f"""
+WITH {structure._RICH_CHUNKS}, d AS (SELECT doc_id, count(*) AS n_chunks, sum(length(search_text)) AS n_tokens FROM x GROUP BY 1),
+f AS (SELECT doc_id, {corpus.PATH} AS source_path, sha256({corpus.rich(", 'g'")}) AS h FROM documents),
+e AS (SELECT *, regexp_replace(split_part(source_path, '/', -1), '[.][^.]*$', '') AS stem FROM f WHERE ({structure._ANY(corpus.INCLUDE)}) AND NOT ({structure._ANY(corpus.EXCLUDE)})),
+g AS (SELECT *, regexp_matches(stem, '확정기록|결정서') AND NOT regexp_matches(stem, '미확정|불확정|확정 전') AS confirmed, regexp_matches(stem, '초안|제안안|가설|진행메모') AS draft FROM e)
+SELECT source_path, sha256('content' || chr(31) || h) AS content_id, CASE WHEN list_contains(string_split(source_path, '/'), 'versions') THEN 'historical' ELSE 'current' END AS version_scope,
+  CASE WHEN confirmed = draft THEN 'unknown' WHEN confirmed THEN 'confirmed' ELSE 'draft' END AS decision_state, CAST(4 AS BIGINT) AS n_sections, CAST(n_chunks AS BIGINT) AS n_chunks, CAST(n_tokens AS BIGINT) AS n_tokens
+FROM g JOIN d USING (doc_id)""",
     "search_service": f"WITH {_ANSWERS} SELECT * EXCLUDE (query) FROM answers",
     "search_audit": f"""
 WITH {_ANSWERS} SELECT client_id, query_id, sha256('{_PAD(0x5C)}'::BLOB || unhex(sha256('{_PAD(0x36)}'::BLOB || encode(query)))) AS query_hmac,

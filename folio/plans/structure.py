@@ -122,11 +122,12 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scanner_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.blocks(markdown.sections(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return markdown.blocks(markdown.sections(corpus.rich_documents(spark, sf_dir)))
 
 
 def chunker_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunks(corpus.markdown_documents(spark, sf_dir), chunking.CharacterTokens(), CHUNK_CONFIG)
+    found = chunking.chunks(corpus.rich_documents(spark, sf_dir), chunking.CharacterTokens(), CHUNK_CONFIG)
+    return found.select(*(c for c in found.columns if c != "warnings"), F.size("warnings").alias("n_warnings"))
 
 
 QUERIES = {
@@ -163,7 +164,44 @@ w AS (SELECT doc_id, source, text, n, last, unnest(range(0, last + 1)) AS i FROM
 c AS (SELECT doc_id, source, text, n, CAST(i AS INTEGER) AS ordinal, CAST(i * 336 AS INTEGER) AS start, CAST(CASE WHEN i = last THEN n - i * 336 ELSE 400 END AS INTEGER) AS token_count FROM w)
 """
 _LINE = lambda end: f"CAST(1 + length(substr(text, 1, {end})) - length(replace(substr(text, 1, {end}), chr(10), '')) AS INTEGER)"
+_N = "chr(10)"
+#: The sections of the rich documents (heading, path, body), and the pieces that stand in them.
+_RICH = f"""
+p AS (SELECT doc_id, {", ".join(f"{corpus.part(k, ", 'g'")} AS p{k}" for k in range(8))}, 'w' || {corpus.FLAT} AS flat FROM documents),
+k AS (SELECT *, '- ' || p2 || {_N} AS i1, '- ' || p3 || {_N} AS i2, '> ' || p4 || {_N} AS q, '```' || {_N} || '# ' || p6 || {_N} || '```' || {_N} AS code,
+  '| ' || p7 || ' | b |' || {_N} AS r1, '| 1 | ' || p0 || ' |' || {_N} AS r2, '1. ' || p3 || {_N} AS o1, '2. ' || p4 || {_N} AS o2 FROM p),
+t AS (SELECT *, r1 || '|---|---|' || {_N} || r2 AS tab, i1 || i2 || {_N} AS list FROM k)"""
+#: ordinal, block_id, parent_block_id, depth, kind, raw_text, line_start, line_end of every block.
+_BLOCKS = [
+    (0, 0, "NULL", 0, "paragraph", f"flat || {_N}", 2, 2), (0, 1, "NULL", 0, "blank", _N, 3, 3),
+    (1, 0, "NULL", 0, "bullet_list", "list", 5, 7), (1, 1, 0, 1, "list_item", "i1", 5, 5), (1, 2, 1, 2, "paragraph", "i1", 5, 5), (1, 3, 0, 1, "list_item", f"i2 || {_N}", 6, 7),
+    (1, 4, 3, 2, "paragraph", "i2", 6, 6), (1, 5, "NULL", 0, "blockquote", "q", 8, 8), (1, 6, 5, 1, "paragraph", "q", 8, 8), (1, 7, "NULL", 0, "blank", _N, 9, 9),
+    (2, 0, "NULL", 0, "fenced_code", "code", 11, 13), (2, 1, "NULL", 0, "blank", _N, 14, 14), (2, 2, "NULL", 0, "table", "tab", 15, 17), (2, 3, 2, 1, "table_row", "r1", 15, 15),
+    (2, 4, 2, 1, "table_row", "r2", 17, 17), (2, 5, "NULL", 0, "blank", _N, 18, 18),
+    (3, 0, "NULL", 0, "ordered_list", "o1 || o2", 20, 21), (3, 1, 0, 1, "list_item", "o1", 20, 20), (3, 2, 1, 2, "paragraph", "o1", 20, 20), (3, 3, 0, 1, "list_item", "o2", 21, 21), (3, 4, 3, 2, "paragraph", "o2", 21, 21),
+]
+_RICH_CHUNKS = f"""
+{_RICH}, s AS (
+  SELECT doc_id, 1 AS section_ordinal, 5 AS a, 9 AS b, [p0, p1] AS path, list || q || {_N} AS body FROM t
+  UNION ALL SELECT doc_id, 2, 11, 18, [p0, p1, p5], code || {_N} || tab || {_N} FROM t
+  UNION ALL SELECT doc_id, 3, 20, 21, [p0, p2], o1 || o2 FROM t
+  UNION ALL SELECT doc_id, 0, 2, 3, [p0], flat || {_N} || {_N} FROM t WHERE length(p0) + length(flat) + 3 <= 600
+), n AS (SELECT doc_id, p0, flat || {_N} AS para, length(flat) + 1 AS n, length(p0) + 1 AS own, 336 - length(p0) - 1 AS step FROM t WHERE length(p0) + length(flat) + 3 > 600),
+l AS (SELECT *, CAST(greatest(0, ceil((n - 600 + own) / step::DOUBLE)) AS INTEGER) AS last FROM n), w AS (SELECT *, unnest(range(0, last + 1)) AS i FROM l),
+c AS (
+  SELECT doc_id, section_ordinal, 0 AS ordinal, body AS raw_text, a AS line_start, b AS line_end, path FROM s
+  UNION ALL SELECT doc_id, 0, i, substr(para, i * step + 1, CASE WHEN i = last THEN n ELSE 400 - own END), 2, 2, [p0] FROM w
+), x AS (SELECT doc_id, CAST(section_ordinal AS INTEGER) AS section_ordinal, CAST(ordinal AS INTEGER) AS ordinal, raw_text, CAST(line_start AS INTEGER) AS line_start, CAST(line_end AS INTEGER) AS line_end, path,
+  array_to_string(path, {_N}) || {_N} || raw_text AS search_text FROM c)"""
 ORACLES = {
+    "md_scanner_general": f"""
+WITH {_RICH}, b AS (SELECT doc_id, unnest([{", ".join("struct_pack(" + ", ".join(f"{n} := {v}" for n, v in zip(("ordinal", "block_id", "up", "depth", "kind", "raw_text", "line_start", "line_end"), (*map(str, b[:4]), f"'{b[4]}'", *map(str, b[5:])))) + ")" for b in _BLOCKS)}]) AS b FROM t)
+SELECT doc_id, CAST(b.ordinal AS INTEGER) AS ordinal, CAST(b.block_id AS INTEGER) AS block_id, CAST(b.up AS INTEGER) AS parent_block_id, CAST(b.depth AS INTEGER) AS depth, b.kind AS kind, b.raw_text AS raw_text,
+  CAST(b.line_start AS INTEGER) AS line_start, CAST(b.line_end AS INTEGER) AS line_end FROM b""",
+    "chunker_general": f"""
+WITH {_RICH_CHUNKS} SELECT doc_id, section_ordinal, ordinal, raw_text, search_text, CAST(length(search_text) AS INTEGER) AS token_count, line_start, line_end,
+  sha256(CAST(to_json({{'chunk_config_hash': '{CHUNK_CONFIG}', 'heading_path': path, 'line_end': line_end, 'line_start': line_start, 'parser_version': '{markdown.PARSER_VERSION}', 'raw_text': raw_text, 'search_text': search_text}}) AS VARCHAR)) AS chunk_hash,
+  CAST(0 AS INTEGER) AS n_warnings FROM x""",
     "profile_filter": f"WITH o AS ({_OCC}) SELECT doc_id, source_path, ({_ANY(corpus.INCLUDE)}) AND NOT ({_ANY(corpus.EXCLUDE)}) AS selected FROM o",
     "canonical_path": f"""
 WITH r AS (SELECT page_id, {RAW_PATH} AS raw_path FROM pages), s AS (
