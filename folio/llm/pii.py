@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm.common import documents, lean, python_ready, text_rows
+from folio.llm.common import documents, lean, python_ready, steps, text_rows, utf8
 
 KINDS = ("email", "ip", "card", "phone")
+STEP = 1 << 21
 Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -345,11 +346,18 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[last:]])
 
 
+def _small(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``STEP`` bytes of text, or of one row: texts become Python strings, which take several times that."""
+    for batch in batches:
+        for lo, hi in steps(utf8(batch.column(text))[1], STEP):
+            yield batch.slice(lo, hi - lo)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts and digest of plain spans, all spans and how many of them the transducers added, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, 1):
             counts, digest, listed, added = [[] for _ in KINDS], [], [], []
             for text in batch.column(1).to_pylist():
                 base, spans = spans_of(text or "")
@@ -373,7 +381,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, at):
             texts = batch.column(at).to_pylist()
             new = [redact(t, s) if t and (s := spans_of(t)[1]) else t for t in texts]
             columns = list(batch.columns)

@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 WORDS = 5
-LONG = 1 << 20  # bytes of a long text that are read in one step
+LONG = 1 << 18  # bytes of a long text that are read in one step
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
