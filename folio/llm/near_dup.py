@@ -54,6 +54,7 @@ PIVOTS = 16
 MEMBERS = 128  # classes of a tile in one block of the second round
 RANGE = 1 << 20  # entries of the first round's tiles in one range, about
 BROADCAST = 1 << 20
+PAIRS = 256  # pairs whose signatures or arrays are tested at a time
 FLUSH = 1 << 18  # entries of tiles that a task packs at a time
 SLOTS = 1 << 24  # counters, of a byte each, that tell a task which shingles it may have seen often enough
 
@@ -418,8 +419,10 @@ def _beside(pairs: DataFrame, made: DataFrame) -> DataFrame:
 def _tested(rows: DataFrame, test) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-            fits = [test(*x) for x in zip(*columns)]
+            fits: list[bool] = []
+            for lo in range(0, len(batch), PAIRS):  # bytes are copied for a few pairs at a time
+                part = batch.slice(lo, PAIRS)
+                fits += [test(*x) for x in zip(*(part.column(i).to_pylist() for i in range(2, 6)))]
             yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
     return rows.mapInArrow(lean(run), "a bigint, b bigint")
@@ -548,7 +551,7 @@ def _streamed(work):
             cut = int(Blocks(table).start[-1])
             if cut:
                 yield from work(Blocks(table.slice(0, cut))).to_batches()
-            held = table.slice(cut).to_batches()
+            held = table.take(pa.array(np.arange(cut, len(table)))).to_batches()  # a copy, so that the batch can go
         if held:
             yield from work(Blocks(pa.Table.from_batches(held))).to_batches()
 
