@@ -552,6 +552,7 @@ def _streamed(work):
             if cut:
                 yield from work(Blocks(table.slice(0, cut))).to_batches()
             held = table.take(pa.array(np.arange(cut, len(table)))).to_batches()  # a copy, so that the batch can go
+            del table, batch
         if held:
             yield from work(Blocks(pa.Table.from_batches(held))).to_batches()
 
