@@ -159,7 +159,7 @@ def test_auth(spark):
 def test_rules_and_lifecycle(spark):
     rows = spark.createDataFrame([("1", -1, 1, 1), ("2", 0, 2, 1), ("3", 0, 1, 2), ("3", 7, 1, 2)], "id string, ordinal int, line_start int, line_end int").selectExpr("*", "ordinal AS level", "'p' AS parse_id")
     got = sorted((r.rule, r.key) for r in rules.table_violations("sections", rows).collect())
-    assert got == [("level", "1"), ("level", "3"), ("lines", "2"), ("ordinal", "1"), ("unique_parse_id_ordinal", "p|0")]
+    assert got == [("level", "1"), ("level", "3"), ("lines", "2"), ("ordinal", "1"), ("unique_id", "3"), ("unique_parse_id_ordinal", "p|0")]
     runs = spark.createDataFrame([("s", "1", "previous"), ("s", "2", "active"), ("s", "3", "ready"), ("t", "4", "active")], "source_key string, run_id string, status string")
     ready = spark.createDataFrame([("s", "3"), ("t", "4")], "source_key string, run_id string")
     after = {r.run_id: (r.status, r.prunable) for r in lifecycle.activated(runs, ready).collect()}
