@@ -6,6 +6,7 @@ import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +41,31 @@ def python_ready(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session; one of its own only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or UNSET_FOLDER
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session; one of its own only on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster needs spark.checkpoint.dir: a folder that the driver and all executors share")
+    return named or UNSET_FOLDER
 
 
-#: Paths of written tables by scope; the innermost scope is last.
-_SCOPES: list[list[str]] = []
+#: Paths of written tables by scope, the innermost last. Each thread has its own, so that queries which run side by side in
+#: one session never remove each other's tables.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def own_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nobody else writes to; it is removed with the scope around the call."""
+    at = f"{shared_folder(spark).rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
+    if scopes := _SCOPES.get():
+        scopes[-1].append(at)
+    return at
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a parquet table in the shared folder, read again: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    at = f"{shared_folder(spark).rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(at)
+    at = own_path(df.sparkSession, name)
     df.write.parquet(at)
-    table = spark.read.schema(df.schema).parquet(at)
+    table = df.sparkSession.read.schema(df.schema).parquet(at)
     table._folio_at = at
     return table
 
@@ -63,20 +73,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written within are removed at the end, but for those that were released."""
-    _SCOPES.append([])
+    mine: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), mine))
     try:
         yield
     finally:
-        for at in _SCOPES.pop():
+        _SCOPES.reset(token)
+        for at in mine:
             path = spark._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def released(table: DataFrame) -> DataFrame:
     """``table``, which stays when the scope that wrote it ends: it passes to the scope around it, if there is one."""
-    _SCOPES[-1].remove(table._folio_at)
-    if len(_SCOPES) > 1:
-        _SCOPES[-2].append(table._folio_at)
+    *outer, mine = _SCOPES.get()
+    mine.remove(table._folio_at)
+    if outer:
+        outer[-1].append(table._folio_at)
     return table
 
 
