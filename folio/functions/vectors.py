@@ -35,6 +35,12 @@ def vector_error(vector: Column, dimension: int) -> Column:
     )
 
 
+def comparable(vector: Column) -> Column:
+    """Whether a vector has a direction: it isn't null, all its numbers are finite, and one isn't zero."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def hash_embedder(dimension: int) -> Callable[[list[str]], np.ndarray]:
     """A deterministic embedder for tests and offline runs: signed counts of hashed words, of unit norm.
 

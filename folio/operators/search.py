@@ -1,9 +1,7 @@
-"""Keyword and vector candidates, their fusion, and evidence.
+"""Vector candidates, what a client may search, fusion of ranks, and evidence.
 
-Keyword candidates come from postings: rows and queries meet on their shared trigrams, in plain DataFrame operations.
-Postings are dealt by row, so a row's counts are made where its trigrams lie, and a rank limit before the shuffle lets each
-task send only its best ``k`` of each query. Vectors are scored in arrays, a block of queries at a time, and each task keeps
-its best ``k`` too: what is shuffled is never a row per pair.
+Vectors are scored in arrays, a block of queries at a time, and each task keeps its best ``k`` of each query: what is shuffled
+is never a row per pair. Keyword candidates come from ``keyword_index``.
 """
 
 from __future__ import annotations
@@ -12,109 +10,108 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from folio.functions.auth import with_hmac
-from folio.functions.text import let, trigrams
+from folio.functions.vectors import comparable
+from folio.operators import relations
 
 TOP = 50
 RRF_K, KEYWORD_WEIGHT, VECTOR_WEIGHT = 60, 1.0, 1.0
 RESULTS, MOST_RESULTS = 5, 20
 BLOCK_QUERIES = 4_096  # query vectors that a task holds at a time
 SCORES = 1 << 20  # scores that a task holds at a time
-BROADCAST = 1 << 20  # trigrams of all queries up to which they are broadcast; beyond, the join shuffles
+MOST_CONFLICTS = 20  # the other sides of conflicts that an item of an answer lists
 
 
 class _Best:
-    """The best ``k`` rows of each query so far, ties by id."""
+    """The best ``k`` rows of each query so far, ties by id, in arrays over all queries."""
 
     def __init__(self, queries: int, k: int):
-        self.k, self.score, self.id = k, [np.zeros(0)] * queries, [np.zeros(0, np.int64)] * queries
-
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        for q in range(len(self.score)):
-            own = scores[:, q]
-            if len(self.id[q]) >= self.k:
-                keep = own >= self.score[q][-1]
-            else:
-                keep = np.ones(len(own), bool)
-            if not keep.any():
-                continue
-            s, i = np.append(self.score[q], own[keep]), np.append(self.id[q], ids[keep])
-            order = np.lexsort((i, -s))[: self.k]
-            self.score[q], self.id[q] = s[order], i[order]
-
-    def batch(self, keys: list) -> pa.RecordBatch:
-        n = [len(x) for x in self.id]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.array(keys, np.int64), n)), pa.array(np.concatenate([*self.id, np.zeros(0, np.int64)])), pa.array(np.concatenate([*self.score, np.zeros(0)]))],
-            ["query_id", "row_id", "score"],
-        )
-
-
-_SCORES = "query_id bigint, row_id bigint, score double"
-
-
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(row_id, n, gram): a row for each distinct trigram of each text, with how many its text has."""
-    dealt = rows.select(F.col(key).cast("bigint").alias("row_id"), F.coalesce(text, F.lit("")).alias("text")).repartition("row_id")
-    each = let(trigrams(F.col("text")), lambda grams: F.transform(grams, lambda g: F.struct(F.size(grams).alias("n"), g.alias("gram"))))
-    return dealt.select("row_id", F.explode(each).alias("p")).select("row_id", "p.n", "p.gram")
-
-
-def keyword_top(rows: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int = TOP) -> DataFrame:
-    """(query_id, row_id, score, rank): trigram similarity of every row with every query, the best ``k`` of each.
-
-    ``key`` tells rows apart. Queries of which fewer than ``k`` rows share a trigram are filled up with the first others,
-    at score 0; ties go to the lower id.
-    """
-    asked = queries.select(F.col(query_key).cast("bigint").alias("query_id"), trigrams(F.coalesce(query_text, F.lit(""))).alias("grams"))
-    wanted = asked.select("query_id", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    shared = postings(rows, key, text).join(wanted, "gram").groupBy("row_id", "query_id", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
-    found = _ranked(shared.select("query_id", "row_id", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("score")), k)
-    first = [r[0] for r in rows.select(F.col(key).cast("bigint").alias("row_id")).orderBy("row_id").limit(k).collect()]
-    fill = asked.select("query_id", F.explode(F.array(*(F.lit(i).cast("bigint") for i in first)).cast("array<bigint>")).alias("row_id"), F.lit(0.0).alias("score"))
-    few = found.drop("rank").unionByName(fill).groupBy("query_id", "row_id").agg(F.max("score").alias("score"))
-    return _ranked(few, k)
-
-
-def vector_top(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = TOP) -> DataFrame:
-    """(query_id, row_id, score, rank): exact cosine of every row with every query, the best ``k`` of each.
-
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.query, self.id, self.score = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        self.more: list[tuple[np.ndarray, ...]] = []
+        self.held, self.limit = 0, max(SCORES, 2 * queries * k)
+
+    def add(self, ids: np.ndarray, queries: np.ndarray, scores: np.ndarray) -> None:
+        """``scores``: of each row with each of ``queries``."""
+        row, at = np.nonzero(scores >= self.least[queries])
+        self.more.append((queries[at], ids[row], scores[row, at]))
+        self.held += len(row)
+        if self.held > self.limit:
+            self.cut()
+
+    def cut(self) -> None:
+        query, own, score = (np.concatenate([x, *more]) for x, more in zip((self.query, self.id, self.score), zip(*self.more))) if self.more else (self.query, self.id, self.score)
+        order = np.lexsort((own, -score, query))
+        query, own, score = query[order], own[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        self.least[query[place == self.k - 1]] = score[place == self.k - 1]
+        keep = place < self.k
+        self.query, self.id, self.score, self.more = query[keep], own[keep], score[keep], []
+        self.held = len(self.query)
+
+    def batch(self) -> pa.RecordBatch:
+        self.cut()
+        return pa.RecordBatch.from_arrays([pa.array(self.query), pa.array(self.id), pa.array(self.score)], ["at", "row_id", "score"])
+
+
+def vector_top(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = TOP, allowed: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, query_id, row_id, score, rank): exact cosine of every row with every query, the best ``k`` of each.
+
+    With ``allowed`` (the columns of ``by``, strings, and row_id) a query is scored with the rows that are allowed to it only.
+    A query meets the rows of its own dimension. Vectors that are null, empty or zero, or that hold what isn't a finite
+    number, have no direction: such rows and queries are left out; others need no unit norm. No queries give no rows.
     Queries are asked in blocks of about ``BLOCK_QUERIES``, a scan of the rows for each block.
     """
-    asked = queries.select(F.col(query_key).cast("bigint").alias("query_id"), F.col(query_vector).alias("vector"))
+    asked = queries.where(comparable(F.col(query_vector))).select(*by, F.col(query_key).cast("bigint").alias("query_id"), F.col(query_vector).alias("vector"))
+    own = rows.where(comparable(F.col(vector))).select(F.col(key).cast("bigint").alias("row_id"), F.col(vector).alias("vector"))
+    if allowed is not None:
+        own = own.join(allowed.select(*by, F.col("row_id").cast("bigint")).distinct(), "row_id")
+    own = own.select("row_id", "vector", *by)
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     out = None
     for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else asked
-        found = _vector_block(rows, key, vector, sorted((r[0], r[1]) for r in own.collect()), k)  # a block of vectors
+        some = asked.where(F.pmod(F.xxhash64(*by, "query_id"), F.lit(blocks)) == block) if blocks > 1 else asked
+        found = _vector_block(own, sorted(tuple(r) for r in some.collect()), asked.schema[: len(by) + 1], k, len(by))  # a block of vectors
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _vector_block(rows: DataFrame, key: str, vector: str, stated: list[tuple], k: int) -> DataFrame:
-    wanted = np.array([v for _, v in stated], float).reshape(len(stated), -1)
-    wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
-    keys = [i for i, _ in stated]
+def _vector_block(rows: DataFrame, stated: list[tuple], keys, k: int, by: int) -> DataFrame:
+    #: The queries of each group and dimension: where they stand, and their directions.
+    groups: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    for group in {(*q[:by], len(q[-1])) for q in stated}:
+        at = np.array([i for i, q in enumerate(stated) if (*q[:by], len(q[-1])) == group])
+        wanted = np.array([stated[i][-1] for i in at], float)
+        groups[group] = at, (wanted / np.linalg.norm(wanted, axis=1, keepdims=True)).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, step = _Best(len(keys), k), max(1, SCORES // max(1, len(keys)))
+        best = _Best(len(stated), k)
         for batch in batches:
-            for lo in range(0, len(batch), step):
-                part = batch.slice(lo, step)
-                own = np.asarray(part.column(1).flatten()).astype(float).reshape(len(part), -1)
-                best.add(np.asarray(part.column(0)), (own @ wanted.T) / np.linalg.norm(own, axis=1, keepdims=True))
-        yield best.batch(keys)
-
-    return _ranked(rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint"), vector).mapInArrow(run, _SCORES), k)
+            ids, vectors = np.asarray(batch.column(0)), batch.column(1)
+            sizes = np.asarray(pc.list_value_length(vectors))
+            own = list(zip(*(c.to_pylist() for c in batch.columns[2:]), sizes.tolist()))
+            for group in set(own):
+                if group not in groups:
+                    continue
+                (at, wanted), mine = groups[group], np.array([i for i, g in enumerate(own) if g == group])
+                step = max(1, SCORES // len(at))
+                for lo in range(0, len(mine), step):
+                    part = mine[lo : lo + step]
+                    held = np.asarray(vectors.take(pa.array(part)).flatten()).astype(float).reshape(len(part), -1)
+                    best.add(ids[part], at, (held @ wanted) / np.linalg.norm(held, axis=1, keepdims=True))
+        yield best.batch()
+
+    spark = rows.sparkSession
+    named = spark.createDataFrame([(i, *q[:-1]) for i, q in enumerate(stated)], StructType([StructField("at", LongType()), *keys]))
+    found = rows.mapInArrow(run, "at bigint, row_id bigint, score double")
+    order = Window.partitionBy("at").orderBy(F.desc("score"), "row_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.join(F.broadcast(named), "at").drop("at").select(*(f.name for f in keys), "row_id", "score", "rank")
 
 
 def check_descriptor(active: tuple[str, str, int], query: tuple[str, str, int]) -> None:
@@ -123,52 +120,81 @@ def check_descriptor(active: tuple[str, str, int], query: tuple[str, str, int])
         raise ValueError("the query's embedder isn't the active run's")
 
 
-def authorised(chunks: DataFrame, occurrences: DataFrame, profiles: DataFrame, grants: DataFrame, clients: DataFrame, client: str, now: str, scope: str = "current", prefixes: tuple[str, ...] = (), states: tuple[str, ...] = ()) -> DataFrame:
-    """The chunks that a client may search, decided before anything is scored.
+def active_descriptors(profiles: DataFrame, runs: DataFrame, configs: DataFrame) -> list[tuple[str, str, int]]:
+    """The embedders (model, revision, dimension) of the active runs of ``profiles``: each of its kind once.
 
-    A client that is disabled, revoked or expired sees as much as one that doesn't exist. ``scope`` ``all`` filters none.
+    ``profiles``: active_run_id; ``runs``: run_id and index_config_id; ``configs``: id and embedding_config as JSON.
     """
-    active = clients.where((F.col("client_id") == client) & (F.col("status") == "active") & (F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp"))))
-    granted = grants.join(active, "client_id", "left_semi").select("source_key")
-    runs = profiles.where(F.col("active_run_id").isNotNull()).join(granted, "source_key", "left_semi").select(F.col("active_run_id").alias("run_id"))
-    wanted = occurrences.join(runs, "run_id", "left_semi")
-    if scope != "all":
-        wanted = wanted.where(F.col("version_scope") == scope)
-    if states:
-        wanted = wanted.where(F.col("decision_state").isin(*states))
-    if prefixes:
-        fits = F.lit(False)
-        for p in prefixes:
-            fits = fits | F.startswith(F.col("source_path"), F.lit(p))
-        wanted = wanted.where(fits)
-    return chunks.join(wanted, "content_id", "left_semi")
-
-
-def fused(keyword: DataFrame, vector: DataFrame, k: int = RRF_K, keyword_weight: float = KEYWORD_WEIGHT, vector_weight: float = VECTOR_WEIGHT) -> DataFrame:
+    active = runs.join(profiles.select(F.col("active_run_id").alias("run_id")), "run_id", "left_semi").select(F.col("index_config_id").alias("id"))
+    own = configs.join(active, "id", "left_semi").select(F.from_json("embedding_config", "model string, revision string, dimension int").alias("e"))
+    return [tuple(r) for r in own.select("e.*").distinct().collect()]  # a row for each embedder in use
+
+
+def permitted(chunks: DataFrame, occurrences: DataFrame, profiles: DataFrame, grants: DataFrame, clients: DataFrame, requests: DataFrame, now: str) -> DataFrame:
+    """(client_id and the columns of ``chunks``): what each client of ``requests`` may search, decided before anything is scored.
+
+    ``requests``: client_id, scope (``all`` filters none), prefixes and states (empty arrays filter none). A client that is
+    disabled, revoked or expired sees as much as one that doesn't exist. All clients are decided in one plan.
+    """
+    fit = (F.col("status") == "active") & (F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp")))
+    asking = requests.join(clients.where(fit), "client_id", "left_semi")
+    sources = grants.select("client_id", "source_key").distinct().join(asking, "client_id")
+    runs = profiles.where(F.col("active_run_id").isNotNull()).join(sources, "source_key").select("client_id", "scope", "prefixes", "states", F.col("active_run_id").alias("run_id"))
+    wanted = occurrences.join(runs.distinct(), "run_id").where(
+        ((F.col("scope") == "all") | (F.col("version_scope") == F.col("scope")))
+        & ((F.size("states") == 0) | F.array_contains("states", F.col("decision_state")))
+        & ((F.size("prefixes") == 0) | F.exists("prefixes", lambda p: F.startswith(F.col("source_path"), p)))
+    )
+    return chunks.join(wanted.select("client_id", "content_id").distinct(), "content_id").select("client_id", *(c for c in chunks.columns))
+
+
+REQUESTS = "client_id string, scope string, prefixes array<string>, states array<string>"
+
+
+def fused(keyword: DataFrame, vector: DataFrame, k: int = RRF_K, keyword_weight: float = KEYWORD_WEIGHT, vector_weight: float = VECTOR_WEIGHT, by: tuple[str, ...] = ()) -> DataFrame:
     """Reciprocal rank fusion per query; a side that lacks a row adds nothing."""
     part = lambda rank, weight: F.coalesce(F.lit(weight) / (F.lit(k) + F.col(rank)), F.lit(0.0))
-    return (
-        keyword.select("query_id", "row_id", F.col("rank").alias("kw_rank"))
-        .join(vector.select("query_id", "row_id", F.col("rank").alias("vec_rank")), ["query_id", "row_id"], "full_outer")
-        .withColumn("rrf", part("kw_rank", keyword_weight) + part("vec_rank", vector_weight))
+    keys = [*by, "query_id", "row_id"]
+    both = keyword.select(*keys, F.col("rank").alias("kw_rank")).join(vector.select(*keys, F.col("rank").alias("vec_rank")), keys, "full_outer")
+    return both.withColumn("rrf", part("kw_rank", keyword_weight) + part("vec_rank", vector_weight))
+
+
+def closure(found: DataFrame, places: DataFrame, edges: DataFrame) -> DataFrame:
+    """(client_id, content_hash, n_conflicts, conflicts): the other sides of potential conflicts of what was found.
+
+    One hop over ``edges`` in both directions, from each place (client_id, source_path, content_hash) of a found
+    (client_id, content_hash) to another that the same client may see. ``conflicts`` lists the first ``MOST_CONFLICTS`` as
+    ``path:first-last``, the lines of the evidence; ``n_conflicts`` counts all.
+    """
+    own = places.join(found.select("client_id", "content_hash").distinct(), ["client_id", "content_hash"], "left_semi")
+    sides = relations.exposed(edges).select(
+        F.col("from_source_path").alias("source_path"), F.col("to_source_path").alias("other"), F.col("evidence_line_start").alias("first"), F.col("evidence_line_end").alias("last")
     )
+    seen = places.select("client_id", F.col("source_path").alias("other")).distinct()
+    hop = own.join(sides, "source_path").join(seen, ["client_id", "other"], "left_semi").select("client_id", "content_hash", "other", "first", "last").distinct()
+    keys = ["client_id", "content_hash"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("other", "first", "last"))
+    counts = hop.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_conflicts"))
+    listed = hop.withColumn("place", place).where(F.col("place") <= MOST_CONFLICTS).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "other", "first", "last"))).alias("all"))
+    said = F.array_join(F.transform("all", lambda x: F.concat(x["other"], F.lit(":"), x["first"].cast("string"), F.lit("-"), x["last"].cast("string"))), ",")
+    return counts.join(listed, keys).select(*keys, "n_conflicts", said.alias("conflicts"))
 
 
-def evidence(matches: DataFrame, parent: str, limit: int = RESULTS) -> DataFrame:
+def evidence(matches: DataFrame, parent: str, limit: int = RESULTS, by: tuple[str, ...] = ()) -> DataFrame:
     """Matches (query_id, ``parent``, row_id, rrf) grouped by parent: the best score, every match in order, the first ``limit``."""
     if not 1 <= limit <= MOST_RESULTS:
         raise ValueError("a search returns 1 to 20 results")
-    items = matches.groupBy("query_id", parent).agg(
+    items = matches.groupBy(*by, "query_id", parent).agg(
         F.max("rrf").alias("score"), F.count(F.lit(1)).alias("n_matches"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("rrf")).alias("o"), "row_id"))), lambda m: m["row_id"].cast("string")), ",").alias("matches"),
     )  # at most TOP matches of either side, so no group is large
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), parent)
+    order = Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), parent)
     return items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
-def served(found: DataFrame, asked: DataFrame) -> DataFrame:
+def served(found: DataFrame, asked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Evidence of every request of ``asked`` (query_id and more): one without any is a row with status ``no_evidence``."""
-    return asked.join(found, "query_id", "left").withColumn("status", F.when(F.col("place").isNull(), "no_evidence").otherwise("ok"))
+    return asked.join(found, [*by, "query_id"], "left").withColumn("status", F.when(F.col("place").isNull(), "no_evidence").otherwise("ok"))
 
 
 def audited(answers: DataFrame, key: bytes, requests: tuple[str, ...], text: str, returned: str) -> DataFrame:

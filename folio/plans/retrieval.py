@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import vectors
 from folio.functions.identity import content_hash_column
-from folio.operators import evaluation, lifecycle, metadata, relations, rules, search
+from folio.operators import evaluation, keyword_index, lifecycle, metadata, relations, rules, search
 from folio.plans import corpus
-from folio.session import table
+from folio.session import shared_folder, table
+from folio.sources.commits import Conflict, Files, Log, Snapshot
 
 DIMENSION = 64
 
@@ -28,15 +31,31 @@ def vector_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.coalesce(error, F.lit("ok")).alias("state"), F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """The keyword index over the documents: made by the session's first search, and brought up to date when files changed."""
+    docs = table(spark, sf_dir, "documents")
+    log = Log(spark, f"{shared_folder(spark)}/folio-keywords-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode(), usedforsecurity=False).hexdigest()[:16]}")
+    files, mark = Files(spark), {"files": []}
+    for path in sorted(docs.inputFiles()):
+        mark["files"].append([path, *files.size_and_time(path)])
+    now = log.latest()
+    if now.version and now.note.get("files") == mark["files"]:
+        return now
+    try:
+        return keyword_index.refresh(log, docs, "doc_id", "text", mark)
+    except Conflict:  # another search of the session was first
+        return log.latest()
+
+
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.keyword_top(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = keyword_index.top(stored_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "text")
     return found.select("query_id", F.col("row_id").alias("doc_id"), F.round("score", 6).alias("similarity"), "rank")
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, items, rows = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
+    items, rows = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
     queries = items.join(rows, F.col("item_id") == F.col("vec_id")).select("item_id", "embedding")
-    keyword = search.keyword_top(documents, "doc_id", "text", items, "item_id", "text")
+    keyword = keyword_index.top(stored_index(spark, sf_dir), items, "item_id", "text")
     return search.fused(keyword, search.vector_top(rows, "vec_id", "embedding", queries, "item_id", "embedding"))
 
 
@@ -52,6 +71,10 @@ def evidence_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.evidence(matches, "parent_id", 20).select("query_id", "parent_id", "score", "n_matches", "matches", "place")
 
 
+#: client, version scope, prefixes of paths, decision states
+REQUESTED = [("c1", "current", ["docs/research/"], []), ("c2", "all", [], ["confirmed", "unknown"]), ("c3", "all", [], []), ("c5", "all", [], [])]
+
+
 def authorized_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of three clients may search: sources are granted by the client's key, runs follow documents' ids."""
     occurrences = corpus.occurrences(spark, sf_dir)
@@ -68,13 +91,9 @@ def authorized_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "client_id", F.when(F.col("c_custkey") % 5 == 0, "disabled").otherwise("active").alias("status"),
         F.when(F.col("c_custkey") % 3 == 0, F.lit("2020-01-01").cast("timestamp")).alias("expires_at"),
     )
-    grants = people.join(sources, F.pmod(F.col("c_custkey"), F.lit(4)) == number % 4).select("client_id", F.col("source").alias("source_key"))
-    chunks = occurrences.select("doc_id", "content_id")
-    out = None
-    for client, scope, prefixes, states in (("c1", "current", ("docs/research/",), ()), ("c2", "all", (), ("confirmed", "unknown")), ("c3", "all", (), ()), ("c5", "all", (), ())):
-        own = search.authorised(chunks, occurrences, profiles, grants, clients, client, "2024-01-01", scope, prefixes, states).select(F.lit(client).alias("client_id"), "doc_id")
-        out = own if out is None else out.unionByName(own)
-    return out
+    requests = spark.createDataFrame(REQUESTED, search.REQUESTS)
+    grants = people.join(F.broadcast(requests), "client_id", "left_semi").join(sources, F.pmod(F.col("c_custkey"), F.lit(4)) == number % 4).select("client_id", F.col("source").alias("source_key"))
+    return search.permitted(occurrences.select("doc_id", "content_id"), occurrences, profiles, grants, clients, requests, "2024-01-01").select("client_id", "doc_id")
 
 
 def duplicate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +108,13 @@ RELATION = (
 )
 
 
+def document_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(RELATION.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+
+
 def _relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    own = spark.sql(RELATION.replace("FROM documents", "FROM {documents}"), documents=docs)
+    own = document_relations(spark, sf_dir)
     lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+"))
     return own, docs.select(F.concat(F.lit("d/"), "doc_id").alias("source_path"), lines.alias("n_lines"))
 

@@ -7,41 +7,57 @@ from pyspark.sql import functions as F
 
 from folio.functions.identity import content_hash_column
 from folio.functions import vectors
-from folio.operators import chunking, indexing, markdown, search
+from folio.operators import chunking, indexing, keyword_index, markdown, search
 from folio.plans import corpus, retrieval, structure
-from folio.session import table
+from folio.session import stored, table
 
 CLIENTS = ("c2", "c5")  # one that may see something, one that is disabled
-DESCRIPTOR = ("driver-table", "1", retrieval.DIMENSION)
+EMBEDDER = ("driver-table", "1", retrieval.DIMENSION)  # of the vectors that queries have
 AUDIT_KEY = b"folio-audit"
+BY = ("client_id",)
+
+
+def _guarded(spark: SparkSession, rows: DataFrame) -> None:
+    """Refuses to search if the active run's vectors aren't of the queries' embedder."""
+    made = rows.where("embedding IS NOT NULL").select(F.size("embedding").alias("dimension")).distinct()
+    config = F.to_json(F.struct(F.lit(EMBEDDER[0]).alias("model"), F.lit(EMBEDDER[1]).alias("revision"), "dimension"))
+    configs = made.select(F.col("dimension").alias("id"), config.alias("embedding_config"))
+    runs = made.select(F.col("dimension").alias("run_id"), F.col("dimension").alias("index_config_id"))
+    for active in search.active_descriptors(made.select(F.col("dimension").alias("active_run_id")), runs, configs):
+        search.check_descriptor(active, EMBEDDER)
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each client gets for every benchmark item: nothing that it may not see is scored, equal contents are one item."""
-    search.check_descriptor(DESCRIPTOR, ("driver-table", "1", retrieval.DIMENSION))
+    """What each client gets for every benchmark item: nothing that it may not see is scored, equal contents are one item.
+
+    All clients are searched in one plan: who may see what is decided once and stored, and each row is scored once for those
+    who may see it.
+    """
     rows, items = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
-    queries = items.join(rows, F.col("item_id") == F.col("vec_id")).select("item_id", "embedding")
-    candidates, places = retrieval.authorized_candidates(spark, sf_dir), corpus.occurrences(spark, sf_dir)
-    out = None
-    for client in CLIENTS:
-        seen = candidates.where(F.col("client_id") == client).select("doc_id").distinct()
-        documents = places.join(seen, "doc_id", "left_semi").withColumn("content_hash", content_hash_column(F.coalesce("text", F.lit(""))))
-        own = rows.join(documents.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-        fused = search.fused(
-            search.keyword_top(documents, "doc_id", "text", items, "item_id", "text"), search.vector_top(own, "vec_id", "embedding", queries, "item_id", "embedding")
-        )
-        matches = fused.join(documents.select(F.col("doc_id").alias("row_id"), "content_hash"), "row_id").select("query_id", "content_hash", "row_id", F.round("rrf", 9).alias("rrf"))
-        found = search.evidence(matches, "content_hash", search.RESULTS)
-        shown = documents.join(found.select("content_hash").distinct(), "content_hash", "left_semi")
-        origins = shown.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n_origins"), F.array_join(F.sort_array(F.collect_list("source_path")), ",").alias("origins"))
-        asked = items.select(F.col("item_id").alias("query_id"), F.lit(client).alias("client_id"), F.col("text").alias("query"))
-        answer = search.served(found.join(origins, "content_hash"), asked)
-        out = answer if out is None else out.unionByName(answer)
-    return out
+    _guarded(spark, rows)
+    asked = items.select("item_id", "text", F.explode(F.array(*map(F.lit, CLIENTS))).alias("client_id"))
+    seen = stored(retrieval.authorized_candidates(spark, sf_dir).where(F.col("client_id").isin(*CLIENTS)).select("client_id", F.col("doc_id").alias("row_id")), "seen")
+    lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+"))
+    contents = corpus.occurrences(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "source_path", content_hash_column(F.coalesce("text", F.lit(""))).alias("content_hash"), lines.alias("n_lines"))
+    places = stored(contents.join(seen, "row_id"), "places")  # a row for each document that a client may see
+    queries = asked.join(rows, F.col("item_id") == F.col("vec_id")).select("client_id", "item_id", "embedding")
+    fused = search.fused(
+        keyword_index.top(retrieval.stored_index(spark, sf_dir), asked, "item_id", "text", search.TOP, seen, BY),
+        search.vector_top(rows, "vec_id", "embedding", queries, "item_id", "embedding", search.TOP, seen, BY), by=BY,
+    )
+    matches = fused.join(places.select("client_id", "row_id", "content_hash"), ["client_id", "row_id"]).select("client_id", "query_id", "content_hash", "row_id", F.round("rrf", 9).alias("rrf"))
+    found = stored(search.evidence(matches, "content_hash", search.RESULTS, BY), "found")
+    origins = places.join(found.select("client_id", "content_hash").distinct(), ["client_id", "content_hash"], "left_semi").groupBy("client_id", "content_hash").agg(
+        F.count(F.lit(1)).alias("n_origins"), F.min("source_path").alias("first_origin"), F.max("n_lines").alias("n_lines")
+    )
+    named = places.select("client_id", F.concat(F.lit("d/"), "row_id").alias("source_path"), "content_hash")
+    conflicts = search.closure(found, named, retrieval.document_relations(spark, sf_dir))
+    whole = found.join(origins, ["client_id", "content_hash"]).join(conflicts, ["client_id", "content_hash"], "left").withColumn("n_conflicts", F.coalesce("n_conflicts", F.lit(0)))
+    return search.served(whole, asked.select("client_id", F.col("item_id").alias("query_id"), F.col("text").alias("query")), BY)
 
 
 def search_service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir).select("client_id", "query_id", "place", "content_hash", "score", "n_matches", "matches", "n_origins", "origins", "status")
+    return _answers(spark, sf_dir).select("client_id", "query_id", "place", "content_hash", "score", "n_matches", "matches", "n_origins", "first_origin", "n_lines", "n_conflicts", "conflicts", "status")
 
 
 def search_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +74,8 @@ def block_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The postings of every trigram that keyword search reads, summed up: in how many documents it stands, and the first
-    and last of them."""
-    rows = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """The stored postings of every trigram, summed up: in how many documents it stands, and the first and last of them."""
+    rows = keyword_index.live(retrieval.stored_index(spark, sf_dir))
     return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"), F.min("row_id").alias("first_doc"), F.max("row_id").alias("last_doc"))
 
 
@@ -89,13 +104,18 @@ QUERIES = {"index_build": index_build, "search_service": search_service, "search
 _SEEN = "seen AS (SELECT DISTINCT doc_id FROM ({auth}) WHERE client_id = 'c2'), sd AS (SELECT d.* FROM documents d SEMI JOIN seen USING (doc_id)), se AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM sd))"
 _ANSWERS = f"""
 {_SEEN.format(auth=retrieval.ORACLES["authorized_candidates"])}, {retrieval._RRF.replace("FROM q, embeddings", "FROM q, se").replace("AS g FROM documents", "AS g FROM sd")},
-c AS (SELECT doc_id, {corpus.PATH} AS source_path, sha256(coalesce(text, '')) AS content_hash FROM sd),
-o AS (SELECT content_hash, count(*) AS n_origins, string_agg(source_path, ',' ORDER BY source_path) AS origins FROM c GROUP BY 1),
+c AS (SELECT doc_id, {corpus.PATH} AS source_path, sha256(coalesce(text, '')) AS content_hash, {retrieval._COUNT_LINES} AS n_lines FROM sd),
+o AS (SELECT content_hash, count(*) AS n_origins, min(source_path) AS first_origin, CAST(max(n_lines) AS INTEGER) AS n_lines FROM c GROUP BY 1),
+rel AS ({retrieval.RELATION}), side AS (SELECT from_source_path AS here, to_source_path AS other, evidence_line_start AS a, evidence_line_end AS b FROM rel WHERE relation_type = 'potential_conflict'
+  UNION ALL SELECT to_source_path, from_source_path, evidence_line_start, evidence_line_end FROM rel WHERE relation_type = 'potential_conflict'),
+hop AS (SELECT DISTINCT c.content_hash, other, a, b FROM c JOIN side ON here = 'd/' || c.doc_id WHERE other IN (SELECT 'd/' || doc_id FROM c)),
+conf AS (SELECT content_hash, count(*) AS n_conflicts, string_agg(other || ':' || a || '-' || b, ',' ORDER BY other, a, b) FILTER (WHERE k <= {search.MOST_CONFLICTS}) AS conflicts
+  FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY other, a, b) AS k FROM hop) GROUP BY 1),
 items AS (SELECT query_id, content_hash, max(rrf) AS score, count(*) AS n_matches, string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY rrf DESC, row_id) AS matches FROM rr JOIN c ON c.doc_id = rr.row_id GROUP BY 1, 2),
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, content_hash) AS INTEGER) AS place FROM items),
-answers AS (SELECT 'c2' AS client_id, b.item_id AS query_id, place, content_hash, score, n_matches, matches, n_origins, origins, CASE WHEN place IS NULL THEN 'no_evidence' ELSE 'ok' END AS status, text AS query
-  FROM benchmark b LEFT JOIN (SELECT * FROM p JOIN o USING (content_hash) WHERE place <= 5) f ON f.query_id = b.item_id
-  UNION ALL SELECT 'c5', item_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no_evidence', text FROM benchmark)"""
+answers AS (SELECT 'c2' AS client_id, b.item_id AS query_id, place, content_hash, score, n_matches, matches, n_origins, first_origin, n_lines, n_conflicts, conflicts, CASE WHEN place IS NULL THEN 'no_evidence' ELSE 'ok' END AS status, text AS query
+  FROM benchmark b LEFT JOIN (SELECT p.*, n_origins, first_origin, n_lines, coalesce(n_conflicts, 0) AS n_conflicts, conflicts FROM p JOIN o USING (content_hash) LEFT JOIN conf USING (content_hash) WHERE place <= 5) f ON f.query_id = b.item_id
+  UNION ALL SELECT 'c5', item_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no_evidence', text FROM benchmark)"""
 _PAD = lambda x: "".join(f"\\x{b ^ x:02X}" for b in AUDIT_KEY.ljust(64, b"\0"))
 ORACLES = {
     "index_build": f"""

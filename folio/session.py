@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def repo_root() -> str:
     return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+#: Where tables are written in sessions on one machine that name no shared folder, as in tests.
+UNSET_FOLDER = "/tmp/folio-checkpoints"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; one of its own only on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster needs spark.checkpoint.dir: a folder that the driver and all executors share")
+    return (named or UNSET_FOLDER).rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: it is made once, and lost executors don't lose it."""
+    at = f"{shared_folder(df.sparkSession)}/folio-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
