@@ -18,6 +18,7 @@ from folio.functions import vectors
 from folio.functions.paths import selected, strictly_canonical
 from folio.functions.text import physical_lines
 from folio.operators import chunking, markdown, metadata, rules
+from folio.session import stored as stored_table
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,8 @@ def build(files: DataFrame, run_id: str, config: Config, stored: dict[str, DataF
     """Tables by name. ``files``: source_path and content (binary); ``stored``: document_parses, sections, chunks and
     chunk_embeddings so far.
 
-    Rows of sections, chunks and embeddings are the new ones; occurrences are all of the run.
+    Rows of sections, chunks and embeddings are the new ones; occurrences are all of the run, one for each file: a path that
+    stands twice breaks a rule and fails the run. Documents are parsed once, into a table in the shared folder.
     """
     stored = stored or {}
     chosen = files.where(selected(F.col("source_path"), config.include, config.exclude))
@@ -50,7 +52,7 @@ def build(files: DataFrame, run_id: str, config: Config, stored: dict[str, DataF
         F.col("content_id").alias("id"), "content_hash", "content", F.octet_length("content").cast("bigint").alias("byte_size")
     )
     heads = keyed.select("source_path", "content_id", F.slice(physical_lines(F.coalesce("content", F.lit(""))), 1, metadata.TOP_LINES).alias("first_lines"))
-    occurrences = metadata.extracted(heads).join(heads.select("source_path", "content_id"), "source_path").select(
+    occurrences = metadata.extracted(heads, "content_id").select(
         digest("occurrence", run_id, F.col("source_path")).alias("id"), F.lit(run_id).alias("run_id"), "content_id", "source_path",
         "version_scope", "document_date", "document_version", "decision_state", "owner_domain",
     )
@@ -61,13 +63,13 @@ def build(files: DataFrame, run_id: str, config: Config, stored: dict[str, DataF
     parses = parses.select(digest("parse", F.col("content_id"), F.col("parser_version"), F.col("chunk_config_hash")).alias("id"), "content_id", "parser_version", "chunk_config_hash")
     texts = parses.join(contents.select(F.col("id").alias("content_id"), "content"), "content_id").select(F.col("id").alias("parse_id"), "content")
     section_id = lambda ordinal: digest("section", F.col("parse_id"), F.col(ordinal))
-    sections = markdown.sections(texts, "content", "parse_id").select(
+    parsed = stored_table(chunking.chunked_sections(texts, config.counter, config.chunk_config_hash, config.limits, "content", key="parse_id"), "parsed")
+    sections = parsed.select(
         section_id("ordinal").alias("id"), "parse_id", F.when(F.col("parent_ordinal").isNotNull(), section_id("parent_ordinal")).alias("parent_section_id"),
         "ordinal", "level", "heading", "heading_path", "body", "line_start", "line_end",
     )
-    made = chunking.chunks(texts, config.counter, config.chunk_config_hash, config.limits, "content", key="parse_id")
-    chunks = made.withColumn("section_id", section_id("section_ordinal")).select(
-        digest("chunk", F.col("section_id"), F.col("ordinal")).alias("id"), "section_id", "ordinal", "raw_text", "search_text", "token_count", "line_start", "line_end", "chunk_hash"
+    chunks = parsed.select(section_id("ordinal").alias("section_id"), F.explode("chunks").alias("c")).select(
+        digest("chunk", F.col("section_id"), F.col("c.ordinal")).alias("id"), "section_id", "c.ordinal", "c.raw_text", "c.search_text", "c.token_count", "c.line_start", "c.line_end", "c.chunk_hash"
     )
     wanted = chunks.select("id", "search_text")
     if "sections" in stored and "chunks" in stored:  # chunks of this run's parses that were made before

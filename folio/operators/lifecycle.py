@@ -6,6 +6,8 @@ Until then readers see the old one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,32 @@ def rolled_back(runs: DataFrame) -> DataFrame:
 def pruned(occurrences: DataFrame, runs: DataFrame) -> DataFrame:
     """The occurrences of runs that are active, previous or under way."""
     return occurrences.join(runs.where("status IN ('active', 'previous', 'building', 'ready')"), "run_id", "left_semi")
+
+
+#: What keeps a row of each table: the table above it, the row's column, and the column there that must hold its value.
+KEPT_BY = {
+    "document_contents": ("document_occurrences", "id", "content_id"), "document_parses": ("document_contents", "content_id", "id"), "sections": ("document_parses", "parse_id", "id"),
+    "chunks": ("sections", "section_id", "id"), "chunk_embeddings": ("chunks", "chunk_id", "id"),
+}
+
+
+def reachable(tables: dict[str, DataFrame], runs: DataFrame) -> dict[str, DataFrame]:
+    """What stays of each table: marked from the runs that are kept through occurrences, contents, parses, sections and
+    chunks to embeddings. Contents that several runs share stay as long as one of them does; relations go with their run.
+
+    Keys are made distinct before they are shuffled, so a content that most occurrences share isn't a hot key.
+    """
+    kept = {"document_occurrences": pruned(tables["document_occurrences"], runs)}
+    for name, (above, column, names) in KEPT_BY.items():
+        if name in tables and above in kept:
+            marks = kept[above].select(F.col(names).alias(column)).distinct()
+            kept[name] = tables[name].join(marks, column, "left_semi").select(*tables[name].columns)
+    if "document_relations" in tables:
+        kept["document_relations"] = pruned(tables["document_relations"], runs)
+    return kept
+
+
+def swept(tables: dict[str, DataFrame], kept: dict[str, DataFrame]) -> DataFrame:
+    """(table, id) of every row that no kept run reaches."""
+    gone = [tables[name].select("id").join(rows.select("id"), "id", "left_anti").select(F.lit(name).alias("table"), F.col("id").cast("string").alias("id")) for name, rows in kept.items()]
+    return reduce(DataFrame.unionByName, gone)

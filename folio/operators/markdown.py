@@ -412,24 +412,36 @@ _BLOCK_TYPE = pa.list_(pa.struct([("block_id", pa.int32()), ("parent_block_id",
 _BLOCK_NAMES = [f.name for f in _BLOCK_TYPE.value_type]
 
 
+BATCH_CHARACTERS = 1 << 21
+
+
+def in_batches(rows: Iterator[tuple[int, tuple]], kinds: tuple, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of rows that come with their lengths in characters: as many rows as hold about two million."""
+    held, length = [], 0
+    make = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+    for n, row in rows:
+        held.append(row)
+        length += n
+        if length >= BATCH_CHARACTERS or len(held) >= 10_000:
+            yield make()
+            held, length = [], 0
+    if held:
+        yield make()
+
+
 def sections(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each section of each document (with its key); a null or blank text has none."""
+    names = [key, *(f.split()[0] for f in SECTIONS.rsplit(", blocks ", 1)[0].split(", ")), "blocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = parse(source or "")
-                if not found:
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([own] * len(found), batch.column(0).type), pa.array([s.ordinal for s in found], pa.int32()), pa.array([s.parent for s in found], pa.int32()),
-                        pa.array([s.level for s in found], pa.int32()), pa.array([s.heading for s in found], pa.string()), pa.array([s.path for s in found], pa.list_(pa.string())),
-                        pa.array([s.body for s in found], pa.string()), pa.array([s.line_start for s in found], pa.int32()), pa.array([s.line_end for s in found], pa.int32()),
-                        pa.array([[dict(zip(_BLOCK_NAMES, b)) for b in s.blocks] for s in found], _BLOCK_TYPE),
-                    ],
-                    [key, "ordinal", "parent_ordinal", "level", "heading", "heading_path", "body", "line_start", "line_end", "blocks"],
-                )
+            rows = (
+                (4 * len(s.body), (own, s.ordinal, s.parent, s.level, s.heading, s.path, s.body, s.line_start, s.line_end, [dict(zip(_BLOCK_NAMES, b)) for b in s.blocks]))
+                for own, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for s in parse(source or "")
+            )
+            kinds = (batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), _BLOCK_TYPE)
+            yield from in_batches(rows, kinds, names)
 
     return documents.select(key, text).mapInArrow(run, f"{key} {documents.schema[key].dataType.simpleString()}, {SECTIONS}")
 
@@ -437,3 +449,37 @@ def sections(documents: DataFrame, text: str = "text", key: str = "doc_id") -> D
 def blocks(sectioned: DataFrame) -> DataFrame:
     """A row for each block of each section."""
     return sectioned.select("doc_id", "ordinal", F.explode("blocks").alias("b")).select("doc_id", "ordinal", "b.*")
+
+
+def reparse_faults(sectioned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, ordinal, fault): stored sections whose body, read again by itself, isn't what is stored.
+
+    ``body``: the blocks at the top don't cover the body, piece by piece; ``lines``: the section's lines aren't as many as
+    the body has, or its blocks don't follow each other's lines; ``tree``: the body parses to other blocks (kinds, parents,
+    depths, texts and lines). A section is named with its first fault. A null body with blocks, or without, is ``body``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own, ordinal, body, start, end, level, held in zip(*(c.to_pylist() for c in batch.columns)):
+                fault = _fault(body, start, end, level, [tuple(b[n] for n in _BLOCK_NAMES) for b in held or []])
+                if fault:
+                    out.append((0, (own, ordinal, fault)))
+            yield from in_batches(iter(out), (batch.column(0).type, pa.int32(), pa.string()), [key, "ordinal", "fault"])
+
+    kind = sectioned.schema[key].dataType.simpleString()
+    return sectioned.select(key, "ordinal", "body", "line_start", "line_end", "level", "blocks").mapInArrow(run, f"{key} {kind}, ordinal int, fault string")
+
+
+def _fault(body: str | None, start: int, end: int, level: int, rows: list[tuple]) -> str | None:
+    top = [r for r in rows if r[1] is None]
+    if body is None or "".join(r[4] for r in top) != body:
+        return "body"
+    lines = physical_lines(body)
+    first = end - len(lines) + 1  # a heading's own lines come before
+    if start > first or (level == 0 and start != first) or [r[5] for r in top] != [first, *(r[6] + 1 for r in top[:-1])][: len(top)] or (top and top[-1][6] != end):
+        return "lines"
+    again = _rows(scan([Line(i, x.rstrip("\r\n")) for i, x in enumerate(lines)])[0], lines, 0, len(lines))
+    moved = [(*r[:5], r[5] + first - 1, r[6] + first - 1) for r in again]
+    return None if moved == rows else "tree"

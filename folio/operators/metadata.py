@@ -10,6 +10,7 @@ from datetime import date
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folio.operators import markdown
 
@@ -85,24 +86,26 @@ def extract(path: str, lines: list[str]) -> tuple[date | None, str | None, str,
     return written, named[1] if named else None, "historical" if "versions" in segments else "current", state, segments[0]
 
 
-def extracted(occurrences: DataFrame) -> DataFrame:
-    """Metadata of rows (source_path, first_lines); a path without an owner gives nulls and ``error``."""
-    kinds = (pa.string(), pa.date32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string())
-    names = ["source_path", "document_date", "document_version", "version_scope", "decision_state", "owner_domain", "error"]
+def extracted(occurrences: DataFrame, *more: str) -> DataFrame:
+    """Metadata of rows (source_path, first_lines), with the columns ``more``; a path without an owner gives nulls and ``error``."""
+    kinds = (pa.date32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string())
+    names = ["document_date", "document_version", "version_scope", "decision_state", "owner_domain", "error"]
+    kept = occurrences.select("source_path", *more).schema
+    names = [*kept.names, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    rows.append((path, *extract(path or "", lines or []), None))
+                    rows.append((*extract(path or "", lines or []), None))
                 except ValueError:
-                    rows.append((path, None, None, None, None, None, "owner"))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], names)
+                    rows.append((None, None, None, None, None, "owner"))
+            made = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *made], names)
 
-    return occurrences.select("source_path", "first_lines").mapInArrow(
-        run, "source_path string, document_date date, document_version string, version_scope string, decision_state string, owner_domain string, error string"
-    )
+    plain = "document_date date, document_version string, version_scope string, decision_state string, owner_domain string, error string"
+    return occurrences.select("source_path", "first_lines", *more).mapInArrow(run, StructType([*kept.fields, *StructType.fromDDL(plain).fields]))
 
 
 # --- the same rules as expressions, for first lines that are plain paragraphs ---

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.plans import retrieval, service, structure
+from folio.plans import retrieval, service, stored, structure
 
-QUERIES = {**structure.QUERIES, **retrieval.QUERIES, **service.QUERIES}
-ORACLES = {**structure.ORACLES, **retrieval.ORACLES, **service.ORACLES}
+QUERIES = {**structure.QUERIES, **retrieval.QUERIES, **service.QUERIES, **stored.QUERIES}
+ORACLES = {**structure.ORACLES, **retrieval.ORACLES, **service.ORACLES, **stored.ORACLES}

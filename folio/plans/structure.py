@@ -61,7 +61,7 @@ def metadata_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metadata_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.occurrences(spark, sf_dir)
-    return metadata.extracted(rows).join(rows.select("doc_id", "source_path"), "source_path").select(
+    return metadata.extracted(rows, "doc_id").select(
         "doc_id", F.col("document_date").cast("string").alias("document_date"), "document_version", "version_scope", "decision_state", "owner_domain"
     )
 

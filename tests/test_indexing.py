@@ -55,6 +55,13 @@ def test_one_bad_document_fails_the_run(spark):
     assert state == "failed" and {r.rule for r in found.collect()} >= {"utf8"}
 
 
+def test_a_path_that_stands_twice_is_two_occurrences_and_fails(spark):
+    twice = indexing.build(table(spark, [("docs/a.md", "# A\n"), ("docs/a.md", "# B\n"), ("docs/b.md", "# B\n")]), "run", config())
+    assert twice["document_occurrences"].count() == 3
+    state, found = indexing.status(twice)
+    assert state == "failed" and "unique_run_id_source_path" in {r.rule for r in found.collect()}
+
+
 def test_references_across_tables(spark):
     parses = spark.createDataFrame([("p1",), ("p2",)], "id string").selectExpr("id", "'c' AS content_id", "'v' AS parser_version", f"'{'a' * 64}' AS chunk_config_hash")
     sections = spark.createDataFrame([("s1", "p1", None), ("s2", "p2", "s1"), ("s3", "p3", None)], "id string, parse_id string, parent_section_id string").selectExpr(
@@ -78,3 +85,22 @@ def test_precedence_and_evidence(spark):
     got = [(r.p, r.score, r.n_matches, r.matches) for r in search.evidence(matches, "p").orderBy("place").collect()]
     assert got == [(7, 1.0, 5, "0,1,2,3,4"), (8, 0.9, 1, "9")]
     assert search.evidence(matches.limit(0), "p").select(F.col("p")).count() == 0
+
+
+def test_table_functions_equal_the_operators(spark):
+    from folio.operators import functions, markdown
+
+    docs = spark.createDataFrame([(str(i), f"# A {i}\n" + "w " * 700 + "\n\n## B\n- x\n- y\n") for i in range(7)] + [("n", None), ("e", " ")], "name string, text string")
+    docs.createOrReplaceTempView("folio_test_docs")
+    functions.register(spark, chunking.CharacterTokens(), "c")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for partition in ("", " PARTITION BY name"):
+        found = spark.sql(f"SELECT * FROM folio_chunks(TABLE(SELECT name, text FROM folio_test_docs){partition})")
+        want = chunking.chunks(docs, chunking.CharacterTokens(), "c", key="name")
+        assert found.schema == want.schema and rows(found) == rows(want)
+    found = spark.sql("SELECT name, ordinal, heading, n_blocks FROM folio_sections(TABLE(SELECT name, text FROM folio_test_docs)) WHERE level = 2")
+    assert rows(found) == rows(markdown.sections(docs, key="name").where("level = 2").select("name", "ordinal", "heading", F.size("blocks").alias("n_blocks")))
+    import pytest
+
+    with pytest.raises(Exception, match="a key and a text"):
+        spark.sql("SELECT * FROM folio_chunks(TABLE(SELECT name FROM folio_test_docs))").collect()
