@@ -1,8 +1,12 @@
 """Files of a Git commit as a table: ``spark.read.format("git_snapshot")`` after ``register(spark)``.
 
-A commit's archive is read as a stream with bounds on members and bytes, every header is validated, and every file's bytes
-must hash to the object id that the commit's tree names. Members that the profile excludes are validated as well; byte
-bounds count the included ones only. One partition reads one repository.
+By default the commit's tree is listed once, its entries are validated and bounded by the sizes that the tree gives, and the
+selected files are dealt into partitions of about ``PART_BYTES``; each partition asks Git for its objects in one batch, every
+object once, whatever number of paths it has. Excluded paths, and paths that a filter on ``source_path`` rules out, are never
+read. Every file's bytes must hash to the object id that the tree names.
+
+With the option ``mode`` set to ``archive`` the commit's archive is read as a stream instead, one partition a repository: every
+member is validated, those that the profile excludes as well; byte bounds count the included ones only.
 """
 
 from __future__ import annotations
@@ -10,11 +14,11 @@ from __future__ import annotations
 import hashlib
 import re
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
 from folio.functions.paths import canonical, compiled
 
@@ -147,21 +151,92 @@ def selects(include: list[str], exclude: list[str]):
     return lambda path: any(p.match(f"/{path}") for p in yes) and not any(p.match(f"/{path}") for p in no)
 
 
-def snapshot(repo: str, commit: str, include: list[str], exclude: list[str], limits: Limits = Limits()) -> list[tuple[str, bytes]]:
-    """The selected files of a commit in order of their paths."""
+@dataclass(frozen=True)
+class Entry:
+    path: str
+    oid: str
+    size: int
+
+
+def entries(repo: str, commit: str) -> list[Entry]:
+    """The files of a commit's tree in order of their paths; anything but files at canonical paths is an error."""
     if not re.fullmatch(r"[0-9a-f]{40}", commit):
         raise SnapshotError("a commit is given by 40 hexadecimal digits")
     if _git(repo, "status", "--porcelain=v1").strip():
         raise SnapshotError("the worktree isn't clean")
     if _git(repo, "rev-parse", "--verify", f"{commit}^{{commit}}").decode().strip() != commit:
         raise SnapshotError("there is no such commit")
-    tree = {}
-    for record in _git(repo, "ls-tree", "-r", "-z", commit).split(b"\0")[:-1]:
+    out = []
+    for record in _git(repo, "ls-tree", "-r", "-l", "-z", commit).split(b"\0")[:-1]:
         head, _, path = record.partition(b"\t")
-        mode, _, oid = head.decode().split(" ")
+        mode, _, oid, size = head.decode().split()
         if mode not in ("100644", "100755"):
             raise SnapshotError("the tree holds a link or a submodule")
-        tree[path.decode("utf-8", "strict")] = oid
+        out.append(Entry(path.decode("utf-8", "strict"), oid, int(size)))
+    return sorted(out, key=lambda e: e.path)
+
+
+def chosen(repo: str, commit: str, wanted: Callable[[str], bool], limits: Limits = Limits()) -> list[Entry]:
+    """The entries to read, within the limits; the paths of all entries are validated."""
+    every = entries(repo, commit)
+    if len(every) > limits.members:
+        raise SnapshotError("the tree has too many files")
+    for e in every:
+        try:
+            if canonical(e.path) != e.path:
+                raise ValueError
+        except ValueError:
+            raise SnapshotError("a file's path isn't canonical") from None
+    own = [e for e in every if wanted(e.path)]
+    if any(e.size > limits.file_bytes for e in own):
+        raise SnapshotError("a file is too large")
+    if sum(e.size for e in own) > limits.total_bytes:
+        raise SnapshotError("the files are too large")
+    return own
+
+
+def dealt(files: list[Entry], part_bytes: int) -> list[list[Entry]]:
+    """The files in parts of about so many bytes to read; all paths of an object are in one part, in order of the first."""
+    objects: dict[str, list[Entry]] = {}
+    for e in files:
+        objects.setdefault(e.oid, []).append(e)
+    parts, held = [[]], 0
+    for own in objects.values():
+        if parts[-1] and held + own[0].size > part_bytes:
+            parts.append([])
+            held = 0
+        parts[-1] += own
+        held += own[0].size
+    return parts
+
+
+def blobs(repo: str, files: list[Entry]) -> Iterator[tuple[str, bytes]]:
+    """(path, content) of entries whose objects follow each other; each object is asked for once, in one process."""
+    child = subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+    try:
+        last = None
+        for e in files:
+            if e.oid != last:
+                child.stdin.write(f"{e.oid}\n".encode())
+                child.stdin.flush()
+                if child.stdout.readline() != f"{e.oid} blob {e.size}\n".encode():
+                    raise SnapshotError("an object isn't what the tree names")
+                content = _Bounded(child.stdout, e.size + 1).exactly(e.size + 1)[:-1]
+                make = hashlib.sha1 if len(e.oid) == 40 else hashlib.sha256
+                if make(b"blob %d\0" % e.size + content).hexdigest() != e.oid:
+                    raise SnapshotError("a file's bytes aren't those of the commit")
+                last = e.oid
+            yield e.path, content
+    finally:
+        child.kill()
+        child.stdin.close()
+        child.stdout.close()
+        child.wait()
+
+
+def snapshot(repo: str, commit: str, include: list[str], exclude: list[str], limits: Limits = Limits()) -> list[tuple[str, bytes]]:
+    """The selected files of a commit in order of their paths, read from its archive."""
+    tree = {e.path: e.oid for e in entries(repo, commit)}
     wanted, out, found, total = selects(include, exclude), [], set(), 0
     child = subprocess.Popen(["git", "-C", repo, "archive", "--format=tar", commit], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, stdin=subprocess.DEVNULL)
     try:
@@ -191,9 +266,13 @@ def snapshot(repo: str, commit: str, include: list[str], exclude: list[str], lim
     return sorted(out)
 
 
+PART_BYTES = 16 << 20
+
+
 @dataclass
-class _Repository(InputPartition):
-    path: str
+class _Part(InputPartition):
+    repo: str
+    files: list[Entry] | None  # none: the archive
 
 
 class _Reader(DataSourceReader):
@@ -202,17 +281,43 @@ class _Reader(DataSourceReader):
         self.commit = options["commit"]
         self.include = [p for p in options.get("include", "**").split(",") if p]
         self.exclude = [p for p in options.get("exclude", "").split(",") if p]
+        self.archive = options.get("mode", "blobs") == "archive"
+        self.part_bytes = int(options.get("partBytes", PART_BYTES))
+        self.tests: list[Callable[[str], bool]] = []
+
+    def _wanted(self) -> Callable[[str], bool]:
+        selected = selects(self.include, self.exclude)
+        return lambda path: selected(path) and all(test(path) for test in self.tests)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Repository(p) for p in self.paths]
+        if self.archive:
+            return [_Part(p, None) for p in self.paths]
+        return [_Part(p, files) for p in self.paths for files in dealt(chosen(p, self.commit, self._wanted()), self.part_bytes)]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        files = snapshot(partition.repo, self.commit, self.include, self.exclude) if partition.files is None else blobs(partition.repo, partition.files)
+        for path, content in files:
+            if all(test(path) for test in self.tests):
+                yield self.commit, path, content
+
+
+class _FilteringReader(_Reader):
+    """Spark refuses readers with this method unless ``spark.sql.python.filterPushdown.enabled`` is set."""
 
-    def read(self, partition: _Repository) -> Iterator[tuple]:
-        for path, content in snapshot(partition.path, self.commit, self.include, self.exclude):
-            yield self.commit, path, content
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters on source_path are taken; Spark gets back the others."""
+        for f in filters:
+            if getattr(f, "attribute", None) != ("source_path",) or not isinstance(f, (EqualTo, In, StringStartsWith)):
+                yield f
+            elif isinstance(f, StringStartsWith):
+                self.tests.append(lambda path, start=f.value: path.startswith(start))
+            else:
+                self.tests.append(lambda path, among=frozenset(f.value if isinstance(f, In) else [f.value]): path in among)
 
 
 class GitSnapshotSource(DataSource):
-    """Options: path (repositories, comma-separated), commit, include and exclude (patterns, comma-separated)."""
+    """Options: path (repositories, comma-separated), commit, include and exclude (patterns, comma-separated), mode (``blobs``
+    or ``archive``), partBytes, pushFilters (``true`` where the session allows Python sources to take filters)."""
 
     @classmethod
     def name(cls) -> str:
@@ -222,7 +327,7 @@ class GitSnapshotSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return (_FilteringReader if self.options.get("pushFilters") == "true" else _Reader)(self.options)
 
 
 def register(spark: SparkSession) -> None:

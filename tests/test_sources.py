@@ -35,6 +35,57 @@ def test_snapshot(spark, repo):
     assert [(r.commit_sha, r.source_path, bytes(r.content)) for r in rows] == [(commit, p, files[p]) for p in sorted(files) if p.endswith(".md") and "raw" not in p]
 
 
+def load(spark, root, commit, **options):
+    return spark.read.format("git_snapshot").options(commit=commit, **options).load(root)
+
+
+def test_parts_equal_the_archive(spark, repo):
+    """Any number of partitions gives the files that the archive gives; a content of two paths is one object."""
+    root, commit, files = repo
+    git_snapshot.register(spark)
+    rows = lambda df: sorted((r.source_path, bytes(r.content)) for r in df.collect())
+    want = rows(load(spark, root, commit, mode="archive"))
+    assert want == sorted(files.items())
+    for size, parts in (("1", 5), ("600", 2), ("1000000", 1)):
+        df = load(spark, root, commit, partBytes=size)
+        assert df.rdd.getNumPartitions() == parts and rows(df) == want
+    same = git_snapshot.dealt([git_snapshot.Entry(p, o, 9) for p, o in (("a", "1"), ("b", "2"), ("c", "1"))], 9)
+    assert [[e.path for e in part] for part in same] == [["a", "c"], ["b"]]
+
+
+def test_excluded_paths_are_never_read(spark, repo, monkeypatch):
+    root, commit, files = repo
+    asked = []
+    monkeypatch.setattr(git_snapshot, "blobs", lambda repo, part: asked.extend(e.path for e in part) or iter(()))
+    reader = git_snapshot._FilteringReader({"path": root, "commit": commit, "include": "docs/**", "exclude": "docs/raw/**", "partBytes": "1"})
+    left = list(reader.pushFilters([git_snapshot.StringStartsWith(("source_path",), "docs/n"), git_snapshot.EqualTo(("commit_sha",), commit)]))
+    assert [type(f).__name__ for f in left] == ["EqualTo"]
+    for part in reader.partitions():
+        list(reader.read(part))
+    assert asked == ["docs/n/b.md"]
+
+
+def test_filters_reach_the_source(spark, repo):
+    root, commit, files = repo
+    git_snapshot.register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = load(spark, root, commit, partBytes="1", pushFilters="true")
+        assert [r.source_path for r in df.where("source_path = 'bin'").collect()] == ["bin"]
+        assert df.where("source_path LIKE 'docs/%'").count() == 4 and df.where("source_path IN ('bin', 'docs/a.md', 'no')").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+@pytest.mark.parametrize("limits", [{"members": 2}, {"file_bytes": 3}, {"total_bytes": 8}])
+def test_limits_of_the_tree(repo, limits):
+    with pytest.raises(git_snapshot.SnapshotError):
+        git_snapshot.chosen(repo[0], repo[1], lambda path: True, git_snapshot.Limits(**limits))
+    bad = git_snapshot.Entry("bin", "0" * 40, 600)
+    with pytest.raises(git_snapshot.SnapshotError):
+        list(git_snapshot.blobs(repo[0], [bad]))
+
+
 @pytest.mark.parametrize("limits", [{"members": 2}, {"file_bytes": 3}, {"total_bytes": 8}, {"archive_bytes": 2000}, {"pax_bytes": 10}])
 def test_limits(repo, limits):
     with pytest.raises(git_snapshot.SnapshotError):
