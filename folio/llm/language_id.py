@@ -5,11 +5,13 @@ document frequencies feed a multinomial logistic regression, trained by follow-t
 elastic-net penalty, so most weights are zero; the others are kept and applied as sparse rows. A temperature, fitted on
 labelled texts that trained no weight, calibrates the probabilities.
 
-Bounds: the regression learns from about ``SAMPLE`` labelled texts of each language (fewer where there are so many
-languages that these would be over ``SAMPLE_ALL``, but ``SAMPLE_LEAST``), chosen by a hash of their ids. Their whole texts
-are read where they lie; the shares of a text's buckets are what reaches the driver. Every language is learnt. Document
-frequencies are counted over all texts that may be learnt from. Every whole text is judged; n-grams are read in steps, so
-memory grows neither with texts nor with the number of languages times characters.
+Bounds: the regression learns from about ``SAMPLE`` labelled texts of each language, fewer where there are so many languages
+that these would be over ``SAMPLE_ALL``, or where texts are so long that their bags (the shares of a text's buckets, which is
+what reaches the driver) are over ``BAG_BYTES`` together. They are chosen by a hash of their ids, and of each language at
+least the one with the least hash; their whole texts are read where they lie. Where there are so many languages that the weights would be over
+``WEIGHTS``, n-grams are hashed to fewer buckets, so that one bag of each language is within the bound too. Every language is
+learnt. Document frequencies are counted over all texts that may be learnt from. Every whole text is judged; n-grams are read
+in steps, so memory grows neither with texts nor with the number of languages times characters.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without any labelled text all are; ties
 between languages go to the first by name; repeated rows are judged each, alike; very long texts are read in steps; an
@@ -27,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.byte_bpe import LETTER, classes
-from folio.llm.common import crc_mod, documents, lean, python_ready, steps, text_rows, utf8
+from folio.llm.common import crc_mod, documents, lean, python_ready, scratch, steps, text_rows, utf8, written
 
-SAMPLE, SAMPLE_ALL, SAMPLE_LEAST = 1_500, 12_000, 30
+SAMPLE, SAMPLE_ALL = 1_500, 12_000
+BAG_BYTES = 64 << 20  # of all texts that are learnt from; six bytes for each bucket of a text
+WEIGHTS = 1 << 23  # buckets times languages
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
+LEAST_BUCKETS = 1 << 12
 FOLDS, HELD_OUT, TUNING = 4, 2, 3
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.002, 2
 GAIN = 10.0  # the features' scale
@@ -112,21 +117,22 @@ def usable(docs: DataFrame) -> DataFrame:
     ).withColumn("fold", crc_mod(F.col("doc_id"), FOLDS).cast("int")).where(F.col("fold") != HELD_OUT)
 
 
-def frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
+def frequencies(rows: DataFrame, buckets: int = BUCKETS) -> tuple[int, np.ndarray]:
     """How many texts there are, and how many of them have an n-gram in each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = 0, np.zeros(BUCKETS, np.int64)
+        total, seen = 0, np.zeros(buckets, np.int64)
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             total += len(batch)
             long: tuple[int, np.ndarray] | None = None  # a long text comes in several steps
             for lo, hi, _, bucket, text in read(data, offsets):
+                bucket = bucket & (buckets - 1)
                 if long is not None and long[0] != lo:
                     seen += long[1]
                     long = None
                 if hi - lo == 1:
-                    mark = long[1] if long is not None else np.zeros(BUCKETS, bool)
+                    mark = long[1] if long is not None else np.zeros(buckets, bool)
                     mark[bucket] = True
                     long = (lo, mark)
                     continue
@@ -134,7 +140,7 @@ def frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
                 bucket, text = bucket[order], text[order]
                 for a in range(0, hi - lo, TEXTS):
                     x, y = np.searchsorted(text, [a, a + TEXTS])
-                    mark = np.zeros((TEXTS, BUCKETS), bool)
+                    mark = np.zeros((TEXTS, buckets), bool)
                     mark[text[x:y] - a, bucket[x:y]] = True
                     seen += mark.sum(axis=0)
             if long is not None:
@@ -143,7 +149,7 @@ def frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some)), pa.array(np.append(total, seen[some]))], ["bucket", "n"])
 
     counted = rows.select("text").mapInArrow(lean(run), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    seen, total = np.zeros(BUCKETS, np.int64), 0
+    seen, total = np.zeros(buckets, np.int64), 0
     for bucket, n in counted.collect():  # a row for each bucket at most
         if bucket < 0:
             total = n
@@ -152,31 +158,31 @@ def frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
     return total, seen
 
 
-BAG = "lang string, fold int, bucket binary, share binary"
+BAG = "lang string, fold int, own bigint, first boolean, bucket binary, share binary"
 
 
-def bags(rows: DataFrame) -> DataFrame:
-    """For each text, its language, fold, buckets and their shares."""
+def bags(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """For each text, its language, fold and hash, its buckets and their shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
+            data, offsets = utf8(batch.column(4))
             out, cuts = [], offsets.tolist()
             for a, b in zip(cuts, cuts[1:]):
-                n = np.zeros(BUCKETS, np.int64)
+                n = np.zeros(buckets, np.int64)
                 for _, _, _, bucket, _ in read(data[a:b], np.array([0, b - a])):
-                    n += np.bincount(bucket, minlength=BUCKETS)
+                    n += np.bincount(bucket & (buckets - 1), minlength=buckets)
                 some = np.flatnonzero(n)
                 out.append((some.astype("<u2").tobytes(), (n[some] / max(1, n.sum())).astype("<f4").tobytes()))
             x, y = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["lang", "fold", "bucket", "share"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["lang", "fold", "own", "first", "bucket", "share"])
 
-    return rows.select("lang", "fold", "text").mapInArrow(lean(run), BAG)
+    return rows.select("lang", "fold", "own", "first", "text").mapInArrow(lean(run), BAG)
 
 
-def follow_leader(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int) -> np.ndarray:
+def follow_leader(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, buckets: int = BUCKETS) -> np.ndarray:
     """Weights (bucket, class) by FTRL-proximal with L1 and L2 penalties."""
-    z, n = np.zeros((BUCKETS, k), np.float32), np.zeros((BUCKETS, k), np.float32)
+    z, n = np.zeros((buckets, k), np.float32), np.zeros((buckets, k), np.float32)
 
     def weights(at) -> np.ndarray:
         zz = z[at]
@@ -195,7 +201,9 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: i
             before = n[bucket]
             z[bucket] += g - (np.sqrt(before + g * g) - np.sqrt(before)) / ALPHA * w
             n[bucket] = before + g * g
-    return weights(slice(None))
+    for lo in range(0, buckets, 4096):  # in place, a stretch at a time
+        z[lo : lo + 4096] = weights(slice(lo, lo + 4096))
+    return z
 
 
 def smoothed_loss(m: np.ndarray, y: np.ndarray) -> float:
@@ -220,10 +228,12 @@ class Model:
         self.names, self.temperature = names, cooled
         bucket, self.cls = np.nonzero(dense)
         self.weight = dense[bucket, self.cls].astype(np.float32)
-        self.start = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+        self.buckets = len(dense)
+        self.start = np.searchsorted(bucket, np.arange(self.buckets + 1))
 
     def add(self, total: np.ndarray, bucket: np.ndarray, text: np.ndarray) -> None:
         """Adds the n-grams' weights to their texts' rows of ``total``."""
+        bucket = bucket & (self.buckets - 1)
         k, n = len(self.names), self.start[bucket + 1] - self.start[bucket]
         some = np.flatnonzero(n)
         bucket, text, n = bucket[some], text[some], n[some]
@@ -244,19 +254,27 @@ def fit(docs: DataFrame) -> Model | None:
     spark = docs.sparkSession
     python_ready(spark)
     rows = usable(docs)
-    counts = rows.groupBy("lang").count().collect()  # a row for each language
+    own = F.xxhash64(F.lit(11), "doc_id")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("least")).collect()  # a row for each language
     if not counts:
         return None
-    most = min(SAMPLE, max(SAMPLE_LEAST, SAMPLE_ALL // len(counts)))
-    parts = 1 << 30
-    shares = spark.createDataFrame([(r["lang"], int(min(1.0, most / r["count"]) * parts)) for r in counts], "lang string, share bigint")
-    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(parts)) < F.col("share"))
-    sample = sorted(tuple(map(bytes, r[2:])) + (r[0], r[1]) for r in bags(chosen).collect())
+    buckets = BUCKETS
+    while buckets * len(counts) > WEIGHTS and buckets > LEAST_BUCKETS:
+        buckets //= 2
+    most, parts = min(SAMPLE, max(1, SAMPLE_ALL // len(counts))), 1 << 30
+    shares = spark.createDataFrame([(r["lang"], int(min(1.0, most / r["n"]) * parts), r["least"]) for r in counts], "lang string, share bigint, least bigint")
+    chosen = rows.withColumn("own", own).join(F.broadcast(shares), "lang").where((F.pmod("own", F.lit(parts)) < F.col("share")) | (F.col("own") == F.col("least")))
+    with scratch(spark):
+        made = written(bags(chosen.withColumn("first", F.col("own") == F.col("least")), buckets), "bags")
+        whole = made.agg(F.sum(F.octet_length("bucket") + F.octet_length("share"))).head()[0] or 0
+        scale = int(min(1.0, BAG_BYTES / max(1, whole)) * parts)
+        kept = made.where(F.col("first") | (F.pmod(F.xxhash64("own"), F.lit(parts)) < scale)).select("lang", "fold", "bucket", "share")
+        sample = sorted(tuple(map(bytes, r[2:])) + (r[0], r[1]) for r in kept.collect())
     if not sample:
         return None
     names = sorted({r[2] for r in sample})
     y = np.array([names.index(r[2]) for r in sample])
-    total, seen = frequencies(rows)
+    total, seen = frequencies(rows, buckets)
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
     scaled = []
     for bucket, share, *_ in sample:
@@ -266,10 +284,11 @@ def fit(docs: DataFrame) -> Model | None:
     if tune.all() or not len(set(y[~tune].tolist())) == len(names):
         tune[:] = False
     learn, held = np.flatnonzero(~tune), np.flatnonzero(tune)
-    w = follow_leader([scaled[i] for i in learn], y[learn], len(names))
+    w = follow_leader([scaled[i] for i in learn], y[learn], len(names), buckets)
     m = np.array([scaled[i][1] @ w[scaled[i][0]] for i in held]).reshape(-1, len(names))
     t = temperature(m, y[held])
-    return Model(names, np.float32(GAIN) * idf[:, None] * w / np.float32(t), t)
+    w *= (np.float32(GAIN / t) * idf)[:, None]
+    return Model(names, w, t)
 
 
 # --- judging ---

@@ -6,8 +6,10 @@ none) say which kind it resembles. A logistic calibration, fitted on labelled te
 them into a score from 0 to 1; how much a difference says may depend on a text's length.
 
 Bounds: at most ``SAMPLE`` labelled texts of either kind build dictionaries and ``CALIBRATE`` calibrate, taken in the order
-of a hash of their ids; where a kind was sampled, its texts count as many times as all of its labels ask for. Of a text that builds a dictionary, at most ``BLOCKS`` blocks are taken, spread evenly over the whole
-text; texts that calibrate are compressed whole, where they lie. Every whole text is scored.
+of a hash of their ids; where a kind was sampled, its texts count as many times as all of its labels ask for. The rows that a
+dictionary is trained on are blocks of 4 KB: all blocks of these texts where there are up to ``BLOCKS`` of a kind, else about
+``BLOCKS`` of them, chosen by a hash of id and place from all over all the texts. So 48 MB reach the driver at most, about,
+whatever the texts' lengths. Texts that calibrate are compressed whole, where they lie. Every whole text is scored.
 
 Defined results: null and empty texts are scored like any text, from sizes of nothing; if the labels lack one of the two
 kinds, every score is 0.5; labels with a null or other value are left out; repeated rows are scored each, alike; very long
@@ -17,6 +19,7 @@ read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import crc_mod, documents, lean, python_ready, text_rows, utf8
 
 SAMPLE, CALIBRATE = 4_000, 20_000
-BLOCKS = 8
+BLOCKS = 6_000  # of either kind; of 4 KB each
 DICTIONARY_BYTES = 1 << 16
 BLOCK_BYTES = 1 << 12
 LEVEL = 3
@@ -57,11 +60,10 @@ class Compressors:
         return a, b, c
 
 
-def blocks(text: memoryview) -> list[bytes]:
-    """At most ``BLOCKS`` blocks, spread evenly over the text."""
-    n = -(-len(text) // BLOCK_BYTES)
-    chosen = range(n) if n <= BLOCKS else (i * (n - 1) // (BLOCKS - 1) for i in range(BLOCKS))
-    return [bytes(text[i * BLOCK_BYTES : (i + 1) * BLOCK_BYTES]) for i in chosen]
+def blocks(text: memoryview, key: int, share: float) -> list[bytes]:
+    """The text's blocks; of a ``share`` below 1, those that a hash of the key and their place chooses."""
+    chosen = lambda i: share >= 1 or zlib.crc32(b"%d:%d" % (key, i)) < share * 2**32
+    return [bytes(text[lo : lo + BLOCK_BYTES]) for i, lo in enumerate(range(0, len(text), BLOCK_BYTES)) if chosen(i)]
 
 
 def dictionary(samples: list[bytes]) -> bytes:
@@ -142,19 +144,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, np.ndarray] |
     python_ready(docs.sparkSession)
     texts = labelled(docs, labels)
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [blocks(t) for t in _views(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.list_(pa.binary()))], ["doc_id", "fold", "quality", "blocks"])
-
     there = {tuple(r) for r in texts.select("fold", "quality").distinct().collect()}
     if not all({(0, q), (2, q)} & there for q in (0, 1)):
         return None
     builds = [(0 if (0, q) in there else 2, q) for q in (0, 1)]
     calibrates = [(2 if (2, q) in there else 0, q) for q in (0, 1)]
     among = lambda kinds: (F.struct("fold", "quality")).isin([F.struct(F.lit(f).alias("fold"), F.lit(q).alias("quality")) for f, q in kinds])
-    here = texts.where(F.col("place") <= SAMPLE).where(among(builds)).mapInArrow(lean(sampled), "doc_id bigint, fold int, quality int, blocks array<binary>")
-    rows = sorted((r.quality, r.doc_id, [bytes(b) for b in r.blocks]) for r in here.collect())
+    here = texts.where(F.col("place") <= SAMPLE).where(among(builds))
+    many = here.groupBy("quality").agg(F.sum(F.ceil(F.octet_length("text") / BLOCK_BYTES)).alias("n")).collect()  # two rows
+    share = {r["quality"]: min(1.0, BLOCKS / r["n"]) for r in many}
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, kinds = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            own = [blocks(t, i, share[q]) for t, i, q in zip(_views(batch.column(3)), ids, kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.list_(pa.binary()))], ["doc_id", "fold", "quality", "blocks"])
+
+    found = here.mapInArrow(lean(sampled), "doc_id bigint, fold int, quality int, blocks array<binary>").where(F.size("blocks") > 0)
+    rows = sorted((r.quality, r.doc_id, [bytes(b) for b in r.blocks]) for r in found.collect())
     good, bad = (dictionary([b for k, _, own in rows if k == q for b in own]) for q in (1, 0))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline
 from folio.llm import exact_dedup, near_dup, packing, pii, quality
 from folio.llm.common import written
@@ -46,3 +48,47 @@ def test_empty_and_odd_tables(spark, odd, nothing, small):
     assert sorted(repr(i) for i, _ in rows[3]) == sorted(repr(eval(r)[0]) for r in near_brute(rows[2]) if eval(r)[0] is None or eval(r)[0] == eval(r)[2])
     assert sorted(map(repr, rows[4])) == sorted(repr((i, pii.redact(t, pii.spans_of(t)[1]) if t else t)) for i, t in rows[3])
     checked(tables[-1].collect(), rows[4])
+
+
+def test_queries_side_by_side_in_one_session(spark, small):
+    """Operators that write tables, run by two threads at once, give what single runs give and leave each other's tables."""
+    import threading
+
+    from folio.llm import exact_dedup, near_dup, packing
+    from folio.llm.common import scratch
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    runs = {
+        "near": lambda: near_dup.op10_near_dup(spark, small), "near-2": lambda: near_dup.op10_near_dup(spark, small), "exact": lambda: exact_dedup.op9_exact_dedup(spark, small),
+        "packing": lambda: packing.pack(docs, __import__("public_tokenizers").path(packing.RANKS)).select("doc_id", "piece", "start", "length", "ids_crc32"), "pipeline": lambda: corpus_pipeline.run(spark, small),
+    }
+    rows = lambda df: sorted(map(repr, df.select(*(c for c in df.columns if c not in ("sequence_id", "offset"))).collect()))
+    alone, told = {name: rows(make()) for name, make in runs.items() if name != "near-2"}, {}
+    alone["near-2"] = alone["near"]
+
+    def run(names):
+        for name in names:
+            try:
+                with scratch(spark):
+                    told[name] = rows(runs[name]())
+            except Exception as error:  # noqa: BLE001
+                told[name] = error
+
+    threads = [threading.Thread(target=run, args=(some,)) for some in (("near", "exact", "pipeline"), ("near-2", "packing"))]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    for name in runs:
+        assert told[name] == alone[name], name
+
+
+def test_clusters_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from folio.llm import common
+
+    conf = SimpleNamespace(get=lambda name, default=None: default)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_folder(cluster)
+    cluster.sparkContext.master = "local[4]"
+    assert common.shared_folder(cluster) == common.UNSET_FOLDER

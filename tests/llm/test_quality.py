@@ -67,5 +67,44 @@ def test_texts_of_any_length_are_learnt_from(spark):
     got = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
     assert min(len(t) for _, t, _ in texts) > 50_000
     assert all(r.predicted == i % 2 for i, r in got.items())
-    parts = quality.blocks(memoryview(texts[0][1].encode()))
-    assert len(parts) == quality.BLOCKS and texts[0][1].encode().endswith(parts[-1])
+
+
+def test_what_dictionaries_are_trained_on_is_bounded(spark, monkeypatch):
+    """Labelled texts of many blocks: about ``BLOCKS`` of each kind are collected, from all over the texts."""
+    import random
+
+    monkeypatch.setattr(quality, "BLOCKS", 120)
+    taken = []
+    plain = quality.dictionary
+    monkeypatch.setattr(quality, "dictionary", lambda samples: taken.append(len(samples)) or plain(samples))
+    pick = random.Random(8)
+    words = {q: ["".join(pick.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(300)] for q in (0, 1)}
+    texts = [(i, " ".join(pick.choices(words[i % 2], k=30_000)), i % 2) for i in range(48)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in texts] + [(0, 0), (1, 0)], "doc_id bigint, quality int")  # one id twice, one with both
+    rows = quality.judged(docs, labels).collect()
+    assert len(rows) == 48 and sum(r.predicted == r.doc_id % 2 for r in rows) >= 46
+    assert len(taken) == 2 and all(60 < n < 240 for n in taken)
+    text = memoryview(texts[0][1].encode())
+    assert b"".join(quality.blocks(text, 0, 1.0)) == bytes(text)
+    some = [quality.blocks(text, key, 0.2) for key in range(60)]
+    assert 0.15 < sum(map(len, some)) / 60 / len(quality.blocks(text, 0, 1.0)) < 0.25
+    assert any(b and bytes(text).endswith(b[-1]) for b in some)
+
+
+def test_calibration_is_the_least_loss():
+    """Newton's result against a plain descent on the same loss."""
+    import numpy as np
+
+    made = np.random.default_rng(3)
+    x = np.column_stack([np.ones(300), made.normal(size=(300, 2)) * (3, 0.1) + (5, 1)])
+    y = (made.random(300) < 1 / (1 + np.exp(-(x[:, 1] - 5) * 1.5))).astype(float)
+    of = np.where(y == 1, 2.0, 0.5)
+    w = quality.calibrated(x, y, of)
+    middle, spread = x.mean(axis=0), x.std(axis=0)
+    z = np.column_stack([np.ones(300), (x[:, 1:] - middle[1:]) / spread[1:]])
+    v = np.zeros(3)
+    for _ in range(40_000):
+        p = 1 / (1 + np.exp(-z @ v))
+        v -= 0.01 / 3 * (z.T @ (of * (p - y)) + np.array([1e-6, 0.1, 0.1]) * v) / 10
+    assert np.allclose(x @ w, z @ v, atol=1e-3)

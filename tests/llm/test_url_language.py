@@ -152,3 +152,74 @@ def test_calibration(spark):
     print("accuracy on two words", right, "mean score", sum(s for s, _ in pairs) / len(pairs), "temperature", model.temperature)
     sure = [ok for s, ok in pairs if s > 0.9]
     assert sum(sure) / len(sure) > 0.85
+
+
+def test_what_is_learnt_from_is_bounded(spark, monkeypatch):
+    """Long texts of many languages: the bags that reach the driver stay within the bound, and every language is learnt."""
+    import random
+
+    pick = random.Random(6)
+    of = {f"l{i}": ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(40)] for i in range(6)}
+    rows = [(i, " ".join(pick.choices(of[f"l{i % 6}"], k=20_000)), f"l{i % 6}") for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    seen = []
+    plain = language_id.follow_leader
+    monkeypatch.setattr(language_id, "follow_leader", lambda rows, y, k, buckets: seen.append((sum(6 * len(b) for b, _ in rows), len(rows), buckets)) or plain(rows, y, k, buckets))
+    monkeypatch.setattr(language_id, "BAG_BYTES", 300_000)
+    monkeypatch.setattr(language_id, "WEIGHTS", 1 << 16)
+    model = language_id.fit(docs)
+    assert model.names == sorted(of) and seen[0][2] == 1 << 13 and 6 <= seen[0][1] < 135 and seen[0][0] < 1.5 * 300_000
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 175
+
+
+def test_ftrl_equals_its_formulas(monkeypatch):
+    """Weights against the published update, coordinate by coordinate in plain arithmetic."""
+    import math
+
+    import numpy as np
+
+    made = np.random.default_rng(1)
+    rows = [(np.sort(made.choice(16, 4, replace=False)), made.random(4).astype(np.float32)) for _ in range(30)]
+    y = made.integers(0, 3, 30)
+    got = language_id.follow_leader(rows, y, 3, 16)
+    z, n = [[0.0] * 3 for _ in range(16)], [[0.0] * 3 for _ in range(16)]
+
+    def weight(b, c):
+        if abs(z[b][c]) <= language_id.L1:
+            return 0.0
+        return -(z[b][c] - math.copysign(language_id.L1, z[b][c])) / ((language_id.BETA + math.sqrt(n[b][c])) / language_id.ALPHA + language_id.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(language_id.EPOCHS):
+        for i in order.permutation(30):
+            bucket, x = rows[i]
+            w = [[weight(b, c) for c in range(3)] for b in bucket]
+            m = [sum(float(v) * w[j][c] for j, v in enumerate(x)) for c in range(3)]
+            p = [math.exp(v - max(m)) for v in m]
+            p = [v / sum(p) - (c == y[i]) for c, v in enumerate(p)]
+            for j, b in enumerate(bucket):
+                for c in range(3):
+                    g = float(x[j]) * p[c]
+                    z[b][c] += g - (math.sqrt(n[b][c] + g * g) - math.sqrt(n[b][c])) / language_id.ALPHA * w[j][c]
+                    n[b][c] += g * g
+    assert np.allclose(got, [[weight(b, c) for c in range(3)] for b in range(16)], atol=1e-4)
+    assert 0 < (got == 0).sum() < got.size
+
+
+def test_temperature_is_the_best_of_its_search():
+    import numpy as np
+
+    made = np.random.default_rng(2)
+    m, y = made.normal(size=(200, 4)) * 9, made.integers(0, 4, 200)
+    m[np.arange(200), y] += 6
+    t = language_id.temperature(m, y)
+
+    def loss(at):
+        total = 0.0
+        for row, own in zip(m / at, y):
+            logs = row - row.max() - np.log(np.exp(row - row.max()).sum())
+            total -= (1 - 1 / 202) * logs[own] + 1 / 202 * (logs.sum() - logs[own]) / 3
+        return total / 200
+
+    assert all(loss(t) <= loss(x) + 1e-12 for x in np.geomspace(1e-3, 1e3, 241)) and 1 < t < 100
