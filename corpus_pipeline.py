@@ -3,8 +3,11 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents.
 
-Defined results: rows with null or empty text count as empty texts in every stage, as each operator says; an empty table
-passes through to no rows; columns beyond those of documents are kept by all stages but the last.
+Defined results: rows with null or empty text count as empty texts in every stage, as each operator says; very long texts are
+read whole by every stage; of rows that are alike, repeated ones and ones that share an id included, one stays after the exact
+dedup; ties between copies go to the longest text and then the smallest doc_id, between near copies to the smallest doc_id; an
+empty table passes through to no rows; columns beyond those of documents are kept by all stages but the last, whatever their
+names.
 """
 
 from __future__ import annotations
