@@ -1,11 +1,12 @@
 """Packing of token pieces into sequences by exact-complement hashing.
 
-Method: a histogram of piece lengths is all that the plan needs. Lengths are taken from the longest down; each one's gap is
-looked up among single lengths, pair sums and triple sums of what is still there, and a combination that fills the gap
-exactly is consumed as often as the counts allow. What no combination fills is packed best fit, longest first. Triples
-can use up short lengths that later gaps need, so plans that look up triples, pairs, singles or nothing are compared, and
-that of the fewest sequences is taken. A plan names runs of sequences of one make-up, so its size depends on the sequence
-length and never on the number of pieces.
+Method: a histogram of piece lengths is all that the plan needs. Gaps are looked up among single lengths, pair sums and
+triple sums of what is still there, and a combination that fills a gap exactly is consumed as often as the counts allow; what
+no combination fills is packed best fit, longest first. Combinations use up short lengths, so those below an eighth of a
+sequence are held back: pairs that add up to a sequence are matched first, longer lengths are packed, and the gaps which
+these leave are filled exactly by one, two or three of the short ones. A plan that looks up every gap from the longest length
+down is made as well, with triples, pairs, singles or nothing, and is taken only where it needs fewer sequences. A plan names
+runs of sequences of one make-up, so its size depends on the sequence length and never on the number of pieces.
 
 Each piece's place follows from its rank among pieces of its length: a counter in the task that encodes it, plus the
 counts of the tasks before. No task sees all pieces.
@@ -126,9 +127,9 @@ def _pair(left: np.ndarray, total: int) -> tuple[int, int] | None:
 Runs = list[tuple[tuple[int, ...], int]]
 
 
-def best_fit(items: list[tuple[int, int]], most: int) -> Runs:
-    """Best fit of (length, how many), longest first: a gap's bins are filled before a wider one's."""
-    bins: dict[int, Runs] = {}
+def best_fit(items: list[tuple[int, int]], most: int, bins: dict[int, Runs] | None = None) -> dict[int, Runs]:
+    """Best fit of (length, how many), longest first, into ``bins`` by gap: a gap's bins are filled before a wider one's."""
+    bins = {} if bins is None else bins
     for length, n in items:
         while n:
             gap = min((g for g in bins if g >= length), default=None)
@@ -146,61 +147,108 @@ def best_fit(items: list[tuple[int, int]], most: int) -> Runs:
             if k > took:
                 bins.setdefault(gap, []).append((lengths, k - took))
             n -= took
-    return [x for some in bins.values() for x in some]
+    return bins
 
 
-def complemented(histogram: np.ndarray, most: int, depth: int) -> Runs:
-    """The plan in which each gap is looked up among sums of up to ``depth`` lengths; best fit for the rest."""
-    left = histogram.astype(np.int64).copy()
-    out: Runs = []
+class Sums:
+    """Which lengths, pairs and triples of lengths that are still there add up to a gap."""
 
-    def use(lengths: tuple[int, ...]) -> bool:
-        of, need = np.unique(lengths, return_counts=True)
-        n = int((left[of] // need).min())
-        if n:
-            left[of] -= n * need
-            out.append((lengths, n))
-        return n > 0
-
-    def triple(gap: int) -> tuple[int, ...] | None:
-        nonlocal sums, there
-        now = left[:most] > 0
-        if sums is None or not (now == there).all():
-            there, sums = now, np.convolve(now.astype(np.float32), now.astype(np.float32)) > 0.5
+    def __init__(self, left: np.ndarray, depth: int):
+        self.left, self.depth = left, depth
+        self.there = self.pairs = None
+
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        """The lengths that fill ``gap``: as few as do, at most ``depth``."""
+        if self.depth and self.left[gap]:
+            return (gap,)
+        found = _pair(self.left, gap) if self.depth > 1 else None
+        return self._triple(gap) if found is None and self.depth > 2 else found
+
+    def _triple(self, gap: int) -> tuple[int, ...] | None:
+        now = self.left > 0
+        if self.pairs is None or not (now == self.there).all():
+            self.there, self.pairs = now, np.convolve(now.astype(np.float32), now.astype(np.float32)) > 0.5
         x = np.arange(1, gap)
-        for one in x[now[x] & sums[gap - x]][::-1]:
-            left[one] -= 1
-            two = _pair(left, gap - int(one))
-            left[one] += 1
+        for one in x[now[x] & self.pairs[gap - x]][::-1]:
+            self.left[one] -= 1
+            two = _pair(self.left, gap - int(one))
+            self.left[one] += 1
             if two is not None:
                 return int(one), *two
         return None
 
+    def use(self, lengths: tuple[int, ...], most: int | None = None) -> int:
+        """How often ``lengths`` can be taken, ``most`` times at most; they are gone then."""
+        of, need = np.unique(lengths, return_counts=True)
+        n = int((self.left[of] // need).min())
+        n = n if most is None else min(n, most)
+        self.left[of] -= n * need
+        return n
+
+
+def _flat(bins: dict[int, Runs]) -> Runs:
+    return [run for runs in bins.values() for run in runs]
+
+
+def complemented(histogram: np.ndarray, most: int, depth: int) -> Runs:
+    """The plan in which each gap is looked up among sums of up to ``depth`` lengths; best fit for the rest."""
+    left = histogram.astype(np.int64).copy()
+    sums, out, stuck = Sums(left, depth), [], []
     if left[most]:
-        use((most,))
-    stuck = []
-    sums, there = None, None
+        out.append(((most,), sums.use((most,))))
     for length in range(most - 1, 0, -1):
         gap = most - length
         while left[length]:
-            if depth and gap < len(left) and left[gap] and (gap != length or left[length] > 1) and use((length, gap)):
-                continue
             left[length] -= 1  # what it may be combined with is looked up without it
-            found = _pair(left, gap) if depth > 1 else None
-            if found is None and depth > 2:
-                found = triple(gap)
+            found = sums.exact(gap)
             left[length] += 1
             if found is None:
                 stuck.append((length, int(left[length])))
                 left[length] = 0
             else:
-                use((length, *found))
-    return out + best_fit(stuck, most)
+                out.append(((length, *found), sums.use((length, *found))))
+    return out + _flat(best_fit(stuck, most))
+
+
+def held_back(histogram: np.ndarray, most: int, depth: int = 3) -> Runs:
+    """The plan that spends short lengths last.
+
+    Lengths that add up to a sequence are matched; what remains from an eighth of a sequence up is packed best fit. The gaps
+    that leaves, the widest first, are looked up among sums of up to ``depth`` of the shorter lengths that were held back;
+    best fit for the rest.
+    """
+    left = histogram.astype(np.int64).copy()
+    sums, bins, floor = Sums(left, depth), {}, max(most // 8, 1)
+    for length in range(most, (most - 1) // 2, -1):
+        own = (length, most - length) if length < most else (length,)
+        if n := sums.use(own):
+            bins.setdefault(0, []).append((own, n))
+    best_fit([(length, int(left[length])) for length in range(most, floor - 1, -1) if left[length]], most, bins)
+    left[floor:] = 0
+    for gap in sorted((g for g in bins if 0 < g <= depth * floor), reverse=True):
+        todo, rest = bins.pop(gap), []
+        while todo:
+            lengths, k = todo.pop()
+            found = sums.exact(gap)
+            if found is None:
+                rest.append((lengths, k))
+                continue
+            n = sums.use(found, k)
+            bins.setdefault(0, []).append(((*lengths, *found), n))
+            if k > n:
+                todo.append((lengths, k - n))
+        if rest:
+            bins[gap] = rest
+    return _flat(best_fit([(length, int(left[length])) for length in range(floor - 1, 0, -1) if left[length]], most, bins))
 
 
 def plan(histogram: np.ndarray, most: int) -> Runs:
-    """(lengths of a sequence, how many such sequences), for ``histogram[length]`` pieces of each length: the least of four."""
-    return min((complemented(histogram, most, depth) for depth in (3, 2, 1, 0)), key=lambda runs: sum(n for _, n in runs))
+    """(lengths of a sequence, how many such sequences), for ``histogram[length]`` pieces of each length.
+
+    The first of the least: held back, then looked up from the longest down. Best fit alone is a guard.
+    """
+    plans = (held_back(histogram, most), *(complemented(histogram, most, depth) for depth in (3, 2, 1, 0)))
+    return min(plans, key=lambda runs: sum(n for _, n in runs))
 
 
 def places(runs: list[tuple[tuple[int, ...], int]], most: int) -> tuple[np.ndarray, ...]:
