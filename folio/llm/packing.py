@@ -3,10 +3,11 @@
 Method: a histogram of piece lengths is all that the plan needs. Gaps are looked up among single lengths, pair sums and
 triple sums of what is still there, and a combination that fills a gap exactly is consumed as often as the counts allow; what
 no combination fills is packed best fit, longest first. Combinations use up short lengths, so those below an eighth of a
-sequence are held back: pairs that add up to a sequence are matched first, longer lengths are packed, and the gaps which
-these leave are filled exactly by one, two or three of the short ones. A plan that looks up every gap from the longest length
-down is made as well, with triples, pairs, singles or nothing, and is taken only where it needs fewer sequences. A plan names
-runs of sequences of one make-up, so its size depends on the sequence length and never on the number of pieces.
+sequence (or a 16th, 32nd, 64th) are held back: pairs that add up to a sequence are matched first, longer lengths are packed,
+and the gaps which these leave are filled exactly by one, two or three of the short ones. Plans that look up every gap from
+the longest length down are made as well, with triples, pairs, singles or nothing, and one is taken only where it needs fewer
+sequences. A plan names runs of sequences of one make-up, so its size depends on the sequence length and never on the number
+of pieces.
 
 Each piece's place follows from its rank among pieces of its length: a counter in the task that encodes it, plus the
 counts of the tasks before. No task sees all pieces.
@@ -34,6 +35,7 @@ from folio.llm.common import documents, lean, python_ready, steps, text_rows, ut
 
 LENGTH = 1024
 END = 2
+HELD_BACK = (8, 16, 32, 64)  # lengths below these parts of a sequence
 #: The rank file of the tokenizer's vocabulary, its one special token, which texts may contain, and its id.
 #: ``vocabulary_agrees`` holds them against the tokenizer's .json file.
 RANKS, SPECIAL, SPECIAL_ID = "byte_bpe_50k.tiktoken", b"<|endoftext|>", 50256
@@ -210,15 +212,15 @@ def complemented(histogram: np.ndarray, most: int, depth: int) -> Runs:
     return out + _flat(best_fit(stuck, most))
 
 
-def held_back(histogram: np.ndarray, most: int, depth: int = 3) -> Runs:
-    """The plan that spends short lengths last.
+def held_back(histogram: np.ndarray, most: int, floor: int, depth: int = 3) -> Runs:
+    """The plan that spends lengths below ``floor`` last.
 
-    Lengths that add up to a sequence are matched; what remains from an eighth of a sequence up is packed best fit. The gaps
-    that leaves, the widest first, are looked up among sums of up to ``depth`` of the shorter lengths that were held back;
-    best fit for the rest.
+    Lengths that add up to a sequence are matched; what remains from ``floor`` up is packed best fit. The gaps that leaves,
+    the widest first, are looked up among sums of up to ``depth`` of the shorter lengths that were held back; best fit for
+    the rest.
     """
     left = histogram.astype(np.int64).copy()
-    sums, bins, floor = Sums(left, depth), {}, max(most // 8, 1)
+    sums, bins, floor = Sums(left, depth), {}, max(floor, 1)
     for length in range(most, (most - 1) // 2, -1):
         own = (length, most - length) if length < most else (length,)
         if n := sums.use(own):
@@ -247,7 +249,7 @@ def plan(histogram: np.ndarray, most: int) -> Runs:
 
     The first of the least: held back, then looked up from the longest down. Best fit alone is a guard.
     """
-    plans = (held_back(histogram, most), *(complemented(histogram, most, depth) for depth in (3, 2, 1, 0)))
+    plans = (*(held_back(histogram, most, most // part) for part in HELD_BACK), *(complemented(histogram, most, depth) for depth in (3, 2, 1, 0)))
     return min(plans, key=lambda runs: sum(n for _, n in runs))
 
 
