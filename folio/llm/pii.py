@@ -6,9 +6,13 @@ in hosts, in local parts and between digits), and, for numbers only, spelled dig
 rewritten text keeps the source span it came from, the same detectors run again, and a span that holds a rewritten
 character is mapped back and added, unless a plain one covers it. One spelled digit beside a whole number is prose.
 
-A plain ``at`` between words is a disguise only before a host with a disguised dot ("look at example.com" is prose); in
-brackets, or as a sign between spaces, it is one before any host. A host whose labels were disguised ends with its last
-known label (and a country's two letters after it), so a sentence that goes on after it isn't swallowed.
+A plain ``at`` between words is a disguise only before a host with a disguised dot ("look at example.com" is prose), and not
+where grammar says that it is prose: after a verb or an adverb of ``LOCAL_PROSE``, after a noun or verb that an article or a
+pronoun stands before ("the map at big dot de"), or before a word of ``HOST_PROSE``. In brackets, or as a sign between spaces,
+it is one before any host. Spaces around a host's dot are taken for a disguise after a sign only, before a known last label. A
+host whose labels were disguised ends with its last known label (and a country's two letters after it), so a sentence that
+goes on after it isn't swallowed. Two letters after a disguised dot are a country's, but for words that aren't one's, and for
+words that may be one's where the sentence goes on after them.
 
 Defined results: a null or empty text has no spans; offsets are code points of the source, end exclusive; the counts
 n_email, n_ip, n_card and n_phone and base_sha256 are of the plain identifiers, spans and n_added hold those the
@@ -45,6 +49,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\W_]+")
 _FIGURES = frozenset("0123456789")
+_SPACED = r"\x20{1,2}\.\x20{1,2}"
+_SENTENCE_GOES_ON = re.compile(r"\x20{1,2}\w")
+_WORD_BEFORE = re.compile(r"([A-Za-z]+)\x20{1,2}$")
 _BRACKETED = re.compile(r"[\[({<]\x20{0,2}\.")
 
 
@@ -93,8 +100,23 @@ SPELLED = {
     "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
-#: The last labels of a host that make ``at`` and ``dot`` between plain words a disguise.
-LABELS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")
+#: The last labels of a host that make ``at`` and ``dot`` between plain words a disguise, beside two letters.
+LABELS = ("com", "org", "net", "edu", "gov", "mil", "info", "biz", "dev", "app", "xyz", "io", "de", "fr", "es", "uk", "eu")
+#: Words of two letters that are no country's label, and such that are one's but mostly words.
+NO_COUNTRY = frozenset("an go he hi if of oh ok on or ox up we".split())
+MOSTLY_WORDS = frozenset("am as at be by do in is it me my no so to us".split())
+#: Words before a plain ``at`` that are no one's name, words before such a word that make it a noun or a verb,
+#: and words after ``at`` that begin a phrase of place or time.
+LOCAL_PROSE = frozenset(
+    """aim aimed all am and are arrive arrived arrives back be been began begins being but closed closes down ended ends even
+    found gather gathered glance glanced held her here him home is it just laugh laughed live lived lives look looked looking
+    looks me meet meeting meetings meets met not now off once only open opens or out over park parked point pointed points
+    sat seen shout shouted sit sits sitting smile smiled stand standing stands stare stared start started starts stay stayed
+    stays still stood stop stopped stops that them then there these they this those turn turned up us wait waited was we were
+    work worked works you""".split()
+)
+NOUN_OR_VERB_AFTER = frozenset("a an are been being each every he her his i is it its my no one our she some that the their these they this those was we were who you your".split())
+HOST_PROSE = frozenset("a all an any dawn dusk each every first her his home last least midnight most my night no noon once our polka school some that the their these this those your".split())
 
 
 @lru_cache(1)
@@ -133,7 +155,7 @@ def machines() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     at = r"(?:\x20{0,2}[\[({<]\x20{0,2}(?:at|@)\x20{0,2}[\])}>]\x20{0,2}|\x20{1,2}at\x20{1,2}|\x20{0,2}@\x20{0,2})"
     label = "[a-z0-9-]{1,63}"
     mail = re.compile(
-        rf"(?P<at>{at})(?=(?P<host>{label}(?:(?:{dot}|\.){label}){{1,8}}))", re.I
+        rf"(?P<at>{at})(?=(?P<host>{label}(?:(?:{dot}|{_SPACED}|\.){label}){{1,8}}))", re.I
     )
     return run, mail, re.compile(dot, re.I)
 
@@ -179,35 +201,67 @@ def _dotted(low: str) -> bool:
     return "dot" in low or _BRACKETED.search(low) is not None
 
 
-def _host_end(host: str, dot: re.Pattern, sure: bool) -> int | None:
-    """Where a disguised host ends: after its last known label; without one it is whole if it is ``sure`` to be a host."""
-    joints = [(m.start(), m.end()) for m in re.finditer(f"{dot.pattern}|\\.", host, re.I)]
+def _host_end(host: str, after: str, dot: re.Pattern, sure: bool) -> int | None:
+    """Where a disguised host ends: after its last known label; without one it is whole if it is ``sure`` to be a host.
+
+    ``after`` is what follows it.
+    """
+    joints = [(m.start(), m.end()) for m in re.finditer(f"{dot.pattern}|{_SPACED}|\\.", host, re.I)]
     begin, ends = [0, *(b for _, b in joints)], [*(a for a, _ in joints), len(host)]
-    labels = [host[a:b].lower() for a, b in zip(begin, ends)]
-    known = [i for i, label in enumerate(labels) if i and label in LABELS]
-    if not known:
-        return len(host) if sure else None
-    last = known[-1]
-    return ends[last + 1] if last + 1 < len(labels) and re.fullmatch("[a-z]{2}", host[begin[last + 1] : ends[last + 1]]) else ends[last]
+    raw = [host[a:b] for a, b in zip(begin, ends)]
+
+    def known(i: int) -> bool:
+        label, joint = raw[i].lower(), host[slice(*joints[i - 1])]
+        if label in LABELS:
+            return True
+        if not re.fullmatch("[a-z]{2}", label) or label in NO_COUNTRY or joint.strip() == "." != joint:
+            return False
+        if joint == "." and (i + 1 < len(raw) or not raw[i].islower()):
+            return False  # after a plain dot a country's label ends the host
+        return label not in MOSTLY_WORDS or i + 1 == len(raw) and not _SENTENCE_GOES_ON.match(after)
+
+    last = next((i for i in range(len(raw) - 1, 0, -1) if known(i)), None)
+    if last is None:
+        spaced = [i for i, (a, b) in enumerate(joints) if host[a:b].strip() == "." != host[a:b]]
+        labels = spaced[0] + 1 if spaced else len(raw)
+        return ends[labels - 1] if sure and labels > 1 else None
+    if last + 1 < len(raw) and re.fullmatch("[a-z]{2}", raw[last + 1]) and raw[last + 1] not in NO_COUNTRY | MOSTLY_WORDS:
+        last += 1
+    return ends[last]
+
+
+def _prose(text: str, at: int, host: str, dots: dict[int, int]) -> bool:
+    """Whether a plain ``at`` stands in a sentence and joins no name to a host."""
+    if host.lower() in HOST_PROSE:
+        return True
+    head = at
+    while head > 0 and at - head < 64 and text[head - 1] in _LOCAL:
+        head -= 1
+    local = text[head:at]
+    if head in dots or not local.isalpha():
+        return False
+    before = _WORD_BEFORE.search(text, max(0, head - 24), head)
+    return local.lower() in LOCAL_PROSE or before is not None and before[1].lower() in NOUN_OR_VERB_AFTER
 
 
 def _signs(text: str, mail: re.Pattern, dot: re.Pattern) -> list[Edit]:
     """Disguised signs of addresses, the dots in their hosts and local parts, and dots between digits."""
     dots = {m.end(): m.start() for m in dot.finditer(text)} if _dotted(text.lower()) else {}
     edits = {a: (b, ".") for b, a in dots.items() if a and text[a - 1] in _FIGURES and text[b : b + 1] in _FIGURES}
+    spaced = re.compile(f"{dot.pattern}|{_SPACED}", re.I)
     for m in mail.finditer(text):
         host, between = m["host"], m["at"].strip().lower()
-        inner = list(dot.finditer(host))
-        if m["at"] != "@" or inner:
-            sure = between[0] in "[({<" or (between == "@" and inner)
-            if between == "at" and not inner:
+        inner, joints = list(dot.finditer(host)), list(spaced.finditer(host))
+        if m["at"] != "@" or joints:
+            sure = between[0] in "[({<" or (between == "@" and bool(inner))
+            if between == "at" and (not inner or _prose(text, m.start(), re.match("[A-Za-z0-9-]*", host)[0], dots)):
                 continue
-            end = _host_end(host, dot, sure)
+            end = _host_end(host, text[m.end("host") : m.end("host") + 3], dot, sure)
             if end is None:
                 continue
             if m["at"] != "@":
                 edits[m.start()] = (m.end(), "@")
-            edits |= {m.start("host") + d.start(): (m.start("host") + d.end(), ".") for d in inner if d.end() < end}
+            edits |= {m.start("host") + d.start(): (m.start("host") + d.end(), ".") for d in joints if d.end() < end}
             if end < len(host):  # the sentence goes on
                 edits[m.start("host") + end] = (m.start("host") + end, "\n")
         start = m.start()

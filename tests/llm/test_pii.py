@@ -178,6 +178,40 @@ def test_a_disguised_host_ends_with_its_last_known_label(text, found):
     assert [text[a:b] for _, a, b in pii.spans_of(text)[1]] == [found]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Look at the dot on the map at big dot de", "we stood at polka dot com", "the meeting is at noon dot com was mentioned", "put the pin at red dot on paper",
+        "He arrived at page dot fr yesterday", "our stand at fair dot org", "They laughed at web dot com jokes", "a pin at blue dot is lost", "meet @ noon . Then we go",
+        "meet @ noon . So we go", "look at example . com", "@ home . All is well", "Sit at home dot de",
+    ],
+)
+def test_grammar_tells_prose(text):
+    assert pii.spans_of(text) == ([], [])
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("john at example dot ca", "john at example dot ca"),
+        ("john at example dot it", "john at example dot it"),
+        ("ask john at example dot it, please", "john at example dot it"),
+        ("john at example dot co", "john at example dot co"),
+        ("john at example dot ca.Thanks", "john at example dot ca"),
+        ("JOHN AT EXAMPLE DOT NL", "JOHN AT EXAMPLE DOT NL"),
+        ("joe @ example . com", "joe @ example . com"),
+        ("joe@example . com . Then", "joe@example . com"),
+        ("joe @ mail . example . org is read", "joe @ mail . example . org"),
+        ("bob [at] host.intern . The thing", "bob [at] host.intern"),
+        ("the.map at big dot de", "the.map at big dot de"),
+        ("mail sales at shop dot app now", "sales at shop dot app"),
+        ("write to jo at example dot com dot au", "jo at example dot com dot au"),
+    ],
+)
+def test_countries_and_spaced_dots(text, found):
+    assert [text[a:b] for _, a, b in pii.spans_of(text)[1]] == [found]
+
+
 def _disguised(pick):
     """A kind, an identifier as it should be found, by a rule of its own; written without the module's tables."""
     word = lambda: "".join(pick.choice("bdfghklmnqrtvwz") for _ in range(pick.randint(4, 8)))
