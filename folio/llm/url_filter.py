@@ -2,9 +2,10 @@
 
 Method: an Aho-Corasick automaton finds the vocabulary's terms in the whole lower-cased url, its query and fragment
 included; a hit counts only where neither neighbour is a letter or digit of ASCII. A term is a word, its plural too, or
-two words that stand together or joined by one sign. Terms have weights; each distinct term counts once, and a url is
-rejected when the weights reach ``REJECT``: one strict term does, soft terms do when several distinct ones are there.
-Words that are as common in harmless addresses are in no list, alone.
+two words that stand together or joined by one sign. Each distinct term counts once, by its weight, and a url is rejected
+when the weights reach ``REJECT``: one strict term does, two distinct soft ones do, or more of the faint ones, which mostly
+stand in harmless addresses. Terms of a context that explains such words ("addiction", "education", "punk") take away as much
+as a strict term adds, once each; what has no harmless use weighs twice as much, so that one such context doesn't excuse it.
 
 Rules come first: a rule fits its host and all subdomains where the url's path starts with the rule's; the longest wins.
 
@@ -24,25 +25,44 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import python_ready
 
-REJECT = 2
-# The vocabulary. Words with their plurals, and pairs of words.
+REJECT = 4
+# The vocabulary by weight. Words with their plurals, and pairs of words.
+HARD, STRICT_WEIGHT, SOFT_WEIGHT, FAINT_WEIGHT, CONTEXT_WEIGHT = 2 * REJECT, REJECT, REJECT // 2, REJECT // 4, -REJECT
+PLAIN = (
+    "bestiality", "blowjob", "camgirl", "camslut", "creampie", "cumshot", "deepthroat", "gangbang", "handjob", "hentai", "keygen", "milf", "onlyfans", "porn",
+    "porno", "pornstar", "pornhub", "sexting", "upskirt", "warez", "xnxx", "xvideos",
+)
 STRICT = (
-    "blackjack", "bookmaker", "camgirl", "casino", "cialis", "cumshot", "escort", "gambling", "hardcore", "hentai", "keygen", "milf", "onlyfans", "porn", "porno",
-    "pornography", "pornstar", "roulette", "sportsbook", "striptease", "viagra", "warez", "xxx",
+    "baccarat", "blackjack", "bookie", "bookmaker", "casino", "cialis", "erotica", "escort", "gambling", "hardcore", "levitra", "nudity", "pornography", "roulette",
+    "softcore", "sportsbook", "striptease", "stripper", "tramadol", "viagra", "xxx",
 )
 SOFT = (
-    "adult", "betting", "clickbait", "crack", "cracked", "dating", "doorway", "erotic", "fetish", "hookup", "jackpot", "lottery", "malware", "naked", "nude", "nsfw",
-    "payday", "phishing", "pill", "poker", "replica", "sex", "sexy", "spam", "spyware", "steroid", "swinger", "torrent", "webcam", "wager",
+    "betting", "bingo", "clickbait", "cracked", "doorway", "erotic", "fetish", "hookup", "jackpot", "lingerie", "lottery", "malware", "naked", "nude", "nsfw",
+    "payday", "phishing", "poker", "sex", "sexy", "spam", "spyware", "swinger", "torrent", "wager", "webcam", "xanax",
 )
+FAINT = ("adult", "bonus", "cheap", "crack", "dating", "discount", "pill", "pharmacy", "replica", "serial", "singles", "slot", "steroid", "viral", "winner")
 PAIRS = (
     ("ad", "server"), ("ad", "tracker"), ("ads", "track"), ("ads", "tracking"), ("adult", "chat"), ("adult", "content"), ("adult", "dating"), ("adult", "movies"),
-    ("adult", "only"), ("adult", "video"), ("adult", "videos"), ("adult", "x"), ("bet", "bonus"), ("casino", "bonus"), ("cheap", "loans"), ("cheap", "meds"),
-    ("cheap", "pills"), ("click", "farm"), ("crack", "serial"), ("diet", "pills"), ("free", "bet"), ("free", "bets"), ("free", "nudes"), ("free", "sex"),
-    ("free", "spins"), ("hot", "girls"), ("link", "farm"), ("live", "sex"), ("loan", "shark"), ("online", "slots"), ("payday", "loan"), ("payday", "loans"),
-    ("sex", "cam"), ("sex", "chat"), ("sex", "shop"), ("slot", "machines"), ("spam", "farm"), ("win", "cash"), ("x", "rated"),
+    ("adult", "only"), ("adult", "video"), ("adult", "videos"), ("adult", "x"), ("bet", "bonus"), ("buy", "followers"), ("casino", "bonus"), ("cheap", "loans"),
+    ("cheap", "meds"), ("cheap", "pills"), ("cheap", "replica"), ("click", "farm"), ("crack", "download"), ("crack", "serial"), ("diet", "pills"), ("fake", "id"),
+    ("free", "bet"), ("free", "bets"), ("free", "nudes"), ("free", "sex"), ("free", "spins"), ("hot", "girls"), ("instant", "loan"), ("instant", "loans"),
+    ("license", "crack"), ("link", "farm"), ("live", "sex"), ("loan", "shark"), ("online", "bets"),
+    ("online", "pharmacy"), ("online", "slots"), ("payday", "loan"), ("payday", "loans"), ("penis", "enlargement"), ("replica", "watches"), ("serial", "crack"),
+    ("sex", "cam"), ("sex", "chat"), ("sex", "shop"), ("sex", "video"), ("sex", "videos"), ("slot", "machines"), ("spam", "farm"),
+    ("win", "cash"), ("x", "rated"),
+)
+CONTEXT = (
+    "addiction", "analysis", "anatomy", "archive", "archaeology", "art", "awareness", "ballet", "ban", "biology", "carbon", "chromosome", "clinic", "commission", "compliance", "court",
+    "counselling", "counseling", "curve", "detection", "detector", "disease", "disorder", "education", "encyclopedia", "ethics", "filter", "ford", "fossil", "gender", "grammar",
+    "harm", "health", "help", "helpline", "history", "inhaler", "journal", "law", "legislation", "library", "lung", "mathematics", "medicine", "mission", "museum",
+    "painting", "parliament", "patient", "policy", "prevention", "psychology", "punk", "recovery", "regulation", "regulator", "research",
+    "royale", "ruling", "safety", "science", "skeleton", "statistic", "study", "studies", "superbowl", "symptom", "therapy", "treatment", "university", "wiki",
 )
 SIGNS = ("", "-", "_", ".", "+", "%20")
-WEIGHTS = dict.fromkeys(SOFT, 1) | dict.fromkeys(STRICT, REJECT) | {f"{a} {b}": REJECT for a, b in PAIRS}
+WEIGHTS = {
+    **dict.fromkeys(FAINT, FAINT_WEIGHT), **dict.fromkeys(SOFT, SOFT_WEIGHT), **dict.fromkeys(STRICT, STRICT_WEIGHT), **dict.fromkeys(PLAIN, HARD),
+    **{f"{a} {b}": STRICT_WEIGHT for a, b in PAIRS}, **dict.fromkeys(CONTEXT, CONTEXT_WEIGHT),
+}
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -31,6 +31,32 @@ def test_urls(spark):
     assert len(bare) == 2 * len(cases) and all((r.weight, r.verdict) == (0, cases[list(cases)[r.page_id]][3] if r.rule else "allow") for r in bare)
 
 
+HARMLESS = """ford-escort-mk2 hardcore-punk roulette-curves carbon-dating-sex-of-skeleton adult-steroid-inhaler nude/replica gambling-addiction-help
+superbowl-xxx adult-education.example/sex-education spam-and-phishing-awareness adult-literacy/poker-face casino-royale-film sex-chromosomes
+phishing-prevention/spam-filter hardcore-history nude-painting/erotic-art gambling-commission/betting-act escort-mission lottery-winner
+torrent-river/naked-mole-rat crack-in-the-wall/serial-number cheap-flights/discount dating-of-fossils viral-load/steroid-therapy essex/sussex
+scunthorpe analytics/classic pill-bug/adult-stage webcam-weather spam-recipes adult-dogs/bonus-tips malware-analysis/spyware-detection
+sex-discrimination-act/policy online-banking slot-car/replica-car bingo-night xxx-legion-history blackjack-oak lingerie-history/naked-art""".split()
+HARMFUL = """free-porn porn-addiction online-casino/bonus viagra-cheap xxx-movies sexy-nude naked/webcam betting-jackpot torrent-cracked cheap-pills
+free_bets adult.dating payday+loans live-sex/cam spam-farm/x milf-health escort-service/city poker-bonus-winner replica-watches serial%20crack
+hentai-art keygen-download casino-hotel-slots gambling-online online-pharmacy/pill""".split()
+
+
+def test_each_spelling_belongs_to_one_term():
+    spelled = [own for term in url_filter.WEIGHTS for own in url_filter.spellings(term)]
+    assert len(spelled) == len(set(spelled))
+    assert len(url_filter.WEIGHTS) == sum(map(len, (url_filter.PLAIN, url_filter.STRICT, url_filter.SOFT, url_filter.FAINT, url_filter.PAIRS, url_filter.CONTEXT)))
+
+
+def test_words_that_have_a_harmless_use_are_weighed_with_their_context(spark):
+    urls = [f"http://{p}" if ".example/" in p else f"http://a.example/{p}" for p in HARMLESS + HARMFUL]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    verdict = {r.page_id: (r.verdict, r.weight) for r in url_filter.judge(rows).collect()}
+    wrong = [(u, verdict[i]) for i, u in enumerate(urls) if verdict[i][0] != ("allow" if i < len(HARMLESS) else "block")]
+    # two soft words, and a strict one, in senses for which no context is listed
+    assert [u.split("example/")[1] for u, _ in wrong] == ["torrent-river/naked-mole-rat", "blackjack-oak"]
+
+
 def test_held_out_languages(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
