@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions import models
+
 NORM_TOLERANCE = 1e-5
 
 
@@ -61,17 +63,24 @@ def hash_embedder(dimension: int) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embedded(rows: DataFrame, key: str, text: str, make: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 32) -> DataFrame:
-    """(key, embedding) of each row; ``make`` builds the embedder once per task, and texts go to it in order, in batches."""
+def embedded(
+    rows: DataFrame, key: str, text: str, make: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 32, identity: str | None = None, lane: str | None = None
+) -> DataFrame:
+    """(key, embedding) of each row; texts go to the embedder in order, in batches.
+
+    ``make`` builds the embedder once per task, or with an ``identity`` once per worker process; with the path of a file as
+    ``lane`` one process of a machine embeds at a time.
+    """
     if not 1 <= batch <= 256:
         raise ValueError("a batch has 1 to 256 texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed = make()
+        embed = make() if identity is None else models.loaded(identity, make)
         for arrow in batches:
             keys, texts = arrow.column(0), [t or "" for t in arrow.column(1).to_pylist()]
             for lo in range(0, len(texts), batch):
-                vectors = embed(texts[lo : lo + batch])
+                with models.lane(lane):
+                    vectors = embed(texts[lo : lo + batch])
                 yield pa.RecordBatch.from_arrays([keys.slice(lo, len(vectors)), pa.array(list(vectors), pa.list_(pa.float32()))], [key, "embedding"])
 
     kind = rows.schema[key].dataType.simpleString()

@@ -22,22 +22,21 @@ def manifest_path(path: str) -> str:
     return path
 
 
-def _empty_files(spark: SparkSession, root: str) -> list[str]:
-    """Files of no bytes, which Spark's readers pass over; a folder of more files than a manifest may hold is refused."""
+def _sizes(spark: SparkSession, root: str) -> dict[str, int]:
+    """The size of each file; a folder of more files than a manifest may hold is refused."""
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base, listed, n, out = at.toUri().getPath().rstrip("/") + "/", at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), 0, []
+    base, listed, n, out = at.toUri().getPath().rstrip("/") + "/", at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), 0, {}
     while listed.hasNext():
         status, n = listed.next(), n + 1
         if n > FILES:
             raise ValueError("too many files")
-        if status.getLen() == 0:
-            out.append(status.getPath().toUri().getPath().removeprefix(base))
+        out[status.getPath().toUri().getPath().removeprefix(base)] = status.getLen()
     return out
 
 
 def file_digests(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, sha256) of every file below ``root``; each is hashed where it is read."""
-    empty = [(p, 0, EMPTY) for p in _empty_files(spark, root)]
+    empty = [(p, 0, EMPTY) for p, size in _sizes(spark, root).items() if not size]  # Spark's readers pass over these
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
     path = F.regexp_replace("path", "^[a-z]+:/*", "/")
@@ -64,3 +63,16 @@ def differences(spark: SparkSession, root: str, expected: dict) -> DataFrame:
     both = file_digests(spark, root).join(want, "path", "full_outer")
     state = F.when(F.col("sha256").isNull(), "missing").when(F.col("want_sha").isNull(), "extra").when((F.col("sha256") != F.col("want_sha")) | (F.col("size") != F.col("want_size")), "changed")
     return both.select("path", state.alias("state")).where("state IS NOT NULL")
+
+
+def is_ready(spark: SparkSession, root: str, expected: dict) -> bool:
+    """Whether a snapshot can be loaded: the manifest has its own digest, and the files have its paths and sizes.
+
+    Nothing is loaded and no file is read; ``differences`` compares contents.
+    """
+    body = {key: value for key, value in expected.items() if key != "manifest_sha256"}
+    if config_hash(body) != expected.get("manifest_sha256"):
+        return False
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return there and _sizes(spark, root) == {f["path"]: f["size"] for f in expected["files"]}
