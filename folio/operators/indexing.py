@@ -42,12 +42,14 @@ def build(files: DataFrame, run_id: str, config: Config, stored: dict[str, DataF
     chunk_embeddings so far.
 
     Rows of sections, chunks and embeddings are the new ones; occurrences are all of the run, one for each file: a path that
-    stands twice breaks a rule and fails the run. Documents are parsed once, into a table in the shared folder.
+    stands twice breaks a rule and fails the run. Files are read once and documents parsed once, into
+    tables in the shared folder.
     """
     stored = stored or {}
     chosen = files.where(selected(F.col("source_path"), config.include, config.exclude))
     keyed = chosen.select("source_path", F.sha2("content", 256).alias("content_hash"), "content", F.is_valid_utf8("content").alias("valid"))
     keyed = keyed.withColumns({"content_id": digest("content", F.col("content_hash")), "content": F.when(F.col("valid"), F.col("content").cast("string"))})
+    keyed = stored_table(keyed, "files")  # several tables begin with them
     contents = keyed.groupBy("content_id", "content_hash").agg(F.first("content").alias("content")).select(
         F.col("content_id").alias("id"), "content_hash", "content", F.octet_length("content").cast("bigint").alias("byte_size")
     )
